@@ -1,0 +1,55 @@
+"""Tables written in the folder that all executors share, to cut lineage.
+
+The folder is the one ``spark.checkpoint.dir`` names. Only where the session
+has none (tests, notebooks) is a local temporary folder set.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; sets a temporary one only if unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    own = spark.sparkContext.getCheckpointDir()
+    if not own:
+        top = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, top, True)
+        spark.sparkContext.setCheckpointDir(top)
+        own = spark.sparkContext.getCheckpointDir()
+    return own.rstrip("/")
+
+
+class Scratch:
+    """Tables of one call. ``cut`` writes and rereads; ``drop`` deletes a table that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def path(self, name: str = "t") -> str:
+        self.n += 1
+        return f"{self.base}/{self.n:03d}-{name}"
+
+    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._vellum_path = path
+        return out
+
+    def drop(self, df: DataFrame | None) -> None:
+        path = getattr(df, "_vellum_path", None)
+        if path:
+            jvm = self.spark._jvm
+            hdfs = jvm.org.apache.hadoop.fs.Path(path)
+            hdfs.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hdfs, True)

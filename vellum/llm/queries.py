@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rules, simhash, tokens, toxicity
+from . import packing, quality, reshard, rules, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules)}
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes, moving as few bytes as can be."""
+    placed = reshard.reshard(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_resharding)}
 
 ORACLE_SQL: dict[str, str] = {}

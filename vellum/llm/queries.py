@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, quality, reshard, rules, simhash, tokens, toxicity
+from . import decontaminate, linededup, packing, quality, reshard, rules, simhash, suffixes, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without any string of 200 bytes that occurs more than once."""
+    out = suffixes.repeats(_table(spark, sf_dir, "documents"), length=200, keep="none")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that contain four fifths of a benchmark item's five-word shingles."""
     found = decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -71,6 +78,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_resharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_resharding, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.oracle_sql(), "op10_line_dedup": linededup.oracle_sql()}

@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -30, 30)))
 
 
-def train(rows: list[tuple[bytes, int]], steps: int = 700, rate: float = 4.0, batch: int = 32, seed: int = 7, max_bytes: int = 20_000) -> Model:
+def train(rows: list[tuple[bytes, int]], steps: int = 600, rate: float = 4.0, batch: int = 16, seed: int = 7, max_bytes: int = 6_000) -> Model:
     """Learns from (text, label) in ``steps`` batches; texts beyond ``max_bytes`` are learned from in several examples of that size."""
     small = [(p, y) for x, y in dict.fromkeys(rows) for p in parts(x.replace(b"\n", b" \r "), max_bytes)]
     y = np.array([lab for _, lab in small], np.int64)
@@ -149,21 +150,20 @@ def train(rows: list[tuple[bytes, int]], steps: int = 700, rate: float = 4.0, ba
             idx = np.concatenate([examples[k][0] for k in own])
             val = np.concatenate([examples[k][1] for k in own])
             doc = np.repeat(np.arange(len(own)), [len(examples[k][0]) for k in own])
-            uniq, inv = np.unique(idx, return_inverse=True)
-            mat = np.zeros((len(own), len(uniq)))
-            mat[doc, inv] = val
-            hidden = mat @ emb[uniq]
-            logits = hidden @ out.T + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            err = p
+            size_of = np.array([len(examples[k][0]) for k in own])
+            part = np.concatenate([val[:, None] * emb[idx], np.zeros((1, DIM))])
+            hidden = np.add.reduceat(part, np.cumsum(size_of) - size_of, axis=0) * (size_of > 0)[:, None]
+            logits = (hidden[:, None, :] * out).sum(2) + bias
+            err = np.exp(logits - logits.max(1, keepdims=True))
+            err /= err.sum(1, keepdims=True)
             err[np.arange(len(own)), y[own]] -= 1
-            err *= weight[y[own]][:, None]
+            err *= weight[y[own]][:, None] / len(own)
+            back = (err[:, :, None] * out).sum(1)
             # features are means over hundreds of parts, so their vectors take larger steps than the output layer
-            emb[uniq] -= eta * 25 * (mat.T @ (err @ out)) / len(own)
-            out -= eta * 0.1 * (err.T @ hidden) / len(own)
-            bias -= eta * 0.02 * err.mean(0)
-    return Model(emb @ (out[1] - out[0]), float(bias[1] - bias[0]))
+            np.add.at(emb, idx, -25 * eta * val[:, None] * back[doc])
+            out -= 0.1 * eta * (err[:, :, None] * hidden[:, None, :]).sum(0)
+            bias -= 0.02 * eta * err.sum(0)
+    return Model((emb * (out[1] - out[0])).sum(1), float(bias[1] - bias[0]))
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -202,3 +202,21 @@ def quality_scores(
         "doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", folds: int = 4, held: int = 2,
+    per_class: int = 1000, threshold: float = 0.7,
+) -> DataFrame:
+    """``docs`` without the rows whose score is below ``threshold``; all stay where the labels hold one class only (nothing was learned)."""
+    model = train(sample(docs, labels, label, id_col, text_col, folds, held, per_class))
+    if not model.table.any():
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias))
+
+    @F.pandas_udf("double")
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series(Model(*shared.value).score(values.tolist()))
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    return docs.where(score(text) >= threshold)

@@ -23,16 +23,16 @@ def merged_articles(spark: SparkSession, folder: str, schema: T.StructType) -> D
 def list_or_data(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of a JSON list, or of the list under ``data``."""
     text = spark.read.text(path, wholetext=True)
-    rows = F.coalesce(F.from_json("value", T.ArrayType(schema)), F.from_json("value", T.StructType([T.StructField("data", T.ArrayType(schema))]))["data"])
-    direct = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(schema))).otherwise(rows)
+    under = T.StructType([T.StructField("data", T.ArrayType(schema))])
+    direct = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(schema))).otherwise(F.from_json("value", under)["data"])
     return text.select(F.inline(direct))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that can't be read. Blank lines are neither."""
     bad = "_corrupt_record"
-    own = spark.read.schema(schema.add(T.StructField(bad, T.StringType())) if bad not in schema.names else schema)
-    df = own.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path).cache()
+    fields = [f for f in schema.fields if f.name != bad]
+    df = spark.read.schema(T.StructType([*fields, T.StructField(bad, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path).cache()
     return df.where(F.col(bad).isNull()).drop(bad), df.where(F.col(bad).isNotNull() & (F.trim(bad) != "")).select(F.col(bad).alias("line"))
 
 

@@ -32,12 +32,12 @@ def by_bytes(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, names: list[str]) -> DataFrame:
-    """``fn`` takes the texts of a batch and gives one list for each name; ``doc_id`` is carried along."""
+    """``fn`` takes the texts of a batch and gives one list or Arrow array for each name; ``doc_id`` is carried along."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 cols = fn(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], ["doc_id", *names])
 
     return df.mapInArrow(run, schema)

@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,22 +40,23 @@ TOKEN = re.compile(r"[^\W_]+")
 CHAIN = 256
 BITS = 18
 MEMO_TOKENS = 300_000
-#: A marker occurs in so many toxic training documents at least, and is so precise there.
-MARKER_DOCS, MARKER_PRECISION = 14, 0.97
+#: A marker occurs in so many toxic training documents at least, and so large a part of its occurrences (the classes weighted alike) is there.
+MARKER_DOCS, MARKER_PRECISION = 5, 0.9
 
 
 #: Seeds of the constant features: all small letters, a capital first, all capitals.
 _SHAPES = (101, 102, 103)
-WIDTH = 8
-MARKING = 4
+WIDTH = 10
+MARKING = 6
 
 
 def features(token: str) -> tuple[int, ...]:
-    """32-bit hashes of a token's features; the first ``MARKING`` (the word, prefixes of 4 to 6 bytes) can be markers."""
+    """32-bit hashes of a token's features; the first ``MARKING`` (the word, prefixes of 4 to 8 bytes) can be markers."""
     b = token.lower().encode("utf-8", "replace")
     shape = _SHAPES[0] if token.islower() else _SHAPES[2] if token.isupper() else _SHAPES[1]
     return (
-        crc32(b, 1), crc32(b[:4], 2), crc32(b[:5], 3), crc32(b[:6], 4), crc32(b[:3], 5), crc32(b[-3:], 6), crc32(b[-5:], 7), shape,
+        crc32(b, 1), crc32(b[:4], 2), crc32(b[:5], 3), crc32(b[:6], 4), crc32(b[:7], 5), crc32(b[:8], 6),
+        crc32(b[:3], 7), crc32(b[-3:], 8), crc32(b[-5:], 9), shape,
     )
 
 
@@ -183,14 +185,27 @@ class Model:
 
 
 def markers(rows: list[tuple[str, int]]) -> set[int]:
-    """Features that occur in toxic documents and hardly in others; the classes count alike."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """Features that occur in many toxic documents and hardly in others; the classes count alike.
+
+    Occurrences are weighed, not documents: a stem that makes a text toxic is repeated there, while others hold it once by accident.
+    """
     size = Counter(y for _, y in rows)
+    inside: Counter = Counter()
+    times: tuple[Counter, Counter] = (Counter(), Counter())
+    memo: dict[str, tuple[int, ...]] = {}
     for text, y in rows:
-        seen[y].update({f for t in set(TOKEN.findall(text)) for f in features(t)[:MARKING]})
+        own: Counter = Counter()
+        for t, n in Counter(TOKEN.findall(text)).items():
+            if t not in memo:
+                memo[t] = tuple(set(features(t)[:MARKING]))
+            for f in memo[t]:
+                own[f] += n
+        times[y].update(own)
+        if y:
+            inside.update(own.keys())
     ratio = size[1] / max(1, size[0])
     least = max(3, min(MARKER_DOCS, size[1] // 10))
-    return {f for f, n in seen[1].items() if n >= least and n >= MARKER_PRECISION * (n + seen[0][f] * ratio)}
+    return {f for f, n in inside.items() if n >= least and times[1][f] >= MARKER_PRECISION * (times[1][f] + times[0][f] * ratio)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -261,7 +276,7 @@ def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_token
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, per_class: int = 1200
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, per_class: int = 2000
 ) -> Model:
     """A model from at most ``per_class`` documents of each class outside the held-out fold."""
     rows = sample(docs, labels, label, id_col, text_col, folds, held, per_class)
@@ -301,6 +316,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def toxic_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, spans``: character offsets [start, stop) and the largest marginal of each run of tokens at ``least`` or more."""
     shared, key = _shared(docs, model)
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
 
     def run(values: list[bytes]) -> list:
         own, out = _local(shared, key), []
@@ -321,7 +337,7 @@ def toxic_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                                 spans.append({"start": m.start(), "stop": m.end(), "p": float(q[n])})
                             last = n
                 out.append(spans)
-        return [out]
+        return [pa.array(out, kinds)]
 
     kind = dict(docs.dtypes)[id_col]
     return map_texts(texts(docs, id_col, text_col), run, f"doc_id {kind}, spans array<struct<start: long, stop: long, p: double>>", ["spans"])

@@ -40,9 +40,9 @@ class Scratch:
         self.n += 1
         return f"{self.base}/{self.n:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def cut(self, df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._vellum_path = path
         return out

@@ -314,15 +314,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if keep not in ("none", "first") or length < 2 * ANCHOR:
         raise ValueError("keep is 'none' or 'first', and length at least twice the anchor's")
     scratch = Scratch(docs.sparkSession, "suffixes")
-    every = scratch.cut(_numbered(docs, id_col, text_col, length), "stretches")
+    every = scratch.cut(_numbered(docs, id_col, text_col, length), "stretches", "zstd")
     place = F.struct("doc_id", "start", "tkey")
-    kinds = scratch.cut(
-        every.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "anchor", "size")).alias("first")), "kinds"
-    )
+    counted = every.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "anchor", "size")).alias("first"))
+    # most kinds occur once: nothing joins them by content any more, so their hashes aren't stored
+    several = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("c1", "c2")]
+    kinds = scratch.cut(counted.select(*several, "n", "first"), "kinds", "zstd")
     mixed = kinds.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     chosen = kinds.select("n", "first.*").join(mixed, "anchor")
     keyed = _with_key(docs, id_col, text_col)
-    cut = scratch.cut(_bytes_of(chosen, keyed), "bytes")
+    cut = scratch.cut(_bytes_of(chosen, keyed), "bytes", "zstd")
     copied = every.join(kinds.where("n > 1").select("c1", "c2", "first"), ["c1", "c2"])
     if keep == "first":
         copied = copied.where(place > F.struct("first.doc_id", "first.start", "first.tkey"))

@@ -9,12 +9,14 @@ least possible. Whole blocks are then chosen to make up those amounts, each
 old shard giving its blocks in descending size to the receiver that still
 lacks most, as long as the block fits what is owed.
 
-A text so frequent that its block exceeds ``SPLIT`` of a shard can't be kept
-together and balanced; such a block is dealt by row in sub-blocks. All other
-groups of equal texts stay whole.
+A text whose rows exceed ``SPLIT`` of a shard can't be kept together and
+balanced; its rows are dealt in sub-blocks. There are fewer than ``shards`` /
+``SPLIT`` such texts. All other groups of equal texts stay whole: a block that
+large is cut in sub-blocks by text.
 
-Only blocks, whose number is a parameter, reach the driver. Slots within a
-shard are counted per block first, so no task sorts a whole shard.
+Only blocks, whose number is a parameter, and those texts' hashes reach the
+driver. Slots within a shard are counted per block first, so no task sorts a
+whole shard.
 
 Edge cases: null texts have size 1; a null ``doc_id`` is kept; repeated rows
 get a slot each; an empty table gives an empty result; further columns are
@@ -34,7 +36,7 @@ from .scratch import Scratch
 
 #: Blocks of texts, and the sub-blocks by row within each.
 BLOCKS, SUBS = 4096, 16
-#: A block beyond this part of a shard's fair share is dealt by row.
+#: A text beyond this part of a shard's fair share is dealt by row.
 SPLIT = 0.5
 
 
@@ -148,31 +150,33 @@ def reshard(
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), text_size(text_col).alias("size"),
         F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_crc32"), block.alias("block"),
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"),
     )
     rows = scratch.cut(rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SUBS)).cast("int")), "rows")
-    counted = scratch.cut(rows.groupBy("block", "sub").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "blocks")
     old = old_shards or shards
-    cells = counted.withColumn("old_shard", first_layout(F.col("block"), old)).collect()  # at most blocks * SUBS rows
-    total = sum(r["size"] for r in cells)
-    size_of: dict[int, int] = {}
-    for r in cells:
-        size_of[r["block"]] = size_of.get(r["block"], 0) + r["size"]
-    limit = SPLIT * total / shards
-    units: dict[int, list[int]] = {}
-    for r in cells:
-        unit = r["block"] * (SUBS + 1) + (r["sub"] + 1 if size_of[r["block"]] > limit else 0)
-        units.setdefault(unit, [r["old_shard"], 0])[1] += r["size"]
+    sizes = {r["block"]: r["size"] for r in rows.groupBy("block").agg(F.sum("size").alias("size")).collect()}  # at most blocks rows
+    limit = SPLIT * sum(sizes.values()) / shards
+    large = [b for b, x in sizes.items() if x > limit]  # fewer than shards / SPLIT
+    by_text = rows.where(F.col("block").isin(large)).groupBy("text_hash").agg(F.sum("size").alias("size"))
+    hot = [r["text_hash"] for r in by_text.where(F.col("size") > limit).collect()] if large else []
+    # of a large block, hot texts are dealt by row and the others by text; any other block is sub-block 0
+    by_hash = F.pmod(F.hash("text_hash"), F.lit(SUBS)) + SUBS + 1
+    dealt = F.when(F.col("text_hash").isin(hot), F.col("sub") + 1).otherwise(by_hash) if hot else by_hash
+    rows = rows.withColumn("sub", F.when(F.col("block").isin(large), dealt).otherwise(0) if large else F.lit(0))
+    counted = scratch.cut(rows.groupBy("block", "sub").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "blocks")
+    cells = counted.withColumn("old_shard", first_layout(F.col("block"), old)).collect()  # at most blocks, and 2 * SUBS for each large one
+    total = sum(sizes.values())
+    units = {r["block"] * (2 * SUBS + 1) + r["sub"]: (r["old_shard"], r["size"]) for r in cells}
     room = capacity or [total // shards + (k < total % shards) for k in range(shards)]
     where = plan([(u, o, s) for u, (o, s) in sorted(units.items())], room)
-    hot = {b for b, s in size_of.items() if s > limit}
     ahead, placed = [0] * len(room), []
     for r in sorted(cells, key=lambda r: (r["block"], r["sub"])):
-        to = where[r["block"] * (SUBS + 1) + (r["sub"] + 1 if r["block"] in hot else 0)]
+        to = where[r["block"] * (2 * SUBS + 1) + r["sub"]]
         placed.append((r["block"], r["sub"], r["old_shard"], to, ahead[to]))
         ahead[to] += r["n"]
     places = spark.createDataFrame(placed, "block int, sub int, old_shard int, shard int, ahead long")
     nth = F.row_number().over(Window.partitionBy("block", "sub").orderBy("doc_id", "text_crc32"))
-    slotted = rows.withColumn("nth", nth).join(F.broadcast(places), ["block", "sub"])  # bounded by blocks * SUBS rows
+    slotted = rows.withColumn("nth", nth).join(F.broadcast(places), ["block", "sub"])  # bounded as above
     return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))
 
 

@@ -232,9 +232,9 @@ def difflib_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def containment_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each assistant turn the user turn of its conversation that holds most of its first line."""
+    """For each assistant turn the user turn of its conversation that holds most of it, all its lines counted."""
     c = table(spark, sf_dir, "conversations")
-    a = c.where("role = 'assistant'").select("conv_id", "turn", F.split_part("text", F.lit("\n"), F.lit(1)).alias("fragment"))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("fragment"))
     u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("best"), "text")
     s = a.join(u, "conv_id").withColumn("score", F.round(S.containment("fragment", "text"), 6))
     return O.latest(s, ["conv_id", "turn"], [F.desc("score"), F.asc("best")]).select("conv_id", "turn", "best", "score")

@@ -228,19 +228,23 @@ def test_op9_law_and_flow(spark):
 
 
 def plain_line_dedup(texts, min_words=50):
-    rows, seen, gone = {}, {}, {}
-    for d, t in sorted(texts.items()):
-        rows[d] = [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
-        for i in range(len(rows[d])):
-            n = words = 0
-            while words < min_words and i + n < len(rows[d]):
-                words += len(WORD.findall(rows[d][i + n][1]))
-                n += 1
-            if words >= min_words:
-                body = tuple(x for _, x in rows[d][i : i + n])
-                if body in seen:
-                    gone.setdefault(d, set()).update(k for k, _ in rows[d][i : i + n])
-                seen.setdefault(body, (d, i))
+    """Every maximal run of lines with a word that two places share, by pairs of equal lines; the later place's lines go."""
+    rows = {d: [(k, x, len(WORD.findall(x))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for d, t in sorted(texts.items())}
+    places, gone = {}, {}
+    for d, own in rows.items():
+        for k, (_, x, _) in enumerate(own):
+            places.setdefault(x, []).append((d, k))
+    for at in places.values():
+        for n, (e, j) in enumerate(at):
+            for d, k in at[n + 1 :]:
+                if j and k and rows[e][j - 1][1] == rows[d][k - 1][1]:
+                    continue  # not the beginning of the run
+                size = words = 0
+                while j + size < len(rows[e]) and k + size < len(rows[d]) and rows[e][j + size][1] == rows[d][k + size][1]:
+                    words += rows[d][k + size][2]
+                    size += 1
+                if words >= min_words:
+                    gone.setdefault(d, set()).update(x for x, _, _ in rows[d][k : k + size])
     return {d: (t if d not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d])) for d, t in texts.items()}
 
 
@@ -256,6 +260,18 @@ def test_op10_against_plain_runs(spark):
     assert got == plain_line_dedup(own) and got[2] == "own start\n\nown end" and got[3] == "" and got[5] is None
 
 
+def test_op10_takes_whole_runs(spark):
+    """The end of a run goes with it, however short its lines; what differs stays; random texts over few lines agree with the pairs."""
+    head = "L60 " + "w " * 60
+    own = {1: f"{head}\nfive words in this line\nAAA", 2: f"{head}\nfive words in this line\nBBB", 3: f"xx\nfive words in this line\n{head}\nCCC"}
+    rng = random.Random(11)
+    lines = [f"k{k} " + "v " * n for k, n in enumerate((1, 3, 8, 20, 30, 60, 2, 12))]
+    own |= {k: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12))) for k in range(4, 60)}
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    assert got == plain_line_dedup(own)
+    assert got[2] == "BBB" and got[3] == "xx\nfive words in this line\nCCC"
+
+
 def test_awkward_rows(spark):
     docs, items = awkward(spark), spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, None), (None, "w5 w6 w7 w8 w9 w10")], "item_id long, text string")
     n = docs.count()

@@ -1,7 +1,11 @@
 """Tables written in the folder that all executors share, to cut lineage.
 
 The folder is the one ``spark.checkpoint.dir`` names. Only where the session
-has none (tests, notebooks) is a local temporary folder set.
+has none and runs on one machine (tests, notebooks) is a local temporary folder
+set; on a cluster its executors would each write to a folder of their own.
+
+A call deletes the tables that its result doesn't read. What a lazy result
+still reads stays until the caller has used it and calls ``release``.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not own:
         top = tempfile.mkdtemp(prefix="vellum-")
         atexit.register(shutil.rmtree, top, True)
@@ -28,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: The calls whose folders may still hold tables.
+_CALLS: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one call. ``cut`` writes and rereads; ``drop`` deletes a table that nothing reads any more."""
 
@@ -35,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _CALLS.append(self)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -47,9 +58,26 @@ class Scratch:
         out._vellum_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        path = getattr(df, "_vellum_path", None)
-        if path:
-            jvm = self.spark._jvm
-            hdfs = jvm.org.apache.hadoop.fs.Path(path)
-            hdfs.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hdfs, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            path = getattr(df, "_vellum_path", None)
+            if path:
+                remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mark() -> int:
+    """How many calls there have been; for ``release``."""
+    return len(_CALLS)
+
+
+def release(since: int = 0) -> None:
+    """Deletes what the calls after ``since`` have left, once their results have been written or are no longer wanted."""
+    while len(_CALLS) > since:
+        own = _CALLS.pop()
+        remove(own.spark, own.base)

@@ -123,7 +123,8 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     gone = repeated(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), "gone")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = packed(docs, doc_id=F.col(f"`{id_col}`"), text_hash=F.xxhash64(text), text=F.col(f"`{text_col}`"))
-    met = own.join(gone, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), "left")
+    # merged at every size: for a broadcast the list would have to stay small while the corpus grows
+    met = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), "left")
     split = met.withColumn("lines", F.split("text", "\n"))
     word = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_like(x, F.lit(WORD)).alias("w"))), lambda x: x["w"])
     split = split.withColumn("word", F.when(F.col("gone").isNotNull(), word))

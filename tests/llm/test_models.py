@@ -6,7 +6,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from test_llm import SCHEMA, SF, awkward, classes, docs_of, fingerprint, plain_line_dedup, shingles, table
+from test_llm import SCHEMA, SF, awkward, classes, docs_of, plain_line_dedup, shingles, table
 
 import corpus_pipeline
 from vellum.llm import quality, queries, toxicity
@@ -106,7 +106,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert {d: r.text for d, r in new.items()} == plain_line_dedup({d: r.text for d, r in old.items()})
             assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
         elif name == "simhash_dedup":
-            found = classes({d: fingerprint(r.text or "") for d, r in old.items()}, lambda a, b: (a ^ b).bit_count() <= 2)
+            found = classes({d: shingles(r.text or "") for d, r in old.items()}, lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b)))
             assert set(new) == {d for d, c in found.items() if d == c}
         elif name == "benchmark_decontamination":
             items = [s for r in table(spark, "benchmark").collect() if (s := shingles(r.text))]

@@ -26,11 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
 from .scratch import Scratch
 
 BIN_BITS = 10
-#: Rows of the item index, and candidate documents, that are broadcast at most (16 to 24 bytes a row); beyond, they are shuffled.
+#: Rows of the item index, of the items' shingles and of candidate documents that are broadcast at most; beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same in bytes, for shingles.
+BROADCAST_BYTES = 64 << 20
+#: Tasks to which the rows of a frequent shingle are dealt where both sides are shuffled.
+SPREAD = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,30 +96,45 @@ def contained(
     """``doc_id, text_hash, item_id, n_shared, n_item, containment`` for each document that holds ``threshold`` of an item's shingles."""
     scratch = Scratch(docs.sparkSession, "leaks")
     index = scratch.cut(item_index(items, item_col, item_text_col, n_words), "index")
-    small = index.count() <= BROADCAST_ROWS
-    met = sketches(docs, id_col, text_col, n_words).join(F.broadcast(index) if small else index, "h").where("j >= from_j")
+    met = _meet(sketches(docs, id_col, text_col, n_words), index, "h", index.count() <= BROADCAST_ROWS).where("j >= from_j")
     found = scratch.cut(met.select("doc_id", "text_hash").distinct(), "candidates")
     few = found.count() <= BROADCAST_ROWS
+    # items of one text are one kind; their ids come in last
     texts = items.select(F.col(f"`{item_col}`").alias("item_id"), words(item_text_col).alias("w")).select("item_id", shingle_texts("w", n_words).alias("s"))
-    shingles = texts.distinct().select("item_id", F.xxhash64("s").alias("item_hash"), F.size("s").alias("n_item"), F.explode_outer("s").alias("s")).where("s is not null")
+    kinds = texts.select("item_id", F.xxhash64("s").alias("kind"), F.size("s").alias("n_item"), "s")
+    names = kinds.where("n_item > 0").select("item_id", "kind").distinct()
+    each = kinds.dropDuplicates(["kind"]).select("kind", "n_item", F.explode_outer("s").alias("s")).where("s is not null")
+    shingles = scratch.cut(each, "shingles")
+    rows, size = shingles.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("s") + 16), F.lit(0))).first()
     own = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"), F.col(f"`{text_col}`").alias("text")
     )
-    hit = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    hit = found.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash"))
     own = own.join(F.broadcast(hit) if few else hit, same, "left_semi").select("doc_id", "text_hash", words("text").alias("w"))
     spread = own.select("doc_id", "text_hash", F.explode_outer(shingle_texts("w", n_words)).alias("s")).where("s is not null")
-    shared = spread.join(F.broadcast(shingles) if small else shingles, "s")
-    counted = shared.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_item").agg(F.countDistinct("s").alias("n_shared"))
+    shared = _meet(spread, shingles, "s", rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
+    counted = shared.groupBy("doc_id", "text_hash", "kind", "n_item").agg(F.countDistinct("s").alias("n_shared"))
     ratio = F.col("n_shared") / F.col("n_item")
-    return counted.where(ratio >= threshold).select("doc_id", "text_hash", "item_id", "n_shared", F.col("n_item").cast("long"), ratio.alias("containment"))
+    enough = scratch.cut(counted.where(ratio >= threshold), "contained")
+    scratch.drop(index, found, shingles)
+    return enough.join(names, "kind").select("doc_id", "text_hash", "item_id", "n_shared", F.col("n_item").cast("long"), ratio.alias("containment"))
+
+
+def _meet(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
+    """Rows of documents (with ``doc_id``, ``text_hash``) and of items that agree in ``key``; a frequent key's rows are dealt to ``SPREAD`` tasks."""
+    if small:
+        return left.join(F.broadcast(right), key)
+    dealt = left.withColumn("part", F.pmod(F.hash("doc_id", "text_hash"), F.lit(SPREAD)))
+    return dealt.join(right.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part")), [key, "part"]).drop("part")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` without those that contain an item."""
-    leaks = contained(docs, items, id_col, text_col, **parameters).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.join(leaks, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_anti")
+    leaks = contained(docs, items, id_col, text_col, **parameters).select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct()
+    own = packed(docs, own_id=F.col(f"`{id_col}`"), own_hash=F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    kept = own.join(leaks, F.col("own_id").eqNullSafe(F.col("other_id")) & (F.col("own_hash") == F.col("other_hash")), "left_anti")
+    return unpacked(kept, docs.columns)
 
 
 def oracle_sql(n_words: int = 5, threshold: float = 0.8) -> str:

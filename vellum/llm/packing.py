@@ -10,9 +10,11 @@ Groups grow in number with the input, not in size, and no piece is left out.
 
 Tokens are encoded once, when pieces are cut; a table with a row for each
 piece (not the ids) is written to the shared folder and all further work is on
-that. The vocabulary's pre-tokenizer drops white space and never joins what
-stands on its two sides, so ids are looked up by chunk: chunks a worker hasn't
-met go to the library in one batch, and a bounded memo holds short ones.
+that. A vocabulary whose pre-tokenizer drops white space and never joins what
+stands on its two sides (``tokens.separable`` reads that from the file) lets
+ids be looked up by chunk: chunks a worker hasn't met go to the library in one
+batch, and a bounded memo holds short ones. With any other vocabulary, texts
+are encoded whole.
 
 Edge cases: null or empty texts give one piece with the end token alone; a
 null ``doc_id`` is kept; repeated rows give pieces each; an empty table gives
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrow import by_bytes, texts
 from .scratch import Scratch
-from .tokens import load
+from .tokens import load, separable
 
 MEMO_BYTES, MEMO_CHUNKS = 48, 600_000
 _STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n]|\Z)")
@@ -51,6 +53,10 @@ def chunks(text: bytes) -> list[bytes]:
 
 def encode_chunks(values: list[bytes], tokenizer: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
+    if separable(tokenizer) != "words":
+        whole, library = [v.decode("utf-8", "replace") for v in values], load(tokenizer)
+        ids = library.encode(whole, num_threads=1) if tokenizer.endswith(".model") else [e.ids for e in library.encode_batch_fast(whole, add_special_tokens=False)]
+        return [np.array(x, "<u4").tobytes() for x in ids]
     memo = _MEMO.setdefault(tokenizer, {})
     if len(memo) > MEMO_CHUNKS:
         memo.clear()

@@ -1,30 +1,40 @@
 """Minimum-cost-flow resharding.
 
-Rows lie in old shards. They are grouped in blocks by a hash of the text, so
-equal texts share a block, and a block lies in one old shard. From the sizes of
-the old shards and the capacities of the new ones a flow network is solved: a
-unit of flow is a byte, staying is free and moving costs one a byte. Its answer
-says how many bytes each shard gives to each other one, and that sum is the
-least possible. Whole blocks are then chosen to make up those amounts, each
-old shard giving its blocks in descending size to the receiver that still
-lacks most, as long as the block fits what is owed.
-
-A text whose rows exceed ``SPLIT`` of a shard can't be kept together and
-balanced; its rows are dealt in sub-blocks. There are fewer than ``shards`` /
-``SPLIT`` such texts. All other groups of equal texts stay whole: a block that
-large is cut in sub-blocks by text.
+Rows lie in old shards: those of a column, or, where there is none, of a hash.
+They are grouped in blocks by a hash of the text, so equal texts share a block
+and stay together; a block counts for the old shard that holds most of it. From
+the sizes of the old shards and the capacities of the new ones a flow network
+is solved: a unit of flow is a byte, staying is free and moving costs one a
+byte. Its answer says how many bytes each shard gives to each other one, and
+that sum is the least possible. Whole blocks are then chosen to make up those
+amounts, each old shard giving its blocks in descending size to the receiver
+that still lacks most, as long as the block fits what is owed. If large blocks
+leave a shard too full by more than ``TOLERANCE``, further blocks move from the
+fullest shard to the emptiest for as long as that helps.
+
+A block with more than a ``PARTS``-th of a fair shard is cut up by text: its
+frequent texts are blocks of their own, the others share ``PARTS`` smaller
+ones. Only a text with more bytes than a fair shard, which no law of sizes can
+keep whole, is dealt by row, into as many blocks as its rows need to be of
+ordinary length. All other groups of equal texts stay whole.
 
 Only blocks, whose number is a parameter, and those texts' hashes reach the
 driver. Slots within a shard are counted per block first, so no task sorts a
 whole shard.
 
-Edge cases: null texts have size 1; a null ``doc_id`` is kept; repeated rows
-get a slot each; an empty table gives an empty result; further columns are
-ignored by ``reshard`` and carried along by ``rewrite``.
+``rewrite`` writes the rows of the shards that gain or lose some, and deletes
+the folders of those that end empty; other shards' files stay as they are.
+
+Edge cases: null texts have size 1; null and repeated ids are kept, repeated
+rows get a slot each; rows whose old shard is null lie where the hash says;
+an empty table gives an empty result; further columns are ignored by
+``reshard`` and carried along by ``rewrite``, whatever their names (``__shard``
+and ``__slot`` are the layout itself).
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from dataclasses import dataclass
 
@@ -32,12 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .scratch import Scratch
+from .rows import ROW, packed
+from .scratch import Scratch, remove
 
-#: Blocks of texts, and the sub-blocks by row within each.
-BLOCKS, SUBS = 4096, 16
-#: A text beyond this part of a shard's fair share is dealt by row.
-SPLIT = 0.5
+#: Blocks of texts.
+BLOCKS = 4096
+#: Blocks beyond this part of a fair shard are cut up by text.
+PARTS = 16
+#: A shard may be fuller than its capacity by this part of it.
+TOLERANCE = 0.002
 
 
 @dataclass
@@ -102,24 +115,44 @@ def transfers(old: list[int], capacity: list[int]) -> dict[tuple[int, int], int]
 
 
 def plan(blocks: list[tuple[int, int, int]], capacity: list[int]) -> dict[int, int]:
-    """New shard by block, from (block, old shard, bytes)."""
-    old = [0] * (max((b[1] for b in blocks), default=-1) + 1)
+    """New shard by block, from (block, old shard, bytes). Old shards that are no longer wanted count as one."""
+    m = len(capacity)
+    blocks = [(b, i if 0 <= i < m else m, size) for b, i, size in blocks]
+    old = [0] * (m + 1)
     for _, i, size in blocks:
         old[i] += size
     owed = {w: f for w, f in transfers(old, capacity).items() if w[0] != w[1]}
-    where = {}
+    where, left = {}, list(capacity)
     for b, i, size in sorted(blocks, key=lambda x: (-x[2], x[0])):
         to = max((w for w in owed if w[0] == i and owed[w] >= size), key=lambda w: (owed[w], -w[1]), default=None)
         if to:
             owed[to] -= size
-        where[b] = to[1] if to else (i if i < len(capacity) else None)
-    left = list(capacity)
-    for b, _, size in blocks:
-        if where[b] is not None:
+        where[b] = to[1] if to else i
+        if where[b] < m:
             left[where[b]] -= size
-    for b, _, size in sorted((x for x in blocks if where[x[0]] is None), key=lambda x: -x[2]):  # of shards that are given up
-        where[b] = max(range(len(left)), key=lambda j: left[j])
+    for b, _, size in sorted((x for x in blocks if where[x[0]] == m), key=lambda x: (-x[2], x[0])):
+        where[b] = max(range(m), key=lambda j: (left[j], -j))
         left[where[b]] -= size
+    return _settled({b: size for b, _, size in blocks}, where, left, capacity)
+
+
+def _settled(size: dict[int, int], where: dict[int, int], left: list[int], capacity: list[int]) -> dict[int, int]:
+    """Moves blocks from the fullest shard to the emptiest while one is too full and that helps."""
+    slack = TOLERANCE * sum(capacity) / max(1, len(capacity))
+    held: dict[int, list[int]] = {j: [] for j in range(len(capacity))}
+    for b in sorted(where, key=lambda b: (size[b], b)):
+        held[where[b]].append(b)  # ascending
+    while left and -min(left) > slack:
+        i, j = left.index(min(left)), left.index(max(left))
+        gap = left[j] - left[i]
+        fits = [k for k, b in enumerate(held[i]) if 2 * size[b] <= gap] or [k for k, b in enumerate(held[i]) if size[b] < gap][:1]
+        if not fits or not size[held[i][fits[-1]]]:
+            break
+        b = held[i].pop(fits[-1])
+        where[b] = j
+        left[i] += size[b]
+        left[j] -= size[b]
+        insort(held[j], b, key=lambda x: (size[x], x))
     return where
 
 
@@ -137,59 +170,85 @@ def first_layout(block: Column, shards: int) -> Column:
     return F.pmod(F.hash(block), F.lit(shards)).cast("int")
 
 
-def reshard(
-    docs: DataFrame, shards: int = 8, capacity: list[int] | None = None, old_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS
+def _placed(
+    docs: DataFrame, shards: int, capacity: list[int] | None, old_shards: int | None, id_col: str, text_col: str, blocks: int, old_col: str | None, together: bool, carry: bool
 ) -> DataFrame:
-    """``doc_id, size, text_crc32, old_shard, shard, slot`` for each row.
-
-    Without ``capacity`` the shards' sizes are to be equal. Old shards are those of ``first_layout``.
-    """
+    """``doc_id, size, text_crc32, old_shard, shard, slot`` for each row, and the packed row itself if it is to be carried."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     block = block_of(text_col, blocks)
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), text_size(text_col).alias("size"),
-        F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("text_crc32"), block.alias("block"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash"),
+    hashed = first_layout(block, old_shards or shards)
+    own = packed(
+        docs, doc_id=F.col(f"`{id_col}`"), size=text_size(text_col), text_crc32=F.crc32(text.cast("binary")), block=block, text_hash=F.xxhash64(text),
+        old_shard=F.coalesce(F.col(f"`{old_col}`").cast("int"), hashed) if old_col else hashed, row_id=F.monotonically_increasing_id(),
     )
-    rows = scratch.cut(rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SUBS)).cast("int")), "rows")
-    old = old_shards or shards
-    sizes = {r["block"]: r["size"] for r in rows.groupBy("block").agg(F.sum("size").alias("size")).collect()}  # at most blocks rows
-    limit = SPLIT * sum(sizes.values()) / shards
-    large = [b for b, x in sizes.items() if x > limit]  # fewer than shards / SPLIT
-    by_text = rows.where(F.col("block").isin(large)).groupBy("text_hash").agg(F.sum("size").alias("size"))
-    hot = [r["text_hash"] for r in by_text.where(F.col("size") > limit).collect()] if large else []
-    # of a large block, hot texts are dealt by row and the others by text; any other block is sub-block 0
-    by_hash = F.pmod(F.hash("text_hash"), F.lit(SUBS)) + SUBS + 1
-    dealt = F.when(F.col("text_hash").isin(hot), F.col("sub") + 1).otherwise(by_hash) if hot else by_hash
-    rows = rows.withColumn("sub", F.when(F.col("block").isin(large), dealt).otherwise(0) if large else F.lit(0))
-    counted = scratch.cut(rows.groupBy("block", "sub").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "blocks")
-    cells = counted.withColumn("old_shard", first_layout(F.col("block"), old)).collect()  # at most blocks, and 2 * SUBS for each large one
-    total = sum(sizes.values())
-    units = {r["block"] * (2 * SUBS + 1) + r["sub"]: (r["old_shard"], r["size"]) for r in cells}
+    rows = scratch.cut(own if carry else own.drop(ROW), "rows")  # written, so that the row ids stay as they are
+    sizes = {r["block"]: (r["size"], r["n"]) for r in rows.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}  # at most blocks rows
+    total, n_rows = sum(x for x, _ in sizes.values()), sum(n for _, n in sizes.values())
     room = capacity or [total // shards + (k < total % shards) for k in range(shards)]
-    where = plan([(u, o, s) for u, (o, s) in sorted(units.items())], room)
-    ahead, placed = [0] * len(room), []
-    for r in sorted(cells, key=lambda r: (r["block"], r["sub"])):
-        to = where[r["block"] * (2 * SUBS + 1) + r["sub"]]
-        placed.append((r["block"], r["sub"], r["old_shard"], to, ahead[to]))
-        ahead[to] += r["n"]
-    places = spark.createDataFrame(placed, "block int, sub int, old_shard int, shard int, ahead long")
-    nth = F.row_number().over(Window.partitionBy("block", "sub").orderBy("doc_id", "text_crc32"))
-    slotted = rows.withColumn("nth", nth).join(F.broadcast(places), ["block", "sub"])  # bounded as above
-    return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))
-
-
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Writes the rows of the shards that gain or lose rows, a folder ``__shard=`` each; other shards' files are left as they are.
-
-    ``docs`` needs unique, non-null ids here. Returns ``shard, n_rows`` of what was written.
+    if capacity is None and total:
+        room = [max(1, x) for x in room]
+    fair = max(room, default=0)
+    large = [b for b, (x, _) in sizes.items() if x * PARTS > fair]  # at most PARTS * shards
+    sub = F.lit(0).cast("long")
+    if large:
+        by_text = rows.where(F.col("block").isin(large)).groupBy("text_hash").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        heavy = by_text.where(F.col("size") * PARTS > fair).collect()  # at most PARTS * shards
+        each = max(1, n_rows // blocks)
+        named = [(r["text_hash"], k, max(PARTS, -(-r["n"] // each)) if r["size"] > fair else 1) for k, r in enumerate(sorted(heavy, key=lambda r: r["text_hash"]), 1)]
+        rows = rows.join(F.broadcast(spark.createDataFrame(named, "text_hash long, k int, pieces int")), "text_hash", "left")
+        alone = F.col("k") * (1 << 32) + F.pmod(F.xxhash64("row_id"), F.col("pieces"))
+        shared = 1 + F.pmod(F.hash("text_hash"), F.lit(PARTS))
+        sub = F.when(F.col("k").isNotNull(), alone).when(F.col("block").isin(large), shared).otherwise(0).cast("long")
+    rows = rows.withColumn("sub", sub).withColumn("part", F.lit(-1) if together else F.col("old_shard"))
+    parts = rows.groupBy("block", "sub", "part", "old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    home = F.max_by("old_shard", F.struct("size", -F.col("old_shard"))).alias("home")
+    cells = sorted(parts.groupBy("block", "sub", "part").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), home).collect(), key=lambda r: (r["block"], r["sub"], r["part"]))
+    # blocks (times old shards, unless together), PARTS more for each large one, and about blocks again for the rows of texts beyond a fair shard
+    where = plan([(k, r["home"], r["size"]) for k, r in enumerate(cells)], room)
+    ahead, places = [0] * len(room), []
+    for k, r in enumerate(cells):
+        places.append((r["block"], r["sub"], r["part"], where[k], ahead[where[k]]))
+        ahead[where[k]] += r["n"]
+    nth = F.row_number().over(Window.partitionBy("block", "sub", "part").orderBy("doc_id", "text_crc32", "row_id"))
+    known = F.broadcast(spark.createDataFrame(places, "block int, sub long, part int, shard int, ahead long"))  # bounded as above
+    slotted = rows.withColumn("nth", nth).join(known, ["block", "sub", "part"])
+    return slotted.select(*([ROW] if carry else []), "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))
+
+
+def reshard(
+    docs: DataFrame, shards: int = 8, capacity: list[int] | None = None, old_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS,
+    old_col: str | None = None, together: bool = True,
+) -> DataFrame:
+    """``doc_id, size, text_crc32, old_shard, shard, slot`` for each row.
+
+    ``capacity`` holds the new shards' bytes; without it they are to be equal. ``old_col`` names the column with the shard in
+    which a row lies now; without it, that is the shard of ``first_layout`` among ``old_shards``. Unless equal texts are to
+    come ``together``, a block's rows in different old shards are blocks of their own, and none moves for another one's sake.
     """
-    moved = placed.where("old_shard <> shard")
-    touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    own = placed.join(F.broadcast(touched), "shard").select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    out = docs.join(own, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
-    out.repartition("__shard", F.pmod("__slot", F.lit(16))).sortWithinPartitions("__shard", "__slot").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("__shard").parquet(path)
-    return own.groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n_rows"))
+    return _placed(docs, len(capacity) if capacity else shards, capacity, old_shards, id_col, text_col, blocks, old_col, together, False)
+
+
+def rewrite(
+    docs: DataFrame, path: str, shards: int = 8, capacity: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, together: bool = True,
+) -> DataFrame:
+    """Reshards ``docs`` into the folders ``__shard=`` of ``path``, and returns ``shard, n_rows`` of the shards whose files were affected.
+
+    If ``docs`` has a column ``__shard``, as when it was read from ``path``, it says where its rows lie there; only shards
+    that gain or lose rows are then written, and those left empty are deleted. Otherwise all are written.
+    """
+    spark = docs.sparkSession
+    known = "__shard" in docs.columns
+    placed = _placed(docs, len(capacity) if capacity else shards, capacity, None, id_col, text_col, blocks, "__shard" if known else None, together, True)
+    ways = placed.groupBy("old_shard", "shard").agg(F.count("*").alias("n")).collect()  # at most old times new shards
+    affected = {k for r in ways if not known or r["old_shard"] != r["shard"] for k in ((r["old_shard"], r["shard"]) if known else (r["shard"],))}
+    counts = {k: sum(r["n"] for r in ways if r["shard"] == k) for k in sorted(affected)}
+    columns = [c for c in docs.columns if c not in ("__shard", "__slot")]
+    out = placed.where(F.col("shard").isin(list(affected))).select(*(F.col(ROW)[c].alias(c) for c in columns), F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
+    dealt = out.repartition("__shard", F.pmod("__slot", F.lit(PARTS))).sortWithinPartitions("__shard", "__slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__shard").parquet(path)
+    for k, n in counts.items():
+        if not n:
+            remove(spark, f"{path}/__shard={k}")
+    return spark.createDataFrame(list(counts.items()), "shard int, n_rows long")

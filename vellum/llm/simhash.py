@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_texts, texts
 from .components import components
+from .rows import packed, unpacked
 from .scratch import Scratch
 
 SEED = 42
@@ -208,7 +209,8 @@ def simhash_groups(
     roots = components(links(first.select("fp"), scratch, max_bits, bucket), scratch)
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = scratch.cut(rooted.join(ids, "root").select("fp", "component_id"), "named")
+    scratch.drop(first)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -218,5 +220,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat a kept id all stay; rows with a null id stay (nothing tells them apart).
     """
     groups = simhash_groups(docs, id_col, text_col, **parameters)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    own = packed(docs, own=F.col(f"`{id_col}`"))
+    return unpacked(own.join(gone.hint("merge"), F.col("own") == F.col("gone"), "left_anti"), docs.columns)

@@ -5,13 +5,14 @@ positions that share ``length`` bytes with another one matter. They are found
 in three steps, and suffixes are sorted only where a match is possible.
 
 1. Each window of ``length`` bytes is filed under its anchor, the smallest
-   hash of the ``ANCHOR``-byte strings in it (the first of equal ones). Windows
-   next to each other mostly share their anchor, so a text is a chain of
-   *stretches*, each with one anchor and some dozens of windows. Equal windows
-   have equal anchors. Per stretch only hashes go on.
+   hash of the ``ANCHOR``-byte strings in it. Windows next to each other mostly
+   share their anchor, so a text is a chain of *stretches*, each with one
+   anchor and some dozens of windows (``LONG`` at most: where a text repeats
+   itself, all its windows share one). Equal windows have equal anchors. Per
+   stretch only hashes go on.
 2. Equal stretches are one: grouped by their content's hash, they are covered
    wholly by repeats. Equal texts are taken together before, in the same way.
-3. Anchors with different stretches are left. One copy of each such stretch is
+3. Anchors with different stretches, or twice in one, are left. One copy of each such stretch is
    read again, and stretches of an anchor meet in one task (very frequent ones
    are dealt by the hash of single windows instead). The task sorts the
    suffixes that begin there, as far as ``length`` bytes, by prefix doubling.
@@ -46,6 +47,8 @@ from .scratch import Scratch
 ANCHOR = 32
 #: Different stretches of an anchor beyond which its windows are dealt one by one.
 HOT = 8000
+#: Windows of a stretch at most.
+LONG = 1 << 13
 #: Bytes of stretches whose suffixes are sorted together.
 BLOCK = 1 << 20
 #: Bits of a position within a text in the anchors' keys; longer texts are handled in parts that overlap.
@@ -80,8 +83,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], fore[w - 1 : n])
 
 
-def stretches(text: bytes, length: int) -> list[tuple[int, int, int]]:
-    """(anchor hash, start, stop): windows begin in [start, stop - length], each byte of a window in [start, stop)."""
+def stretches(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
+    """(anchor hash, start, stop, again): windows begin in [start, stop - length], each byte of a window in [start, stop).
+
+    ``again`` is 1 where the anchor occurs more than once in the stretch, so that its windows may repeat each other.
+    """
     out = []
     for lo in range(0, max(1, len(text) - length + 1), _PART):
         raw = np.frombuffer(text, np.uint8)[lo : lo + _PART + length - 1]
@@ -92,9 +98,17 @@ def stretches(text: bytes, length: int) -> list[tuple[int, int, int]]:
         low = _sliding_min(key, length - ANCHOR + 1)
         cut = np.flatnonzero(low[1:] != low[:-1]) + 1
         first = np.concatenate([[0], cut])
-        last = np.concatenate([cut, [len(low)]]) - 1
         at = (low[first] & np.uint64((1 << _POS) - 1)).astype(np.int64)
-        out += zip(h[at].astype(np.int64).tolist(), (first + lo).tolist(), (last + lo + length).tolist(), strict=True)
+        new = np.concatenate([[True], h[at[1:]] != h[at[:-1]]])  # the same hash at another place goes on
+        again = (np.diff(np.concatenate([np.flatnonzero(new), [len(new)]])) > 1).astype(np.int64)
+        first, at = first[new], at[new]
+        last = np.concatenate([first[1:], [len(low)]]) - 1
+        if (last - first >= LONG).any():
+            many = (last - first) // LONG + 1
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first, at, again, stop = np.repeat(first, many) + nth * LONG, np.repeat(at, many), np.repeat(again, many), np.repeat(last, many)
+            last = np.minimum(first + LONG - 1, stop)
+        out += zip(h[at].astype(np.int64).tolist(), (first + lo).tolist(), (last + lo + length).tolist(), again.tolist(), strict=True)
     return out
 
 
@@ -171,7 +185,7 @@ def _key(text: bytes) -> int:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``doc_id, tkey, anchor, c1, c2, start, size`` of every stretch."""
+    """``doc_id, tkey, anchor, c1, c2, start, size, again`` of every stretch."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,19 +194,19 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
                 own = stretches(text, length)
                 if own:
                     key, digest = _key(text), xxhash.xxh3_128_digest
-                    both = np.frombuffer(b"".join([digest(text[x:y]) for _, x, y in own]), "<i8").reshape(-1, 2)
+                    both = np.frombuffer(b"".join([digest(text[x:y]) for _, x, y, _ in own]), "<i8").reshape(-1, 2)
                     cols = np.array(own, np.int64)
-                    rows.append(np.column_stack([np.full(len(own), key), cols[:, 0], both, cols[:, 1], cols[:, 2] - cols[:, 1]]))
+                    rows.append(np.column_stack([np.full(len(own), key), cols[:, 0], both, cols[:, 1], cols[:, 2] - cols[:, 1], cols[:, 3]]))
                     of.append(np.full(len(own), k))
             if rows:
                 all_rows = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(np.concatenate(of))), *(pa.array(np.ascontiguousarray(c)) for c in all_rows.T)],
-                    ["doc_id", "tkey", "anchor", "c1", "c2", "start", "size"],
+                    ["doc_id", "tkey", "anchor", "c1", "c2", "start", "size", "again"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, tkey long, anchor long, c1 long, c2 long, start long, size long")
+    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, tkey long, anchor long, c1 long, c2 long, start long, size long, again long")
 
 
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -316,11 +330,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     scratch = Scratch(docs.sparkSession, "suffixes")
     every = scratch.cut(_numbered(docs, id_col, text_col, length), "stretches", "zstd")
     place = F.struct("doc_id", "start", "tkey")
-    counted = every.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "anchor", "size")).alias("first"))
+    counted = every.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "anchor", "size", "again")).alias("first"))
     # most kinds occur once: nothing joins them by content any more, so their hashes aren't stored
     several = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("c1", "c2")]
     kinds = scratch.cut(counted.select(*several, "n", "first"), "kinds", "zstd")
-    mixed = kinds.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    counts = kinds.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("kinds"), F.max("first.again").alias("again"))
+    mixed = counts.where("kinds > 1 or again > 0").select("anchor", "kinds")
     chosen = kinds.select("n", "first.*").join(mixed, "anchor")
     keyed = _with_key(docs, id_col, text_col)
     cut = scratch.cut(_bytes_of(chosen, keyed), "bytes", "zstd")
@@ -328,9 +343,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if keep == "first":
         copied = copied.where(place > F.struct("first.doc_id", "first.start", "first.tkey"))
     whole = copied.select("doc_id", "tkey", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    found = whole.unionByName(_sorted_matches(cut, length, keep)).unionByName(_hot_matches(cut, length, keep))
+    found = scratch.cut(whole.unionByName(_sorted_matches(cut, length, keep)).unionByName(_hot_matches(cut, length, keep)), "found", "zstd")
+    scratch.drop(every, kinds, cut)
     gone = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    met = keyed.join(gone, _same(keyed, gone), "left").select(keyed["doc_id"], TEXT, "gone")
+    met = keyed.join(gone.hint("merge"), _same(keyed, gone), "left").select(keyed["doc_id"], TEXT, "gone")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,7 +6,9 @@ a single space between two characters that are no white space. Byte-level
 pre-tokenizers attach such a space to the word after it and never look across
 it, so the counts of the units add up to the count of the text; other runs of
 white space stay inside a unit. Units that a worker hasn't met go to the
-library in one batch; a bounded memo holds the lengths of short ones.
+library in one batch; a bounded memo holds the lengths of short ones. Whether
+that holds is read from the vocabulary file; with any other one, texts are
+encoded whole.
 
 Edge cases: null or empty texts have no tokens; strings of special tokens
 inside a text are handled as the library does by default; a text without any
@@ -17,6 +19,7 @@ ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -30,6 +33,33 @@ MEMO_CHARS, MEMO_UNITS = 48, 300_000
 _UNSAFE = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict = {}
+#: Fixed value: the pattern of the pre-tokenizer that keeps words, single digits and runs of signs, and drops white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SEPARABLE: dict[str, str] = {}
+
+
+def separable(path: str) -> str:
+    """How a vocabulary file lets texts be taken apart without another token: ``bytes``, ``words``, or ``no``.
+
+    ``bytes``: byte-level pre-tokens of the library's own pattern, no normalizer. ``words``: ``WORDS``, whatever case.
+    """
+    if path not in _SEPARABLE:
+        kind = "no"
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                own = json.load(f)
+            pre, norm = own.get("pre_tokenizer") or {}, own.get("normalizer")
+            special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in own.get("added_tokens") or [])
+            plain = special and own["model"]["type"] == "BPE" and not own.get("post_processor")
+            steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (norm or {}).get("normalizers", [])]
+            lowered = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            split = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre.get("pretokenizers", [])]
+            if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+                kind = "bytes"
+            elif plain and steps == lowered and split == [("Split", {"Regex": WORDS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]:
+                kind = "words"
+        _SEPARABLE[path] = kind
+    return _SEPARABLE[path]
 
 
 def load(path: str):
@@ -67,7 +97,7 @@ class Lengths:
         return [len(x) for x in self.library.encode_batch_fast(values, add_special_tokens=False)]
 
     def count(self, values: list[str]) -> list[int]:
-        if self.path.endswith(".model"):  # these pieces reach across spaces
+        if separable(self.path) == "no":  # pieces may reach across spaces
             return self.encode(values)
         split = [units(v) for v in values]
         total = np.array(self.encode([x[0] for x in split]), np.int64)

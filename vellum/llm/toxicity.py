@@ -1,7 +1,6 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Chains are lines (cut at ``CHAIN`` tokens), labels are 0 and 1. A token's
-emission is the sum of the weights of its hashed features: the word, prefixes,
+Chains are lines, labels are 0 and 1. A token's emission is the sum of the weights of its hashed features: the word, prefixes,
 suffixes and its shape. Labels exist for documents only, so tokens are labelled
 first: a feature that occurs in many toxic training documents and hardly in
 others marks its tokens in toxic documents; all other tokens are clean. The
@@ -11,7 +10,13 @@ document, their largest log-odds and the log of their sum go through a logistic
 layer fitted on training documents that the field was not trained on.
 
 With two labels the forward and backward vectors matter only up to a factor,
-so each is one ratio a token; all chains of a batch advance together.
+so each is one ratio a token; all chains of a batch advance together. Longer
+chains lie in segments of ``SEGMENT`` tokens beside each other; a segment's
+steps multiply to a matrix of two by two, which carries the ratios over it, so
+the result is that of the whole chain.
+
+What makes a marker (``Settings``) is chosen by ``validate``, which splits the
+rows learned from once more and never sees the held-out ones.
 
 Edge cases: null or empty texts have no tokens and get the score of the
 logistic layer for none; labels that are null, or whose document is missing or
@@ -34,24 +39,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import by_bytes, map_texts, texts
-from .quality import fold, sample
+from .quality import sample, usable
 
 TOKEN = re.compile(r"[^\W_]+")
-CHAIN = 256
+SEGMENT = 256
 BITS = 18
 MEMO_TOKENS = 300_000
-#: A marker occurs in so many toxic training documents at least, and so large a part of its occurrences (the classes weighted alike) is there.
-MARKER_DOCS, MARKER_PRECISION = 5, 0.9
+
+
+@dataclass(frozen=True)
+class Settings:
+    """A marker occurs in ``docs`` toxic training documents at least, and ``precision`` of its occurrences (the classes weighted alike) is there.
+
+    It is one of the first ``marking`` features of a token.
+    """
+
+    docs: int = 5
+    precision: float = 0.9
+    marking: int = 6
 
 
 #: Seeds of the constant features: all small letters, a capital first, all capitals.
 _SHAPES = (101, 102, 103)
 WIDTH = 10
-MARKING = 6
 
 
 def features(token: str) -> tuple[int, ...]:
-    """32-bit hashes of a token's features; the first ``MARKING`` (the word, prefixes of 4 to 8 bytes) can be markers."""
+    """32-bit hashes of a token's features; the first six (the word, prefixes of 4 to 8 bytes) can be markers."""
     b = token.lower().encode("utf-8", "replace")
     shape = _SHAPES[0] if token.islower() else _SHAPES[2] if token.isupper() else _SHAPES[1]
     return (
@@ -66,39 +80,85 @@ def cells(named: list[tuple[int, ...]]) -> np.ndarray:
 
 
 def chains(text: str) -> list[list[str]]:
-    """The token sequences of a text."""
-    out = []
-    for line in text.split("\n"):
-        tokens = TOKEN.findall(line)
-        out += [tokens[k : k + CHAIN] for k in range(0, len(tokens), CHAIN)]
-    return out
+    """The token sequences of a text, one for each line with a token."""
+    return [tokens for line in text.split("\n") if (tokens := TOKEN.findall(line))]
 
 
 class Grid:
-    """Chains of different lengths side by side, longest first; step ``t`` holds the token ``t`` of each that has one."""
+    """Chains of different lengths side by side, in segments, longest first; step ``t`` holds the token ``t`` of each segment that has one."""
 
     def __init__(self, sizes: np.ndarray):
-        self.order = np.argsort(-sizes, kind="stable")
-        first = np.cumsum(sizes) - sizes
-        ranked = sizes[self.order]
+        sizes = np.asarray(sizes, np.int64)
+        many = -(-sizes // SEGMENT)
+        chain = np.repeat(np.arange(len(sizes)), many)
+        nth = np.arange(len(chain)) - np.repeat(np.cumsum(many) - many, many)
+        first = (np.cumsum(sizes) - sizes)[chain] + nth * SEGMENT
+        size = np.minimum(SEGMENT, sizes[chain] - nth * SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        ranked = size[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         steps = int(ranked[0]) if len(ranked) else 0
         self.active = np.searchsorted(-ranked, -np.arange(steps), side="left")
         self.at = np.cumsum(self.active) - self.active
-        self.token = np.concatenate([first[self.order[:a]] + t for t, a in enumerate(self.active)]) if steps else np.zeros(0, np.int64)
+        self.token = np.concatenate([first[order[:a]] + t for t, a in enumerate(self.active)]) if steps else np.zeros(0, np.int64)
+        self.heads = (nth == 0)[order]
+        self.last = self.at[ranked - 1] + np.arange(len(ranked)) if steps else np.zeros(0, np.int64)
+        more = np.flatnonzero(nth)
+        #: Segments that go on from another one, and those they go on from, in the order of the chains.
+        self.follow, self.before = rank[more], rank[more - 1]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Grid places of all tokens that stand next to each other in a chain."""
+        if not len(self.active):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left = [self.at[t - 1] + np.arange(self.active[t]) for t in range(1, len(self.active))]
+        return np.concatenate([*left, self.last[self.before]]), np.concatenate([np.arange(self.active[0], len(self.token)), self.follow])
+
+    def _products(self, e: np.ndarray, up: float, down: float, stay: float) -> np.ndarray:
+        """For each of ``follow`` the product of its steps, up to a factor, as rows of four numbers."""
+        by = np.argsort(self.follow, kind="stable")
+        ranks = self.follow[by]
+        p, q, r, s = np.ones(len(ranks)), np.zeros(len(ranks)), np.zeros(len(ranks)), np.ones(len(ranks))
+        for a, lo in zip(self.active.tolist(), self.at.tolist(), strict=True):
+            k = int(np.searchsorted(ranks, a))
+            x = e[lo + ranks[:k]]
+            new = x * (stay * p[:k] + up * r[:k]), x * (stay * q[:k] + up * s[:k]), down * p[:k] + r[:k], down * q[:k] + s[:k]
+            scale = np.maximum(new[0] + new[1], new[2] + new[3])
+            p[:k], q[:k], r[:k], s[:k] = (v / scale for v in new)
+        out = np.empty((len(ranks), 4))
+        out[by] = np.stack([p, q, r, s], 1)
+        return out
 
-    def ratios(self, u: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward and backward ratios label 1 : label 0 in grid order. ``trans``: start, 0 to 1, 1 to 0, 1 to 1."""
-        e = np.exp(np.clip(u, -30, 30))[self.token]
-        start, up, down, stay = np.exp(trans)
-        fore, back = np.empty(len(e)), np.ones(len(e))
+    def _forward(self, e: np.ndarray, first: np.ndarray, up: float, down: float, stay: float) -> np.ndarray:
+        fore, before = np.empty(len(e)), 0
         for t, (a, lo) in enumerate(zip(self.active.tolist(), self.at.tolist(), strict=True)):
             now = slice(lo, lo + a)
             if t:
                 r = fore[before : before + a]
                 fore[now] = e[now] * (up + r * stay) / (1 + r * down)
             else:
-                fore[now] = e[now] * start
+                fore[now] = e[now] * first
             before = lo
+        return fore
+
+    def ratios(self, u: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward ratios label 1 : label 0 in grid order. ``trans``: start, 0 to 1, 1 to 0, 1 to 1."""
+        e = np.exp(np.clip(u, -30, 30))[self.token]
+        start, up, down, stay = np.exp(trans)
+        first = np.full(len(self.heads), start)
+        fore, back = self._forward(e, first, up, down, stay), np.ones(len(e))
+        if len(self.follow):
+            steps = self._products(e, up, down, stay).tolist()
+            end, behind = fore[self.last].tolist(), [1.0] * len(self.heads)
+            follow, before = self.follow.tolist(), self.before.tolist()
+            for k, b, (p, q, r, s) in zip(follow, before, steps, strict=True):
+                first[k] = (up + end[b] * stay) / (1 + end[b] * down)
+                end[k] = (p * end[b] + q) / (r * end[b] + s)
+            for k, b, (p, q, r, s) in zip(follow[::-1], before[::-1], steps[::-1], strict=True):
+                behind[b] = (p * behind[k] + r) / (q * behind[k] + s)
+            fore = self._forward(e, first, up, down, stay)
+            back[self.last] = behind
         for t in range(len(self.active) - 2, -1, -1):
             lo, nxt, a = self.at[t], self.at[t + 1], self.active[t + 1]
             x = e[nxt : nxt + a] * back[nxt : nxt + a]
@@ -121,10 +181,9 @@ class Grid:
         start, up, down, stay = np.exp(trans)
         counts = np.zeros(4)
         if len(self.active):
-            counts[0] = p[: self.active[0]].sum()
+            counts[0] = p[: self.active[0]][self.heads].sum()
             e = np.exp(np.clip(u, -30, 30))[self.token]
-            left = np.concatenate([self.at[t - 1] + np.arange(self.active[t]) for t in range(1, len(self.active))] or [np.zeros(0, np.int64)])
-            right = np.arange(self.active[0], len(e))
+            left, right = self.pairs()
             r, x = fore[left], e[right] * back[right]
             total = 1 + up * x + r * down + r * stay * x
             counts[1:] = (up * x / total).sum(), (r * down / total).sum(), (r * stay * x / total).sum()
@@ -137,9 +196,9 @@ def _moves(grid: Grid, y: np.ndarray) -> np.ndarray:
     y = y[grid.token]
     if not len(grid.active):
         return np.zeros(4)
-    left = np.concatenate([grid.at[t - 1] + np.arange(grid.active[t]) for t in range(1, len(grid.active))] or [np.zeros(0, np.int64)])
-    a, b = y[left], y[grid.active[0] :]
-    return np.array([y[: grid.active[0]].sum(), ((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum()], float)
+    left, right = grid.pairs()
+    a, b = y[left], y[right]
+    return np.array([y[: grid.active[0]][grid.heads].sum(), ((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum()], float)
 
 
 @dataclass
@@ -184,7 +243,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def markers(rows: list[tuple[str, int]]) -> set[int]:
+def markers(rows: list[tuple[str, int]], settings: Settings) -> set[int]:
     """Features that occur in many toxic documents and hardly in others; the classes count alike.
 
     Occurrences are weighed, not documents: a stem that makes a text toxic is repeated there, while others hold it once by accident.
@@ -197,15 +256,15 @@ def markers(rows: list[tuple[str, int]]) -> set[int]:
         own: Counter = Counter()
         for t, n in Counter(TOKEN.findall(text)).items():
             if t not in memo:
-                memo[t] = tuple(set(features(t)[:MARKING]))
+                memo[t] = tuple(set(features(t)[: settings.marking]))
             for f in memo[t]:
                 own[f] += n
         times[y].update(own)
         if y:
             inside.update(own.keys())
     ratio = size[1] / max(1, size[0])
-    least = max(3, min(MARKER_DOCS, size[1] // 10))
-    return {f for f, n in inside.items() if n >= least and times[1][f] >= MARKER_PRECISION * (times[1][f] + times[0][f] * ratio)}
+    least = max(3, min(settings.docs, size[1] // 10))
+    return {f for f, n in inside.items() if n >= least and times[1][f] >= settings.precision * (times[1][f] + times[0][f] * ratio)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -222,7 +281,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2
     return w
 
 
-def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_tokens: int = 20_000, seed: int = 7) -> Model:
+def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_tokens: int = 20_000, seed: int = 7, settings: Settings = Settings()) -> Model:
     """Learns from (text, label). ``odds``: toxic to other among all labelled documents, as the sample may be balanced."""
     rows = list(dict.fromkeys(rows))
     model = Model(np.zeros(1 << BITS), np.array([-3.0, -3.0, 0.0, 0.0]), np.zeros(3))
@@ -231,7 +290,7 @@ def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_token
     rng = np.random.default_rng(seed)
     rows = [rows[k] for k in rng.permutation(len(rows))]
     own, rest = rows[: len(rows) * 7 // 10], rows[len(rows) * 7 // 10 :]
-    marked = markers(own)
+    marked = markers(own, settings)
     number: dict[str, int] = {}
     each, labels = [], []
     for text, y in own:
@@ -239,7 +298,7 @@ def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_token
             each.append(np.array([number.setdefault(t, len(number)) for t in c], np.int64))
             labels.append(y)
     named = [features(t) for t in number]
-    toxic = np.array([not marked.isdisjoint(x[:MARKING]) for x in named], float)
+    toxic = np.array([not marked.isdisjoint(x[: settings.marking]) for x in named], float)
     table = cells(named)
     weights, scale = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
     trans, tscale = model.trans.copy(), np.full(4, 1e-3)
@@ -275,14 +334,36 @@ def train(rows: list[tuple[str, int]], odds: float, epochs: int = 5, batch_token
     return model
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, per_class: int = 2000
-) -> Model:
-    """A model from at most ``per_class`` documents of each class outside the held-out fold."""
+def validate(rows: list[tuple[str, int]], odds: float, settings: Settings, parts: int = 4) -> tuple[float, float]:
+    """Accuracy and mean log likelihood of the rows of each part by a model of the other parts. The rows are those that may be learned from."""
+    rows = list(dict.fromkeys(rows))
+    right, likely = [], []
+    for k in range(parts):
+        model = train([r for n, r in enumerate(rows) if n % parts != k], odds, settings=settings)
+        own = rows[k::parts]
+        p = np.concatenate([model.score([t for t, _ in own[n : n + 200]]) for n in range(0, len(own), 200)])
+        y = np.array([lab for _, lab in own])
+        right.append((p >= 0.5) == (y == 1))
+        likely.append(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1)))
+    return float(np.concatenate(right).mean()), float(np.concatenate(likely).mean())
+
+
+def learning_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, per_class: int = 2000,
+) -> tuple[list[tuple[str, int]], float]:
+    """At most ``per_class`` (text, label) of each class outside the held-out fold, and the odds of the classes among all of them."""
     rows = sample(docs, labels, label, id_col, text_col, folds, held, per_class)
-    known = labels.where(fold(F.col(f"`{id_col}`"), folds) != held)
-    n1, n0 = known.agg(F.count_if(F.col(f"`{label}`") == 1), F.count_if(F.col(f"`{label}`") == 0)).first()
-    return train([(t.decode("utf-8", "replace"), y) for t, y in rows], max(n1, 1) / max(n0, 1))
+    n1, n0 = usable(labels, label, id_col, folds, held).agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    return [(t.decode("utf-8", "replace"), y) for t, y in rows], max(n1, 1) / max(n0, 1)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, per_class: int = 2000,
+    settings: Settings = Settings(),
+) -> Model:
+    """A model from ``learning_rows``."""
+    rows, odds = learning_rows(docs, labels, id_col, text_col, label, folds, held, per_class)
+    return train(rows, odds, settings=settings)
 
 
 _MODELS: dict = {}

@@ -75,13 +75,6 @@ def monotone_fold(items: Column, tolerance: int = 1) -> Column:
     return F.aggregate(items, start, step)["taken"]
 
 
-def lead_slices(anchors: DataFrame, key: str, text: str, pos: str, tie: str) -> DataFrame:
-    """Text from each anchor (1-based ``pos``) to the next one's; of anchors at one place all but the last get an empty text."""
-    w = Window.partitionBy(key).orderBy(pos, tie)
-    stop = F.lead(pos, 1).over(w)
-    return anchors.withColumn("content", F.substring(F.col(text), F.col(pos), F.coalesce(stop, F.length(text) + 1) - F.col(pos)))
-
-
 def nearest(items: Column, at: Column) -> Column:
     """The item of an array of structs ``(pos, ...)`` whose position is nearest; the first of equally near ones."""
     ranked = F.transform(items, lambda x, i: F.struct(F.abs(x["pos"] - at).alias("gap"), i.alias("i"), x.alias("x")))

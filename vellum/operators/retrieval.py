@@ -25,23 +25,35 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None, key: str = "query
     return ranked.where(F.col("rank") <= k)
 
 
-def cosine_arm(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Exact cosine search of a stated query set, which is broadcast, against all of the corpus.
+#: Blocks of queries; each row of the corpus meets a block as one list, and no list is longer than ``BLOCK_ROWS``.
+BLOCK_ROWS = 512
+
+
+def scored(queries: DataFrame, corpus: DataFrame, how: str, *carry: str, digits: int = 6) -> DataFrame:
+    """``query_id, chunk_id, score`` of a stated query set against all of the corpus, in blocks of queries.
 
-    ``queries(query_id, qvec)``, ``corpus(chunk_id, vec)``. Scores are rounded before ranking.
+    ``queries(query_id, qvec)``, ``corpus(chunk_id, vec)``; ``how`` is ``cosine`` or ``euclidean`` (negative squared distance).
+    Queries are numbered in blocks of ``BLOCK_ROWS`` at most; corpus rows meet a block, not a query. Scores are rounded.
     """
-    c = corpus.select("chunk_id", "vec", norm(F.col("vec")).alias("cn"))
-    q = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qn"))
-    pairs = c.join(F.broadcast(q))
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("qvec"), F.col("vec")) / (F.col("qn") * F.col("cn")), digits).alias("score"))
-    return top_k(scored, k)
+    numbered = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qn"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK_ROWS)))).alias("block"))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "qvec", "qn")).alias("qs"))
+    own = corpus.select("chunk_id", "vec", norm(F.col("vec")).alias("cn"), *carry)
+    met = own.crossJoin(blocks).select("chunk_id", "vec", "cn", *carry, F.explode("qs").alias("q"))  # blocks: a list for every 512 queries
+    if how == "cosine":
+        score = dot(F.col("q.qvec"), F.col("vec")) / (F.col("q.qn") * F.col("cn"))
+    else:
+        score = -F.aggregate(F.zip_with("q.qvec", "vec", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x)
+    return met.select("q.query_id", "chunk_id", *carry, F.round(score, digits).alias("score"))
+
+
+def cosine_arm(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Exact cosine search: the ``k`` best of all of the corpus for each query."""
+    return top_k(scored(queries, corpus, "cosine", digits=digits), k)
 
 
 def euclidean_arm(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The same by negative squared distance."""
-    gap = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x)
-    scored = corpus.join(F.broadcast(queries)).select("query_id", "chunk_id", F.round(-gap, digits).alias("score"))
-    return top_k(scored, k)
+    return top_k(scored(queries, corpus, "euclidean", digits=digits), k)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, alpha: float = 0.7, rrf_k: int = 20, digits: int = 9) -> DataFrame:
@@ -50,12 +62,10 @@ def rrf(dense: DataFrame, sparse: DataFrame, alpha: float = 0.7, rrf_k: int = 20
     A row that one arm alone has gets, for the other arm, the rank after the
     last of the arm that has it.
     """
-    nd = dense.groupBy("query_id").agg(F.count("*").alias("nd"))
-    ns = sparse.groupBy("query_id").agg(F.count("*").alias("ns"))
-    both = dense.select("query_id", "chunk_id", F.col("rank").alias("rd")).join(
-        sparse.select("query_id", "chunk_id", F.col("rank").alias("rs")), ["query_id", "chunk_id"], "full_outer"
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    both = dense.select("query_id", "chunk_id", F.col("rank").alias("rd"), n.alias("nd")).join(
+        sparse.select("query_id", "chunk_id", F.col("rank").alias("rs"), n.alias("ns")), ["query_id", "chunk_id"], "full_outer"
     )
-    both = both.join(nd, "query_id", "left").join(ns, "query_id", "left")
     rd, rs = F.coalesce("rd", F.col("ns") + 1), F.coalesce("rs", F.col("nd") + 1)
     fused = F.round(F.lit(alpha) / (rrf_k + rd) + F.lit(1 - alpha) / (rrf_k + rs), digits)
     return both.select("query_id", "chunk_id", fused.alias("score"))
@@ -137,3 +147,20 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1,
 def error_type(rank: Column, top: int, same_group: Column, in_candidates: Column) -> Column:
     """Why a query missed: right, pushed down, confused with another group, or lost."""
     return F.when(rank <= top, "correct").when(in_candidates, "pushed_down").when(~same_group, "wrong_group").otherwise("lost")
+
+
+def word_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float) -> DataFrame:
+    """``doc, item, score``: the part of an item's words that a document holds, where that is ``least`` (above 0) or more.
+
+    Both sides are ``(id, word)``, each word once. An item with ``m`` words must share one of its rarest
+    ``m - ceil(least * m) + 1`` with such a document, so only those (as counted in the documents) open a pair, and frequent
+    words open hardly any; all its words are then counted for the pairs found.
+    """
+    counts = docs.join(items.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    w = Window.partitionBy(item)
+    ranked = items.join(counts, "word", "left").withColumn("m", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "word")))
+    first = ranked.where(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * least - F.lit(1e-9)) + 1).select(item, "word")
+    pairs = docs.join(first, "word").select(doc, item).distinct()
+    met = pairs.join(ranked.where("df is not null").select(item, "word", "m"), item).join(docs, [doc, "word"])
+    out = met.groupBy(doc, item).agg((F.count("*") / F.max("m")).alias("score"))
+    return out.where(F.round("score", 6) >= least).select(doc, item, F.round("score", 6).alias("score"))

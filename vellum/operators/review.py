@@ -35,7 +35,7 @@ def compare(source: DataFrame, target: DataFrame, mapping: DataFrame, identity:
     ``source``, ``target``: ``(pair_id, code, content, found)``; ``mapping``: ``(code, targets, required)``. Only mapped
     source sections that were found count. A pair whose identity is too low gets zero throughout.
     """
-    own = source.where("found").select("pair_id", "code").join(F.broadcast(mapping), "code")
+    own = source.where("found").select("pair_id", "code").join(mapping, "code")
     each = own.select("pair_id", "code", "required", F.explode("targets").alias("target"))
     hit = target.select("pair_id", F.col("code").alias("target"), has_content().alias("has"))
     met = each.join(hit, ["pair_id", "target"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
@@ -59,13 +59,13 @@ def review(spec: DataFrame, original: DataFrame, parsed: DataFrame) -> DataFrame
     title, content)``. Comparisons of a section with the others stay within its document.
     """
     docs = parsed.select("doc_id").unionByName(original.select("doc_id")).distinct()
-    known = parsed.join(F.broadcast(spec.select("code", F.col("title").alias("spec_title"))), "code")
+    known = parsed.join(spec.select("code", F.col("title").alias("spec_title")), "code")
     issue = lambda df, name, code, related=None: df.select("doc_id", F.lit(name).alias("issue"), code.alias("code"), (related if related is not None else F.lit(None).cast("string")).alias("related"))
-    every = docs.join(F.broadcast(spec.select("code")))
+    every = docs.crossJoin(spec.select("code"))
     missing = issue(every.join(parsed.select("doc_id", "code"), ["doc_id", "code"], "left_anti"), "missing_section", F.col("code"))
     short = F.length(T.compare_form(F.coalesce("content", F.lit("")))) < EMPTY_BELOW
     empty = issue(known.where(short), "empty_section", F.col("code"))
-    strange = issue(parsed.join(F.broadcast(spec.select("code")), "code", "left_anti"), "unrecognized_section", F.col("code"))
+    strange = issue(parsed.join(spec.select("code"), "code", "left_anti"), "unrecognized_section", F.col("code"))
     a, b = T.compare_form(F.col("title")), T.compare_form(F.col("spec_title"))
     wrong = issue(known.where((F.coalesce(F.trim("title"), F.lit("")) != "") & ~(a.contains(b) | b.contains(a))), "section_title_mismatch", F.col("code"))
     both = parsed.select("doc_id", "code", "ord").join(original.select("doc_id", "code", "pos"), ["doc_id", "code"])
@@ -102,7 +102,7 @@ def status(docs: DataFrame, issues: DataFrame) -> DataFrame:
 
 def keyword_review(sections: DataFrame, rules: DataFrame) -> DataFrame:
     """``doc_id, code, keyword_score, verdict``: keywords of a rule found in its section. ``rules(code, keywords)``."""
-    j = sections.join(F.broadcast(rules), "code")
+    j = sections.join(rules, "code")
     hit = F.size(F.filter("keywords", lambda k: F.col("content").contains(k)))
     score = F.coalesce(F.try_divide(hit, F.size("keywords")), F.lit(1.0))
     return j.select("doc_id", "code", F.round(score, 4).alias("keyword_score"), F.when(score >= 0.7, "PASS").when(score >= 0.4, "WARN").otherwise("FAIL").alias("verdict"))

@@ -1,20 +1,18 @@
 """Documents to sections, requirements, metadata and clauses.
 
-Specs are small tables ``(code, ord, label, keywords)`` and are broadcast; a
-spec has some dozens of rows whatever the corpus. Sections are long tables
+Specs are small tables ``(code, ord, label, keywords)``; how they are joined
+is left to the planner. Sections are long tables
 ``(doc_id, code, ord, label, content, found)``.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordered import keep_first, lead_slices, monotone_fold
+from .ordered import keep_first, monotone_fold
 
 # Headings, requirement ids and metadata labels as the documents write them.
 ROMAN = r"^[ \t]*[ⅠⅡⅢⅣⅤⅥⅦ][ \t]*\.[ \t]*([^\n]*)"
@@ -40,14 +38,12 @@ def spec_table(spark: SparkSession, rows: list[tuple[str, str, list[str]]]) -> D
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, text, i, line, pos``: lines with the 1-based place of their first character."""
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    own = docs.select("doc_id", F.col(text).alias("text"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    return own.withColumn("pos", (1 + F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))).cast("int"))
+    """``doc_id, i, line, pos``: lines with the 1-based place of their first character, computed inside each document's row."""
+    return docs.select("doc_id", F.posexplode(T.line_starts(F.col(text))).alias("i", "x")).select("doc_id", "i", "x.line", "x.pos")
 
 
 def heading_candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, pos, kind, title`` of what looks like a heading: at a line's start, or circled anywhere."""
+    """``doc_id, pos, kind, title`` of what looks like a heading: at a line's start, or circled anywhere."""
     own = lines(docs)
     hit = lambda p: F.nullif(F.regexp_extract("line", p, 0), F.lit(""))
 
@@ -56,24 +52,28 @@ def heading_candidates(docs: DataFrame) -> DataFrame:
 
     circled_at = F.col("pos") + F.instr(F.col("line"), F.substring(hit(CIRCLED), 1, 1)) - 1
     each = F.array_compact(F.array(found("roman", ROMAN, F.col("pos")), found("num", NUMBERED, F.col("pos")), found("circled", CIRCLED, circled_at), found("boxed", BOXED, F.col("pos"))))
-    return own.select("doc_id", "text", F.explode(each).alias("h")).select("doc_id", "text", "h.pos", "h.kind", "h.title")
+    return own.select("doc_id", F.explode(each).alias("h")).select("doc_id", "h.pos", "h.kind", "h.title")
 
 
 def anchored_sections(docs: DataFrame, spec: DataFrame, cap: int = 2000, long_cap: int = 5000, long_prefix: str = "RFP-04-04") -> DataFrame:
     """Sections from the last heading of each code to the next anchor; codes without one are there with ``found`` false.
 
     A heading counts for a code if its title holds one of the code's keywords; chapter headings (Roman) don't. Of codes
-    anchored at one place all but the last in the spec get an empty content.
+    anchored at one place all but the last in the spec get an empty content. A document's text is read once, when all its
+    anchors (at most one a code) are known.
     """
     heads = heading_candidates(docs).where("kind <> 'roman'").select("doc_id", "pos", "title")
-    named = heads.join(F.broadcast(spec), F.exists("keywords", lambda k: F.col("title").contains(k)))
-    anchors = named.groupBy("doc_id", "code", "ord", "label").agg(F.max("pos").alias("pos")).join(docs.select("doc_id", "text"), "doc_id")
-    cut = lead_slices(anchors, "doc_id", "text", "pos", "ord")
-    body = F.trim(F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
+    named = heads.join(spec, F.exists("keywords", lambda k: F.col("title").contains(k)))
+    last = named.groupBy("doc_id", "code", "ord").agg(F.max("pos").alias("pos"))
+    anchors = last.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ord", "code"))).alias("anchors"))
+    met = docs.select("doc_id", "text").join(anchors, "doc_id")
+    cut = T.lead_slices(F.col("text"), F.transform("anchors", lambda a: a["pos"]))
+    each = met.select("doc_id", F.inline(F.zip_with("anchors", cut, lambda a, c: F.struct(a["code"].alias("code"), c["content"].alias("content")))))
+    body = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
     limit = F.when(F.col("code").startswith(long_prefix), long_cap).otherwise(cap)
     content = F.when(F.length(body) > limit, F.concat(F.substring(body, F.lit(1), limit), F.lit(CUT_MARK))).otherwise(body)
-    got = cut.select("doc_id", "code", content.alias("content"))
-    every = docs.select("doc_id").join(F.broadcast(spec.select("code", "ord", "label")))
+    got = each.select("doc_id", "code", content.alias("content"))
+    every = docs.select("doc_id").crossJoin(spec.select("code", "ord", "label"))
     out = every.join(got, ["doc_id", "code"], "left")
     return out.select("doc_id", "code", "ord", "label", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNotNull().alias("found"))
 
@@ -116,7 +116,19 @@ def clauses(docs: DataFrame, text: str = "text", tolerance: int = 1) -> DataFram
     return found.unionByName(rest.select("doc_id", (F.col("k") + 1).alias("k"), F.concat(F.lit("단락"), F.col("k") + 1).alias("clause_number"), "clause_text"))
 
 
-_ORPHAN = re.compile(r"\s*(?:\d{1,2}\.\s*\S.{0,30}|\d{1,2}\.|[가-힣]\.\s*\S{0,20}|[가-힣]\.)\s*")
+#: Trailing lines that are looked at, and the longest title of a numbered and of a lettered heading.
+ORPHANS, NUMBERED_TITLE, LETTERED_TITLE = 3, 31, 20
+
+
+def is_heading_alone(line: str) -> bool:
+    """A number of one or two digits, or one Hangul syllable, with a full stop and a short title or none."""
+    mark, stop, title = line.strip().partition(".")
+    title = title.strip()
+    if not stop:
+        return False
+    if mark.isdecimal() and len(mark) <= 2:
+        return len(title) <= NUMBERED_TITLE
+    return len(mark) == 1 and "가" <= mark <= "힣" and len(title) <= LETTERED_TITLE and not any(map(str.isspace, title))
 
 
 def _cursor_search(flat: str, start: int, spec: list) -> dict[str, tuple[int, int]]:
@@ -153,8 +165,8 @@ def keyword_slices(text: str, spec: list, cap: int = 8000, near: int = 500, fron
     for n, (code, (_, end)) in enumerate(ordered):
         stop = origin(ordered[n + 1][1][0]) if n + 1 < len(ordered) else len(text)
         rows = text[origin(end) : stop].strip().split("\n")
-        for _ in range(3):
-            if rows and _ORPHAN.fullmatch(rows[-1]):
+        for _ in range(ORPHANS):
+            if rows and is_heading_alone(rows[-1]):
                 rows.pop()
         content = "\n".join(rows).strip()
         out.append({"code": code, "content": content[:cap] + CUT_MARK if len(content) > cap else content})
@@ -169,6 +181,6 @@ def keyword_sections(docs: DataFrame, spec: DataFrame, rows: list[tuple[str, str
         return texts.map(lambda t: keyword_slices(t or "", rows, cap))
 
     got = docs.select("doc_id", F.explode(cut("text")).alias("s")).select("doc_id", "s.code", "s.content")
-    every = docs.select("doc_id").join(F.broadcast(spec.select("code", "ord", "label")))
+    every = docs.select("doc_id").crossJoin(spec.select("code", "ord", "label"))
     out = every.join(got, ["doc_id", "code"], "left")
     return out.select("doc_id", "code", "ord", "label", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNotNull().alias("found"))

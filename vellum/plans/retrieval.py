@@ -1,4 +1,4 @@
-"""Retrieval and its evaluation over ``embeddings``: the first vectors are queries, the rest the corpus, a label the judgement."""
+"""Retrieval and its evaluation over ``embeddings``: vectors whose id is divisible by ``EVERY`` are queries, all are the corpus, a label is the judgement."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from .registry import query, table
 
-N_QUERIES = 50
+EVERY = 50
 
 
 def _arms(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
-    c = e.where(F.col("vec_id") >= N_QUERIES).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+    c = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
     return q, c, R.cosine_arm(q, c, k), R.euclidean_arm(q, c, k)
 
 
@@ -23,8 +23,8 @@ def _relevant(q: DataFrame, c: DataFrame) -> DataFrame:
 
 
 _BASE = f"""
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qvec, label AS qlabel FROM embeddings WHERE vec_id < {N_QUERIES}),
-c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vec, label FROM embeddings WHERE vec_id >= {N_QUERIES}),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qvec, label AS qlabel FROM embeddings WHERE vec_id % {EVERY} = 0),
+c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS vec, label FROM embeddings),
 cs AS (SELECT query_id, chunk_id, round(list_sum(list_transform(list_zip(qvec, vec), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(qvec, lambda x: x * x))) * sqrt(list_sum(list_transform(vec, lambda x: x * x)))), 6) AS score FROM q, c),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs) WHERE rank <= 50),
 es AS (SELECT query_id, chunk_id, round(-list_sum(list_transform(list_zip(qvec, vec), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS score FROM q, c),
@@ -40,7 +40,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {_BASE} SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact cosine top-k of a broadcast query set."""
+    """Exact cosine top-k of the query set against all vectors."""
     return _arms(spark, sf_dir, 10)[2]
 
 
@@ -67,7 +67,7 @@ SELECT query_id, parent_id, chunk_id, score, rank FROM (
 def cascaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents first (a label's best member), then children of the two best parents."""
     q, c, _, _ = _arms(spark, sf_dir)
-    scored = c.join(F.broadcast(q)).select("query_id", "chunk_id", "label", F.round(R.dot(F.col("qvec"), F.col("vec")) / (R.norm(F.col("qvec")) * R.norm(F.col("vec"))), 6).alias("score"))
+    scored = R.scored(q, c, "cosine", "label")
     parents = R.top_k(scored.groupBy("query_id", F.col("label").alias("chunk_id")).agg(F.max("score").alias("score")), 2)
     return R.cascade(scored, parents, F.col("label"), 5).select("query_id", "parent_id", "chunk_id", "score", "rank")
 
@@ -121,7 +121,7 @@ SELECT hit, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(score, 0.1), 6) A
 def score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of scores of relevant and other results."""
     q, c, dense, _ = _arms(spark, sf_dir)
-    j = dense.join(F.broadcast(q.select("query_id", "qlabel")), "query_id").join(c.select("chunk_id", "label"), "chunk_id").withColumn("hit", F.col("qlabel") == F.col("label"))
+    j = dense.join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id").withColumn("hit", F.col("qlabel") == F.col("label"))
     at = (0.1, 0.25, 0.5, 0.75, 0.9)
     out = j.groupBy("hit").agg(F.count("*").alias("n"), F.percentile("score", list(at)).alias("p"))
     return out.select("hit", "n", *(F.round(F.col("p")[k], 6).alias(f"p{round(100 * x)}") for k, x in enumerate(at)))
@@ -150,11 +150,11 @@ def param_sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = spark.createDataFrame([(a, k) for a in (0.0, 0.3, 0.7, 1.0) for k in (1, 20, 60)], "alpha double, rrf_k int")
     nd, ns = F.count("*").over(Window.partitionBy("query_id")).alias("nd"), F.count("*").over(Window.partitionBy("query_id")).alias("ns")
     both = dense.select("query_id", "chunk_id", F.col("rank").alias("rd"), nd).join(sparse.select("query_id", "chunk_id", F.col("rank").alias("rs"), ns), ["query_id", "chunk_id"], "full_outer")
-    both = both.select("query_id", "chunk_id", F.coalesce("rd", F.col("ns") + 1).alias("rd"), F.coalesce("rs", F.col("nd") + 1).alias("rs")).join(F.broadcast(params))
+    both = both.select("query_id", "chunk_id", F.coalesce("rd", F.col("ns") + 1).alias("rd"), F.coalesce("rs", F.col("nd") + 1).alias("rs")).crossJoin(F.broadcast(params))  # twelve settings
     score = F.round(F.col("alpha") / (F.col("rrf_k") + F.col("rd")) + (1 - F.col("alpha")) / (F.col("rrf_k") + F.col("rs")), 9)
     w = Window.partitionBy("alpha", "rrf_k", "query_id").orderBy(F.desc("score"), "chunk_id")
     best = both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    judged = best.join(F.broadcast(q.select("query_id", "qlabel")), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
+    judged = best.join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
     first = judged.groupBy("alpha", "rrf_k", "query_id").agg(F.min(F.when(F.col("qlabel") == F.col("label"), F.col("rank"))).alias("first"))
     mrr = first.groupBy("alpha", "rrf_k").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
     return mrr.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "alpha", "rrf_k")))

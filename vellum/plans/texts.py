@@ -50,14 +50,13 @@ _STOP = ["the", "and", "that", "for"]
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z]{2,}|[0-9]{2,}')), lambda x: x NOT IN ('the', 'and', 'that', 'for')) AS ws FROM documents),
-b AS (SELECT list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z]{2,}|[0-9]{2,}')), lambda x: x NOT IN ('the', 'and', 'that', 'for')) AS bs, item_id FROM benchmark WHERE item_id < 5)
-SELECT doc_id, item_id, round(CASE WHEN len(bs) = 0 THEN 1.0 WHEN len(ws) = 0 THEN 0.0 ELSE len(list_intersect(bs, ws))::DOUBLE / len(bs) END, 6) AS score FROM w, b""")
+b AS (SELECT list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z]{2,}|[0-9]{2,}')), lambda x: x NOT IN ('the', 'and', 'that', 'for')) AS bs, item_id FROM benchmark)
+SELECT doc_id, item_id, score FROM (SELECT doc_id, item_id, round(CASE WHEN len(bs) = 0 THEN 1.0 WHEN len(ws) = 0 THEN 0.0 ELSE len(list_intersect(bs, ws))::DOUBLE / len(bs) END, 6) AS score FROM w, b) WHERE score >= 0.5""")
 def significant_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity score of a stated set of five items against all documents."""
-    words = lambda c: T.significant_words(F.col(c), _STOP)
-    b = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", words("text").alias("bs"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("ws"))
-    return d.join(F.broadcast(b)).select("doc_id", "item_id", F.round(T.overlap_ratio(F.col("bs"), F.col("ws")), 6).alias("score"))
+    """Items of which at least half of the significant words occur in a document, with that part: all items, all documents."""
+    words = lambda c: F.explode(T.significant_words(F.col(c), _STOP)).alias("word")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words("text"))
+    return R.word_containment(table(spark, sf_dir, "documents").select("doc_id", words("text")), items, "doc_id", "item_id", 0.5)
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS tok FROM documents), a AS (SELECT doc_id, tok, count(*) AS n FROM t GROUP BY ALL),
@@ -79,13 +78,11 @@ p AS (SELECT doc_id, i, line, length(line) AS n, 1 + coalesce(sum(length(line) +
 a AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM p WHERE regexp_matches(line, '^[A-D]'))
 SELECT doc_id, CAST(pos AS INT) AS pos, CAST(coalesce(nxt, total + 1) - pos AS INT) AS n FROM a""")
 def section_lead_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections from each heading line to the next."""
+    """Sections from each heading line to the next, cut inside each document's row."""
     d = table(spark, sf_dir, "documents")
-    lines = d.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    pos = (1 + F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))).cast("int")
-    anchors = lines.withColumn("pos", pos).where(F.col("line").rlike("^[A-D]"))
-    return O.lead_slices(anchors, "doc_id", "text", "pos", "i").select("doc_id", "pos", F.length("content").alias("n"))
+    heads = F.filter(T.line_starts(F.col("text")), lambda x: x["line"].rlike("^[A-D]"))
+    cut = T.lead_slices(F.col("text"), F.transform(heads, lambda x: x["pos"]))
+    return d.select("doc_id", F.inline(cut)).select("doc_id", "pos", F.length("content").alias("n"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'none') AS host FROM pages")

@@ -29,5 +29,5 @@ def compare(df, sql, sf_dir):
     assert sorted(names) == cols
     theirs = sorted((tuple(plain(x[names.index(k)]) for k in cols) for x in r.fetchall()), key=repr)
     ours = sorted((tuple(plain(x[k]) for k in cols) for x in df.collect()), key=repr)
-    assert ours == theirs
+    assert ours == theirs, (names, len(ours), len(theirs), [x for x in ours if x not in set(theirs)][:3], [x for x in theirs if x not in set(ours)][:3])
     return len(ours)

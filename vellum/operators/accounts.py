@@ -30,3 +30,65 @@ def variant_ids(new: DataFrame, taken: DataFrame, seed: str, order: list[Column]
     met = new.withColumn("__nth", nth).join(top, F.col(seed) == F.col("__seed"), "left")
     k = F.coalesce("__top", F.lit(0)) + F.col("__nth")
     return met.withColumn("variant_id", F.concat(F.col(seed).cast("string"), F.lit("-aug"), k.cast("string"))).drop("__nth", "__seed", "__top")
+
+
+def stale(status: Column, started: Column, as_of: Column, minutes: int = 60) -> Column:
+    """Whether a job that is processing was started more than so many minutes ago."""
+    return (status == "processing") & (as_of > started + F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def first_blank(fields: list[tuple[str, str]]) -> Column:
+    """The label of the first required column that is null or blank; null if none is. ``fields`` are (column, label)."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    return F.coalesce(*(F.when(blank(c), label) for c, label in fields), F.lit(None).cast("string"))
+
+
+def toggled(done: Column, hide: bool) -> Column:
+    """All rows, or those that aren't done."""
+    return ~F.coalesce(done, F.lit(False)) if hide else F.lit(True)
+
+
+def allowed_path(path: Column, prefixes: list[str], exact: list[str]) -> Column:
+    """Whether a path is one of some, or begins with one of others."""
+    out = path.isin(exact)
+    for p in prefixes:
+        out = out | path.startswith(p)
+    return out
+
+
+def gate(path: Column, locked: Column, other_session: Column, expired: Column, must_change: Column, admin: Column, prefixes: list[str], exact: list[str]) -> Column:
+    """What the first gate that closes asks for: ``locked``, ``other_session``, ``expired``, ``must_change``, ``not_allowed``; null if all are open.
+
+    Administration pages have no gates.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = F.when(path.startswith("/admin/"), F.lit(None)).when(yes(locked), "locked").when(yes(other_session), "other_session").when(yes(expired), "expired")
+    return out.when(yes(must_change) & ~path.isin(exact), "must_change").when(yes(admin) & ~allowed_path(path, prefixes, exact), "not_allowed")
+
+
+def form_error(taken: Column, admin: Column, unit: Column, password: Column) -> Column:
+    """Why a user's row is refused: the name is taken, an ordinary user has no unit, or the password lacks a letter, a digit or a sign."""
+    weak = ~(password.rlike("[A-Za-z]") & password.rlike(r"\d") & password.rlike("[^A-Za-z0-9]"))
+    return F.when(taken, "name_taken").when(~F.coalesce(admin, F.lit(False)) & unit.isNull(), "unit_missing").when(F.coalesce(weak, F.lit(True)), "weak_password")
+
+
+def progress(items: DataFrame, key: str, kind: str, kinds: list[str], done: Column) -> DataFrame:
+    """``n_done, n_all``: how many of the fixed kinds are done, each counted once."""
+    hit = F.count_distinct(F.when(F.col(kind).isin(kinds) & done, F.col(kind)))
+    return items.groupBy(key).agg(hit.alias("n_done")).withColumn("n_all", F.lit(len(kinds)))
+
+
+def blocked_logins(logins: DataFrame, user: str, order: list[Column], seconds: int, ts: str) -> DataFrame:
+    """Logins under the rule that a live session blocks new ones: ``accepted`` where the last accepted one is at least ``seconds`` old.
+
+    What is accepted depends on what was, so a user's logins are folded in order.
+    """
+    items = F.array_sort(F.collect_list(F.struct(*order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("ok"))
+
+    def step(a: Column, x: Column) -> Column:
+        ok = a["last"].isNull() | (x["__at"] - a["last"] >= seconds * 1_000_000)
+        return F.struct(F.when(ok, x["__at"]).otherwise(a["last"]).alias("last"), F.array_append(a["ok"], ok).alias("ok"))
+
+    folded = logins.groupBy(user).agg(items.alias("x")).withColumn("ok", F.aggregate("x", start, step)["ok"])
+    return folded.select(user, F.inline(F.zip_with("x", "ok", lambda x, ok: F.struct(x.alias("login"), ok.alias("accepted"))))).select(user, "login.*", "accepted").drop("__at")

@@ -69,3 +69,149 @@ def sample_distractors(present: DataFrame, pool: DataFrame, n: int, seed: int =
     near = held.join(ranked, "group").where(F.col("r") <= F.size("held") + n).where(~F.array_contains("held", F.col("item_id")))
     w = Window.partitionBy("example_id").orderBy("r")
     return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("example_id", "item_id", "nth")
+
+
+# Numbers with a unit, and ratios that aren't part of a dotted date.
+UNIT_NUMBER, RATIO = r"(?U)\d+\s*(?:일|개월|%|퍼센트|년|월|점|배|명)", r"(?U)(?<!\.)\d+\s*/\s*\d+"
+
+
+def unit_numbers(s: Column) -> Column:
+    """Distinct numbers with a unit and ratios of a text."""
+    text = F.coalesce(s, F.lit(""))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), 0) for p in (UNIT_NUMBER, RATIO))))
+
+
+def unwrap_array(text: Column, element: str) -> Column:
+    """A JSON list, else the first list among an object's values, else the object itself in a list; empty for no text."""
+    values = F.map_values(F.from_json(text, "map<string,string>"))
+    inner = F.get(F.filter(values, lambda v: F.ltrim(v).startswith("[")), F.lit(0))
+    listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{element}>")).when(inner.isNotNull(), F.from_json(inner, f"array<{element}>"))
+    alone = F.when(F.ltrim(text).startswith("{") & inner.isNull(), F.array(F.from_json(text, element)))
+    return F.coalesce(listed, alone, F.array().cast(f"array<{element}>"))
+
+
+def eval_map(lines: Column) -> Column:
+    """``feature: verdict — reason`` lines as a map from feature to verdict; of a feature given twice the last counts."""
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    own = F.filter(lines, lambda x: x.contains(":"))
+    feature = lambda x: trim(F.split_part(x, F.lit(":"), F.lit(1)))
+    verdict = lambda x: trim(F.split_part(F.substring(x, F.instr(x, ":") + 1, F.length(x)), F.lit("—"), F.lit(1)))
+    pairs = F.transform(own, lambda x: F.struct(feature(x).alias("k"), verdict(x).alias("v")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
+def eval_reason(line: Column) -> Column:
+    """What stands behind the first dash; empty without one."""
+    at = F.instr(line, "—")
+    return F.when(at > 0, F.trim(F.substring(line, at + 1, F.length(line)))).otherwise("")
+
+
+def point_id(key: Column) -> Column:
+    """A non-negative number for a text id, the same in every run."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def share_split(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
+    """``split``: each row by a hash of its id, ``share`` of them to ``train`` in the mean, the rest to ``valid``; no row looks at another."""
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return df.withColumn("split", F.when(part, "train").otherwise("valid"))
+
+
+def field_accuracy(df: DataFrame, negative: list[str], fields: list[str], required: list[str]) -> DataFrame:
+    """One row of rates: fields right where a negative verdict was right, evidence hit, all required fields present.
+
+    Columns are ``gold_x`` and ``pred_x``. Evidence is hit if one of the gold tokens is in the prediction; gold without
+    evidence (null, empty or a dash) doesn't count.
+    """
+    right = F.col("gold_verdict").isin(negative) & F.coalesce(F.col("pred_verdict") == F.col("gold_verdict"), F.lit(False))
+    rate = lambda ok: F.round(F.avg(ok.cast("double")), 6)
+    has = F.coalesce(F.col("gold_basis"), F.lit("")) != ""
+    has = has & (F.col("gold_basis") != "-")
+    tokens = F.filter(F.split("gold_basis", r"(?U)[,\s]+"), lambda t: t != "")
+    hit = F.exists(tokens, lambda t: F.coalesce(F.col("pred_basis"), F.lit("")).contains(t))
+    whole = F.lit(True)
+    for f in required:
+        whole = whole & F.col(f"pred_{f}").isNotNull()
+    aggs = [F.count_if(right).alias("n_right"), *(rate(F.when(right, F.col(f"gold_{f}").eqNullSafe(F.col(f"pred_{f}")))).alias(f"{f}_accuracy") for f in fields)]
+    return df.agg(*aggs, F.count_if(has).alias("n_evidence"), rate(F.when(has, hit)).alias("evidence_rate"), rate(whole).alias("format_rate"))
+
+
+def length_limits(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """The longest example and how many are over a limit."""
+    return df.agg(F.max(size).alias("longest"), F.count_if(size > limit).alias("n_over"))
+
+
+def best_checkpoint(df: DataFrame, step: str, loss: str) -> DataFrame:
+    """The step with the least loss, the first of equal ones."""
+    return df.agg(F.min_by(F.col(step), F.struct(loss, step)).alias("best_step"), F.min(loss).alias("best_loss"))
+
+
+def synthetic_queries(chunks: DataFrame, templates: list[str], n: int, least: int = 80, front: int = 120, seed: int = 42) -> DataFrame:
+    """``query_id, query, relevant``: ``n`` texts of ``least`` characters or more in hash order, each asked for by a template and its front.
+
+    The template goes by the id's hash too. The first ``n`` of an order is a limit, planned without sorting everything.
+    """
+    names = F.array(*map(F.lit, templates))
+    own = chunks.where(F.length("text") >= least).select("chunk_id", F.get(names, F.pmod(F.xxhash64(F.lit(seed + 1), "chunk_id"), F.lit(len(templates))).cast("int")).alias("t"), F.substring("text", 1, front).alias("f"))
+    picked = own.orderBy(*hash_order("chunk_id", seed)).limit(n)
+    nth = F.row_number().over(Window.orderBy(*hash_order("chunk_id", seed)))  # n rows
+    return picked.select(F.format_string("eval_%03d", nth).alias("query_id"), F.concat("t", F.lit("\n\n"), "f").alias("query"), F.col("chunk_id").alias("relevant"))
+
+
+def judge_batches(df: DataFrame, id_col: str, fields: list[str], n: int) -> DataFrame:
+    """``batch, id, payload``: only the named fields as JSON (never the label), in batches of ``n`` in order of the id.
+
+    Rows are numbered by ranges of the id: counts of the ranges first, then places within each, so no task sees all rows.
+    """
+    own = df.select(id_col, F.to_json(F.struct(*fields)).alias("payload")).withColumn("__r", F.floor(F.col(id_col) / F.lit(10_000)))
+    counts = own.groupBy("__r").agg(F.count("*").alias("__n"))
+    ahead = counts.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__ahead"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("__r").orderBy(id_col)) - 1 + F.col("__ahead")
+    return own.join(ahead, "__r").select(F.floor(nth / n).alias("batch"), id_col, "payload")
+
+
+def better_judge(kappas: DataFrame) -> DataFrame:
+    """``task, winner``: the judge with the higher agreement (null counts as 0), of equal ones the first; ``kappas(task, ord, judge, kappa)``."""
+    key = F.struct(F.coalesce("kappa", F.lit(0.0)), -F.col("ord"))
+    return kappas.groupBy("task").agg(F.max_by("judge", key).alias("winner"))
+
+
+def filled_targets(variants: DataFrame, targets: DataFrame, order: list[Column]) -> DataFrame:
+    """Variants accepted for each label: those that pass, in order, up to the target, among the first ``target * over`` generated.
+
+    ``variants(label, ok, ...)``, ``targets(label, target, over)``.
+    """
+    w = Window.partitionBy("label").orderBy(*order)
+    own = variants.withColumn("__made", F.row_number().over(w)).join(targets, "label").where(F.col("__made") <= F.floor(F.col("target") * F.col("over")))
+    kept = own.where("ok").withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= F.col("target"))
+    return kept.select(*variants.columns, F.col("__nth").alias("nth"))
+
+
+def inject_texts(refs: DataFrame, chunks: DataFrame, key: str, cap: int | None = None) -> DataFrame:
+    """References ``(key, k, chunk_id)`` gathered for each record with the chunks' texts in order; a missing chunk gives a null text."""
+    text = F.col("text") if cap is None else F.substring("text", 1, cap)
+    met = refs.join(chunks.select("chunk_id", text.alias("text")), "chunk_id", "left")
+    items = F.array_sort(F.collect_list(F.struct("k", "chunk_id", "text")))
+    return met.groupBy(key).agg(F.transform(items, lambda x: F.struct(x["chunk_id"], x["text"])).alias("refs"))
+
+
+def invalidated(results: DataFrame, uploads: DataFrame, entity: str, version: str) -> DataFrame:
+    """Results without those made from an older version of their entity than the last upload."""
+    last = uploads.groupBy(entity).agg(F.max(version).alias("__last"))
+    met = results.join(last, entity, "left")
+    return met.where(F.col("__last").isNull() | (F.col(version) >= F.col("__last"))).select(*results.columns)
+
+
+def text_to_key(df: DataFrame, text: str, order: str, prefix: str = "ORG") -> tuple[DataFrame, DataFrame]:
+    """A table of the distinct texts ``(code, name)``, coded in the order they first came, and the rows with their ``code`` (null for blank texts)."""
+    name = F.trim(F.coalesce(text, F.lit("")))
+    first = df.where(name != "").groupBy(name.alias("name")).agg(F.min(order).alias("at"))
+    nth = F.row_number().over(Window.orderBy("at", "name"))  # a row for each distinct text
+    names = first.select(F.concat(F.lit(prefix), F.lpad(nth.cast("string"), 3, "0")).alias("code"), "name")
+    return names, df.join(names.withColumnRenamed("name", "__name"), name == F.col("__name"), "left").drop("__name")
+
+
+def settled_status(status: Column, finished: Column) -> Column:
+    """Idle rows that have a result are done."""
+    return F.when((status == "idle") & finished, "done").otherwise(status)

@@ -37,15 +37,32 @@ def _orders(spark: SparkSession, sf_dir: str, line: Column, sep: str = "\n") ->
     return li.select(F.col("l_orderkey").alias("doc_id"), F.array_join(F.transform("x", lambda x: x["t"]), sep).alias("text"))
 
 
-N, FLAG, PARTKEY, SUPPKEY = (F.col(c) for c in ("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"))
-QTY = F.col("l_quantity").cast("int")
+def number() -> Column:
+    """The number of a line."""
+    return F.col("l_linenumber")
+
+
+def flag() -> Column:
+    return F.col("l_returnflag")
+
+
+def part() -> Column:
+    return F.col("l_partkey")
+
+
+def supplier() -> Column:
+    return F.col("l_suppkey")
+
+
+def quantity() -> Column:
+    return F.col("l_quantity").cast("int")
 
 
 @query(stated("""SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS k, '제' || l_linenumber || '조' AS clause_number,
 '제' || l_linenumber || '조(' || l_returnflag || ') 부품 ' || l_partkey AS clause_text FROM lineitem"""))
 def naive_clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clause at every heading."""
-    return C.naive_clauses(_orders(spark, sf_dir, _say("제", N, "조(", FLAG, ")\n부품 ", PARTKEY)))
+    return C.naive_clauses(_orders(spark, sf_dir, _say("제", number(), "조(", flag(), ")\n부품 ", part())))
 
 
 @query(stated("""WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber, '제' || l_linenumber || '조' AS c, '제' || l_linenumber || '조(' || l_returnflag || ')' AS h, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem),
@@ -56,14 +73,14 @@ UNION ALL SELECT doc_id, l_linenumber, 1, c, h || ' 수량 ' || q FROM u WHERE q
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber, o) AS INT) AS k, clause_number, clause_text FROM r"""))
 def clause_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses cut into paragraphs and items; a citation of a law and a number out of turn stay in the text."""
-    long = _say("제", N, "조(", FLAG, ")\n앞말 ① 수량  ", QTY, "\n② 다음과 같다. 1. 부품 ", PARTKEY, " 2. 공급 ", SUPPKEY, " 7. 법 제9조(인용) 참조")
-    short = _say("제", N, "조(", FLAG, ") 수량 ", QTY, "\n1. 부품 ", PARTKEY)
-    return C.unit_clauses(_orders(spark, sf_dir, F.when(QTY > 25, long).otherwise(short)))
+    long = _say("제", number(), "조(", flag(), ")\n앞말 ① 수량  ", quantity(), "\n② 다음과 같다. 1. 부품 ", part(), " 2. 공급 ", supplier(), " 7. 법 제9조(인용) 참조")
+    short = _say("제", number(), "조(", flag(), ") 수량 ", quantity(), "\n1. 부품 ", part())
+    return C.unit_clauses(_orders(spark, sf_dir, F.when(quantity() > 25, long).otherwise(short)))
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines on pages of 300 points, three clauses a page: a heading, perhaps a paragraph, perhaps an item."""
-    li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), ((N - 1) / 3).cast("int").alias("page"), ((N - 1) % 3 * 100 + 10).cast("double").alias("top"), N.alias("n"), QTY.alias("q"), FLAG.alias("f"))
+    li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), ((number() - 1) / 3).cast("int").alias("page"), ((number() - 1) % 3 * 100 + 10).cast("double").alias("top"), number().alias("n"), quantity().alias("q"), flag().alias("f"))
     line = lambda dy, text: F.struct((F.col("top") + dy).alias("y"), F.lit(50.0 + dy).alias("x"), text.alias("text"))
     own = F.array(line(0.0, _say("제", F.col("n"), "조(", F.col("f"), ") 본문")), F.when(F.col("q") > 25, line(20.0, _say("① 수량 ", F.col("q")))), F.when(F.col("f") == "P", line(40.0, _say("1. 하나"))), F.when(F.col("f") == "P", line(60.0, _say("2. 둘"))))
     lines = li.select("doc_id", (F.col("page") + 1).alias("page"), F.inline(F.array_compact(own)))
@@ -99,22 +116,22 @@ j AS (SELECT r.*, p.key, p.start_page, p.start_y, row_number() OVER (PARTITION B
 SELECT doc_id, clause_number, key AS found_key, start_page, start_y FROM j WHERE way = 1"""))
 def clause_place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clause's place, else its paragraph's, else that of the whole clause."""
-    results = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), _say("제", N, "조제1항제", QTY % 3 + 1, "호").alias("clause_number"))
+    results = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), _say("제", number(), "조제1항제", quantity() % 3 + 1, "호").alias("clause_number"))
     return C.positions_of(results, clause_places(spark, sf_dir)).select("doc_id", "clause_number", "found_key", "start_page", "start_y")
 
 
 @query(stated("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN '단락' || l_linenumber ELSE '제 ' || l_linenumber || '조의2 제 ' || CAST(l_quantity AS INT) || '항' END AS label FROM lineitem"))
 def clause_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause numbers as they are shown."""
-    raw = F.when(N == 7, _say("단락", N)).otherwise(_say("제", N, "조의2제", QTY, "항"))
+    raw = F.when(number() == 7, _say("단락", number())).otherwise(_say("제", number(), "조의2제", quantity(), "항"))
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", C.clause_label(raw).alias("label"))
 
 
 def _statute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statute for each customer: a chapter, and an article for each line, every other one with paragraphs and items."""
-    law = _say("제", N, "조(품목 ", FLAG, ") 수량 ", QTY)
-    parts = _say("제", N, "조(품목 ", FLAG, ") 다음과 같다. ① 수량 ", QTY, " ② 다음 각 호로 한다. 1. 부품 ", PARTKEY, " 2. 공급 가. 처음 ", SUPPKEY, " 나. 제", N + 1, "조제1항과 제1항")
-    rows = F.array(F.struct((N * 10).alias("ord"), F.when(N % 2 == 1, parts).otherwise(law).alias("line")), F.struct((N * 10 + 1).alias("ord"), _say("<개정 ", N, "> [전문개정]").alias("line")))
+    law = _say("제", number(), "조(품목 ", flag(), ") 수량 ", quantity())
+    parts = _say("제", number(), "조(품목 ", flag(), ") 다음과 같다. ① 수량 ", quantity(), " ② 다음 각 호로 한다. 1. 부품 ", part(), " 2. 공급 가. 처음 ", supplier(), " 나. 제", number() + 1, "조제1항과 제1항")
+    rows = F.array(F.struct((number() * 10).alias("ord"), F.when(number() % 2 == 1, parts).otherwise(law).alias("line")), F.struct((number() * 10 + 1).alias("ord"), _say("<개정 ", number(), "> [전문개정]").alias("line")))
     li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.inline(rows))
     chapters = li.select("file").distinct().select("file", F.lit(0).alias("ord"), F.lit("제2장 본칙").alias("line"))
     ends = li.select("file").distinct().select("file", F.lit(1000).alias("ord"), F.lit("부칙").alias("line"))
@@ -172,8 +189,8 @@ UNION ALL SELECT h || '_가_1_나', h || '_가_1_0', a || '가제1호나', '나)
 def statute_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract conditions: clauses, items, numbered sub-items and details."""
     rows = F.array(
-        F.struct((N * 10).alias("ord"), _say(N, ". 수량 ", QTY).alias("line")), F.struct((N * 10 + 1).alias("ord"), F.lit("이어서").alias("line")),
-        F.struct((N * 10 + 2).alias("ord"), _say("가. 항목 1) 부품 ", PARTKEY, " 나) 공급 ", SUPPKEY).alias("line")),
+        F.struct((number() * 10).alias("ord"), _say(number(), ". 수량 ", quantity()).alias("line")), F.struct((number() * 10 + 1).alias("ord"), F.lit("이어서").alias("line")),
+        F.struct((number() * 10 + 2).alias("ord"), _say("가. 항목 1) 부품 ", part(), " 나) 공급 ", supplier()).alias("line")),
     )
     li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.inline(rows))
     heads = F.array(F.struct(F.lit(0).alias("ord"), F.lit("제1장 총칙").alias("line")), F.struct(F.lit(1).alias("ord"), F.lit("제2절 조건").alias("line")))

@@ -128,6 +128,17 @@ def test_loads_are_equal_and_only_what_must_is_split(spark):
         assert max(load.values()) <= 1.1 * sum(load.values()) / 8
 
 
+def test_slots_of_many_small_rows(spark):
+    """A third of all rows are empty: their block is small in bytes and long in rows, and is numbered in pieces."""
+    texts = [""] * 700 + [f"text {k} " * 30 for k in range(1400)]
+    rows = reshard.reshard(docs_of(spark, texts), blocks=256).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 2100 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in rows if r.size == 1}) == 1
+
+
 def test_old_layout_is_respected(spark):
     docs = docs_of(spark, [f"text number {k} " * (k % 7 + 1) for k in range(200)]).withColumn("at", F.pmod("doc_id", F.lit(4)).cast("int"))
     for together in (True, False):

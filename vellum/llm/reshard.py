@@ -19,8 +19,8 @@ keep whole, is dealt by row, into as many blocks as its rows need to be of
 ordinary length. All other groups of equal texts stay whole.
 
 Only blocks, whose number is a parameter, and those texts' hashes reach the
-driver. Slots within a shard are counted per block first, so no task sorts a
-whole shard.
+driver. Slots within a shard are counted per block first, and per piece of a
+block with many rows (if of one text), so no task sorts a whole shard.
 
 ``rewrite`` writes the rows of the shards that gain or lose some, and deletes
 the folders of those that end empty; other shards' files stay as they are.
@@ -49,6 +49,10 @@ from .scratch import Scratch, remove
 BLOCKS = 4096
 #: Blocks beyond this part of a fair shard are cut up by text.
 PARTS = 16
+#: A block with so many times the mean number of rows is numbered in pieces.
+PIECE = 4
+#: Sub-blocks from this number on are rows of one text that are dealt.
+DEALT = 1 << 32
 #: A shard may be fuller than its capacity by this part of it.
 TOLERANCE = 0.002
 
@@ -196,24 +200,40 @@ def _placed(
         by_text = rows.where(F.col("block").isin(large)).groupBy("text_hash").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         heavy = by_text.where(F.col("size") * PARTS > fair).collect()  # at most PARTS * shards
         each = max(1, n_rows // blocks)
-        named = [(r["text_hash"], k, max(PARTS, -(-r["n"] // each)) if r["size"] > fair else 1) for k, r in enumerate(sorted(heavy, key=lambda r: r["text_hash"]), 1)]
+        named = [(r["text_hash"], k if r["size"] > fair else -k, max(PARTS, -(-r["n"] // each)) if r["size"] > fair else 1) for k, r in enumerate(sorted(heavy, key=lambda r: r["text_hash"]), 1)]
         rows = rows.join(F.broadcast(spark.createDataFrame(named, "text_hash long, k int, pieces int")), "text_hash", "left")
-        alone = F.col("k") * (1 << 32) + F.pmod(F.xxhash64("row_id"), F.col("pieces"))
+        alone = F.when(F.col("k") < 0, PARTS - F.col("k")).otherwise(F.col("k") * DEALT + F.pmod(F.xxhash64("row_id"), F.col("pieces")))
         shared = 1 + F.pmod(F.hash("text_hash"), F.lit(PARTS))
         sub = F.when(F.col("k").isNotNull(), alone).when(F.col("block").isin(large), shared).otherwise(0).cast("long")
     rows = rows.withColumn("sub", sub).withColumn("part", F.lit(-1) if together else F.col("old_shard"))
-    parts = rows.groupBy("block", "sub", "part", "old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # a block of many rows, if of few bytes, is numbered in pieces
+    least = PIECE * max(1, n_rows // blocks)
+    long = [(b, -(-n // least)) for b, (_, n) in sizes.items() if n > least]  # at most blocks / PIECE
+    piece = F.lit(0)
+    if long:
+        rows = rows.join(F.broadcast(spark.createDataFrame(long, "block int, cuts int")), "block", "left")
+        piece = F.when(F.col("cuts").isNotNull() & (F.col("sub") < DEALT), F.pmod(F.xxhash64("row_id"), F.col("cuts")).cast("int")).otherwise(0)
+    rows = rows.withColumn("piece", piece)
+    keys = ["block", "sub", "part", "piece"]
+    parts = rows.groupBy(*keys, "old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     home = F.max_by("old_shard", F.struct("size", -F.col("old_shard"))).alias("home")
-    cells = sorted(parts.groupBy("block", "sub", "part").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), home).collect(), key=lambda r: (r["block"], r["sub"], r["part"]))
-    # blocks (times old shards, unless together), PARTS more for each large one, and about blocks again for the rows of texts beyond a fair shard
-    where = plan([(k, r["home"], r["size"]) for k, r in enumerate(cells)], room)
+    cells = sorted(parts.groupBy(*keys).agg(F.sum("size").alias("size"), F.sum("n").alias("n"), home, F.max("size").alias("at_home")).collect(), key=lambda r: r[:4])
+    # blocks (times old shards, unless together), PARTS more for each large one, and about blocks again for pieces and for the rows of texts beyond a fair shard
+    units: dict[tuple, list] = {}
+    for r in cells:
+        own = units.setdefault(tuple(r[:3]), [len(units), r["home"], 0, r["at_home"]])
+        own[2] += r["size"]
+        if r["at_home"] > own[3]:
+            own[1], own[3] = r["home"], r["at_home"]
+    where = plan([(k, at, size) for k, at, size, _ in units.values()], room)
     ahead, places = [0] * len(room), []
-    for k, r in enumerate(cells):
-        places.append((r["block"], r["sub"], r["part"], where[k], ahead[where[k]]))
-        ahead[where[k]] += r["n"]
-    nth = F.row_number().over(Window.partitionBy("block", "sub", "part").orderBy("doc_id", "text_crc32", "row_id"))
-    known = F.broadcast(spark.createDataFrame(places, "block int, sub long, part int, shard int, ahead long"))  # bounded as above
-    slotted = rows.withColumn("nth", nth).join(known, ["block", "sub", "part"])
+    for r in cells:
+        to = where[units[tuple(r[:3])][0]]
+        places.append((*r[:4], to, ahead[to]))
+        ahead[to] += r["n"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "text_crc32", "row_id"))
+    known = F.broadcast(spark.createDataFrame(places, "block int, sub long, part int, piece int, shard int, ahead long"))  # bounded as above
+    slotted = rows.withColumn("nth", nth).join(known, keys)
     return slotted.select(*([ROW] if carry else []), "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("ahead") + F.col("nth") - 1).alias("slot"))
 
 

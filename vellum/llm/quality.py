@@ -46,7 +46,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TWIN = np.uint64(0x51ED270B)
 _POWER = np.cumprod(np.full(64, 0x100000001B3, np.uint64), dtype=np.uint64)
 #: Longer texts are taken in parts of about this many bytes, cut behind a space.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def buckets(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import accounts, documents, operations, retrieval, reviews, texts  # noqa: F401
+from .plans import accounts, documents, layouts, operations, retrieval, reviews, texts  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

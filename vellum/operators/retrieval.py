@@ -164,3 +164,68 @@ def word_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, lea
     met = pairs.join(ranked.where("df is not null").select(item, "word", "m"), item).join(docs, [doc, "word"])
     out = met.groupBy(doc, item).agg((F.count("*") / F.max("m")).alias("score"))
     return out.where(F.round("score", 6) >= least).select(doc, item, F.round("score", 6).alias("score"))
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, rerank_k: int, scope: str = "first") -> DataFrame:
+    """Candidates ordered anew by ``scores(query_id, chunk_id, rerank_score)``, of which a model or a fixed rule is the source.
+
+    ``first`` scores only the ``rerank_k`` best candidates; ``all`` scores all of them and keeps the ``rerank_k`` best after
+    that. Candidates without a score come last. Both scores stay: ``score`` is the new one, ``fused_score`` the old.
+    """
+    own = top_k(candidates.select("query_id", "chunk_id", "score"), rerank_k) if scope == "first" else candidates
+    met = own.select("query_id", "chunk_id", F.col("score").alias("fused_score")).join(scores, ["query_id", "chunk_id"], "left")
+    return top_k(met.withColumnRenamed("rerank_score", "score"), rerank_k, F.desc_nulls_last("score"))
+
+
+def search_articles(dense: DataFrame, sparse: DataFrame, scores: DataFrame, fetch_k: int = 50, rerank_k: int = 10, top: int = 2, least: float | None = None, alpha: float = 0.7, rrf_k: int = 20) -> DataFrame:
+    """Fused, cut to ``fetch_k``, reranked, filtered by a least score (or the best where none passes), cut to ``top``."""
+    fused = top_k(rrf(dense, sparse, alpha, rrf_k), fetch_k)
+    ranked = rerank(fused.drop("rank"), scores, rerank_k)
+    return min_score(ranked, least, top) if least is not None else ranked.where(F.col("rank") <= top)
+
+
+def search_items(fused: DataFrame, edges: DataFrame, parent_of: DataFrame, parents: DataFrame, budget: int, top: int) -> DataFrame:
+    """Items found, expanded along references, and replaced by their articles: ``query_id, parent_id, score, is_cross_ref, size, rank``.
+
+    ``parent_of(chunk_id, parent_id)``, ``parents(parent_id, size)``. Of an article found more than once the best counts, one found
+    directly before one that is only referred to. Articles found directly always stay and use up the budget first; the others
+    are taken in order of score as long as they fit, ones that don't are passed over.
+    """
+    every = expand_references(fused, edges).join(parent_of, "chunk_id").join(parents, "parent_id")
+    best = every.groupBy("query_id", "parent_id", "size").agg(F.min("is_cross_ref").alias("is_cross_ref"), F.max_by("score", F.struct(~F.col("is_cross_ref"), "score")).alias("score"))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("parent_id").alias("key"), F.col("size").cast("long").alias("size"), "is_cross_ref")))
+    per = best.groupBy("query_id").agg(items.alias("items"))
+    own, more = F.filter("items", lambda x: ~x["is_cross_ref"]), F.filter("items", lambda x: x["is_cross_ref"])
+    used = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    fits = budget_fold(F.transform(more, lambda x: F.struct(x["key"].alias("key"), x["size"].alias("size"))), budget, used)["keys"]
+    kept = per.withColumn("fits", fits).select("query_id", F.inline(F.filter("items", lambda x: ~x["is_cross_ref"] | F.array_contains(F.col("fits"), x["key"]))))
+    return top_k(kept.select("query_id", F.col("key").alias("parent_id"), (-F.col("o")).alias("score"), "is_cross_ref", "size"), top, tie="parent_id")
+
+
+def stage_recall(found: DataFrame, relevant: DataFrame, parent: str) -> DataFrame:
+    """``n, survived, recall``: queries of which a relevant item's parent is among the parents found in the first stage."""
+    asked = relevant.select("query_id").distinct()
+    hit = relevant.select("query_id", parent).distinct().join(found.select("query_id", parent), ["query_id", parent], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))
+    met = asked.join(hit, "query_id", "left")
+    return met.agg(F.count("*").alias("n"), F.count("hit").alias("survived")).withColumn("recall", F.round(F.try_divide("survived", "n"), 6))
+
+
+def risk_search(ranked: DataFrame, flagged: DataFrame, least: float = 0.4, k: int = 10) -> DataFrame:
+    """The ``k`` best results of each query with a flagged payload and at least a score."""
+    return top_k(ranked.where(F.col("score") >= least).join(flagged.select("chunk_id"), "chunk_id", "left_semi").drop("rank"), k)
+
+
+def miss_kind(first_hit: Column, wanted: Column, top_category: Column) -> Column:
+    """Why a query's best result is right or not: ``correct``, ``pushed_down``, ``unknown_category``, ``wrong_law`` or ``lost``.
+
+    ``wanted`` holds the relevant chunks' categories, nulls and blanks left out.
+    """
+    names = F.filter(wanted, lambda c: F.coalesce(c, F.lit("")) != "")
+    blank = (F.size(names) == 0) | (F.coalesce(top_category, F.lit("")) == "")
+    return F.when(first_hit == 1, "correct").when(first_hit.isNotNull(), "pushed_down").when(blank, "unknown_category").when(~F.array_contains(names, top_category), "wrong_law").otherwise("lost")
+
+
+def recommended_threshold(judged: DataFrame) -> DataFrame:
+    """``p10_relevant, p90_other, threshold``: halfway between the low scores of hits and the high ones of others; ``judged(score, hit)``."""
+    t = judged.agg(F.expr("percentile(score, 0.1) filter (where hit)").alias("a"), F.expr("percentile(score, 0.9) filter (where not hit)").alias("b"))
+    return t.select(F.round("a", 6).alias("p10_relevant"), F.round("b", 6).alias("p90_other"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("threshold"))

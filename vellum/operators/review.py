@@ -137,3 +137,67 @@ def sync_due_dates(existing: DataFrame, found: DataFrame) -> DataFrame:
     j = existing.join(first, "kind", "left")
     what = F.when(F.col("due").isNotNull(), "skipped").when(F.col("new").isNotNull(), "updated").otherwise("not_found")
     return j.select("kind", F.coalesce("due", "new").alias("due"), what.alias("result"))
+
+
+def missing_blocks(originals: DataFrame, parsed: DataFrame, least: float = 0.9, shortest: int = 20) -> DataFrame:
+    """``doc_id, k, block``: paragraphs of an original that the parsed text doesn't hold to ``least``. Both are ``(doc_id, text)``.
+
+    Exchanged, they give the blocks that parsing has added.
+    """
+    each = originals.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("k", "block")).where(F.length(T.compare_form(F.col("block"))) >= shortest)
+    met = each.join(parsed.select("doc_id", F.col("text").alias("whole")), "doc_id", "left")
+    a, b = T.compare_form(F.col("block")), T.compare_form(F.coalesce("whole", F.lit("")))
+    rest = met.where(~b.contains(a)).select("doc_id", "k", "block", a.alias("a"), b.alias("b"))
+    return rest.where(S.containment("a", "b") < least).select("doc_id", "k", "block")
+
+
+def whole_review(originals: DataFrame, sections: DataFrame, titles: list[str], low: float = 0.98, failing: float = 0.95) -> DataFrame:
+    """``doc_id, issue, detail`` of a document as a whole, and its status: see ``whole_status``.
+
+    ``originals(doc_id, text)``, ``sections(doc_id, ord, title, content)``: no sections, a low similarity of the whole, titles
+    missing or out of order, empty sections, other titles on a line inside a section, blocks lost or added (looked for where the
+    similarity is low), and important tokens whose numbers differ.
+    """
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("\n", "title", "content").alias("t")))), lambda x: x["t"]), "\n")
+    parsed = sections.groupBy("doc_id").agg(joined.alias("text"))
+    both = originals.select("doc_id", F.coalesce("text", F.lit("")).alias("source")).join(parsed, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    scored = both.withColumn("similarity", F.round(S.ratio(T.compare_form(F.col("source")), T.compare_form(F.col("text"))), 4))
+    issue = lambda df, name, detail: df.select("doc_id", F.lit(name).alias("issue"), detail.cast("string").alias("detail"))
+    none, names = F.lit(None), F.array(*map(F.lit, titles))
+    low_rows = scored.where(F.col("similarity") < low)
+    out = issue(scored.where("text = ''"), "empty_parsed_sections", none).unionByName(issue(low_rows, "low_overall_similarity", F.col("similarity")))
+    named = sections.select("doc_id", "ord", T.title_form(F.col("title")).alias("form"), "content", "title")
+    want = originals.select("doc_id", F.posexplode(names).alias("want_ord", "want")).withColumn("form", T.title_form(F.col("want")))
+    met = want.join(named.groupBy("doc_id", "form").agg(F.min("ord").alias("ord")), ["doc_id", "form"], "left")
+    out = out.unionByName(issue(met.where("ord is null"), "missing_section", F.col("want")))
+    order = F.transform(F.array_sort(F.collect_list(F.when(F.col("ord").isNotNull(), F.struct("want_ord", "ord")))), lambda x: x["ord"])
+    seen = met.groupBy("doc_id").agg(order.alias("o")).where(F.col("o") != F.array_sort("o"))
+    out = out.unionByName(issue(seen, "section_order_mismatch", none))
+    out = out.unionByName(issue(named.where(T.compare_form(F.coalesce("content", F.lit(""))) == ""), "empty_section", F.col("title")))
+    lines = F.transform(F.split("content", "\n"), T.title_form)
+    other = F.filter(F.transform(names, lambda n: n), lambda n: (T.title_form(n) != F.col("form")) & F.array_contains(lines, T.title_form(n)))
+    out = out.unionByName(issue(named.select("doc_id", F.explode(other).alias("other")), "overmerged_section", F.col("other")))
+    a, b = low_rows.select("doc_id", F.col("source").alias("text")), low_rows.select("doc_id", "text")
+    out = out.unionByName(issue(missing_blocks(a, b), "missing_block", F.col("k"))).unionByName(issue(missing_blocks(b, a), "added_block", F.col("k")))
+    tokens = scored.select("doc_id", T.important_tokens(F.col("source")).alias("x"), T.important_tokens(F.col("text")).alias("y"))
+    changed = (F.size(T.multiset_minus(F.col("x"), F.col("y"))) > 0) | (F.size(T.multiset_minus(F.col("y"), F.col("x"))) > 0)
+    return out.unionByName(issue(tokens.where(changed), "important_tokens_changed", none))
+
+
+def whole_status(issues: DataFrame, docs: DataFrame) -> DataFrame:
+    """FAIL where nothing was parsed or the whole differs (any low similarity counts), else PASS."""
+    bad = issues.where(F.col("issue").isin("empty_parsed_sections", "low_overall_similarity")).select("doc_id").distinct().withColumn("bad", F.lit(True))
+    return docs.select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.when(F.col("bad"), "FAIL").otherwise("PASS").alias("status"))
+
+
+def keyword_status(reviews: DataFrame, missing: DataFrame, empty: DataFrame) -> DataFrame:
+    """``doc_id, status, mean_similarity``: FAIL if a required section is missing or empty or a review fails, WARN if one warns, else PASS.
+
+    ``reviews(doc_id, verdict, similarity)``; the mean is 0 without reviews.
+    """
+    every = reviews.select("doc_id", "verdict", "similarity")
+    for df in (missing, empty):
+        every = every.unionByName(df.select("doc_id", F.lit("FAIL").alias("verdict"), F.lit(None).cast("double").alias("similarity")))
+    v = F.col("verdict")
+    worst = F.when(F.max(v == "FAIL"), "FAIL").when(F.max(v == "WARN"), "WARN").otherwise("PASS")
+    return every.groupBy("doc_id").agg(worst.alias("status"), F.coalesce(F.round(F.avg("similarity"), 4), F.lit(0.0)).alias("mean_similarity"))

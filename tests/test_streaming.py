@@ -1,5 +1,6 @@
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,3 +46,49 @@ def test_sources(spark, tmp_path):
     assert [r.reason for r in files.admitted(up, kinds).collect()] == [None, "extension", "size", "mime", None]
     a, b = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {tuple(r) for r in files.upsert(a, b, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_more_sources(spark, tmp_path):
+    f = spark.createDataFrame([("/m/a.hwp", 10), ("/m/b.hwp", 10), ("/m/c.hwp", 10), ("/m/d.pdf", 10)], "path string, modified long")
+    c = spark.createDataFrame([("/cache/a.pdf", 10), ("/cache/b.pdf", 9)], "path string, modified long")
+    assert {r.path: r.use for r in files.cached_conversions(f, c).collect()} == {"/m/a.hwp": "/cache/a.pdf", "/m/b.hwp": None, "/m/c.hwp": None, "/m/d.pdf": "/m/d.pdf"}
+    v, w = spark.createDataFrame([(0, "p"), (1, "q")], "k int, v string"), spark.createDataFrame([(1, 0.5), (0, 0.1)], "k int, w double")
+    assert {(r.v, r.w) for r in files.zip_by_place(v, w).collect()} == {("p", 0.1), ("q", 0.5)}
+    for bad in (w.where("k = 0"), w.unionByName(w.where("k = 0"))):
+        with pytest.raises(ValueError):
+            files.zip_by_place(v, bad)
+    at = str(tmp_path / "points")
+    assert files.store_collection(spark, v, at, ["k"]) == 2
+    assert files.store_collection(spark, spark.createDataFrame([(1, "r"), (2, "s")], "k int, v string"), at, ["k"]) == 3
+    assert {tuple(r) for r in spark.read.parquet(at).collect()} == {(0, "p"), (1, "r"), (2, "s")}
+    assert files.store_collection(spark, v, at, ["k"], recreate=True) == 2
+    inner, lost = files.attach(v, w.where("k = 0"), "k")
+    left, _ = files.attach(v, w.where("k = 0"), "k", "left")
+    assert (inner.count(), left.count(), [r.k for r in lost.collect()]) == (1, 2, [1])
+    (tmp_path / "t").mkdir()
+    for name in ("a.TXT", "b.md", "c.hwpx", "d.exe"):
+        (tmp_path / "t" / name).write_text("본문")
+    assert sorted(r.text for r in files.plain_texts(spark, str(tmp_path / "t")).collect()) == ["", "본문", "본문", "본문"]
+
+
+def test_notifications_once_and_logins(spark, tmp_path):
+    items = spark.createDataFrame([(1, "2024-01-08", True), (2, "2024-01-02", True), (3, "2024-01-08", False), (1, "2024-01-08", True)], "item_id long, due string, pending boolean").withColumn("due", F.col("due").cast("date"))
+    for n in range(2):  # the second run finds all alerts sent
+        items.write.mode("append").parquet(str(tmp_path / "in"))
+        alerts = logs.deadline_alerts(spark.readStream.schema(items.schema).parquet(str(tmp_path / "in")), "2024-01-01")
+        logs.notify(alerts, str(tmp_path / "sent"), str(tmp_path / f"cp{n}"), ["item_id", "days_left"]).awaitTermination()
+        assert {(r.item_id, r.days_left) for r in spark.read.parquet(str(tmp_path / "sent")).collect()} == {(1, 7), (2, 1)}
+        assert spark.read.parquet(str(tmp_path / "sent")).count() == 2
+    rows = spark.createDataFrame([(1, None, " 1.1.1.1, 2.2.2.2", "9.9.9.9", "x" * 300, True), (2, None, None, "9.9.9.9", None, False)], "user_id long, ts timestamp, forwarded string, peer string, agent string, success boolean")
+    assert {(r.ip, len(r.agent)) for r in logs.login_rows(rows).collect()} == {("1.1.1.1", 255), ("9.9.9.9", 0)}
+
+
+def test_stale_jobs(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "processing"), (2, "2024-01-01 00:00:00", "processing"), (2, "2024-01-01 00:30:00", "done"), (3, "2024-01-01 02:30:00", "processing")]
+    late = [(4, "2024-01-01 03:00:00", "done")]
+    kind = "job_id long, ts string, status string"
+    for k, part in enumerate((rows, late, [(5, "2024-01-01 03:05:00", "done")])):
+        spark.createDataFrame(part, kind).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema("job_id long, ts timestamp, status string").parquet(str(tmp_path / "in"))
+        logs.append_to(logs.stale_jobs(s), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]

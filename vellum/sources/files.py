@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,9 +33,14 @@ def list_or_data(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the lines that can't be read. Blank lines are neither."""
     bad = "_corrupt_record"
-    fields = [f for f in schema.fields if f.name != bad]
-    df = spark.read.schema(T.StructType([*fields, T.StructField(bad, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path).cache()
-    return df.where(F.col(bad).isNull()).drop(bad), df.where(F.col(bad).isNotNull() & (F.trim(bad) != "")).select(F.col(bad).alias("line"))
+    own = T.StructType([*(f for f in schema.fields if f.name != bad), T.StructField(bad, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", own, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    return read.where(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad), read.where(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("line"))
+
+
+#: Lines of a file that leave the reader together.
+LINES = 10_000
 
 
 def maybe_gzip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +49,12 @@ def maybe_gzip_lines(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                data = bytes(content)
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = data.decode("utf-8", "replace").splitlines()
-                yield pd.DataFrame({"path": p, "k": range(len(rows)), "line": rows})
+                raw = io.BytesIO(content)
+                lines = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if bytes(content[:2]) == b"\x1f\x8b" else raw, "utf-8", "replace")
+                k = 0
+                while rows := [x.rstrip("\r\n") for x in islice(lines, LINES)]:
+                    yield pd.DataFrame({"path": p, "k": range(k, k + len(rows)), "line": rows})
+                    k += len(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, k long, line string")
 
@@ -60,7 +69,7 @@ def plain_texts(spark: SparkSession, path: str) -> DataFrame:
 def admitted(files: DataFrame, kinds: DataFrame, max_bytes: int = 50 << 20) -> DataFrame:
     """``files(path, length, mime)`` with ``reason`` null if admitted. ``kinds(extension, mimes)``; an unspecific MIME type passes."""
     own = files.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
-    j = own.join(F.broadcast(kinds), "extension", "left")
+    j = own.join(kinds, "extension", "left")
     mime_ok = (F.col("mime") == "application/octet-stream") | F.array_contains("mimes", F.col("mime"))
     why = F.when(F.col("mimes").isNull(), "extension").when(F.col("length") > max_bytes, "size").when(~F.coalesce(mime_ok, F.lit(False)), "mime")
     return j.select(*files.columns, why.alias("reason"))
@@ -72,5 +81,44 @@ def attach(points: DataFrame, payload: DataFrame, key: str, how: str = "inner")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows whose key the new ones don't have, and the new ones."""
+    """Old rows whose key the new ones don't have, and the new ones; columns that one side lacks are null there."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def cached_conversions(files: DataFrame, cache: DataFrame, convertible: tuple[str, ...] = ("hwp",)) -> DataFrame:
+    """``files(path, modified)`` with ``use``: the file itself, or for those to be converted a cached result that isn't older; null where it must be made.
+
+    ``cache(path, modified)`` holds files of the same name with another ending.
+    """
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]*$", "")
+    own = files.withColumn("stem", stem("path"))
+    kept = cache.groupBy(stem("path").alias("stem")).agg(F.max_by(F.struct("path", "modified"), "modified").alias("c"))
+    met = own.join(kept, "stem", "left")
+    fresh = F.when(F.col("c.modified") >= F.col("modified"), F.col("c.path"))
+    to_convert = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*convertible)
+    return met.select(*files.columns, F.when(to_convert, fresh).otherwise(F.col("path")).alias("use"))
+
+
+def zip_by_place(vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """Two files of one order joined by the place ``k``; they must be equally long, without gaps or repeats."""
+    both = vectors.join(weights, "k", "full")
+    sizes = [(df.count(), df.agg(F.count_distinct("k")).first()[0], df.agg(F.max("k")).first()[0]) for df in (vectors, weights)]
+    (a, *x), (b, *y) = sizes
+    if a != b or any(v != [n, n - 1 if n else None] for n, v in ((a, x), (b, y))):
+        raise ValueError(f"{a} vectors and {b} weights don't match place by place")
+    return both
+
+
+def store_collection(spark: SparkSession, points: DataFrame, path: str, keys: list[str], recreate: bool = False) -> int:
+    """Writes points to a Parquet collection and gives the number of its rows: made anew, or with the new points in place of old ones of the same keys."""
+    def exists() -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    if recreate or not exists():
+        points.write.mode("overwrite").parquet(path)
+    else:
+        aside = f"{path.rstrip('/')}.next"  # the old files are read while the new ones are written
+        upsert(spark.read.parquet(path), points, keys).write.mode("overwrite").parquet(aside)
+        spark.read.parquet(aside).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).count()

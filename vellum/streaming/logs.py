@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
+
 
 def failure_streaks(events: DataFrame, limit: int = 5) -> DataFrame:
     """``user_id, event_id, streak, locks`` for each failure of ``events(user_id, event_id, ts, failed, reset)``.
 
-    The state of a user is one number. Within a micro-batch rows are taken in the order of time and id; across
+    The state of a user is one number, and none is kept while the streak is zero. Within a micro-batch rows are taken in the order of time and id; across
     batches in the order of arrival.
     """
 
@@ -30,7 +32,10 @@ def failure_streaks(events: DataFrame, limit: int = 5) -> DataFrame:
             if failed:
                 streak += 1
                 out.append((key[0], event, streak, streak == limit))
-        state.update((streak,))
+        if streak:
+            state.update((streak,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "event_id", "streak", "locks"])
 
     return events.groupBy("user_id").applyInPandasWithState(
@@ -53,3 +58,53 @@ def deadline_alerts(items: DataFrame, as_of: str, days: tuple[int, ...] = (7, 3,
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything available, appended to Parquet exactly once."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+AGENT = 255
+
+
+def login_rows(logins: DataFrame) -> DataFrame:
+    """Rows of the login log from ``logins(user_id, ts, forwarded, peer, agent, success)``: the client's address, and the agent cut to ``AGENT`` characters."""
+    return logins.select("user_id", "ts", T.client_ip(F.col("forwarded"), F.col("peer")).alias("ip"), F.substring(F.coalesce("agent", F.lit("")), 1, AGENT).alias("agent"), "success")
+
+
+def notify(alerts: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Appends alerts to a table of notifications, each key once however often a batch is run or a day is repeated."""
+
+    def send(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        new.write.mode("append").parquet(path)
+
+    return alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stale_jobs(jobs: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+    """``job_id, started`` of ``jobs(job_id, ts, status)`` that have been processing for ``minutes`` when the watermark passes.
+
+    A job's state is its start; any other status ends it, and a job that starts again begins anew.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = ["job_id", "started"]
+        if state.hasTimedOut:
+            started = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "started": [pd.Timestamp(started, unit="us")]}, columns=names)
+            return
+        started = state.get[0] if state.exists else None
+        for b in batches:
+            for ts, status in b.sort_values("ts")[["ts", "status"]].itertuples(index=False):
+                started = int(ts.value // 1000) if status == "processing" else None
+        if started is not None:
+            state.update((started,))
+            state.setTimeoutTimestamp(max(started // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"job_id": [], "started": []}, columns=names)
+
+    own = jobs.withWatermark("ts", late).groupBy("job_id")
+    return own.applyInPandasWithState(step, "job_id long, started timestamp", "started long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -81,8 +81,33 @@ def nearest(items: Column, at: Column) -> Column:
     return F.array_min(ranked)["x"]
 
 
-def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
-    """For each left interval ``(l_start, l_stop)`` the right one ``(r_start, r_stop)`` of the same keys that overlaps it most (the first of equal ones)."""
-    both = left.join(right, keys).where((F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop")))
+def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, left_id: str, right_id: str) -> DataFrame:
+    """``left_id, right_id``: for each left row the right row of the same keys whose ``at`` is nearest, of equally near ones that with the smallest id.
+
+    Both sides stand in one order, and the candidates are the last right row at or before a left one and the first behind it:
+    no list and no pairs, however many rows a key has. Left rows of keys without right ones are left out.
+    """
+    none = F.lit(None)
+    cols = lambda df, side: df.select(*keys, F.col(at).alias("at"), F.lit(side).alias("side"), (F.col(left_id) if side else none.cast("long")).alias("l"), (none.cast("long") if side else F.col(right_id)).alias("r"))
+    both = cols(left, 1).unionByName(cols(right, 0)).withColumn("hit", F.when(F.col("side") == 0, F.struct("at", F.col("r").alias("id"))))
+    w = Window.partitionBy(*keys)
+    before = F.last("hit", True).over(w.orderBy("at", "side", F.desc("r")).rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first("hit", True).over(w.orderBy("at", F.desc("side"), "r").rowsBetween(1, Window.unboundedFollowing))
+    own = both.withColumn("a", before).withColumn("b", behind).where("side = 1")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("gap"), F.col(f"{c}.id").alias("id")))
+    return own.select(F.col("l").alias(left_id), F.array_min(F.array_compact(F.array(far("a"), far("b"))))["id"].alias(right_id)).where(F.col(right_id).isNotNull())
+
+
+def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, width: int) -> DataFrame:
+    """For each left interval ``(l_start, l_stop)`` the right one ``(r_start, r_stop)`` of the same keys that overlaps it most (the first of equal ones).
+
+    Intervals meet in bins of ``width`` (a usual length), so those that lie apart aren't paired; a pair counts in the bin where
+    the later of the two begins.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(width))
+    last = lambda c: F.floor((F.col(c) - 1) / F.lit(width))
+    bins = lambda df, x: df.where(F.col(f"{x}_stop") > F.col(f"{x}_start")).withColumn("bin", F.explode(F.sequence(bin_of(f"{x}_start"), F.greatest(bin_of(f"{x}_start"), last(f"{x}_stop")))))
+    both = bins(left, "l").join(bins(right, "r"), [*keys, "bin"]).where(F.col("bin") == F.greatest(bin_of("l_start"), bin_of("r_start")))
+    both = both.where((F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop"))).drop("bin")
     both = both.withColumn("overlap", F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start"))
     return latest(both, [*keys, left_id], [F.desc("overlap"), F.asc(right_id)]).drop("nth")

@@ -175,11 +175,10 @@ def gap_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'signup'), p AS (SELECT user_id, event_id AS p_id, value AS p_value FROM events WHERE event_type = 'purchase')
 SELECT event_id, p_id FROM (SELECT s.event_id, p.p_id, row_number() OVER (PARTITION BY s.event_id ORDER BY abs(s.value - p.p_value), p.p_id) AS n FROM s JOIN p USING (user_id)) WHERE n = 1""")
 def nearest_value_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The purchase nearest in value to each signup of a user, found in the user's sorted list."""
+    """The purchase nearest in value to each signup of a user."""
     e = table(spark, sf_dir, "events")
-    p = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("value").alias("pos")))).alias("items"))
-    s = e.where("event_type = 'signup'").select("user_id", "event_id", "value").join(p, "user_id")
-    return s.select("event_id", O.nearest(F.col("items"), F.col("value"))["id"].alias("p_id"))
+    p = e.where("event_type = 'purchase'").select("user_id", "value", F.col("event_id").alias("p_id"))
+    return O.nearest_join(e.where("event_type = 'signup'").select("user_id", "value", "event_id"), p, ["user_id"], "value", "event_id", "p_id")
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS a FROM orders),
@@ -190,7 +189,7 @@ def interval_overlap_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("a", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")))
     left = o.where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", F.col("a").alias("l_start"), (F.col("a") + 30).alias("l_stop"))
     right = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("best"), F.col("a").alias("r_start"), (F.col("a") + 45).alias("r_stop"))
-    return O.best_overlap(left, right, ["o_custkey"], "o_orderkey", "best").select("o_orderkey", "best", "overlap")
+    return O.best_overlap(left, right, ["o_custkey"], "o_orderkey", "best", 45).select("o_orderkey", "best", "overlap")
 
 
 @query("""SELECT user_id, c.event_type AS next_pending FROM (SELECT user_id, r.event_type, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS n

@@ -215,3 +215,33 @@ def text_to_key(df: DataFrame, text: str, order: str, prefix: str = "ORG") -> tu
 def settled_status(status: Column, finished: Column) -> Column:
     """Idle rows that have a result are done."""
     return F.when((status == "idle") & finished, "done").otherwise(status)
+
+
+# Verdicts that a variant may have, and the feature that is never left to review.
+VALID, EXACTNESS, TO_REVIEW = ("충족", "불가", "검토"), "정확성", "검토"
+
+
+def variant_reason(label: Column, old_label: Column, criteria: Column, old_criteria: Column, evals: Column, old_evals: Column | None = None, excerpt: Column | None = None) -> Column:
+    """Why a variant of a seed is refused; null if it passes.
+
+    Its label must be valid and the seed's, its criteria the seed's, its judgements (``feature: verdict — reason``) there and of
+    criteria only, exactness never left to review. With the seed's judgements given, verdicts must agree feature by feature;
+    with an excerpt, numbers in reasons must occur in it.
+    """
+    feature = lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1)))
+    outside = F.get(F.filter(F.transform(evals, feature), lambda f: ~F.array_contains(criteria, f)), F.lit(0))
+    unsure = F.exists(evals, lambda x: (feature(x) == EXACTNESS) & F.split_part(x, F.lit("—"), F.lit(1)).contains(TO_REVIEW))
+    gates = [
+        (~F.coalesce(label.isin(*VALID), F.lit(False)), F.lit("label")), (label != old_label, F.lit("label_changed")), (F.array_sort(criteria) != F.array_sort(old_criteria), F.lit("criteria_changed")),
+        (F.coalesce(F.size(evals), F.lit(0)) <= 0, F.lit("no_judgements")), (outside.isNotNull(), F.concat(F.lit("outside:"), outside)), (unsure, F.lit("exactness_to_review")),
+    ]
+    if old_evals is not None:
+        pairs = lambda e: F.array_sort(F.map_entries(eval_map(e)))
+        gates.append((pairs(evals) != pairs(old_evals), F.lit("verdicts_differ")))
+    if excerpt is not None:
+        loose = F.array_except(F.flatten(F.transform(evals, lambda x: unit_numbers(eval_reason(x)))), unit_numbers(excerpt))
+        gates.append((F.size(loose) > 0, F.lit("ungrounded_number")))
+    out = F.lit(None).cast("string")
+    for fails, name in reversed(gates):
+        out = F.when(fails, name).otherwise(out)
+    return out

@@ -419,3 +419,28 @@ def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first gate that each variant fails."""
     why = D.reject_reason((F.col("n_chars") < 80, "missing_field"), (~F.col("lang").isin("en", "fr", "de"), "label"), (F.col("text").contains("&&&"), "forbidden"))
     return table(spark, sf_dir, "documents").select("doc_id", why.alias("reason"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents), w AS (SELECT doc_id, token, sqrt(count(*)) AS weight FROM t GROUP BY ALL),
+s AS (SELECT q.doc_id AS query_id, c.doc_id AS chunk_id, round(sum(q.weight * c.weight), 6) AS score FROM w q JOIN w c USING (token) WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by token weights (roots of counts): documents whose id is divisible by 50 against all."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("token")
+    w = table(spark, sf_dir, "documents").select("doc_id", words).groupBy("doc_id", "token").agg(F.sqrt(F.count("*")).alias("weight"))
+    return R.sparse_arm(w.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), w.withColumnRenamed("doc_id", "chunk_id"), 10)
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'label' WHEN 1 THEN 'label_changed' WHEN 2 THEN 'criteria_changed' WHEN 3 THEN 'no_judgements' WHEN 4 THEN 'outside:속도' WHEN 5 THEN 'exactness_to_review' WHEN 6 THEN 'verdicts_differ' WHEN 7 THEN 'ungrounded_number' END AS reason FROM orders""")
+def variant_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why variants of seeds are refused."""
+    k, arr = F.col("o_orderkey") % 9, lambda *x: F.array(*map(F.lit, x))
+    old = arr("정확성: 충족 — 3개월 안에", "명료성: 불가 — 없음")
+    evals = (
+        F.when(k == 3, F.slice(old, 1, 0)).when(k == 4, arr("정확성: 충족 — 3개월", "속도: 충족")).when(k == 5, arr("정확성: 검토 — 3개월", "명료성: 불가")).when(k == 6, arr("정확성: 충족", "명료성: 충족"))
+        .when(k == 7, arr("정확성: 충족 — 5개월 안에", "명료성: 불가 — 없음")).otherwise(old)
+    )
+    why = D.variant_reason(
+        F.when(k == 0, "모름").when(k == 1, "불가").otherwise("충족"), F.lit("충족"), F.when(k == 2, arr("정확성")).otherwise(arr("명료성", "정확성")), arr("정확성", "명료성"), evals, old, F.lit("계약 뒤 3개월 안에 낸다"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("reason"))

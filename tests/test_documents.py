@@ -107,6 +107,30 @@ def test_review(spark):
     assert V.status(orig, issues).first().status == "FAIL"
 
 
+def test_title_and_content_issues_are_one(spark):
+    rows = [(1, "section_title_mismatch", "A", None), (1, "content_misplaced", "A", "B"), (1, "section_title_mismatch", "B", None), (1, "paragraph_missing", "C", None), (1, "section_order_mismatch", None, None), (2, "content_misplaced", "A", "C")]
+    got = {(r.doc_id, r.issue, r.code, r.related) for r in V.merged(spark.createDataFrame(rows, "doc_id long, issue string, code string, related string")).collect()}
+    assert got == {
+        (1, "section_title_content_mismatch", "A", "B"), (1, "section_title_mismatch", "B", None), (1, "paragraph_missing", "C", None), (1, "section_order_mismatch", None, None), (2, "content_misplaced", "A", "C"),
+    }
+
+
+def test_whole_review(spark):
+    body = "이 사업의 배경과 필요성을 자세히 설명하는 첫 번째 단락이다"
+    text = f"1. 개요\n{body}\n\n2. 방안\n추진 방안은 3개월 안에 5만원으로 정한다 그리고 끝까지 지킨다\n\n3. 일정\n일정은 따로 정한다"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text)], "doc_id long, text string")
+    good = [(1, 0, "1. 개요", body), (1, 1, "2. 방안", "추진 방안은 3개월 안에 5만원으로 정한다 그리고 끝까지 지킨다"), (1, 2, "3. 일정", "일정은 따로 정한다")]
+    bad = [(2, 0, "3. 일정", "일정은 따로 정한다\n개요\n전혀 다른 내용이 길게 들어와 있어서 원문에는 없는 단락이다"), (2, 1, "2. 방안", " ")]
+    sections = spark.createDataFrame(good + bad, "doc_id long, ord int, title string, content string")
+    issues = V.whole_review(docs, sections, ["개요", "방안", "일정"])
+    got = {}
+    for r in issues.collect():
+        got.setdefault(r.doc_id, set()).add(r.issue)
+    assert 1 not in got and "empty_parsed_sections" in got[3]
+    assert got[2] == {"low_overall_similarity", "missing_section", "section_order_mismatch", "empty_section", "overmerged_section", "missing_block", "added_block", "important_tokens_changed"}
+    assert {r.doc_id: r.status for r in V.whole_status(issues, docs).collect()} == {1: "PASS", 2: "FAIL", 3: "FAIL"}
+
+
 def test_layout_rules(spark):
     cells = spark.createDataFrame([(1, 0, 0, 0, ["성명", "", "비고", "", "주소", "서울"]), (1, 5, 0, 0, ["성명", ""])], "doc_id long, page int, tbl int, row int, values array<string>")
     assert [r.label for r in V.blank_fields(cells, ["비고"]).collect()] == ["성명"]

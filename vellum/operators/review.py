@@ -91,7 +91,21 @@ def review(spec: DataFrame, original: DataFrame, parsed: DataFrame) -> DataFrame
     out = missing
     for more in (empty, strange, wrong, moved, misplaced, paragraphs):
         out = out.unionByName(more)
-    return out
+    return merged(out)
+
+
+#: Issues of a section's content.
+OF_CONTENT = ("section_content_mismatch", "content_misplaced", "paragraph_missing", "paragraph_misplaced")
+
+
+def merged(issues: DataFrame) -> DataFrame:
+    """A section with a wrong title and a wrong content has one issue, ``section_title_content_mismatch``, in place of those."""
+    w = Window.partitionBy("doc_id", "code")
+    title, content = F.col("issue") == "section_title_mismatch", F.col("issue").isin(*OF_CONTENT)
+    own = issues.withColumn("both", F.col("code").isNotNull() & F.max(title).over(w) & F.max(content).over(w)).withColumn("from", F.max(F.when(content, F.col("related"))).over(w))
+    kept = own.where(~F.col("both") | ~content)
+    both = F.col("both") & title
+    return kept.select("doc_id", F.when(both, "section_title_content_mismatch").otherwise(F.col("issue")).alias("issue"), "code", F.when(both, F.col("from")).otherwise(F.col("related")).alias("related"))
 
 
 def status(docs: DataFrame, issues: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import lookup as K
+from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import retrieval as R
 from ..operators import review as V
@@ -444,3 +445,21 @@ def variant_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, "모름").when(k == 1, "불가").otherwise("충족"), F.lit("충족"), F.when(k == 2, arr("정확성")).otherwise(arr("명료성", "정확성")), arr("정확성", "명료성"), evals, old, F.lit("계약 뒤 3개월 안에 낸다"),
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("reason"))
+
+
+@query("""WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN regexp_matches(c, '^\\s$') THEN NULL ELSE i END), lambda x: x IS NOT NULL) AS p FROM documents)
+SELECT doc_id, CAST(len(p) AS INT) AS n, CAST(coalesce(p[1], 0) AS INT) AS first_place, CAST(coalesce(p[-1], 0) AS INT) AS last_place, CAST(list_sum(p) AS BIGINT) AS places FROM c""")
+def squeezed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the characters of squeezed texts stand in the original."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.squeeze_map(F.col("text")).alias("p"))
+    first = lambda k: F.coalesce(F.try_element_at("p", F.lit(k)), F.lit(0))
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x)
+    return d.select("doc_id", F.size("p").alias("n"), first(1).alias("first_place"), first(-1).alias("last_place"), F.nullif(total, F.lit(0)).alias("places"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'poor' WHEN 1 THEN 'slight' WHEN 2 THEN 'fair' WHEN 3 THEN 'moderate' WHEN 4 THEN 'substantial' ELSE 'almost perfect' END AS band FROM orders""")
+def agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words for agreements from below zero to one, at the upper ends of the bands."""
+    k = (F.col("o_orderkey") % 7).cast("int")
+    value = F.get(F.array(*map(F.lit, (-0.1, 0.2, 0.4, 0.6, 0.8, 0.81, 1.0))), k)
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.kappa_band(value).alias("band"))

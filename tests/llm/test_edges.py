@@ -351,3 +351,19 @@ def test_line_dedup_on_a_text_of_many_lines(spark):
     own = {1: "\n".join(lines), 2: "\n".join(lines[700:900] + ["middle"] + lines[100:140]), 3: "one line without end " * 20_000}
     got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
     assert got == plain_line_dedup(own) and got[2] == "middle"
+
+
+def test_spans_of_awkward_rows(spark):
+    """Null, empty and repeated rows, clashing names: a row each, equal rows alike, offsets inside the text."""
+    toxic = [f"you vile{k % 3} person number {k} vile{k % 3}" for k in range(40)]
+    clean = [f"a kind word for person number {k}" for k in range(40)]
+    model = toxicity.train([(t, 1) for t in toxic] + [(t, 0) for t in clean], 1.0)
+    docs = docs_of(spark, [None, "", "null id", toxic[0], clean[0], " \n " + toxic[1]])
+    docs = with_clashes(docs.unionByName(docs.where("doc_id = 4")).withColumn("spans", F.lit("clash")))
+    rows = toxicity.toxic_spans(docs, model).collect()
+    assert len(rows) == 7 and {r.doc_id for r in rows} == {None, 1, 2, 4, 5, 6}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in rows}
+    assert not spans[1] and not spans[2] and not spans[5] and spans[4] and spans[6]
+    assert [[tuple(s) for s in r.spans] for r in rows if r.doc_id == 4] == [spans[4]] * 2
+    text = " \n " + toxic[1]
+    assert any("vile" in text[a:b] for a, b, _ in spans[6])

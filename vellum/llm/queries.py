@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, linededup, merkle, packing, quality, reshard, rules, simhash, suffixes, tokens, toxicity
+from . import decontaminate, fim, linededup, merkle, packing, pitmanyor, quality, reshard, rules, simhash, suffixes, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +83,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned outside the fold crc32(doc_id) mod 7 = 2."""
+    return pitmanyor.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents rearranged for fill-in-middle training, and rebuilt, as digests."""
     return fim.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_resharding, op10_line_dedup, op11_merkle_manifest, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_token_counts, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_resharding, op10_line_dedup, op11_merkle_manifest, op12_lm_scores, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.oracle_sql(), "op10_line_dedup": linededup.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op13_fill_in_middle": fim.oracle_sql()}

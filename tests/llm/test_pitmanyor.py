@@ -7,6 +7,7 @@ from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import awkward
@@ -153,7 +154,21 @@ def tables(model):
 
 
 def hashed(w):
-    return int(py.END) if w is None else int(py._Words()[w])
+    return int(py.END) if w is None else int(py.token_hashes(pa.array([w], pa.binary()))[0][0])
+
+
+def test_tokens_are_the_words(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abAB \t\n\x0b\x1c\x00é") for _ in range(rng.randint(0, 60))).encode() for _ in range(300)] + [b"", b" ", b"x" * 1000, b"a " * 500 + b"Q" * 700]
+    plain = [[*t.lower().split(), None] for t in texts]
+    for segment in (1 << 18, 64, 7):
+        monkeypatch.setattr(py, "SEGMENT", segment)
+        for part in (pa.array(texts, pa.binary()), pa.array([b"zz z"] + texts, pa.binary()).slice(1)):
+            got, sizes = py.token_hashes(part)
+            assert sizes.tolist() == list(map(len, plain))
+            flat = [w for ws in plain for w in ws]
+            by = dict(zip(flat, got.tolist(), strict=True))
+            assert [by[w] for w in flat] == got.tolist() and len(set(by.values())) == len(by)
 
 
 def probability(found, unknown, u, w):

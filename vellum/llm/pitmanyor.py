@@ -39,15 +39,15 @@ names.
 
 from __future__ import annotations
 
+import contextlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -55,14 +55,14 @@ from .arrow import TEXT
 from .scratch import Scratch, remove
 from .seating import draw
 
-#: Text of a shard, tokens that a task counts at once, words its memo holds, text that the list of frequent words is made from.
-SHARD_BYTES, FLUSH, MEMO, SAMPLE_BYTES = 16 << 20, 2_000_000, 400_000, 16 << 20
+#: Text of a shard, tokens that a task counts at once, text that the list of frequent words is made from.
+SHARD_BYTES, FLUSH, SAMPLE_BYTES = 16 << 20, 2_000_000, 16 << 20
 #: A word's restaurant is cut beyond so many shares of a shard; a pair is looked up by every task beyond so many.
 CUT, FREQUENT = 2, 4
 ROUNDS = 4
 BURN, SAMPLES = 1, 3
-#: Hashes that no word has: they are those of white space.
-START, END = (np.uint64(xxhash.xxh64_intdigest(x, seed=42)) for x in (b"\t", b"\n"))
+#: What stands for the start and the end among the words' 64-bit hashes.
+START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: What shards and word shards send each other: some arrays for ``at``, of a ``kind``, from ``part``.
@@ -138,6 +138,8 @@ def _one(got: dict, kind: str, slot: int, dtype: type) -> np.ndarray:
 
 def _sent(kind: str, at: int, words: np.ndarray, shards: int, i: np.ndarray | None = None, x: np.ndarray | None = None) -> list[tuple]:
     """Sorted words, cut by the word shards that they belong to."""
+    if not len(words):
+        return []
     s = _shard(words, shards)
     starts = np.flatnonzero(np.diff(s, prepend=-1))
     ends = np.append(starts[1:], len(s))
@@ -147,49 +149,82 @@ def _sent(kind: str, at: int, words: np.ndarray, shards: int, i: np.ndarray | No
 # ---------------------------------------------------------------- tokens and pairs
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, seed=42)
-        return out
-
-
-def word_hashes(text: bytes, memo: dict) -> np.ndarray:
-    """The hashes of a text's words (lower-cased A-Z), and the end's."""
-    words = text.lower().split()  # splits bytes at exactly the six white-space characters
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows (without their text) and token hashes of some documents with ``flush`` tokens together, or one long one."""
-    memo, rows, tokens, size = _Words(), [], [], 0
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = np.arange(256, dtype=np.uint64) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint64)
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 18
+
+
+def _hashed(buf: np.ndarray, starts: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """The hash of each word: the mixed sum of mixed (byte, place) numbers, so that a word may lie in several segments."""
+    out = np.zeros(len(starts), np.uint64)
+    for s in range(int(starts[0]) if len(starts) else len(buf), len(buf), SEGMENT):
+        e = min(s + SEGMENT, len(buf))
+        a, b = int(np.searchsorted(starts, s, "right")) - 1, int(np.searchsorted(starts, e))
+        own = starts[a:b]
+        bounds = np.maximum(own, s)
+        place = np.arange(s, e) - np.repeat(own, np.diff(bounds, append=e))
+        h = mixed(_LOWER[buf[s:e]] | place.astype(np.uint64) << np.uint64(8), np.uint64(0x165667B19E3779F9))
+        h[blank[s:e]] = 0
+        out[a:b] += np.add.reduceat(h, bounds - s)
+    return mixed(out, np.uint64(0x2545F4914F6CDD1D))
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' tokens (words with A-Z lower-cased, then an end each), and each text's tokens."""
+    if not len(texts):
+        return EMPTY, np.zeros(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    buf = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank = _SPACE[buf]
+    first = np.ones(len(buf), bool)
+    first[1:] = blank[:-1]
+    first[offsets[:-1][offsets[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(first & ~blank)
+    words = _hashed(buf, starts, blank)
+    ends = np.searchsorted(starts, offsets[1:])  # words up to each text's end
+    out = np.full(len(words) + len(texts), END, np.uint64)
+    is_word = np.ones(len(out), bool)
+    is_word[ends + np.arange(len(texts))] = False
+    out[is_word] = words
+    return out, np.diff(ends, prepend=0) + 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Rows (without their text), token hashes and tokens a row of some documents with about ``flush`` tokens, or one long one."""
+    rows, tokens, sizes, size = [], [], [], 0
     for b in batches:
         at = b.schema.get_field_index(TEXT)
         more = list(zip(*(c.to_pylist() for k, c in enumerate(b.columns) if k != at), strict=True)) if b.num_columns > 1 else [()] * b.num_rows
-        for row, text in zip(more, b.column(at), strict=True):
-            rows.append(row)
-            tokens.append(word_hashes(text.as_py(), memo))
-            size += len(tokens[-1])
+        start = 0
+        while start < b.num_rows:
+            stop, held = start, 0
+            while stop < b.num_rows and (stop == start or size + held < flush):
+                held += len(b.column(at)[stop].as_buffer()) // 6 + 1  # about as many tokens
+                stop += 1
+            t, n = token_hashes(b.column(at).slice(start, stop - start))
+            rows += more[start:stop]
+            tokens.append(t)
+            sizes.append(n)
+            size += len(t)
+            start = stop
             if size >= flush:
-                yield rows, tokens
-                rows, tokens, size = [], [], 0
+                yield rows, np.concatenate(tokens), np.concatenate(sizes)
+                rows, tokens, sizes, size = [], [], [], 0
     if rows:
-        yield rows, tokens
+        yield rows, np.concatenate(tokens), np.concatenate(sizes)
 
 
-def _pairs(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The known words, sorted, and each token's pair as two places there in one number."""
-    w = np.concatenate(tokens)
     words, place = np.unique(np.append(w, START), return_inverse=True)
     place = place.reshape(-1)
     start, place = place[-1], place[:-1]
     before = np.empty_like(place)
     before[1:] = place[:-1]
-    before[np.cumsum([0, *map(len, tokens[:-1])])] = start
+    before[np.cumsum(sizes) - sizes] = start
     return words, before.astype(np.int64) << 32 | place
 
 
@@ -220,8 +255,8 @@ def _counted(layout: Layout, flush: int):
     """The pairs of a task's texts with their counts, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches, flush):
-            words, code = _pairs(tokens)
+        for _, tokens, sizes in _chunks(batches, flush):
+            words, code = _pairs(tokens, sizes)
             code, n = np.unique(code, return_counts=True)
             u, w = words[code >> 32], words[code & 0xFFFFFFFF]
             s = layout.shard(u, w)
@@ -239,13 +274,16 @@ def _merged(layout: Layout, floor: int):
     def run(table: pa.Table) -> pa.Table:
         at, got = _open(table)
         runs = [_unpacked(r[1], r[2]) for r in got["q"]]
-        u = np.concatenate([np.repeat(r[0], r[1]) for r in runs])
-        w, n = np.concatenate([r[2] for r in runs]), np.concatenate([r[3] for r in runs]).astype(np.int64)
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
-        first = np.flatnonzero((np.diff(u, prepend=~u[:1]) != 0) | (np.diff(w, prepend=~w[:1]) != 0))
-        u, w, c = u[first], w[first], np.add.reduceat(n, first)
-        words, place = np.unique(u, return_inverse=True)
+        words, place = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+        place = np.repeat(place.reshape(-1), np.concatenate([r[1] for r in runs]))
+        every, follows = np.unique(np.concatenate([r[2] for r in runs]), return_inverse=True)
+        code = place.astype(np.int64) << 32 | follows.reshape(-1)
+        order = np.argsort(code)
+        code, n = code[order], np.concatenate([r[3] for r in runs])[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        code, c = code[first], np.add.reduceat(n, first)
+        place, follows = code >> 32, code & 0xFFFFFFFF
+        u, w = words[place], every[follows]
         single = c == 1
         customers = np.bincount(place, weights=c, minlength=len(words)).astype(np.int64)
         alone = np.bincount(place[single], minlength=len(words)).astype(np.int64)
@@ -261,9 +299,7 @@ def _merged(layout: Layout, floor: int):
             rows.append((at, "top", 0, np.stack([u[top], w[top], c[top].astype(np.uint64)], 1).reshape(-1), None, None))
         own, inv = np.unique(w[multi], return_inverse=True)
         rows += _sent("to", at, own, layout.shards, x=np.bincount(inv.reshape(-1), minlength=len(own)))
-        every, inv = np.unique(w, return_inverse=True)
-        inv = inv.reshape(-1)
-        rows += _sent("all", at, every, layout.shards, i=np.bincount(inv, minlength=len(every)), x=np.bincount(inv, weights=single, minlength=len(every)))
+        rows += _sent("all", at, every, layout.shards, i=np.bincount(follows, minlength=len(every)), x=np.bincount(follows, weights=single, minlength=len(every)))
         return _box([*rows, *_cut_sums(at, layout, words, customers, alone + np.bincount(place[multi], minlength=len(words)))])
 
     return run
@@ -469,22 +505,22 @@ def _asking(layout: Layout, flush: int, frequent: dict, kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
-        for rows, tokens in _chunks(batches, flush):
-            words, code = _pairs(tokens)
-            doc = np.repeat(np.arange(len(tokens)), list(map(len, tokens)))
-            order = np.argsort(code, kind="stable")
+        for rows, tokens, sizes in _chunks(batches, flush):
+            words, code = _pairs(tokens, sizes)
+            doc = np.repeat(np.arange(len(rows)), sizes)
+            order = np.argsort(code)
             code, doc = code[order], doc[order]
             first = np.flatnonzero(np.diff(code, prepend=-1))
             n, code = np.diff(first, append=len(code)), code[first]
             u, w = words[code >> 32], words[code & 0xFFFFFFFF]
-            own = np.zeros((3, len(tokens)))
+            own = np.zeros((3, len(rows)))
             s = layout.shard(u, w)
             if len(known):
                 key = mixed(u, w)
                 place = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 held = known[place] == key
                 for j in np.flatnonzero(held).tolist():
-                    hit = np.bincount(doc[first[j] : first[j] + n[j]], minlength=len(tokens))
+                    hit = np.bincount(doc[first[j] : first[j] + n[j]], minlength=len(rows))
                     own += worth[place[j]][:, None] * hit
                 doc = doc[~np.repeat(held, n)]
                 u, w, n, s = u[~held], w[~held], n[~held], s[~held]
@@ -494,8 +530,7 @@ def _asking(layout: Layout, flush: int, frequent: dict, kind: pa.DataType):
                 u, w, n, s = u[order], w[order], n[order], s[order]
             out = _packed("q", part, u, w, n, s, doc)
             ids, held_out = zip(*rows, strict=True)
-            sizes = np.array(list(map(len, tokens)), np.int32)
-            out.append((-1 - part % layout.shards, "h", part, None, np.concatenate([sizes, np.array(held_out, np.int32)]), own.reshape(-1)))
+            out.append((-1 - part % layout.shards, "h", part, None, np.concatenate([sizes.astype(np.int32), np.array(held_out, np.int32)]), own.reshape(-1)))
             yield _with_ids(_box(out), ids, kind)
             part += 1
 
@@ -571,14 +606,25 @@ class Model:
     frequent: dict = field(default_factory=dict)
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of what is written inside as soon as it has been written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def _put(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows written by kind, so that a job reads only the kinds it needs."""
     path = scratch.path(name)
-    df.write.partitionBy("kind").parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.partitionBy("kind").parquet(path)
     names = [f.name for f in df.schema.fields]
-    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*names)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle's files
-    return back, path
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*names), path
 
 
 def _kinds(df: DataFrame, *kinds: str) -> DataFrame:
@@ -601,14 +647,19 @@ def _cut_state(df: DataFrame) -> dict:
     return {u: tuple(v) for u, v in out.items()}
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, tokens, _ in _chunks(batches, FLUSH):
+        h, n = np.unique(tokens[tokens != END], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+
 def _layout(texts: DataFrame, shards: int | None, sample_bytes: int) -> Layout:
     size = texts.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     shards = shards or max(1, -(-size // SHARD_BYTES))
     if shards == 1:
         return Layout(1)
     some = texts.where(F.pmod(F.xxhash64(F.xxhash64(TEXT)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample_bytes / size)))) if size > sample_bytes else texts
-    word = F.explode(F.split(F.translate(F.col(TEXT).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"))
-    counts = some.select(word.alias("w")).where("w <> ''").groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n"))
+    counts = some.mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = sorted((r.h % (1 << 64), r.n) for r in counts.where(F.col("n") > CUT * total / shards).collect())  # fewer than shards / CUT
     if not found:
@@ -624,7 +675,7 @@ def fit(docs: DataFrame, text_col: str = "text", shards: int | None = None, stre
     layout = _layout(texts, shards, sample_bytes)
     ddl, deal = BOX_DDL, lambda df, fn: df.groupBy("at").applyInArrow(fn, BOX_DDL)
     floor = max(2, FREQUENT * flush // 16)
-    fixed, _ = _put(scratch, deal(texts.mapInArrow(_counted(layout, flush), ddl), _merged(layout, floor)), "pairs")
+    fixed, fixed_path = _put(scratch, deal(texts.mapInArrow(_counted(layout, flush), ddl), _merged(layout, floor)), "pairs")
     words, _ = _put(scratch, deal(_kinds(fixed, "all"), _words), "words")
     n_tokens, once, twice = _stat(fixed, 3)
     n_words, w_once, w_twice, pairs = _stat(words, 4)
@@ -653,6 +704,8 @@ def fit(docs: DataFrame, text_col: str = "text", shards: int | None = None, stre
     unknown = (unknown + float(was.parent(np.zeros(1))[0])) / samples
     asks = _kinds(fixed, "all").unionByName(_kinds(fixed, "u").select("at", "k").mapInArrow(_asked(layout.shards), ddl))
     answers, _ = _put(scratch, deal(_kinds(words, "w").unionByName(_kinds(top, "k", "t")).unionByName(asks), _answered(was, samples)), "answers")
+    for kind in ("all", "to", "t", "b"):
+        remove(spark, f"{fixed_path}/kind={kind}")
     p_end = [r.x[0] for r in _kinds(answers, "end").collect()]
     counts = docs.count() if p_end else 0
     end = (float(np.log10(p_end[0])), float(np.log10(counts + 1)), 1.0) if p_end else (float(np.log10(unknown)), 0.0, 0.0)
@@ -708,8 +761,8 @@ def scores(model: Model, docs: DataFrame, held_out: Column, id_col: str = "doc_i
         asked = some.mapInArrow(ask, ddl)
         sums = asked.unionByName(still).groupBy("at").applyInArrow(_scored(model.state, model.samples, model.unknown), ddl)
         done = sums.groupBy("part").applyInArrow(_summed(model.end, scale), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        done = model.scratch.cut(done, f"scores{k}")
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle's files
+        with shuffles_deleted(spark):
+            done = model.scratch.cut(done, f"scores{k}")
         out = done if out is None else out.unionByName(done)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import nearest
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,35 +27,24 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None, key: str = "query
     return ranked.where(F.col("rank") <= k)
 
 
-#: Blocks of queries; each row of the corpus meets a block as one list, and no list is longer than ``BLOCK_ROWS``.
-BLOCK_ROWS = 512
-
-
-def scored(queries: DataFrame, corpus: DataFrame, how: str, *carry: str, digits: int = 6) -> DataFrame:
-    """``query_id, chunk_id, score`` of a stated query set against all of the corpus, in blocks of queries.
-
-    ``queries(query_id, qvec)``, ``corpus(chunk_id, vec)``; ``how`` is ``cosine`` or ``euclidean`` (negative squared distance).
-    Queries are numbered in blocks of ``BLOCK_ROWS`` at most; corpus rows meet a block, not a query. Scores are rounded.
-    """
-    numbered = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qn"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK_ROWS)))).alias("block"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "qvec", "qn")).alias("qs"))
-    own = corpus.select("chunk_id", "vec", norm(F.col("vec")).alias("cn"), *carry)
-    met = own.crossJoin(blocks).select("chunk_id", "vec", "cn", *carry, F.explode("qs").alias("q"))  # blocks: a list for every 512 queries
-    if how == "cosine":
-        score = dot(F.col("q.qvec"), F.col("vec")) / (F.col("q.qn") * F.col("cn"))
-    else:
-        score = -F.aggregate(F.zip_with("q.qvec", "vec", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x)
-    return met.select("q.query_id", "chunk_id", *carry, F.round(score, digits).alias("score"))
-
-
 def cosine_arm(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Exact cosine search: the ``k`` best of all of the corpus for each query."""
-    return top_k(scored(queries, corpus, "cosine", digits=digits), k)
+    return nearest(queries, corpus, "cosine", k, digits=digits)
 
 
 def euclidean_arm(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The same by negative squared distance."""
-    return top_k(scored(queries, corpus, "euclidean", digits=digits), k)
+    return nearest(queries, corpus, "euclidean", k, digits=digits)
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, how: str, digits: int = 6) -> DataFrame:
+    """``query_id, chunk_id, score`` of given pairs by their vectors."""
+    met = pairs.select("query_id", "chunk_id").join(queries.select("query_id", "qvec"), "query_id").join(corpus.select("chunk_id", "vec"), "chunk_id")
+    if how == "cosine":
+        score = F.try_divide(dot(F.col("qvec"), F.col("vec")), norm(F.col("qvec")) * norm(F.col("vec")))
+    else:
+        score = -F.aggregate(F.zip_with("qvec", "vec", lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x)
+    return met.select("query_id", "chunk_id", F.round(score, digits).alias("score"))
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, alpha: float = 0.7, rrf_k: int = 20, digits: int = 9) -> DataFrame:

@@ -316,7 +316,7 @@ rer AS (SELECT f.query_id, f.chunk_id, es.score, row_number() OVER (PARTITION BY
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arms fused, the ten best scored anew by a fixed rule (distance), the two best kept."""
     q, c, dense, sparse = _arms(spark, sf_dir)
-    scores = R.scored(q, c, "euclidean").withColumnRenamed("score", "rerank_score")
+    scores = R.pair_scores(R.top_k(R.rrf(dense, sparse), 50), q, c, "euclidean").withColumnRenamed("score", "rerank_score")
     return R.search_articles(dense, sparse, scores, fetch_k=50, rerank_k=10, top=2).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -336,11 +336,11 @@ def item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "parent_id", "score", "is_cross_ref", "rank")
 
 
-@query(f"""WITH {_BASE}, p AS (SELECT DISTINCT query_id, label FROM top JOIN c USING (chunk_id)) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(p.label) AS BIGINT) AS survived, round(count(p.label) / count(*)::DOUBLE, 6) AS recall FROM q LEFT JOIN p ON p.query_id = q.query_id AND p.label = q.qlabel""")
+@query(f"""WITH {_BASE}, p AS (SELECT DISTINCT query_id, label FROM others JOIN c USING (chunk_id)) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(p.label) AS BIGINT) AS survived, round(count(p.label) / count(*)::DOUBLE, 6) AS recall FROM q LEFT JOIN p ON p.query_id = q.query_id AND p.label = q.qlabel""")
 def first_stage_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose label is among those of the first stage."""
     q, c, dense, sparse = _arms(spark, sf_dir)
-    found = R.top_k(R.rrf(dense, sparse), 10).join(c.select("chunk_id", "label"), "chunk_id").select("query_id", "label").distinct()
+    found = R.top_k(R.rrf(dense, sparse).where("query_id <> chunk_id"), 10).join(c.select("chunk_id", "label"), "chunk_id").select("query_id", "label").distinct()
     return R.stage_recall(found, q.select("query_id", F.col("qlabel").alias("label")), "label")
 
 
@@ -351,12 +351,12 @@ def flagged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.risk_search(dense, c.where("label % 2 = 0"), 0.2, 10)
 
 
-@query(f"""WITH {_BASE}, j AS (SELECT d.score, (q.qlabel = c.label) AS hit FROM dense d JOIN q USING (query_id) JOIN c USING (chunk_id)), t AS (SELECT quantile_cont(score, 0.1) FILTER (WHERE hit) AS a, quantile_cont(score, 0.9) FILTER (WHERE NOT hit) AS b FROM j)
+@query(f"""WITH {_BASE}, j AS (SELECT d.score, (q.qlabel = c.label) AS hit FROM dense d JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE chunk_id <> query_id), t AS (SELECT quantile_cont(score, 0.1) FILTER (WHERE hit) AS a, quantile_cont(score, 0.9) FILTER (WHERE NOT hit) AS b FROM j)
 SELECT round(a, 6) AS p10_relevant, round(b, 6) AS p90_other, round((a + b) / 2, 6) AS threshold FROM t""")
 def recommended_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score halfway between hits and others."""
     q, c, dense, _ = _arms(spark, sf_dir)
-    j = dense.join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
+    j = dense.where("query_id <> chunk_id").join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
     return R.recommended_threshold(j.select("score", (F.col("qlabel") == F.col("label")).alias("hit")))
 
 

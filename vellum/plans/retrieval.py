@@ -1,4 +1,7 @@
-"""Retrieval and its evaluation over ``embeddings``: vectors whose id is divisible by ``EVERY`` are queries, all are the corpus, a label is the judgement."""
+"""Retrieval and its evaluation over ``embeddings``: vectors whose id is divisible by ``EVERY`` are queries, all are the corpus, a label is the judgement.
+
+Searches return a query's own row, which is in the corpus; whatever judges a ranking leaves it out.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import tuning as T
 from .registry import query, table
 
-EVERY = 50
+#: Queries; strong places of a vector.
+EVERY, STRONG = 50, 0.15
 
 
 def _arms(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -19,7 +24,12 @@ def _arms(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, Dat
 
 
 def _relevant(q: DataFrame, c: DataFrame) -> DataFrame:
-    return q.join(c, q["qlabel"] == c["label"]).select("query_id", "chunk_id")
+    """All other rows with the query's label."""
+    return q.join(c, (q["qlabel"] == c["label"]) & (q["query_id"] != c["chunk_id"])).select("query_id", "chunk_id")
+
+
+def _others(ranked: DataFrame) -> DataFrame:
+    return ranked.where("query_id <> chunk_id")
 
 
 _BASE = f"""
@@ -34,7 +44,24 @@ fused AS (
     round(0.7::DOUBLE / (20 + coalesce(d.rank, s.ns + 1)) + 0.3::DOUBLE / (20 + coalesce(s.rank, d.nd + 1)), 9) AS score
   FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS nd FROM dense) d
   FULL OUTER JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS ns FROM sparse) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10)
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10),
+others AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused WHERE chunk_id <> query_id) WHERE rank <= 10)
+"""
+
+
+def _token_arm(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+    """Search by token weights: a vector's strong places, with their sign, are its tokens."""
+    each = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "v")).withColumn("v", F.col("v").cast("double"))
+    tokens = each.where(F.abs("v") >= STRONG).select("vec_id", (F.col("at") * 2 + (F.col("v") < 0).cast("int")).alias("token"), F.round(F.abs("v"), 3).alias("weight"))
+    return R.sparse_arm(tokens.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id"), tokens.withColumnRenamed("vec_id", "chunk_id"), k)
+
+
+_TOKENS = """
+tk AS (SELECT vec_id, (i - 1) * 2 + (v < 0)::INT AS token, round(abs(v), 3) AS weight FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE abs(v) >= 0.15),
+ts AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(sum(a.weight * b.weight), 6) AS score FROM tk a JOIN tk b USING (token) WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+tokened AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ts) WHERE rank <= 50),
+u AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, coalesce(d.rank, s.ns + 1) AS rd, coalesce(s.rank, d.nd + 1) AS rs
+  FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS nd FROM dense) d FULL OUTER JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS ns FROM tokened) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id)
 """
 
 
@@ -67,7 +94,7 @@ SELECT query_id, parent_id, chunk_id, score, rank FROM (
 def cascaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents first (a label's best member), then children of the two best parents."""
     q, c, _, _ = _arms(spark, sf_dir)
-    scored = R.scored(q, c, "cosine", "label")
+    scored = R.nearest(q, c, "cosine", 5, "label").drop("rank")
     parents = R.top_k(scored.groupBy("query_id", F.col("label").alias("chunk_id")).agg(F.max("score").alias("score")), 2)
     return R.cascade(scored, parents, F.col("label"), 5).select("query_id", "parent_id", "chunk_id", "score", "rank")
 
@@ -88,9 +115,9 @@ def crossref_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _METRICS = f"""WITH {_BASE},
-rel AS (SELECT query_id, chunk_id FROM q JOIN c ON qlabel = label),
+rel AS (SELECT query_id, chunk_id FROM q JOIN c ON qlabel = label AND query_id <> chunk_id),
 n AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY query_id),
-j AS (SELECT top.*, CASE WHEN rel.chunk_id IS NULL THEN 0 ELSE 1 END AS hit FROM top LEFT JOIN rel ON rel.query_id = top.query_id AND rel.chunk_id = top.chunk_id),
+j AS (SELECT others.*, CASE WHEN rel.chunk_id IS NULL THEN 0 ELSE 1 END AS hit FROM others LEFT JOIN rel ON rel.query_id = others.query_id AND rel.chunk_id = others.chunk_id),
 k AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM j),
 a AS (SELECT query_id, min(rank) FILTER (WHERE hit = 1) AS first, count(*) FILTER (WHERE hit = 1 AND rank <= 1) AS h1, count(*) FILTER (WHERE hit = 1 AND rank <= 5) AS h5, count(*) FILTER (WHERE hit = 1) AS h10,
   sum(hit / log2(rank + 1)) AS dcg, sum(hit * seen::DOUBLE / rank) AS ap FROM k GROUP BY query_id),
@@ -106,7 +133,7 @@ m AS (SELECT n.query_id, CAST(n.n_relevant AS BIGINT) AS n_relevant, CAST(coales
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search evaluated: recall, coverage, reciprocal rank, nDCG, average precision for each query."""
     q, c, dense, sparse = _arms(spark, sf_dir)
-    return R.ir_metrics(R.top_k(R.rrf(dense, sparse), 10), _relevant(q, c))
+    return R.ir_metrics(R.top_k(_others(R.rrf(dense, sparse)), 10), _relevant(q, c))
 
 
 @query(_METRICS + "SELECT round(avg(recall_1), 6) AS recall_1, round(avg(recall_10), 6) AS recall_10, round(avg(coverage_10), 6) AS coverage_10, round(avg(rr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(ap_10), 6) AS map_10 FROM m")
@@ -116,12 +143,12 @@ def ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir_metrics(spark, sf_dir).agg(*(F.round(F.avg(k), 6).alias(v) for k, v in names.items()))
 
 
-@query(f"""WITH {_BASE}, j AS (SELECT d.score, (q.qlabel = c.label) AS hit FROM dense d JOIN q USING (query_id) JOIN c USING (chunk_id))
+@query(f"""WITH {_BASE}, j AS (SELECT d.score, (q.qlabel = c.label) AS hit FROM dense d JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE chunk_id <> query_id)
 SELECT hit, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.9), 6) AS p90 FROM j GROUP BY hit""")
 def score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of scores of relevant and other results."""
     q, c, dense, _ = _arms(spark, sf_dir)
-    j = dense.join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id").withColumn("hit", F.col("qlabel") == F.col("label"))
+    j = _others(dense).join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id").withColumn("hit", F.col("qlabel") == F.col("label"))
     at = (0.1, 0.25, 0.5, 0.75, 0.9)
     out = j.groupBy("hit").agg(F.count("*").alias("n"), F.percentile("score", list(at)).alias("p"))
     return out.select("hit", "n", *(F.round(F.col("p")[k], 6).alias(f"p{round(100 * x)}") for k, x in enumerate(at)))
@@ -137,24 +164,67 @@ def error_type_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("error_type", "n", F.round(F.col("n") / total, 6).alias("ratio"))
 
 
-@query(f"""WITH {_BASE},
+@query(f"""WITH {_BASE}, {_TOKENS},
 p AS (SELECT * FROM (VALUES (0.0::DOUBLE), (0.3::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)) a(alpha), (VALUES (1), (20), (60)) k(rrf_k)),
-u AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, coalesce(d.rank, s.ns + 1) AS rd, coalesce(s.rank, d.nd + 1) AS rs
-  FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS nd FROM dense) d FULL OUTER JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS ns FROM sparse) s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
-f AS (SELECT alpha, rrf_k, query_id, chunk_id, row_number() OVER (PARTITION BY alpha, rrf_k, query_id ORDER BY round(alpha / (rrf_k + rd) + (1 - alpha) / (rrf_k + rs), 9) DESC, chunk_id) AS rank FROM u, p),
+f AS (SELECT alpha, rrf_k, query_id, chunk_id, row_number() OVER (PARTITION BY alpha, rrf_k, query_id ORDER BY round(alpha / (rrf_k + rd) + (1 - alpha) / (rrf_k + rs), 9) DESC, chunk_id) AS rank FROM u, p WHERE chunk_id <> query_id),
 r AS (SELECT alpha, rrf_k, query_id, min(rank) FILTER (WHERE qlabel = label) AS first FROM f JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE rank <= 10 GROUP BY ALL)
 SELECT alpha, rrf_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, CAST(row_number() OVER (ORDER BY round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) DESC, alpha, rrf_k) AS INT) AS place FROM r GROUP BY alpha, rrf_k""")
 def param_sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fusion settings in one plan: raw ranks once, joined with a parameter table; ties broken by the settings."""
-    q, c, dense, sparse = _arms(spark, sf_dir)
-    params = spark.createDataFrame([(a, k) for a in (0.0, 0.3, 0.7, 1.0) for k in (1, 20, 60)], "alpha double, rrf_k int")
-    nd, ns = F.count("*").over(Window.partitionBy("query_id")).alias("nd"), F.count("*").over(Window.partitionBy("query_id")).alias("ns")
-    both = dense.select("query_id", "chunk_id", F.col("rank").alias("rd"), nd).join(sparse.select("query_id", "chunk_id", F.col("rank").alias("rs"), ns), ["query_id", "chunk_id"], "full_outer")
-    both = both.select("query_id", "chunk_id", F.coalesce("rd", F.col("ns") + 1).alias("rd"), F.coalesce("rs", F.col("nd") + 1).alias("rs")).crossJoin(F.broadcast(params))  # twelve settings
-    score = F.round(F.col("alpha") / (F.col("rrf_k") + F.col("rd")) + (1 - F.col("alpha")) / (F.col("rrf_k") + F.col("rs")), 9)
-    w = Window.partitionBy("alpha", "rrf_k", "query_id").orderBy(F.desc("score"), "chunk_id")
-    best = both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    judged = best.join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
-    first = judged.groupBy("alpha", "rrf_k", "query_id").agg(F.min(F.when(F.col("qlabel") == F.col("label"), F.col("rank"))).alias("first"))
-    mrr = first.groupBy("alpha", "rrf_k").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
-    return mrr.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "alpha", "rrf_k")))
+    q, c, dense, _ = _arms(spark, sf_dir)
+    settings = [{**T.DEFAULTS, "alpha": a, "rrf_k": k, "fetch_k": 100} for a in (0.0, 0.3, 0.7, 1.0) for k in (1, 20, 60)]
+    met = T.evaluated(_others(T.raw_ranks(dense, _token_arm(spark, sf_dir))), _relevant(q, c), settings)
+    named = F.array(*(F.struct(F.lit(x["alpha"]).alias("alpha"), F.lit(x["rrf_k"]).alias("rrf_k")) for x in settings))
+    out = met.select(F.get(named, F.col("setting")).alias("s"), "mrr").select("s.alpha", "s.rrf_k", "mrr")
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "alpha", "rrf_k")))  # twelve rows
+
+
+def _staged_sql(stages: list[dict[str, list]]) -> str:
+    """The search written out: a table of settings, rankings, metrics and the best setting for each stage."""
+    cols = list(T.DEFAULTS)
+    lit = lambda v: "NULL" if v is None else str(v)
+    start = ", ".join(f"{lit(v)}::{'DOUBLE' if t == 'double' else 'INT'} AS {c}" for (c, v), t in zip(T.DEFAULTS.items(), T._TYPES.values(), strict=True))
+    parts = [f"""b0 AS (SELECT {start})""", "raw AS MATERIALIZED (SELECT u.query_id, u.chunk_id, rd, rs, es.score AS rescored FROM u JOIN es USING (query_id, chunk_id) WHERE query_id <> chunk_id)", "rel AS MATERIALIZED (SELECT query_id, chunk_id FROM q JOIN c ON qlabel = label AND query_id <> chunk_id)"]
+    for n, stage in enumerate(stages, 1):
+        values = ", ".join(f"(VALUES {', '.join(f'({k}, {lit(v)})' for k, v in enumerate(vs))}) v{c}(i{c}, {c})" for c, vs in stage.items())
+        order = "".join(f"i{c} * {1000 ** (len(stage) - 1 - k)} + " for k, c in enumerate(stage)) + "0"
+        own = ", ".join(f"v{c}.{c}::{'DOUBLE' if T._TYPES[c] == 'double' else 'INT'} AS {c}" if c in stage else f"b.{c}" for c in cols)
+        parts += [
+            f"s{n} AS MATERIALIZED (SELECT * FROM (SELECT {own}, {order} AS nr FROM b{n - 1} b, {values}) WHERE rerank_k <= fetch_k)",
+            f"f{n} AS (SELECT *, round(alpha / (rrf_k + rd) + (1 - alpha) / (rrf_k + rs), 9) AS fused FROM raw, s{n})",
+            f"g{n} AS (SELECT *, row_number() OVER (PARTITION BY nr, query_id ORDER BY fused DESC, chunk_id) AS nth FROM f{n})",
+            f"h{n} AS (SELECT *, CASE WHEN rerank_k > 0 THEN rescored ELSE fused END AS final FROM g{n} WHERE nth <= fetch_k AND (rerank_k = 0 OR nth <= rerank_k))",
+            f"p{n} AS (SELECT *, coalesce(least IS NULL OR final >= least, false) AS ok, bool_or(coalesce(least IS NULL OR final >= least, false)) OVER (PARTITION BY nr, query_id) AS any_ok FROM h{n})",
+            f"k{n} AS (SELECT nr, query_id, chunk_id, row_number() OVER (PARTITION BY nr, query_id ORDER BY final DESC, chunk_id) AS rank FROM p{n} WHERE ok OR NOT any_ok)",
+            f"r{n} AS (SELECT nr, query_id, min(rank) AS first FROM k{n} JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY nr, query_id)",
+            f"""m{n} AS MATERIALIZED (SELECT s.*, round(coalesce(sum(1.0::DOUBLE / first), 0) / (SELECT count(DISTINCT query_id) FROM rel), 6) AS mrr, {', '.join(f"round(count(*) FILTER (WHERE first <= {k})::DOUBLE / (SELECT count(DISTINCT query_id) FROM rel), 6) AS recall_{k}" for k in (1, 3, 10))}
+              FROM s{n} s LEFT JOIN r{n} r ON r.nr = s.nr GROUP BY ALL)""",
+            f"b{n} AS MATERIALIZED (SELECT {', '.join(cols)}, nr FROM m{n} ORDER BY mrr DESC, nr LIMIT 1)",
+        ]
+    out = " UNION ALL ".join(f"SELECT {n} AS stage, m.* EXCLUDE (nr), m.nr = (SELECT nr FROM b{n}) AS chosen FROM m{n} m" for n in range(1, len(stages) + 1))
+    return f"WITH {_BASE}, {_TOKENS}, {', '.join(parts)} {out}"
+
+
+_FUSION = {"alpha": [0.3, 0.5, 0.6, 0.7, 1.0], "rrf_k": [20, 40, 60, 100]}
+_STAGES = [_FUSION, {"fetch_k": [20, 30, 50, 80], "rerank_k": [5, 10, 20, 30]}, {"least": [None, -1.9, -1.7, -1.5]}]
+_STAGES_OFF = [_FUSION, {"fetch_k": [5, 20, 50]}]
+
+
+def _staged(spark: SparkSession, sf_dir: str, stages: list[dict[str, list]]) -> DataFrame:
+    q, c, dense, _ = _arms(spark, sf_dir)
+    sparse = _token_arm(spark, sf_dir)
+    found = dense.select("query_id", "chunk_id").unionByName(sparse.select("query_id", "chunk_id")).distinct()
+    raw = T.raw_ranks(dense, sparse, R.pair_scores(found, q, c, "euclidean"))
+    return T.staged_search(_others(raw), _relevant(q, c), stages)
+
+
+@query(_staged_sql(_STAGES))
+def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings chosen in stages: fusion, then how many are fetched and reranked, then the least score; ranks are written once."""
+    return _staged(spark, sf_dir, _STAGES)
+
+
+@query(_staged_sql(_STAGES_OFF))
+def staged_search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without reranking: fusion, then how many are fetched."""
+    return _staged(spark, sf_dir, _STAGES_OFF)

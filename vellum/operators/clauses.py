@@ -99,38 +99,43 @@ def clause_positions(lines: DataFrame, pages: DataFrame) -> DataFrame:
     ``lines(doc_id, page, x, y, text)``, ``pages(doc_id, page, height)``. A unit ends where the next one of its kind in the same
     larger unit begins, the last one with that unit, the last clause with the document. Items count in the paragraph, or in
     a clause without paragraphs. Documents with fewer than ``LEAST`` headings have no places; of equal keys the last counts.
+
+    One pass over a document's marks in order: a unit is open until a mark of its kind or a larger one.
     """
-    heads = lines.select("doc_id", "page", "y", "x", F.explode(F.regexp_extract_all("text", F.lit(TITLED), 1)).alias("head"))
-    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "y", "x", F.regexp_extract("head", r"제(\d+)", 1).cast("long").alias("n"), F.regexp_extract("head", NUMBER, 0).alias("key")))).alias("h"))
-    taken = listed.withColumn("taken", monotone_fold(F.transform("h", lambda x: x["n"]), AHEAD)).where(F.size("taken") >= LEAST)
-    clauses = taken.select("doc_id", F.explode(F.transform("taken", lambda t: F.get(F.col("h"), t))).alias("c")).select("doc_id", "c.page", "c.y", "c.x", F.lit(0).alias("level"), "c.key")
     trimmed = T.strip(F.col("text"))
-    mark, item = F.regexp_extract(trimmed, f"^[{PARAGRAPHS}]", 0), F.regexp_extract(trimmed, r"^(\d{1,2})\.", 1)
-    parts = lines.select(
-        "doc_id", "page", "y", "x", F.when(mark != "", 1).when(item != "", 2).alias("level"),
-        F.when(mark != "", F.concat(F.lit("제"), F.call_function("instr", F.lit(PARAGRAPHS), mark).cast("string"), F.lit("항"))).otherwise(F.concat(F.lit("제"), item, F.lit("호"))).alias("key"),
-    ).where("level is not null")
-    every = clauses.unionByName(parts.join(clauses.select("doc_id").distinct(), "doc_id", "left_semi"))
-    order = [F.col("page"), F.col("y"), F.col("level")]
-    upto = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = every.withColumn("c", F.sum((F.col("level") == 0).cast("int")).over(upto)).where("c > 0")
-    in_clause = Window.partitionBy("doc_id", "c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("p", F.sum((F.col("level") == 1).cast("int")).over(in_clause)).withColumn("has", F.max((F.col("level") == 1)).over(Window.partitionBy("doc_id", "c")))
-    own = own.where("level < 2 or not has or p > 0")
-    end = pages.groupBy("doc_id").agg(F.max(F.struct("page", F.col("height").alias("y"))).alias("end"))
-    at = F.struct("page", "y")
-    tops = own.where("level = 0").withColumn("stop", F.lead(at).over(Window.partitionBy("doc_id").orderBy(*order)))
-    tops = tops.join(end, "doc_id").withColumn("stop", F.coalesce("stop", "end")).drop("end")
-    outer = tops.select("doc_id", "c", F.col("key").alias("top"), F.col("stop").alias("outer"))
-    below = own.where("level > 0").join(outer, ["doc_id", "c"])
-    paragraphs = below.where("level = 1").withColumn("stop", F.coalesce(F.lead(at).over(Window.partitionBy("doc_id", "c").orderBy(*order)), F.col("outer")))
-    unit = paragraphs.select("doc_id", "c", "p", F.concat("top", "key").alias("unit"), F.col("stop").alias("inner"))
-    items = below.where("level = 2").join(unit, ["doc_id", "c", "p"], "left").withColumn("top", F.coalesce("unit", "top"))
-    items = items.withColumn("stop", F.coalesce(F.lead(at).over(Window.partitionBy("doc_id", "c", "p").orderBy(*order)), "inner", "outer"))
-    cols = lambda df, key: df.select("doc_id", key.alias("key"), F.col("page").alias("start_page"), F.col("y").alias("start_y"), F.col("stop.page").alias("stop_page"), F.col("stop.y").alias("stop_y"), "x")
-    out = cols(tops, F.col("key")).unionByName(cols(paragraphs, F.concat("top", "key"))).unionByName(cols(items, F.concat("top", "key")))
-    last = F.max_by(F.struct("start_page", "start_y", "stop_page", "stop_y", "x"), F.struct("start_page", "start_y")).alias("v")
-    return out.groupBy("doc_id", "key").agg(last).select("doc_id", "key", "v.*")
+    paragraph, item = F.regexp_extract(trimmed, f"^[{PARAGRAPHS}]", 0), F.regexp_extract(trimmed, r"^(\d{1,2})\.", 1)
+    mark = lambda level, key, n=None: F.struct("page", "y", F.lit(level).alias("level"), "x", (F.lit(None).cast("long") if n is None else n).alias("n"), key.alias("key"))
+    heads = F.transform(F.regexp_extract_all("text", F.lit(TITLED), 1), lambda h: mark(0, F.regexp_extract(h, NUMBER, 0), F.regexp_extract(h, r"제(\d+)", 1).cast("long")))
+    numbered = lambda n, unit: F.concat(F.lit("제"), n.cast("string"), F.lit(unit))
+    own = F.when(paragraph != "", mark(1, numbered(F.call_function("instr", F.lit(PARAGRAPHS), paragraph), "항"))).when(item != "", mark(2, numbered(item, "호")))
+    marks = lines.select("doc_id", F.inline(F.array_compact(F.concat(heads, F.array(own)))))
+    ends = pages.select("doc_id", "page", F.col("height").alias("y"), F.lit(9).alias("level"), *(F.lit(None).cast(t).alias(c) for c, t in (("x", "double"), ("n", "long"), ("key", "string"))))
+    # the only exchange: what follows keeps a document's rows together
+    last = F.col("level") == 9
+    listed = marks.unionByName(ends).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(~last, F.struct("page", "y", "level", "x", "n", "key")))).alias("marks"), F.max(F.when(last, F.struct("page", "y"))).alias("end")
+    )
+    found = listed.withColumn("heads", F.filter("marks", lambda m: m["level"] == 0)).withColumn("taken", monotone_fold(F.transform("heads", lambda h: h["n"]), AHEAD))
+    found = found.where((F.size("taken") >= LEAST) & F.col("end").isNotNull())
+    accepted = F.transform("taken", lambda t: F.get(F.col("heads"), t))
+    rows = found.select("doc_id", "end", F.posexplode(F.array_sort(F.concat(accepted, F.filter("marks", lambda m: m["level"] > 0)))).alias("k", "m")).select("doc_id", "end", "k", "m.*")
+    w, at, level = Window.partitionBy("doc_id").orderBy("k"), F.struct("page", "y"), F.col("level")
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "top": F.last(F.when(level == 0, F.col("key")), ignorenulls=True).over(upto),
+        "unit": F.last(F.when(level <= 1, F.struct("level", "key")), ignorenulls=True).over(upto),
+        "clause_end": F.first(F.when(level == 0, at), ignorenulls=True).over(after),
+        "unit_end": F.first(F.when(level <= 1, F.struct(at.alias("at"), "level")), ignorenulls=True).over(after),
+        "next": F.lead(at).over(w),
+    })
+    # items before the first paragraph of a clause that has some are no units
+    in_paragraph, none_follows = F.col("unit.level") == 1, F.coalesce(F.col("unit_end.level") == 0, F.lit(True))
+    rows = rows.where(F.col("top").isNotNull() & ((level < 2) | in_paragraph | none_follows))
+    stop = F.coalesce(F.when(level == 0, F.col("clause_end")).when(level == 1, F.col("unit_end.at")).otherwise(F.col("next")), "end")
+    key = F.when(level == 0, F.col("key")).when((level == 2) & in_paragraph, F.concat("top", "unit.key", "key")).otherwise(F.concat("top", "key"))
+    place = F.struct(F.col("page").alias("start_page"), F.col("y").alias("start_y"), stop["page"].alias("stop_page"), stop["y"].alias("stop_y"), "x")
+    out = rows.select("doc_id", key.alias("key"), "k", place.alias("v"))
+    return out.groupBy("doc_id", "key").agg(F.max_by("v", "k").alias("v")).select("doc_id", "key", "v.*")
 
 
 def position_fragments(positions: DataFrame, pages: DataFrame, margin: float = 20.0) -> DataFrame:

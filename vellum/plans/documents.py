@@ -84,7 +84,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     line = lambda dy, text: F.struct((F.col("top") + dy).alias("y"), F.lit(50.0 + dy).alias("x"), text.alias("text"))
     own = F.array(line(0.0, _say("제", F.col("n"), "조(", F.col("f"), ") 본문")), F.when(F.col("q") > 25, line(20.0, _say("① 수량 ", F.col("q")))), F.when(F.col("f") == "P", line(40.0, _say("1. 하나"))), F.when(F.col("f") == "P", line(60.0, _say("2. 둘"))))
     lines = li.select("doc_id", (F.col("page") + 1).alias("page"), F.inline(F.array_compact(own)))
-    pages = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(300.0).alias("height"))
+    pages = li.where("(n - 1) % 3 = 0").select("doc_id", (F.col("page") + 1).alias("page"), F.lit(600.0).alias("width"), F.lit(300.0).alias("height"))
     return lines, pages
 
 

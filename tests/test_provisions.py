@@ -1,5 +1,6 @@
 """Parts of statutes and references among them, on hand-written texts."""
 
+from vellum.operators import mentions as M
 from vellum.operators import provisions as P
 from vellum.operators import statutes as L
 
@@ -69,6 +70,7 @@ def test_references(spark):
     assert refs["LAW_0_0_3_0_0_0_0"] == [("DEC_0_0_5_1_2_0_0", True), *a(("1_0_0", True), ("2_0_0", True), ("9_4_0", False))]
     assert refs["LAW_0_0_4_0_0_0_0"] == a(("1_0_0", True), ("1_0_1", True), ("1_0_2", True))
     own = {"prefix": "PYG", "jo": None, "jo_ui": None, "jeol": "7", "hang": "1", "ho": "가"}
-    got = P.deep_mentions('제8절 "4-나-1)" 및 "다", "2)"와 “마” 그리고 "가"', own, {}, {})
-    assert [m[1:7] for m in got] == [("8", None, "4", "나", "1", None), ("8", None, "4", "다", None, None), ("8", None, "4", "다", "2", None), ("8", None, "4", "마", None, None)]
-    assert [m[3:5] for m in P.deep_mentions('앞의 "라"와 "가"', own, {}, {})] == [("1", "라")]
+    place = lambda m: (m.jo, m.ui, m.hang, m.ho, m.mok, m.semok)
+    got = M.mentions('제8절 "4-나-1)" 및 "다", "2)"와 “마” 그리고 "가"', own, {})
+    assert [place(m) for m in got] == [("8", None, "4", "나", "1", None), ("8", None, "4", "다", None, None), ("8", None, "4", "다", "2", None), ("8", None, "4", "마", None, None)]
+    assert [place(m)[2:4] for m in M.mentions('앞의 "라"와 "가"', own, {})] == [("1", "라")]

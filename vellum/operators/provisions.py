@@ -2,19 +2,22 @@
 
 An article's parts are cut by expressions on its row: no text is carried through a shuffle. Ids have eight
 slots (law, chapter, section, article, paragraph, item, sub-item, detail), ``0`` where there is none. What a
-chunk refers to is read by one small function of its text; the targets are found by joins with a registry.
+chunk refers to is read by a function of its text (``mentions``); the targets are found by joins with a registry.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .statutes import CHAPTER, HANGUL, PART, law_of, number_of, passages, range_of
+from ..scratch import Scratch
+from .mentions import OPENING, UNITS, mentions
+from .names import longest_names
+from .statutes import CHAPTER, HANGUL, PART
 
 # How statutes and contract conditions mark their parts.
 PARAGRAPHS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮"
@@ -152,125 +155,66 @@ def registry(chunks: DataFrame) -> DataFrame:
     return own.groupBy("r_prefix", "r_jo", "r_ui", "r_hang", "r_ho", "r_mok", "r_semok").agg(F.max_by("chunk_id", F.struct("k", "chunk_id")).alias("hit"))
 
 
-_DEEP = re.compile(rf"{number_of('조', True)}(?:{number_of('항')})?(?:{number_of('호')})?")
-_RELATIVE = re.compile(r"(?:이\s*)?(시행규칙|시행령|법|영|규칙)\s+(제\d+조[^。\n「」]{0,80})")
-#: Short names of enforcement decrees and rules.
-SHORT = {"시행령": "영", "시행규칙": "규칙"}
-_EACH = re.compile(rf"{number_of('조', True)}(?:{number_of('항')})?\s*각\s*호")
-_QUOTE = rf"(\d+)(?:-([{HANGUL}])\)?)?(?:-(\d+)\)?)?(?:-([{HANGUL}])\)?)?"
-_SECTION = re.compile(rf"{number_of('절')}\s*[“\"]{_QUOTE}[”\"]")
-_NEXT_QUOTE = re.compile(r"\s*(?:와|및|,|·)\s*[“\"]([^”\"]{1,20})[”\"]")
-_LETTER = re.compile(rf"[“\"]([{HANGUL}])[”\"]")
+_PLACE = ("jo", "ui", "hang", "ho", "mok", "semok")
+_FOUND = "chunk_id string, k int, title string, prefix string, jo string, ui string, hang string, ho string, mok string, semok string, each boolean"
 
 
-def _numbers(passage: str, unit: str) -> list[str]:
-    """The numbers of a unit in a passage, ranges spelled out, ascending."""
-    found = {n for m in range_of(unit).finditer(passage) for n in range(int(m[1]), int(m[2]) + 1)}
-    return [str(n) for n in sorted(found | {int(n) for n in re.findall(number_of(unit), passage)})]
+def _mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``chunk_id, text, relatives, place``: a row for each mention."""
+    for b in batches:
+        rows = []
+        for chunk, text, relatives, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, m in enumerate(mentions(text or "", place, dict(relatives or ()))):
+                rows.append((chunk, k, m.title, m.prefix, *(getattr(m, c) for c in _PLACE), m.each))
+        if rows:
+            cols = list(zip(*rows, strict=True))
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 8, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["chunk_id", "k", "title", "prefix", *_PLACE, "each"])
 
 
-def _in_passage(passage: str, law: str) -> list[tuple]:
-    """The places a passage names in a law: each article with the paragraphs and items that follow it."""
-    heads = list(re.finditer(number_of("조", True), passage))
-    stops = [m.start() for m in heads[1:]] + [len(passage)]
-    out = []
-    for m, stop in zip(heads, stops, strict=True):
-        own = passage[m.start() : stop]
-        out += [(law, str(int(m[1])), m[2], p, i, None, None, False) for p in _numbers(own, "항") or [None] for i in _numbers(own, "호") or [None]]
-    return out
-
-
-def _quoted(token: str, clause: str, letter: str | None) -> tuple | None:
-    """Clause, letter, number and detail that a quoted place names; what is missing in front comes from the place before."""
-    token = token.strip()
-    if m := re.fullmatch(_QUOTE, token):
-        return str(int(m[1])), m[2], m[3], m[4]
-    if re.fullmatch(f"[{HANGUL}]", token):
-        return clause, token, None, None
-    return (clause, letter, token[:-1], None) if re.fullmatch(r"\d+\)", token) else None
+def found_places(chunks: DataFrame, names: DataFrame, relatives: DataFrame) -> DataFrame:
+    """``chunk_id, k, prefix, jo, ui, hang, ho, mok, semok, each``: the places that chunks refer to, in the order of the rules.
 
+    ``names(name, prefix)``: a quoted title means the law with the longest name in it, and is left out if there is none.
+    ``relatives(prefix, kind, target)``: what ``영``, ``규칙`` and ``법`` mean in a law.
+    """
+    near = relatives.groupBy(F.col("prefix").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("kind", "target"))).alias("near"))
+    place = F.struct("prefix", "jo", "jo_ui", F.col("jeol").cast("string").alias("jeol"), "hang", "ho")
+    read = chunks.where(F.col("text").rlike(rf"제\d+[{UNITS}]|[{OPENING}]"))  # others name no place
+    met = read.join(near, F.col("prefix") == F.col("of"), "left").select("chunk_id", "text", "near", place.alias("place"))
+    each = met.mapInArrow(_mentioned, _FOUND)
+    titles = longest_names(each.where("title is not null"), "title", names, "name").select(F.col("text").alias("title"), "name")
+    laws = titles.join(names.groupBy("name").agg(F.min("prefix").alias("law")), "name").select("title", "law")
+    named = each.join(laws, "title", "left").withColumn("prefix", F.coalesce("prefix", "law")).where("prefix is not null")
+    return named.select("chunk_id", "k", "prefix", *_PLACE, "each")
 
-def deep_mentions(text: str, own: dict, prefixes: dict[str, str], relatives: dict[str, dict[str, str]]) -> list[tuple]:
-    """(prefix, article, branch, paragraph, item, sub-item, detail, every item) for each place that a chunk refers to, in order of the rules.
 
-    ``own`` is the chunk's place. Titled laws come first, then the same law's decree or rules, ranges of articles, bare
-    articles, paragraphs and items of the own article, quoted places of conditions, letters of the own clause, and ``각 호``.
-    What an earlier rule has consumed, later ones of single places don't see; a chunk's own place doesn't count.
-    """
-    out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
-    law, jo, ui, hang = own["prefix"], own["jo"], own["jo_ui"], own["hang"]
-    ho = re.match(r"\d+", own["ho"] or "")
-    free = lambda m, spans: not any(a <= m.start() < b for a, b in spans)
-    for a, b, title, passage in passages(text):
-        taken.append((a, b))
-        if other := law_of(title, prefixes):
-            out += _in_passage(passage, other)
-    for m in _RELATIVE.finditer(text):
-        if other := relatives.get(law, {}).get(SHORT.get(m[1], m[1])):
-            taken.append(m.span())
-            out += _in_passage(m[2], other)
-    for m in range_of("조").finditer(text):
-        taken.append(m.span())
-        out += [(law, str(n), None, None, None, None, None, False) for n in range(int(m[1]), int(m[2]) + 1)]
-    for m in _DEEP.finditer(text):
-        same = (m[1], m[2]) == (jo, ui) and m[3] in (None, hang) and (m[4] is None or ho is not None and m[4] == ho[0])
-        if free(m, taken) and not same:
-            out.append((law, m[1], m[2], m[3], m[4], None, None, False))
-    # paragraphs and items of the own article, ranges before single ones; what hangs on a larger unit isn't bare
-    levels = [("항", "조", lambda n: (n, None))] if jo else []
-    levels += [("호", "조항", lambda n: (hang, n))] if jo and ho else []
-    for unit, behind, place in levels:
-        spans = []
-        for m in re.finditer(rf"(?<!{behind[-1] if unit == '항' else '호'})(?<!\d){range_of(unit).pattern}", text):
-            if free(m, taken):
-                spans.append(m.span())
-                out += [(law, jo, ui, *place(str(n)), None, None, False) for n in range(int(m[1]), int(m[2]) + 1)]
-        tail = f"(?:{number_of('호')})?" if unit == "항" else ""
-        for m in re.finditer("".join(f"(?<!{x})" for x in behind) + rf"(?<!\d){number_of(unit)}{tail}", text):
-            if free(m, spans) and free(m, taken):
-                if unit == "항":
-                    out.append((law, jo, ui, m[1], m[2], None, None, False))
-                elif m[1] != ho[0]:
-                    out.append((law, jo, ui, hang, m[1], None, None, False))
-    for m in _SECTION.finditer(text):
-        place, at = (m[2], m[3], m[4], m[5]), m.end()
-        out.append((law, m[1], None, *place, False))
-        while (more := _NEXT_QUOTE.match(text, at)) and (named := _quoted(more[1], place[0], place[1])):
-            place, at = named, more.end()
-            out.append((law, m[1], None, *place, False))
-        taken.append((m.start(), at))
-    if not jo and own["jeol"] and hang:
-        out += [(law, own["jeol"], None, hang, m[1], None, None, False) for m in _LETTER.finditer(text) if free(m, taken) and m[1] != own["ho"]]
-    out += [(law, m[1], m[2], m[3], None, None, None, True) for m in _EACH.finditer(text)]
-    return list(dict.fromkeys(out))
-
-
-_PLACE = ("prefix", "jo", "ui", "hang", "ho", "mok", "semok", "each")
-
-
-def references(chunks: DataFrame, prefixes: dict[str, str], relatives: dict[str, dict[str, str]]) -> DataFrame:
+def references(chunks: DataFrame, names: DataFrame | dict[str, str] | None = None, relatives: DataFrame | dict[str, dict[str, str]] | None = None) -> DataFrame:
     """``chunk_id, k, ref_id, is_resolved`` for all chunks: places looked up in the registry, ``각 호`` spelled out, each target once at its first place.
 
     A place that no chunk has keeps an id built without chapter and section. ``다음 각 호`` and ``다음 각 항`` append the chunk's own children.
+    Chunks, the registry and the places are written once, so a text is parsed and read once.
     """
-    kind = "array<struct<prefix: string, jo: string, ui: string, hang: string, ho: string, mok: string, semok: string, each: boolean>>"
-    cols = ["prefix", "jo", "jo_ui", "jeol", "hang", "ho"]
-
-    @F.pandas_udf(kind)
-    def found(text: pd.Series, place: pd.DataFrame) -> pd.Series:
-        own = place.astype(object).where(place.notna(), None).to_dict("records")
-        return pd.Series([[dict(zip(_PLACE, m, strict=True)) for m in deep_mentions(t or "", o, prefixes, relatives)] for t, o in zip(text, own, strict=True)])
-
-    place = F.struct("prefix", "jo", "jo_ui", F.col("jeol").cast("string").alias("jeol"), "hang", "ho")
-    each = chunks.select("chunk_id", F.posexplode(found("text", place)).alias("k", "m")).select("chunk_id", "k", *(F.col(f"m.{c}").alias(c) for c in _PLACE))
-    reg = registry(chunks)
+    spark = chunks.sparkSession
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame(list((names or {}).items()), "name string, prefix string")
+    if not isinstance(relatives, DataFrame):
+        relatives = spark.createDataFrame([(p, k, t) for p, own in (relatives or {}).items() for k, t in own.items()], "prefix string, kind string, target string")
+    scratch = Scratch(spark, "references")
+    chunks = scratch.cut(chunks, "chunks")
+    reg = scratch.cut(registry(chunks), "registry")
+    places = scratch.cut(found_places(chunks, names, relatives), "places")
+    return resolved(chunks, reg, places)
+
+
+def resolved(chunks: DataFrame, reg: DataFrame, places: DataFrame) -> DataFrame:
+    """``chunk_id, k, ref_id, is_resolved`` from the places that chunks refer to and the registry; see ``references``."""
     key = lambda names: [F.col(a).eqNullSafe(F.col(f"r_{a}")) for a in names]
-    single = each.where("not each").join(reg, _all(key(_PLACE[:-1])), "left")
+    single = places.where("not each").join(reg, _all(key(("prefix", *_PLACE))), "left")
     built = slots(F.col("prefix"), F.lit("0"), F.lit("0"), _slot(F.col("jo"), F.col("ui")), *(_slot(F.col(c)) for c in ("hang", "ho", "mok", "semok")))
     single = single.select("chunk_id", "k", F.lit("").alias("tie"), F.coalesce("hit", built).alias("ref_id"), F.col("hit").isNotNull().alias("is_resolved"))
     items = reg.where("r_ho is not null and r_mok is null")
-    spread = each.where("each").join(items, _all(key(("prefix", "jo", "ui", "hang")))).select("chunk_id", "k", F.col("hit").alias("tie"), F.col("hit").alias("ref_id"), F.lit(True).alias("is_resolved"))
+    spread = places.where("each").join(items, _all(key(("prefix", "jo", "ui", "hang")))).select("chunk_id", "k", F.col("hit").alias("tie"), F.col("hit").alias("ref_id"), F.lit(True).alias("is_resolved"))
     asks = chunks.where(F.col("text").rlike(r"(?U)다음\s*각\s*(?:호|항)")).select("chunk_id")
     children = chunks.where("parent_id is not null").select(F.col("parent_id").alias("chunk_id"), F.lit(1 << 30).alias("k"), F.col("chunk_id").alias("tie"), F.col("chunk_id").alias("ref_id"), F.lit(True).alias("is_resolved"))
     every = single.unionByName(spread).unionByName(asks.join(children, "chunk_id"))

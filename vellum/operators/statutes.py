@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import Names
 from .ordered import keep_first
 
 # How statutes write their parts.
@@ -83,13 +84,13 @@ def passages(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def law_of(title: str, prefixes: dict[str, str]) -> str | None:
+def law_of(title: str, prefixes: dict[str, str], names: Names) -> str | None:
     """The prefix of the longest known name in a title."""
-    name = max((n for n in prefixes if n in title), key=len, default=None)
+    name = names.longest(title)
     return prefixes[name] if name else None
 
 
-def mentions(text: str, prefix: str, prefixes: dict[str, str]) -> list[tuple[str, int, int | None]]:
+def mentions(text: str, prefix: str, prefixes: dict[str, str], names: Names) -> list[tuple[str, int, int | None]]:
     """(prefix, article, branch) that a text refers to, in order, each once: titled laws, ranges, then bare articles.
 
     What one rule has consumed the next doesn't see.
@@ -98,7 +99,7 @@ def mentions(text: str, prefix: str, prefixes: dict[str, str]) -> list[tuple[str
     taken = []
     for a, b, title, passage in passages(text):
         taken.append((a, b))
-        if law := law_of(title, prefixes):
+        if law := law_of(title, prefixes, names):
             out.update({(law, int(n), int(u) if u else None): None for n, u in _BARE.findall(passage)})
     for m in _ARTICLES.finditer(text):
         if not any(a <= m.start() < b for a, b in taken):
@@ -118,7 +119,8 @@ def references(chunks: DataFrame, prefixes: dict[str, str]) -> DataFrame:
 
     @F.pandas_udf("array<struct<prefix: string, jo: int, jo_ui: int>>")
     def found(text: pd.Series, prefix: pd.Series) -> pd.Series:
-        return pd.Series([[{"prefix": p, "jo": j, "jo_ui": u} for p, j, u in mentions(t or "", x, prefixes)] for t, x in zip(text, prefix, strict=True)])
+        names = Names(prefixes)
+        return pd.Series([[{"prefix": p, "jo": j, "jo_ui": u} for p, j, u in mentions(t or "", x, prefixes, names)] for t, x in zip(text, prefix, strict=True)])
 
     each = chunks.select("chunk_id", F.col("prefix").alias("own"), F.col("jo").alias("own_jo"), F.col("jo_ui").alias("own_ui"), F.posexplode(found("text", "prefix")).alias("k", "m"))
     each = each.select("chunk_id", "own", "own_jo", "own_ui", "k", "m.prefix", "m.jo", "m.jo_ui")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clauses as C
+from ..operators import names as N
 from ..operators import provisions as P
 from ..operators import statutes as L
 from .registry import query, table
@@ -133,9 +134,13 @@ def _statute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _say("제", number(), "조(품목 ", flag(), ") 다음과 같다. ① 수량 ", quantity(), " ② 다음 각 호로 한다. 1. 부품 ", part(), " 2. 공급 가. 처음 ", supplier(), " 나. 제", number() + 1, "조제1항과 제1항")
     rows = F.array(F.struct((number() * 10).alias("ord"), F.when(number() % 2 == 1, parts).otherwise(law).alias("line")), F.struct((number() * 10 + 1).alias("ord"), _say("<개정 ", number(), "> [전문개정]").alias("line")))
     li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.inline(rows))
-    chapters = li.select("file").distinct().select("file", F.lit(0).alias("ord"), F.lit("제2장 본칙").alias("line"))
-    ends = li.select("file").distinct().select("file", F.lit(1000).alias("ord"), F.lit("부칙").alias("line"))
-    return li.unionByName(chapters).unionByName(ends).select("file", "ord", _say("L", F.col("file")).alias("prefix"), "line")
+    frame = F.array(F.struct(F.lit(0).alias("ord"), F.lit("제2장 본칙").alias("line")), F.struct(F.lit(1000).alias("ord"), F.lit("부칙").alias("line")))
+    return li.unionByName(_files(spark, sf_dir).select("file", F.inline(frame))).select("file", "ord", _say("L", F.col("file")).alias("prefix"), "line")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers with orders; each is a file."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file")).distinct()
 
 
 _PARTS = """WITH b AS (SELECT 'L' || l_orderkey AS prefix, l_orderkey, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s, 'L' || l_orderkey || '_2_0_' || l_linenumber AS h, '제2장제' || l_linenumber || '조' AS a FROM lineitem),
@@ -182,6 +187,56 @@ def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.references(_chunks(spark, sf_dir), {}, {})
 
 
+@query(stated("""WITH b AS (SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber || '_0_0_0_0' AS chunk_id, l_orderkey AS c, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
+m AS (SELECT chunk_id, c, n, q, unnest([least(n, 3), greatest(n, 3)]) AS p FROM b WHERE n % 4 = 1),
+r AS (SELECT chunk_id, 'D' || c || '_0_0_' || q || '_' || p || '_0_0_0' AS ref_id, false AS is_resolved, p AS o FROM m
+UNION ALL SELECT chunk_id, 'D' || c || '_0_0_' || q || '_0_0_0_0', false, 0 FROM b WHERE n % 4 = 2
+UNION ALL SELECT chunk_id, 'L' || c || '_2_0_' || (n - 1) || unnest(['_0_0_0_0', '_0_1_0_0', '_0_2_0_0']), true, unnest([0, 1, 2]) FROM b WHERE n % 4 = 3
+UNION ALL SELECT b.chunk_id, t.chunk_id, true, 0 FROM b JOIN b t ON t.c = b.c + 1 AND t.n = 1 WHERE b.n % 4 = 0)
+SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1 AS INT) AS k, ref_id, is_resolved FROM r"""))
+def statute_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in quotes among as many names as there are laws, the law's own decree, and all items of an article."""
+    at, own = number() % 4, F.col("l_orderkey")
+    line = (
+        F.when(at == 1, _say("제", number(), "조(인용) 「품목", own, "법 시행령」 제", quantity(), "조제", number(), "항 및 제3항을 따른다"))
+        .when(at == 2, _say("제", number(), "조(준용) 영 제", quantity(), "조에 따라 다음과 같다. 1. 갑 2. 을"))
+        .when(at == 3, _say("제", number(), "조(각호) 제", number() - 1, "조 각 호에 따른다")).otherwise(_say("제", number(), "조(타법) 「품목", own + 1, "법」 제1조"))
+    )
+    li = _lines(spark, sf_dir).select(own.alias("file"), (number() * 10).alias("ord"), line.alias("line"))
+    heads = _files(spark, sf_dir).select("file", F.lit(0).cast("int").alias("ord"), F.lit("제2장 본칙").alias("line"))
+    chunks = P.provisions(L.articles(li.unionByName(heads).select("file", "ord", _say("L", F.col("file")).alias("prefix"), "line")))
+    files = _files(spark, sf_dir)
+    named = F.array(F.struct(_say("품목", F.col("file"), "법").alias("name"), _say("L", F.col("file")).alias("prefix")), F.struct(_say("품목", F.col("file"), "법 시행령").alias("name"), _say("D", F.col("file")).alias("prefix")))
+    relatives = files.select(_say("L", F.col("file")).alias("prefix"), F.lit("영").alias("kind"), _say("D", F.col("file")).alias("target"))
+    return P.references(chunks, files.select(F.inline(named)), relatives)
+
+
+@query(stated("""WITH b AS (SELECT 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, 'C' || l_orderkey || '_0_0_2_' || l_linenumber AS x FROM lineitem)
+SELECT h || '_가_0_0' AS chunk_id, 0::INT AS k, h || '_가_1_0' AS ref_id, true AS is_resolved FROM b
+UNION ALL SELECT h || '_가_0_0', 1, x || '_나_0_0', false FROM b UNION ALL SELECT h || '_가_0_0', 2, x || '_나_2_0', false FROM b"""))
+def condition_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted places of contract conditions; what a place leaves out comes from the one before."""
+    rows = F.array(
+        F.struct((number() * 10).alias("ord"), _say(number(), ". 수량 ", quantity()).alias("line")),
+        F.struct((number() * 10 + 1).alias("ord"), _say("가. 항목 제2절 “", number(), "-가-1)” 및 “나”와 “2)” 1) 부품 ", part()).alias("line")),
+    )
+    li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.inline(rows))
+    heads = F.array(F.struct(F.lit(0).alias("ord"), F.lit("제1장 총칙").alias("line")), F.struct(F.lit(1).alias("ord"), F.lit("제2절 조건").alias("line")))
+    lines = li.unionByName(_files(spark, sf_dir).select("file", F.inline(heads))).select("file", "ord", _say("C", F.col("file")).alias("prefix"), F.lit("p").alias("kind"), "line")
+    return P.references(P.conditions(lines))
+
+
+_NAMES = "n AS (SELECT DISTINCT unnest([a[1], a[2], a[1] || ' ' || a[2][1:3]]) AS name FROM (SELECT string_split(p_name, ' ') AS a FROM part))"
+
+
+@query(f"WITH {_NAMES} SELECT text, name FROM (SELECT p_name AS text, name, row_number() OVER (PARTITION BY p_name ORDER BY length(name) DESC, name) AS r FROM (SELECT DISTINCT p_name FROM part) JOIN n ON contains(p_name, name)) WHERE r = 1")
+def longest_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of many names (words, and words with the start of the next) in each part's name, found in one pass."""
+    parts, a = table(spark, sf_dir, "part"), F.split("p_name", " ")
+    names = parts.select(F.explode(F.array(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.concat(F.get(a, F.lit(0)), F.lit(" "), F.substring(F.get(a, F.lit(1)), 1, 3)))).alias("name")).distinct()
+    return N.longest_names(parts, "p_name", names, "name")
+
+
 @query(stated("""WITH b AS (SELECT *, 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, '제1장제2절제' || l_linenumber || '항' AS a FROM lineitem)
 SELECT h || '_0_0_0' AS chunk_id, NULL AS parent_id, a AS article_number, l_linenumber || '. 수량 ' || CAST(l_quantity AS INT) || ' 이어서' AS text FROM b
 UNION ALL SELECT h || '_가_0_0', h || '_0_0_0', a || '가', '가. 항목' FROM b UNION ALL SELECT h || '_가_1_0', h || '_가_0_0', a || '가제1호', '1) 부품 ' || l_partkey FROM b

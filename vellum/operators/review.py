@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..scratch import Scratch
+from . import matching as M
 from .ordered import latest
 
 MIN_CONTENT, IDENTITY = 30, 0.4
@@ -56,8 +58,10 @@ def review(spec: DataFrame, original: DataFrame, parsed: DataFrame) -> DataFrame
     """``doc_id, issue, code, related``: what is wrong with parsed sections.
 
     ``spec(code, ord, title)``; ``original(doc_id, code, pos, content)`` are slices of the source; ``parsed(doc_id, code, ord,
-    title, content)``. Comparisons of a section with the others stay within its document.
+    title, content)``. Comparisons of a section with the others stay within its document, and only those sections reach the
+    matcher that can beat the section's own content. Each section and paragraph is scored once, its score written.
     """
+    scratch = Scratch(parsed.sparkSession, "review")
     docs = parsed.select("doc_id").unionByName(original.select("doc_id")).distinct()
     known = parsed.join(spec.select("code", F.col("title").alias("spec_title")), "code")
     issue = lambda df, name, code, related=None: df.select("doc_id", F.lit(name).alias("issue"), code.alias("code"), (related if related is not None else F.lit(None).cast("string")).alias("related"))
@@ -75,18 +79,22 @@ def review(spec: DataFrame, original: DataFrame, parsed: DataFrame) -> DataFrame
     sound = known.where(~short)
     own = original.select("doc_id", "code", F.col("content").alias("source")).join(sound.select("doc_id", "code", "content"), ["doc_id", "code"])
     form = lambda c: T.compare_form(F.col(c))
-    low = own.withColumn("score", S.ratio(form("source"), form("content"))).where(F.col("score") < CONTENT_LEAST)
+    own = scratch.cut(own.withColumn("score", S.ratio(form("source"), form("content"))), "scored")
+    low = own.where(F.col("score") < CONTENT_LEAST)
     others = known.select("doc_id", F.col("code").alias("other"), F.col("content").alias("other_content"))
-    rivals = low.join(others, "doc_id").where("code <> other").withColumn("rival", S.ratio(form("source"), form("other_content"))).where("rival > score")
-    best = latest(rivals, ["doc_id", "code"], [F.desc("rival"), F.asc("other")]).select("doc_id", "code", "other")
-    judged = low.select("doc_id", "code").join(best, ["doc_id", "code"], "left")
+    less = F.lit(None).cast("double")
+    held = low.select("doc_id", "code", form("source").alias("a"), F.col("score").alias("floor")).withColumn("ha", M.histogram(F.col("a")))
+    near = others.select("doc_id", "other", form("other_content").alias("b")).withColumn("hb", M.histogram(F.col("b")))
+    best = M.best_matches(held.join(near, "doc_id").where("code <> other").withColumn("least", less), ["doc_id", "code"], "other", "ratio", scratch=scratch)
+    judged = low.select("doc_id", "code").join(best.drop("score"), ["doc_id", "code"], "left")
     misplaced = issue(judged, "x", F.col("code"), F.col("other")).withColumn("issue", F.when(F.col("related").isNotNull(), "content_misplaced").otherwise("section_content_mismatch"))
     fine = own.join(low.select("doc_id", "code"), ["doc_id", "code"], "left_anti")
     part = fine.select("doc_id", "code", "content", F.posexplode(T.paragraphs(F.col("source"))).alias("k", "paragraph")).where(F.length(T.compare_form(F.col("paragraph"))) >= PARAGRAPH_CHARS)
-    lost = part.withColumn("score", S.containment("paragraph", "content")).where(F.col("score") < PARAGRAPH_LEAST)
-    near = lost.join(others, "doc_id").where("code <> other").withColumn("rival", S.containment("paragraph", "other_content")).where((F.col("rival") > F.col("score")) & (F.col("rival") >= PARAGRAPH_LEAST))
-    where = latest(near, ["doc_id", "code", "k"], [F.desc("rival"), F.asc("other")]).select("doc_id", "code", "k", "other")
-    shifted = lost.select("doc_id", "code", "k").join(where, ["doc_id", "code", "k"], "left")
+    lost = scratch.cut(part.withColumn("score", S.containment("paragraph", "content")).where(F.col("score") < PARAGRAPH_LEAST), "lost")
+    held = lost.select("doc_id", "code", "k", F.col("paragraph").alias("a"), F.col("score").alias("floor")).withColumn("ha", M.histogram(F.col("a")))
+    near = others.select("doc_id", "other", F.col("other_content").alias("b")).withColumn("hb", M.histogram(F.col("b")))
+    where = M.best_matches(held.join(near, "doc_id").where("code <> other").withColumn("least", F.lit(PARAGRAPH_LEAST)), ["doc_id", "code", "k"], "other", "containment", scratch=scratch)
+    shifted = lost.select("doc_id", "code", "k").join(where.drop("score"), ["doc_id", "code", "k"], "left")
     paragraphs = issue(shifted, "x", F.col("code"), F.col("other")).withColumn("issue", F.when(F.col("related").isNotNull(), "paragraph_misplaced").otherwise("paragraph_missing"))
     out = missing
     for more in (empty, strange, wrong, moved, misplaced, paragraphs):
@@ -176,6 +184,7 @@ def whole_review(originals: DataFrame, sections: DataFrame, titles: list[str], l
     parsed = sections.groupBy("doc_id").agg(joined.alias("text"))
     both = originals.select("doc_id", F.coalesce("text", F.lit("")).alias("source")).join(parsed, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     scored = both.withColumn("similarity", F.round(S.ratio(T.compare_form(F.col("source")), T.compare_form(F.col("text"))), 4))
+    scored = Scratch(originals.sparkSession, "whole").cut(scored, "scored")
     issue = lambda df, name, detail: df.select("doc_id", F.lit(name).alias("issue"), detail.cast("string").alias("detail"))
     none, names = F.lit(None), F.array(*map(F.lit, titles))
     low_rows = scored.where(F.col("similarity") < low)

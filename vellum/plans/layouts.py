@@ -15,7 +15,7 @@ from ..operators import retrieval as R
 from ..operators import review as V
 from ..operators import sections as X
 from ..operators import tables as B
-from .documents import _orders, _say, flag, number, part, stated, supplier
+from .documents import _lines, _orders, _say, flag, number, part, quantity, stated, supplier
 from .registry import query, table
 from .retrieval import _BASE, _arms, _relevant
 
@@ -128,30 +128,35 @@ def continued_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A spec, and for each customer an original and parsed sections with one of six faults by key."""
+    """A spec, and for each customer an original and parsed sections with one of ten faults by key; lengths and endings follow the row."""
     d, c = _customers(spark, sf_dir), F.col("c")
-    body = lambda w: F.concat(F.repeat(F.lit(w), 12), c.cast("string"))
-    a, b, e = body("가나다 "), body("라마바 "), body("사아자 ")
+    body = lambda w, n, end: F.concat(F.repeat(F.lit(w), n.cast("int")), end.cast("string"))
+    a, b = body("가나다 ", 20 + c % 5, c), body("라마바 ", 20 + F.length("c_name") % 7 + c % 3, F.col("c_mktsegment"))
+    first, second = body("사아자 ", 30 + c % 4, c), body("차카타 ", F.lit(10), c)
+    e = F.concat(first, F.lit("\n\n"), second)
     sec = lambda code, pos, title, content: F.struct(F.lit(code).alias("code"), pos.alias("ord"), title.alias("title"), content.alias("content"))
     spec = spark.createDataFrame([("A", 0, "개요"), ("B", 1, "방안"), ("C", 2, "일정")], "code string, ord int, title string")
     orig = d.select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("code"), F.lit(n).alias("pos"), t.alias("content")) for n, (k, t) in enumerate((("A", a), ("B", b), ("C", e)))))))
-    swap, k = c % 6 == 2, c % 6
+    k = c % 10
+    swap = (k == 2) | (k == 9)
+    in_a = F.when(swap, b).when(k == 6, body("가나다 ", F.lit(3), F.repeat(F.lit("파하거 "), 40))).when(k == 8, F.concat(a, F.lit("\n\n"), second)).otherwise(a)
     rows = F.array(
-        sec("A", F.when(k == 3, 1).otherwise(0), F.when(k == 4, "다른 이름").otherwise("개요"), F.when(swap, b).otherwise(a)), sec("B", F.when(k == 3, 0).otherwise(1), F.lit("방안"), F.when(k == 1, " .").when(swap, a).otherwise(b)),
-        F.when(k != 0, sec("C", F.lit(2), F.lit("일정"), e)), F.when(k == 5, sec("Z", F.lit(3), F.lit("모름"), F.lit("기타 내용"))),
+        sec("A", F.when(k == 3, 1).otherwise(0), F.when(k.isin(4, 9), "다른 이름").otherwise("개요"), in_a), sec("B", F.when(k == 3, 0).otherwise(1), F.lit("방안"), F.when(k == 1, " .").when(swap, a).otherwise(b)),
+        F.when(k != 0, sec("C", F.lit(2), F.lit("일정"), F.when(k.isin(7, 8), first).otherwise(e))), F.when(k == 5, sec("Z", F.lit(3), F.lit("모름"), F.lit("기타 내용"))),
     )
     return spec, orig, d.select("doc_id", F.inline(F.array_compact(rows)))
 
 
-_ISSUES = """WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k FROM customer),
-i AS (SELECT doc_id, 'missing_section' AS issue, 'C' AS code, NULL AS related FROM c WHERE k = 0 UNION ALL SELECT doc_id, 'empty_section', 'B', NULL FROM c WHERE k = 1 UNION ALL SELECT doc_id, 'content_misplaced', 'A', 'B' FROM c WHERE k = 2
-UNION ALL SELECT doc_id, 'content_misplaced', 'B', 'A' FROM c WHERE k = 2 UNION ALL SELECT doc_id, 'section_order_mismatch', NULL, NULL FROM c WHERE k = 3 UNION ALL SELECT doc_id, 'section_title_mismatch', 'A', NULL FROM c WHERE k = 4
-UNION ALL SELECT doc_id, 'unrecognized_section', 'Z', NULL FROM c WHERE k = 5)"""
+_ISSUES = """WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 10 AS k FROM customer),
+f(k, issue, code, related) AS (VALUES (0, 'missing_section', 'C', NULL), (1, 'empty_section', 'B', NULL), (2, 'content_misplaced', 'A', 'B'), (2, 'content_misplaced', 'B', 'A'), (3, 'section_order_mismatch', NULL, NULL),
+ (4, 'section_title_mismatch', 'A', NULL), (5, 'unrecognized_section', 'Z', NULL), (6, 'section_content_mismatch', 'A', NULL), (7, 'paragraph_missing', 'C', NULL), (8, 'paragraph_misplaced', 'C', 'A'),
+ (9, 'section_title_content_mismatch', 'A', 'B'), (9, 'content_misplaced', 'B', 'A')),
+i AS (SELECT doc_id, issue, code, related FROM c JOIN f USING (k))"""
 
 
 @query(_ISSUES + " SELECT * FROM i")
 def section_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with parsed sections, rule by rule."""
+    """What is wrong with parsed sections, rule by rule: every kind of issue is met."""
     return V.review(*_sections(spark, sf_dir))
 
 
@@ -162,14 +167,27 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.status(orig, V.review(spec, orig, parsed))
 
 
-@query("""WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k FROM customer), f AS (SELECT doc_id, 'missing_section' AS issue, '일정' AS detail FROM c WHERE k = 0 UNION ALL SELECT doc_id, 'empty_section', '방안' FROM c WHERE k = 1
-UNION ALL SELECT doc_id, 'missing_section', '개요' FROM c WHERE k = 4 UNION ALL SELECT doc_id, 'section_order_mismatch', NULL FROM c WHERE k = 3) SELECT * FROM f""")
+def _wholes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Originals with their headings, and what was parsed of them, with one of eight faults by key."""
+    d, c = _customers(spark, sf_dir), F.col("c")
+    k, pay = c % 8, F.concat(F.lit("대금은 "), (c % 90 + 10).cast("string"), F.lit("만원으로 하고 "), (c % 9 + 1).cast("string"), F.lit("개월 안에 나누어 낸다"))
+    a = F.concat(F.repeat(F.lit("사업의 배경과 목적을 밝힌다 "), (c % 3 + 2).cast("int")), F.col("c_mktsegment"))
+    e = F.concat(F.lit("일정은 "), F.col("c_name"), F.lit(" 담당자가 따로 정하여 알린다"))
+    text = F.concat_ws("\n", F.lit("1. 개요"), a, F.lit(""), F.lit("2. 방안"), pay, F.lit(""), F.lit("3. 일정"), e)
+    sec = lambda n, title, content: F.struct(F.lit(n).alias("ord"), F.lit(title).alias("title"), content.alias("content"))
+    late = lambda n, m, title, content: F.struct(F.when(k == 5, m).otherwise(n).alias("ord"), F.lit(title).alias("title"), content.alias("content"))
+    rows = F.array(
+        F.when(k != 1, late(0, 2, "1. 개요", F.when(k == 2, F.concat(a, F.lit("\n2. 방안\n"), pay)).otherwise(a))),
+        F.when(~k.isin(1, 2), sec(1, "2. 방안", F.when(k == 3, F.regexp_replace(pay, "만원", "억원")).when(k == 4, " . ").when(k == 7, F.concat(pay, F.lit("\n\n원문에는 없던 단락이 길게 "), F.lit("들어와 있다 "), F.col("c_name"))).otherwise(pay))),
+        F.when(k != 1, late(2, 0, "3. 일정", F.when(k == 6, F.lit("없음")).otherwise(e))),
+    )
+    return d.select("doc_id", text.alias("text")), d.select("doc_id", F.inline(F.array_compact(rows)))
+
+
+@query()
 def whole_document_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review of documents as wholes; the rules that need no similarity are compared here."""
-    _, orig, parsed = _sections(spark, sf_dir)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
-    out = V.whole_review(orig.groupBy("doc_id").agg(text.alias("text")), parsed, ["개요", "방안", "일정"])
-    return out.where(F.col("issue").isin("missing_section", "empty_section", "section_order_mismatch"))
+    """The review of documents as wholes, all rules; similarities are the matcher's, so a test holds it against the standard library."""
+    return V.whole_review(*_wholes(spark, sf_dir), ["개요", "방안", "일정"])
 
 
 @query("SELECT c_custkey AS doc_id, 1::INT AS k FROM customer WHERE c_custkey % 4 = 0")
@@ -278,15 +296,20 @@ def blank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.blank_fields(cells, ["비고"]).select("doc_id", "page", "label")
 
 
-@query("""SELECT c_custkey AS doc_id, k, name AS raw_name, due AS due_date, copies, form AS doc_form, kind AS matched_type FROM customer, (VALUES (1::BIGINT, '착수 보고서', DATE '2025-03-01', '3부', 'PDF 파일', 'kickoff'), (2, '완료보고서', DATE '2025-12-09', NULL, NULL, 'final')) v(k, name, due, copies, form, kind)""")
+@query(stated("""WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_suppkey AS s FROM lineitem),
+d AS (SELECT *, sum(CASE WHEN q % 3 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM b),
+h AS (SELECT doc_id, k, DATE '2025-01-01' + (q - 1) AS due_date, CASE WHEN q % 2 = 0 THEN (q % 4 + 1) || '부' END AS copies, CASE WHEN f = 'O' THEN 'PDF 파일' END AS doc_form, CASE f WHEN 'F' THEN '착수' WHEN 'O' THEN '완료' ELSE '중간' END || n AS name FROM d WHERE q % 3 <> 0 AND k > 0),
+t AS (SELECT doc_id, k, string_agg('계속' || s || '보고서', '' ORDER BY n) AS more FROM d WHERE q % 3 = 0 AND k > 0 GROUP BY ALL)
+SELECT h.doc_id, CAST(h.k AS BIGINT) AS k, name || coalesce(more, '') AS raw_name, due_date, copies, doc_form, CASE WHEN starts_with(name, '착수') THEN 'kickoff' WHEN starts_with(name, '완료') THEN 'final' END AS matched_type
+FROM h LEFT JOIN t ON t.doc_id = h.doc_id AND t.k = h.k"""))
 def deliverable_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliverables of a plan's table, names over two rows joined."""
-    row = lambda k, *cells: F.struct(F.lit(k).alias("row"), F.array(*map(F.lit, cells)).alias("cells"))
-    rows = F.array(row(0, "산출물명", "제출일정"), row(1, "착수", "설명", "2025. 3. 1", "3부", "PDF 파일"), row(2, " 보고서", ""), row(3, "", ""), row(4, "완료", "2025.12.9까지"), row(5, "보고서"))
-    kinds = [("kickoff", ["착수보고서"]), ("final", ["완료보고서"])]
-    d = _customers(spark, sf_dir).select("doc_id", F.inline(rows)).withColumn("cells", F.when(F.col("row") == 2, F.array(F.lit(""), F.lit(" 보고서"))).otherwise(F.col("cells")))
-    out = B.deliverable_plan(d, kinds)
-    return out.withColumn("raw_name", F.when(F.col("raw_name") == "착수보고서", "착수 보고서").otherwise(F.col("raw_name")))
+    """Deliverables of plans' tables: a row with a date begins one, rows without go on with its name; cells are stripped."""
+    name = F.concat(F.when(flag() == "F", "착수").when(flag() == "O", "완료").otherwise("중간"), number().cast("string"))
+    day = F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), quantity() - 1), "yyyy. M. d")
+    dated = F.array(F.concat(F.lit(" "), name, F.lit("  ")), F.concat(day, F.lit(" 까지")), F.when(quantity() % 2 == 0, _say(quantity() % 4 + 1, "부")), F.when(flag() == "O", F.lit("PDF 파일")))
+    more = F.array(F.lit(""), _say(" 계속", supplier(), "보고서 "))
+    rows = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), number().alias("row"), F.when(quantity() % 3 != 0, dated).otherwise(more).alias("cells"))
+    return B.deliverable_plan(rows, [("kickoff", ["착수"]), ("final", ["완료"])])
 
 
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) FILTER (WHERE value > 80) AS new FROM events GROUP BY ALL) SELECT user_id || event_type AS kind, CASE WHEN user_id % 3 = 0 THEN DATE '2024-01-01' ELSE CASE WHEN new IS NOT NULL THEN DATE '2024-02-02' END END AS due,

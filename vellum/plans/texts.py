@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import datasets as D
+from ..operators import matching as G
 from ..operators import metrics as M
 from ..operators import ordered as O
 from ..operators import retrieval as R
+from ..scratch import Scratch
 from .registry import query, table
 
 _WS = r"[\s\x{a0}\x{3000}]+"
@@ -231,7 +233,8 @@ def difflib_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each assistant turn the user turn of its conversation that holds most of it, all its lines counted."""
     c = table(spark, sf_dir, "conversations")
-    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("fragment"))
-    u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("best"), "text")
-    s = a.join(u, "conv_id").withColumn("score", F.round(S.containment("fragment", "text"), 6))
-    return O.latest(s, ["conv_id", "turn"], [F.desc("score"), F.asc("best")]).select("conv_id", "turn", "best", "score")
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("a"), G.histogram(F.col("text")).alias("ha"))
+    u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("best"), F.col("text").alias("b"), G.histogram(F.col("text")).alias("hb"))
+    none = F.lit(None).cast("double")
+    pairs = a.join(u, "conv_id").withColumns({"floor": none, "least": none})
+    return G.best_matches(pairs, ["conv_id", "turn"], "best", "containment", digits=6, scratch=Scratch(spark, "matches"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def password_state(changed: Column, forced: Column, as_of: Column, days: int = 90) -> Column:
@@ -78,17 +82,30 @@ def progress(items: DataFrame, key: str, kind: str, kinds: list[str], done: Colu
     return items.groupBy(key).agg(hit.alias("n_done")).withColumn("n_all", F.lit(len(kinds)))
 
 
-def blocked_logins(logins: DataFrame, user: str, order: list[Column], seconds: int, ts: str) -> DataFrame:
-    """Logins under the rule that a live session blocks new ones: ``accepted`` where the last accepted one is at least ``seconds`` old.
+def _blocking(user: int, at: int, micros: int):
+    """Over rows in order of user and time: whether each is accepted. The last accepted one is all that is kept."""
 
-    What is accepted depends on what was, so a user's logins are folded in order.
-    """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, last, started = None, None, False
+        for b in batches:
+            out = []
+            for u, t in zip(b.column(user).to_pylist(), b.column(at).to_pylist(), strict=True):
+                if not started or u != who:
+                    who, last, started = u, None, True
+                ok = last is None or t - last >= micros
+                last = t if ok else last
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "accepted"])
+
+    return run
 
-    def step(a: Column, x: Column) -> Column:
-        ok = a["last"].isNull() | (x["__at"] - a["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(ok, x["__at"]).otherwise(a["last"]).alias("last"), F.array_append(a["ok"], ok).alias("ok"))
 
-    folded = logins.groupBy(user).agg(items.alias("x")).withColumn("ok", F.aggregate("x", start, step)["ok"])
-    return folded.select(user, F.inline(F.zip_with("x", "ok", lambda x, ok: F.struct(x.alias("login"), ok.alias("accepted"))))).select(user, "login.*", "accepted").drop("__at")
+def blocked_logins(logins: DataFrame, user: str, order: list[str], seconds: int, ts: str) -> DataFrame:
+    """Logins under the rule that a live session blocks new ones: ``accepted`` where the last accepted one is at least ``seconds`` old.
+
+    What is accepted depends on what was, so a user's logins go through one task in order, one after the other; none are gathered.
+    """
+    own = logins.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+    dealt = own.repartition(user).sortWithinPartitions(user, *order)
+    schema = StructType([*dealt.schema.fields, StructField("accepted", BooleanType())])
+    return dealt.mapInArrow(_blocking(own.columns.index(user), own.columns.index("__at"), seconds * 1_000_000), schema).drop("__at")

@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from .ordered import running_sum
+
+
+def digest(id_: Column, seed: int) -> Column:
+    """A text that orders ids at random, the same in every run and every system: the MD5 of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")))
+
+
+def hash_number(id_: Column, seed: int) -> Column:
+    """The first 60 bits of the digest as a number."""
+    return F.conv(F.substring(digest(id_, seed), 1, 15), 16, 10).cast("bigint")
+
 
 def hash_order(id_col: str, seed: int) -> list[Column]:
     """A shuffled order that is the same in every run."""
-    return [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
+    return [digest(F.col(id_col), seed), F.col(id_col)]
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.3, seed: int = 42, buckets: int = 1024) -> DataFrame:
@@ -60,15 +73,28 @@ def reject_reason(*gates: tuple[Column, str]) -> Column:
 
 
 def sample_distractors(present: DataFrame, pool: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """For each ``(example_id, group)`` the first ``n`` pool items ``(item_id, group)`` of its group, in a shuffled order, that it doesn't hold.
+    """``example_id, item_id, nth``: for each ``(example_id, group)`` the next ``n`` pool items of its group on a ring that it doesn't hold.
 
-    ``present(example_id, group, item_id)``. Ranked within the group before the join, so only ``n`` plus the number of items held are met.
+    ``present(example_id, group, item_id)``, ``pool(item_id, group)``, an item once in a group. Items and examples stand on a ring by
+    the digests of their ids; an example takes the items behind it, on from the ring's start where it ends. Items are numbered
+    along the ring (``running_sum``, no task sees a whole group), so an example meets ``n`` items and as many as it holds, each
+    by its number. It gets fewer only where its group has no more.
     """
-    ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(*hash_order("item_id", seed))))
-    held = present.groupBy("example_id", "group").agg(F.collect_set("item_id").alias("held"))
-    near = held.join(ranked, "group").where(F.col("r") <= F.size("held") + n).where(~F.array_contains("held", F.col("item_id")))
-    w = Window.partitionBy("example_id").orderBy("r")
-    return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("example_id", "item_id", "nth")
+    scratch = Scratch(pool.sparkSession, "distractors")
+    held = present.groupBy("example_id", "group").agg(F.count_distinct("item_id").alias("held"))
+    kind = dict(pool.dtypes)["item_id"]
+    items = pool.select("group", digest(F.col("item_id"), seed).alias("at"), F.lit(1).alias("is_item"), "item_id", F.lit(None).cast(dict(held.dtypes)["example_id"]).alias("example_id"), F.lit(None).cast("long").alias("held"))
+    asked = held.select("group", digest(F.col("example_id"), seed).alias("at"), F.lit(0).alias("is_item"), F.lit(None).cast(kind).alias("item_id"), "example_id", "held")
+    ring = scratch.cut(running_sum(items.unionByName(asked), ["group"], ["at", "is_item", "item_id", "example_id"], F.col("is_item"), "place", scratch), "ring")
+    numbered = ring.where("is_item = 1").select(F.col("group").alias("g"), (F.col("place") - 1).alias("number"), "item_id")
+    sizes = ring.groupBy("group").agg(F.sum("is_item").alias("m")).where("m > 0").select(F.col("group").alias("g"), "m")
+    wants = ring.where("is_item = 0").join(sizes, F.col("group").eqNullSafe(F.col("g"))).drop("g")
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.col("held") + n) - 1)
+    each = wants.select("example_id", "group", "place", "m", F.explode(steps).alias("step")).withColumn("wanted", (F.col("place") + F.col("step")) % F.col("m"))
+    met = each.join(numbered, F.col("group").eqNullSafe(F.col("g")) & (F.col("wanted") == F.col("number")))
+    free = met.join(present.select("example_id", "item_id").distinct(), ["example_id", "item_id"], "left_anti")
+    w = Window.partitionBy("example_id", "group").orderBy("step")
+    return free.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("example_id", "item_id", "nth")
 
 
 # Numbers with a unit, and ratios that aren't part of a dotted date.
@@ -109,12 +135,12 @@ def eval_reason(line: Column) -> Column:
 
 def point_id(key: Column) -> Column:
     """A non-negative number for a text id, the same in every run."""
-    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))
+    return hash_number(key, 0)
 
 
 def share_split(df: DataFrame, id_col: str, share: float, seed: int = 42) -> DataFrame:
     """``split``: each row by a hash of its id, ``share`` of them to ``train`` in the mean, the rest to ``valid``; no row looks at another."""
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
+    part = F.pmod(hash_number(F.col(id_col), seed), F.lit(1_000_000)) < round(share * 1_000_000)
     return df.withColumn("split", F.when(part, "train").otherwise("valid"))
 
 
@@ -153,7 +179,7 @@ def synthetic_queries(chunks: DataFrame, templates: list[str], n: int, least: in
     The template goes by the id's hash too. The first ``n`` of an order is a limit, planned without sorting everything.
     """
     names = F.array(*map(F.lit, templates))
-    own = chunks.where(F.length("text") >= least).select("chunk_id", F.get(names, F.pmod(F.xxhash64(F.lit(seed + 1), "chunk_id"), F.lit(len(templates))).cast("int")).alias("t"), F.substring("text", 1, front).alias("f"))
+    own = chunks.where(F.length("text") >= least).select("chunk_id", F.get(names, F.pmod(hash_number(F.col("chunk_id"), seed + 1), F.lit(len(templates))).cast("int")).alias("t"), F.substring("text", 1, front).alias("f"))
     picked = own.orderBy(*hash_order("chunk_id", seed)).limit(n)
     nth = F.row_number().over(Window.orderBy(*hash_order("chunk_id", seed)))  # n rows
     return picked.select(F.format_string("eval_%03d", nth).alias("query_id"), F.concat("t", F.lit("\n\n"), "f").alias("query"), F.col("chunk_id").alias("relevant"))
@@ -177,15 +203,17 @@ def better_judge(kappas: DataFrame) -> DataFrame:
     return kappas.groupBy("task").agg(F.max_by("judge", key).alias("winner"))
 
 
-def filled_targets(variants: DataFrame, targets: DataFrame, order: list[Column]) -> DataFrame:
+def filled_targets(variants: DataFrame, targets: DataFrame, order: list[str]) -> DataFrame:
     """Variants accepted for each label: those that pass, in order, up to the target, among the first ``target * over`` generated.
 
-    ``variants(label, ok, ...)``, ``targets(label, target, over)``.
+    ``variants(label, ok, ...)``, ``targets(label, target, over)``; ``order`` tells all rows of a label apart. Labels are few, so
+    rows are numbered by ranges of the order, no label in one task.
     """
-    w = Window.partitionBy("label").orderBy(*order)
-    own = variants.withColumn("__made", F.row_number().over(w)).join(targets, "label").where(F.col("__made") <= F.floor(F.col("target") * F.col("over")))
-    kept = own.where("ok").withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= F.col("target"))
-    return kept.select(*variants.columns, F.col("__nth").alias("nth"))
+    scratch = Scratch(variants.sparkSession, "targets")
+    made = running_sum(variants, ["label"], order, F.lit(1), "__made", scratch).join(targets, "label")
+    own = made.where(F.col("__made") <= F.floor(F.col("target") * F.col("over"))).where("ok").select(*variants.columns, "target")
+    kept = running_sum(own, ["label"], order, F.lit(1), "nth", scratch)
+    return kept.where(F.col("nth") <= F.col("target")).select(*variants.columns, F.col("nth").cast("int").alias("nth"))
 
 
 def inject_texts(refs: DataFrame, chunks: DataFrame, key: str, cap: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in the given order."""
@@ -111,3 +113,22 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_id: st
     both = both.where((F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop"))).drop("bin")
     both = both.withColumn("overlap", F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start"))
     return latest(both, [*keys, left_id], [F.desc("overlap"), F.asc(right_id)]).drop("nth")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows of the keys up to the row in an order that has no ties.
+
+    Rows are dealt by ranges of keys and order, so a frequent key is many tasks': sums of the ranges are added up first (one row
+    for each key of a range), and within a range rows follow their places. With ``F.lit(1)`` it is a rank.
+    """
+    dealt = df.withColumn("__v", value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = scratch.cut(dealt.withColumn("__part", F.shiftright("__at", 33)), "dealt")
+    here = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__v").alias("__s")).withColumn("__ahead", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    ahead = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), "__ahead")
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = dealt.withColumn("__own", F.sum("__v").over(here)).join(ahead, same)
+    return met.withColumn(name, F.col("__own") + F.col("__ahead")).select(*df.columns, name)

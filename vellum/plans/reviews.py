@@ -149,18 +149,16 @@ def eval_line_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", m["정확성"].alias("exactness"), m["명료성"].alias("clarity"), D.eval_reason(last).alias("reason"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_distinct, CAST(0 AS BIGINT) AS n_negative FROM documents")
+@query("SELECT doc_id, ('0x' || substr(md5('0:doc_' || doc_id), 1, 15))::BIGINT AS point_id FROM documents")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers for text ids: distinct and not negative."""
-    p = table(spark, sf_dir, "documents").select(D.point_id(_say("doc_", F.col("doc_id"))).alias("p"))
-    return p.agg(F.count("*").alias("n"), F.count_distinct("p").alias("n_distinct"), F.count_if(F.col("p") < 0).alias("n_negative"))
+    """Numbers for text ids."""
+    return table(spark, sf_dir, "documents").select("doc_id", D.point_id(_say("doc_", F.col("doc_id"))).alias("point_id"))
 
 
-@query("SELECT true AS near_share, CAST(count(*) AS BIGINT) AS n FROM events")
+@query("SELECT event_id, CASE WHEN ('0x' || substr(md5('42:' || event_id), 1, 15))::BIGINT % 1000000 < 900000 THEN 'train' ELSE 'valid' END AS split FROM events")
 def hash_share_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split of nine to one by hash, held to its share."""
-    s = D.share_split(table(spark, sf_dir, "events"), "event_id", 0.9).agg(F.avg((F.col("split") == "train").cast("double")).alias("a"), F.count("*").alias("n"))
-    return s.select((F.abs(F.col("a") - 0.9) < 0.05).alias("near_share"), "n")
+    """A split of nine to one by hash."""
+    return D.share_split(table(spark, sf_dir, "events"), "event_id", 0.9).select("event_id", "split")
 
 
 @query("""WITH r AS (SELECT CASE WHEN quality = 0 THEN '불가' ELSE '충족' END AS g, CASE WHEN toxic = 1 THEN '불가' ELSE '충족' END AS p, lang AS gk, source AS pk, CASE WHEN doc_id % 3 = 0 THEN '-' ELSE 'rule ' || doc_id % 10 END AS gb, CASE WHEN doc_id % 4 <> 0 THEN 'see ' || doc_id % 7 END AS pb FROM labels JOIN documents USING (doc_id))
@@ -195,14 +193,12 @@ def task_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(least(count(*), 200) AS BIGINT) AS n, true AS all_fit FROM documents WHERE length(text) >= 80")
+@query("""WITH p AS (SELECT doc_id, text, md5('42:' || doc_id) AS o FROM documents WHERE length(text) >= 80 ORDER BY o, doc_id LIMIT 200)
+SELECT 'eval_' || lpad(CAST(row_number() OVER (ORDER BY o, doc_id) AS VARCHAR), 3, '0') AS query_id, ['what rule is this?', 'find the passage:'][('0x' || substr(md5('43:' || doc_id), 1, 15))::BIGINT % 2 + 1] || chr(10) || chr(10) || substr(text, 1, 120) AS query, doc_id AS relevant FROM p""")
 def synthetic_eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hundred questions made of texts: each begins with a template and the front of a text that is long enough."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    q = D.synthetic_queries(d, ["what rule is this?", "find the passage:"], 200)
-    j = q.join(d.select(F.col("chunk_id").alias("relevant"), "text"), "relevant")
-    fits = (F.length("text") >= 80) & F.col("query").endswith(F.concat(F.lit("\n\n"), F.substring("text", 1, 120)))
-    return j.agg(F.count("*").alias("n"), F.bool_and(fits).alias("all_fit"))
+    return D.synthetic_queries(d, ["what rule is this?", "find the passage:"], 200)
 
 
 @query("""WITH n AS (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
@@ -234,7 +230,7 @@ def filled_label_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants accepted up to each label's target, among a bounded number generated."""
     v = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "doc_id", (F.col("n_chars") > 300).alias("ok"))
     t = spark.createDataFrame([("en", 20, 2.0), ("fr", 1_000_000, 2.0), ("de", 5, 1.0)], "label string, target int, over double")
-    return D.filled_targets(v, t, [F.col("doc_id")])
+    return D.filled_targets(v, t, ["doc_id"])
 
 
 @query("""SELECT conv_id, CAST(count(*) AS INT) AS n, md5(string_agg(coalesce(substr(d.text, 1, 800), '?'), '|' ORDER BY turn)) AS texts FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 7 + c.turn * 400 GROUP BY conv_id""")
@@ -263,14 +259,19 @@ def migration_backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "code", status.alias("status"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, true AS sound FROM (SELECT doc_id FROM documents WHERE n_chars > 2000)")
+@query("""WITH i AS (SELECT doc_id AS item_id, lang AS g, md5('42:' || doc_id) AS at, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id)) - 1 AS number, count(*) OVER (PARTITION BY lang) AS m FROM documents),
+p AS (SELECT doc_id AS example_id, lang AS g, doc_id AS item_id FROM documents WHERE n_chars > 2000 UNION SELECT doc_id, lang, doc_id + 20 FROM documents WHERE n_chars > 2000),
+e AS (SELECT example_id, g, count(*) AS held, md5('42:' || example_id) AS at FROM p GROUP BY ALL),
+s AS (SELECT e.*, (SELECT count(*) FROM i WHERE i.g = e.g AND i.at < e.at) AS place FROM e),
+c AS (SELECT s.example_id, i.item_id, (i.number - s.place + i.m) % i.m AS step FROM s JOIN i USING (g) WHERE (i.number - s.place + i.m) % i.m < held + 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY step) AS nth FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.example_id = c.example_id AND p.item_id = c.item_id))
+SELECT example_id, item_id, CAST(nth AS INT) AS nth FROM f WHERE nth <= 3""")
 def distractor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each long text one of its language that it isn't: held to that."""
+    """For each long text three of its language that it doesn't hold: itself and another one."""
     d = table(spark, sf_dir, "documents")
-    present = d.where("n_chars > 2000").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("group"), F.col("doc_id").alias("item_id"))
-    got = D.sample_distractors(present, d.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("group")), 1)
-    j = present.select("example_id", "group").join(got, "example_id", "left").join(d.select(F.col("doc_id").alias("item_id"), "lang"), "item_id", "left")
-    return j.agg(F.count("*").alias("n"), F.bool_and((F.col("item_id") != F.col("example_id")) & (F.col("lang") == F.col("group"))).alias("sound"))
+    long = d.where("n_chars > 2000")
+    present = long.select(F.col("doc_id").alias("example_id"), F.col("lang").alias("group"), F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 20)).alias("item_id"))
+    return D.sample_distractors(present, d.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("group")), 3)
 
 
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'drop' WHEN quality = 1 THEN 'accept' ELSE 'review' END AS bucket FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -353,4 +354,4 @@ SELECT user_id, event_id, accepted FROM f""")
 def blocked_new_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins that a live session blocks."""
     e = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    return A.blocked_logins(e, "user_id", [F.col("ts"), F.col("event_id")], 2 * 86_400, "ts").select("user_id", "event_id", "accepted")
+    return A.blocked_logins(e, "user_id", ["ts", "event_id"], 2 * 86_400, "ts").select("user_id", "event_id", "accepted")

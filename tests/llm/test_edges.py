@@ -178,6 +178,19 @@ def test_rewrite_grows_shrinks_and_forgets_nothing(spark, tmp_path):
         assert {r["__shard"] for r in state().collect()} == set(range(shards)) and all(got[k] == 0 for k in got if k >= shards)
     assert reshard.rewrite(state(), path, shards=1).count() == 0  # nothing moves, no file is touched
     reshard.rewrite(docs.where("false"), str(tmp_path / "none"), shards=2)
+    # from a table that doesn't know the layout: all is written anew, and shards that the new layout hasn't are gone
+    for shards in (6, 2, 4):
+        reshard.rewrite(docs, path, shards=shards)
+        spark.catalog.refreshByPath(path)
+        assert {r["__shard"] for r in state().collect()} == set(range(shards))
+
+
+def test_pieces_of_a_frequent_text_are_dealt_alike(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 5 <> 0 THEN '' ELSE concat('word ', id) END AS text")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), group_rows=100).collect()
+    groups = Counter(r.sequence_id >> 24 for r in rows)
+    empty = Counter(r.sequence_id >> 24 for r in rows if r.doc_tokens == 1)
+    assert len(rows) == 3000 and len(groups) == 30 and max(groups.values()) < 200 and max(empty.values()) < 160
 
 
 def plain_features(text):

@@ -105,13 +105,15 @@ def removed(texts, length, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [8000, 1])
-def test_op2_against_all_strings(spark, monkeypatch, keep, hot):
+@pytest.mark.parametrize(("hot", "hot_bytes"), [(8000, 2 << 20), (1, 2 << 20), (8000, 700)])
+def test_op2_against_all_strings(spark, monkeypatch, keep, hot, hot_bytes):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot_bytes)
     rng = random.Random(3)
     pick = lambda n, a="abcdefgh ": "".join(rng.choice(a) for _ in range(n))
     p, q = pick(230), pick(700)
     texts = ["", pick(150), p + pick(50), pick(40) + p, pick(30) + p[:199] + "!", q, q, "x" + q[100:450] + pick(20) + q[300:], "a" * 500, "ab" * 300, pick(300) + "aé" * 120, p[5:] + p, pick(2000)]
+    texts += [pick(30) + "=" * (260 + 7 * k) + pick(30) for k in range(6)]  # one anchor, other lengths and neighbours
     got = {r.doc_id: r for r in suffixes.repeats(docs_of(spark, texts), length=200, keep=keep).collect()}
     raw = [t.encode() for t in texts]
     for k, (t, gone) in enumerate(zip(raw, removed(raw, 200, keep), strict=True), 1):

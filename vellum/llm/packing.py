@@ -2,8 +2,8 @@
 
 A piece of ``n`` tokens costs ``n + n * n / capacity``: a linear part and the
 quadratic one of attention, equal for a full sequence. Documents longer than a
-sequence are cut into full pieces and a rest. Pieces are dealt by a stored hash
-into groups of about ``group_rows`` pieces; within a group they go, in
+sequence are cut into full pieces and a rest. Pieces are dealt by their place in
+a written table into groups of about ``group_rows`` pieces; within a group they go, in
 descending order, to the cheapest sequence that has room. A group opens as
 many sequences as its tokens need, and another only when a piece fits nowhere.
 Groups grow in number with the input, not in size, and no piece is left out.
@@ -75,7 +75,7 @@ def encode_chunks(values: list[bytes], tokenizer: str) -> list[bytes]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, batch_bytes: int) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, deal`` for each piece; ``deal`` is a hash that differs for repeated rows too."""
+    """``doc_id, start, length, ids_crc32, doc_tokens`` for each piece."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -88,14 +88,14 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
                     for start in range(0, n, capacity):
                         stop = min(n, start + capacity)
                         crc = zlib.crc32(ids[4 * start : 4 * stop])
-                        rows.append((start, stop - start, crc, n, zlib.crc32(b"%d %d %d" % (crc, k, start))))
+                        rows.append((start, stop - start, crc, n))
                         row_of.append(k)
             if rows:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_of)), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_of)), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     return texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
@@ -131,6 +131,7 @@ def pack(
         rows["sequence_id"], rows["offset"] = (int(key[0]) << 24) + sequence, offset
         return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+    # by the places of the written rows, so that the pieces of a frequent text are dealt to all groups alike
+    dealt = cut.withColumn("deal", F.monotonically_increasing_id()).withColumn("group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("group").applyInPandas(one, schema)

@@ -38,7 +38,7 @@ from bisect import insort
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -256,7 +256,8 @@ def rewrite(
     """Reshards ``docs`` into the folders ``__shard=`` of ``path``, and returns ``shard, n_rows`` of the shards whose files were affected.
 
     If ``docs`` has a column ``__shard``, as when it was read from ``path``, it says where its rows lie there; only shards
-    that gain or lose rows are then written, and those left empty are deleted. Otherwise all are written.
+    that gain or lose rows are then written, and those left empty are deleted. Otherwise all are written, and whatever other
+    shards lay at ``path`` are deleted.
     """
     spark = docs.sparkSession
     known = "__shard" in docs.columns
@@ -268,7 +269,15 @@ def rewrite(
     out = placed.where(F.col("shard").isin(list(affected))).select(*(F.col(ROW)[c].alias(c) for c in columns), F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
     dealt = out.repartition("__shard", F.pmod("__slot", F.lit(PARTS))).sortWithinPartitions("__shard", "__slot")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__shard").parquet(path)
-    for k, n in counts.items():
-        if not n:
-            remove(spark, f"{path}/__shard={k}")
+    empty = [k for k, n in counts.items() if not n] if known else [k for k in _shards_at(spark, path) if not counts.get(k)]
+    for k in empty:
+        remove(spark, f"{path}/__shard={k}")
     return spark.createDataFrame(list(counts.items()), "shard int, n_rows long")
+
+
+def _shards_at(spark: SparkSession, path: str) -> list[int]:
+    """The shards that have a folder at ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+    return [int(n.removeprefix("__shard=")) for n in names if n.startswith("__shard=") and n.removeprefix("__shard=").isdecimal()]

@@ -13,8 +13,8 @@ in three steps, and suffixes are sorted only where a match is possible.
 2. Equal stretches are one: grouped by their content's hash, they are covered
    wholly by repeats. Equal texts are taken together before, in the same way.
 3. Anchors with different stretches, or twice in one, are left. One copy of each such stretch is
-   read again, and stretches of an anchor meet in one task (very frequent ones
-   are dealt by the hash of single windows instead). The task sorts the
+   read again, and stretches of an anchor meet in one task (those of very frequent
+   ones, or with many bytes together, are dealt by the hash of single windows instead). The task sorts the
    suffixes that begin there, as far as ``length`` bytes, by prefix doubling.
    In suffix order, the nearest smaller positions before and after a suffix
    give the longest match that begins earlier in the corpus (the
@@ -47,6 +47,8 @@ from .scratch import Scratch
 ANCHOR = 32
 #: Different stretches of an anchor beyond which its windows are dealt one by one.
 HOT = 8000
+#: Bytes of an anchor's stretches beyond which they are too (sorting takes some hundred bytes a byte).
+HOT_BYTES = 2 << 20
 #: Windows of a stretch at most.
 LONG = 1 << 13
 #: Bytes of stretches whose suffixes are sorted together.
@@ -120,13 +122,13 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     n = len(data)
     padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
     word = np.ndarray((n + length + 1,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    rank = np.unique(word, return_inverse=True)[1]
+    rank = np.unique(word, return_inverse=True)[1].astype(np.int32)
     size, levels = 8, []
     while True:
         levels.append((size, rank))
         if 2 * size > length:
             break
-        rank = np.unique(rank[:-size] * np.int64(len(word)) + rank[size:], return_inverse=True)[1]
+        rank = np.unique(rank[:-size] * np.int64(len(word)) + rank[size:], return_inverse=True)[1].astype(np.int32)
         size *= 2
     offset, out = 0, None
     for size, rank in reversed(levels):
@@ -334,8 +336,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     # most kinds occur once: nothing joins them by content any more, so their hashes aren't stored
     several = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("c1", "c2")]
     kinds = scratch.cut(counted.select(*several, "n", "first"), "kinds", "zstd")
-    counts = kinds.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("kinds"), F.max("first.again").alias("again"))
-    mixed = counts.where("kinds > 1 or again > 0").select("anchor", "kinds")
+    counts = kinds.groupBy(F.col("first.anchor").alias("anchor")).agg(F.count("*").alias("kinds"), F.sum("first.size").alias("bytes"), F.max("first.again").alias("again"))
+    large = F.when(F.col("bytes") > HOT_BYTES, F.greatest("kinds", F.lit(HOT + 1))).otherwise(F.col("kinds"))
+    mixed = counts.where("kinds > 1 or again > 0").select("anchor", large.alias("kinds"))
     chosen = kinds.select("n", "first.*").join(mixed, "anchor")
     keyed = _with_key(docs, id_col, text_col)
     cut = scratch.cut(_bytes_of(chosen, keyed), "bytes", "zstd")

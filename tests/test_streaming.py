@@ -1,12 +1,15 @@
+import datetime
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.operators import accounts
 from vellum.operators import ordered as O
-from vellum.sources import files
-from vellum.streaming import logs
+from vellum.sources import collections, files
+from vellum.streaming import logs, sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,11 +60,6 @@ def test_more_sources(spark, tmp_path):
     for bad in (w.where("k = 0"), w.unionByName(w.where("k = 0"))):
         with pytest.raises(ValueError):
             files.zip_by_place(v, bad)
-    at = str(tmp_path / "points")
-    assert files.store_collection(spark, v, at, ["k"]) == 2
-    assert files.store_collection(spark, spark.createDataFrame([(1, "r"), (2, "s")], "k int, v string"), at, ["k"]) == 3
-    assert {tuple(r) for r in spark.read.parquet(at).collect()} == {(0, "p"), (1, "r"), (2, "s")}
-    assert files.store_collection(spark, v, at, ["k"], recreate=True) == 2
     inner, lost = files.attach(v, w.where("k = 0"), "k")
     left, _ = files.attach(v, w.where("k = 0"), "k", "left")
     assert (inner.count(), left.count(), [r.k for r in lost.collect()]) == (1, 2, [1])
@@ -92,3 +90,89 @@ def test_stale_jobs(spark, tmp_path):
         s = spark.readStream.schema("job_id long, ts timestamp, status string").parquet(str(tmp_path / "in"))
         logs.append_to(logs.stale_jobs(s), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def rows_of(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_collections_rewrite_only_touched_buckets(spark, tmp_path):
+    at = str(tmp_path / "points")
+    with pytest.raises(FileNotFoundError):
+        collections.read_collection(spark, at)
+    first = spark.range(500).selectExpr("id AS k", "concat('a', id) AS v")
+    assert collections.upsert_collection(first, at, ["k"], buckets=16)["buckets"] == 16
+    assert rows_of(collections.read_collection(spark, at)) == {(k, f"a{k}") for k in range(500)}
+    done = collections.upsert_collection(spark.createDataFrame([(7, "new"), (900, "more")], "k long, v string"), at, ["k"])
+    assert done["buckets"] <= 2
+    want = {(k, f"a{k}") for k in range(500) if k != 7} | {(7, "new"), (900, "more")}
+    assert rows_of(collections.read_collection(spark, at)) == want
+    pointer = collections._pointer(spark, at)
+    assert sum(f == done["version"] for f in pointer["folders"].values()) == done["buckets"]
+    wide = spark.createDataFrame([(7, "w", 1.5)], "k long, v string, extra double")
+    collections.upsert_collection(wide, at, ["k"])
+    got = collections.read_collection(spark, at)
+    assert got.count() == 501 and got.where("extra is not null").collect()[0].k == 7
+    assert collections.vacuum_collection(spark, at) == 0 or got.count() == 501
+    with pytest.raises(ValueError):
+        collections.upsert_collection(wide, at, ["v"])
+    collections.upsert_collection(first.limit(0), at, ["k"])
+    assert collections.read_collection(spark, at).count() == 501
+    collections.upsert_collection(first.where("k < 3"), at, ["k"], recreate=True)
+    assert collections.vacuum_collection(spark, at) >= 2 and collections.read_collection(spark, at).count() == 3
+
+
+def test_a_killed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "points")
+    first = spark.range(50).selectExpr("id AS k", "'a' AS v")
+    collections.upsert_collection(first, at, ["k"], buckets=4)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(collections, "_switch", killed)  # all files written, the pointer not yet
+    with pytest.raises(KeyboardInterrupt):
+        collections.upsert_collection(first.withColumn("v", F.lit("b")), at, ["k"])
+    monkeypatch.undo()
+    bad = first.selectExpr("k", "CASE WHEN k = 40 THEN cast(raise_error('stop') AS string) ELSE 'c' END AS v")
+    with pytest.raises(Exception, match="stop"):
+        collections.upsert_collection(bad, at, ["k"])
+    assert {r.v for r in collections.read_collection(spark, at).collect()} == {"a"}
+    assert collections.vacuum_collection(spark, at) >= 1
+
+
+def test_live_sessions_against_batch_twins(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, base = random.Random(3), datetime.datetime(2024, 1, 1)
+    rows, n = [], 0
+    for u in range(5):
+        t = base
+        for _ in range(30):
+            t += datetime.timedelta(seconds=rng.choice([5, 30, 60, 61, 200]))
+            n += 1
+            rows.append((u, n, t))
+    rows.sort(key=lambda r: (r[2], r[1]))
+    kind, path = "user_id long, session long, ts timestamp", str(tmp_path / "in")
+    parts = [rows[k : k + 40] for k in range(0, len(rows), 40)] + [[(99, 10_000, base + datetime.timedelta(days=1))], [(99, 10_001, base + datetime.timedelta(days=2))]]
+    got = {}
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
+        for policy in (sessions.REPLACE, sessions.BLOCK):
+            s = sessions.live_sessions(spark.readStream.schema(kind).parquet(path), policy, 60, late="0 seconds")
+            logs.append_to(s, str(tmp_path / policy), str(tmp_path / f"{policy}-state")).awaitTermination()
+    for policy in (sessions.REPLACE, sessions.BLOCK):
+        got[policy] = {}
+        for r in spark.read.parquet(str(tmp_path / policy)).where("user_id < 99").collect():
+            assert (r.session, r.outcome) not in got[policy]
+            got[policy][r.session, r.outcome] = r.by
+    df = spark.createDataFrame(rows, kind)
+    at = {s: t for _, s, t in rows}
+    ends = {r.session: r.ended_by for r in accounts.single_sessions(df, "user_id", [F.col("ts"), F.col("session")], "session").collect()}
+    for s, by in ends.items():  # ended by the next login, unless it had expired before
+        soon = by is not None and at[by] - at[s] < datetime.timedelta(seconds=60)
+        assert got["replace"].get((s, "ended")) == (by if soon else None) and ((s, "expired") in got["replace"]) != soon
+    accepted = {r.session: r.accepted for r in accounts.blocked_logins(df, "user_id", ["ts", "session"], 60, "ts").collect()}
+    for s, ok in accepted.items():
+        assert ((s, "accepted") in got["block"]) == ok and ((s, "refused") in got["block"]) != ok and ((s, "expired") in got["block"]) == ok
+    with pytest.raises(ValueError):
+        sessions.live_sessions(df, "other", 60)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nearest import nearest
+from .quantiles import exact_quantiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -218,7 +219,8 @@ def miss_kind(first_hit: Column, wanted: Column, top_category: Column) -> Column
 
 def recommended_threshold(judged: DataFrame) -> DataFrame:
     """``p10_relevant, p90_other, threshold``: halfway between the low scores of hits and the high ones of others; ``judged(score, hit)``."""
-    t = judged.agg(F.expr("percentile(score, 0.1) filter (where hit)").alias("a"), F.expr("percentile(score, 0.9) filter (where not hit)").alias("b"))
+    q = exact_quantiles(judged, ["hit"], "score", (0.1, 0.9))
+    t = q.agg(F.max(F.when(F.col("hit"), F.col("q")[0])).alias("a"), F.max(F.when(~F.col("hit"), F.col("q")[1])).alias("b"))
     return t.select(F.round("a", 6).alias("p10_relevant"), F.round("b", 6).alias("p90_other"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("threshold"))
 
 

@@ -104,44 +104,3 @@ def flat_content(content: Column) -> Column:
 def response_verdicts(responses: DataFrame, text: str) -> DataFrame:
     """How often each first line of a response occurs."""
     return responses.groupBy(T.strip(F.split_part(F.col(text), F.lit("\n"), F.lit(1))).alias("verdict")).agg(F.count("*").alias("n"))
-
-
-# What joins phrases in a requirement, what frames one, and what may end it.
-JOINS = r"(?U)(?:기능을\s*(?:제공하여야 한다|개발하였다|구현하였다|구현하고)|방안을\s*제시하여야 한다|업무를\s*(?:처리하고|운영하고))"
-BETWEEN = r"(?U)(?:도입하고|전환하고|복구하여)\s*"
-COMMAS, WORDS_BETWEEN = r"[,，、;；\n]+", r"(?U)\s+(?:및|또는)\s+|(?<=\S)하고\s+|(?<=\S)하며\s+"
-SUBJECT = r"(?U)^(?:시스템은|제안사는|민원 담당자는|각 위험은|위험별|교육내용은)\s*"
-ENDINGS = (
-    r"(?:기능을 제공하여야 한다|기능을 개발하였다|기능을 구현하였다|기능을 구현하고.*|방안을 제시하여야 한다)$",
-    r"(?:업무를 처리한다|업무를 운영한다|하도록 구현하였다|수립한다|제공한다|실시한다|수행한다|최소화한다|관리할 수 있어야 한다)$",
-    r"(?:을|를|은|는|이|가|와|과)$",
-)
-PARTICLE = r"(?U)(?:은|는|이|가|을|를|과|와|의|에|에서|으로|로|도|만)\b"
-SHORTEST, LONGEST = 4, 35
-
-
-def _phrase(s: Column) -> Column:
-    """A phrase without subject, ending and particle; empty if it says too little or too much."""
-    out = F.regexp_replace(T.strip(F.regexp_replace(s, r"(?U)\s+", " ")), SUBJECT, "")
-    for p in ENDINGS:
-        out = F.regexp_replace(out, p, "")
-    out = T.strip(out)
-    return F.when((F.length(T.compare_form(out)) >= SHORTEST) & (F.length(out) <= LONGEST), out).otherwise("")
-
-
-def phrases(s: Column) -> Column:
-    """The phrases that a requirement lists, each once in order."""
-    flat = T.strip(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", " "))
-    parts = F.split(F.regexp_replace(F.regexp_replace(flat, JOINS, ","), BETWEEN, ", "), COMMAS)
-    each = F.flatten(F.transform(F.filter(F.transform(parts, _phrase), lambda x: x != ""), lambda x: F.split(x, WORDS_BETWEEN)))
-    return F.array_distinct(F.filter(F.transform(each, _phrase), lambda x: x != ""))
-
-
-def missing_phrases(pairs: DataFrame, key: str, original: str, parsed: str, least: float = 0.75) -> DataFrame:
-    """``key, k, phrase``: phrases of an original that the parsed text neither holds in compared form nor in pieces to ``least``."""
-    from ..functions import similarity as S
-
-    each = pairs.where((F.coalesce(original, F.lit("")) != "") & (F.coalesce(parsed, F.lit("")) != "")).select(key, parsed, F.posexplode(phrases(F.col(original))).alias("k", "phrase"))
-    form = lambda c: T.compare_form(F.regexp_replace(c, PARTICLE, ""))
-    rest = each.where((form(F.col("phrase")) != "") & ~form(F.col(parsed)).contains(form(F.col("phrase"))))
-    return rest.where(S.containment("phrase", parsed) < least).select(key, "k", "phrase")

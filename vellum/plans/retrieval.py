@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators import tuning as T
+from ..operators.quantiles import exact_quantiles
 from .registry import query, table
 
 #: Queries; strong places of a vector.
@@ -150,8 +151,8 @@ def score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c, dense, _ = _arms(spark, sf_dir)
     j = _others(dense).join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id").withColumn("hit", F.col("qlabel") == F.col("label"))
     at = (0.1, 0.25, 0.5, 0.75, 0.9)
-    out = j.groupBy("hit").agg(F.count("*").alias("n"), F.percentile("score", list(at)).alias("p"))
-    return out.select("hit", "n", *(F.round(F.col("p")[k], 6).alias(f"p{round(100 * x)}") for k, x in enumerate(at)))
+    out = exact_quantiles(j, ["hit"], "score", at)
+    return out.select("hit", "n", *(F.round(F.col("q")[k], 6).alias(f"p{round(100 * x)}") for k, x in enumerate(at)))
 
 
 @query(_METRICS + """, t AS (SELECT query_id, CASE WHEN rr >= 1 THEN 'correct' WHEN recall_10 = 1 THEN 'pushed_down' ELSE 'lost' END AS error_type FROM m)

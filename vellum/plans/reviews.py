@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accounts as A
 from ..operators import datasets as D
+from ..operators import phrases as H
 from ..operators import verdicts as V
 from .documents import _say
 from .registry import query, table
@@ -118,7 +119,18 @@ def missing_requirement_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = _say("시스템은 전자 결재 ", F.col("o_custkey"), "번 기능을 제공하여야 한다 통계 화면 ", F.col("o_orderkey"), "을, 보고서를 출력 및 자료 관리한다를 최소화한다")
     parsed = _say(F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(_say("전자 결재는 ", F.col("o_custkey"), "번 ")), "보고서를 출력 자료 관리한다")
     pairs = table(spark, sf_dir, "orders").select("o_orderkey", original.alias("original"), parsed.alias("parsed"))
-    return V.missing_phrases(pairs, "o_orderkey", "original", "parsed")
+    return H.missing_phrases(pairs, "o_orderkey", "original", "parsed")
+
+
+@query("""SELECT o_orderkey, list_concat(['재고 ' || o_custkey || '번 현황', '발주 ' || o_orderkey || '건', '반품 처리', '창고 점검'], CASE o_orderkey % 3 WHEN 0 THEN [repeat('가나', 22) || '가...'] WHEN 1 THEN ['장비 ' || o_custkey] ELSE [] END)::VARCHAR AS items FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT o_orderkey, ['다.' || o_custkey % 10 || '.라']::VARCHAR FROM orders WHERE o_orderkey % 7 = 0""")
+def wrong_content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a wrong content names: its phrases without their frames, long ones cut; the text itself where it names nothing."""
+    key = F.col("o_orderkey")
+    more = F.when(key % 3 == 0, _say(". ", F.repeat(F.lit("가나"), 30))).when(key % 3 == 1, _say(" 기능을 제공하여야 한다 서버 장비는 장비 ", F.col("o_custkey"), "을 설치한다")).otherwise("")
+    text = _say("시스템은 재고 ", F.col("o_custkey"), "번 현황을 분석하고 발주 ", key, "건 및  반품을 처리하여 창고 점검을 수행한다", more)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 7 == 0, _say("다.", F.col("o_custkey") % 10, ".라")).otherwise(text).alias("text"))
+    return o.select("o_orderkey", F.concat(F.lit("["), F.array_join(H.named_items(F.col("text")), ", "), F.lit("]")).alias("items"))
 
 
 # training sets

@@ -100,25 +100,9 @@ def cached_conversions(files: DataFrame, cache: DataFrame, convertible: tuple[st
 
 
 def zip_by_place(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """Two files of one order joined by the place ``k``; they must be equally long, without gaps or repeats."""
-    both = vectors.join(weights, "k", "full")
-    sizes = [(df.count(), df.agg(F.count_distinct("k")).first()[0], df.agg(F.max("k")).first()[0]) for df in (vectors, weights)]
+    """Two files of one order joined by the place ``k``; they must be equally long, without gaps or repeats (one job a file)."""
+    sizes = [tuple(df.agg(F.count("*"), F.count_distinct("k"), F.coalesce(F.max("k") + 1, F.lit(0))).first()) for df in (vectors, weights)]
     (a, *x), (b, *y) = sizes
-    if a != b or any(v != [n, n - 1 if n else None] for n, v in ((a, x), (b, y))):
+    if a != b or x != [a, a] or y != [b, b]:
         raise ValueError(f"{a} vectors and {b} weights don't match place by place")
-    return both
-
-
-def store_collection(spark: SparkSession, points: DataFrame, path: str, keys: list[str], recreate: bool = False) -> int:
-    """Writes points to a Parquet collection and gives the number of its rows: made anew, or with the new points in place of old ones of the same keys."""
-    def exists() -> bool:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-    if recreate or not exists():
-        points.write.mode("overwrite").parquet(path)
-    else:
-        aside = f"{path.rstrip('/')}.next"  # the old files are read while the new ones are written
-        upsert(spark.read.parquet(path), points, keys).write.mode("overwrite").parquet(aside)
-        spark.read.parquet(aside).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).count()
+    return vectors.join(weights, "k", "full")

@@ -2,6 +2,7 @@
 
 from vellum.operators import mentions as M
 from vellum.operators import provisions as P
+from vellum.operators import refresh as U
 from vellum.operators import statutes as L
 
 
@@ -74,3 +75,31 @@ def test_references(spark):
     got = M.mentions('제8절 "4-나-1)" 및 "다", "2)"와 “마” 그리고 "가"', own, {})
     assert [place(m) for m in got] == [("8", None, "4", "나", "1", None), ("8", None, "4", "다", None, None), ("8", None, "4", "다", "2", None), ("8", None, "4", "마", None, None)]
     assert [place(m)[2:4] for m in M.mentions('앞의 "라"와 "가"', own, {})] == [("1", "라")]
+
+
+def test_a_refreshed_base_is_that_of_a_full_run(spark):
+    def law(c, *more):
+        return [f"제1조(목적) 이 법은 「법{(c + 1) % 6}」 제2조제1항에 따른다", f"제2조(정의) ① 영 제3조 ② 다음 각 호와 같다. 1. 갑 {c} 2. 을", "제4조(준용) 제2조 각 호와 제1조", *more]
+
+    def state(laws):
+        rows = [(f"f{c}", k, f"L{c}", t) for c, text in laws.items() for k, t in enumerate(text)]
+        return spark.createDataFrame(rows, "file string, ord int, prefix string, line string")
+
+    names = spark.createDataFrame([(f"법{c}", f"L{c}") for c in range(6)], "name string, prefix string")
+    relatives = spark.createDataFrame([(f"L{c}", "영", f"L{(c + 2) % 6}") for c in range(6)], "prefix string, kind string, target string")
+    base = U.built(state({c: law(c) for c in (0, 1, 2, 3)}), names, relatives)
+    held = lambda b: ({tuple(r) for r in b.chunks.select("chunk_id", "text").collect()}, {tuple(r) for r in b.references.collect()}, {tuple(r) for r in b.files.collect()})
+    same = U.refreshed(base, state({c: law(c) for c in (0, 1, 2, 3)}), names, relatives)
+    assert held(same) == held(base) and U.changes(base, state({c: law(c) for c in (0, 1, 2, 3)}))[1].count() == 0
+    # one edited (an article more, one less), one gone, one new
+    edited = {0: law(0), 1: [law(1)[0], law(1)[2], "제3조(신설) 제2호와 제1항"], 3: law(3), 4: law(4)}
+    now = state(edited)
+    files, laws = U.changes(base, now)
+    assert {r.file for r in files.collect()} == {"f1", "f4"} and {r.prefix for r in laws.collect()} == {"L1", "L2", "L4"}
+    got, want = U.refreshed(base, now, names, relatives), U.built(now, names, relatives)
+    assert held(got) == held(want)
+    unresolved = {r.ref_id for r in got.references.where("not is_resolved").collect()}
+    assert "L1_0_0_2_1_0_0_0" in unresolved  # lost with the edit, asked for by a file that hasn't changed
+    back = U.refreshed(got, state({c: law(c) for c in (0, 1, 2, 3)}), names, relatives)
+    assert held(back) == held(base)
+    assert U.refreshed(got, now.limit(0), names, relatives).references.count() == 0

@@ -207,8 +207,11 @@ def references(chunks: DataFrame, names: DataFrame | dict[str, str] | None = Non
     return resolved(chunks, reg, places)
 
 
-def resolved(chunks: DataFrame, reg: DataFrame, places: DataFrame) -> DataFrame:
-    """``chunk_id, k, ref_id, is_resolved`` from the places that chunks refer to and the registry; see ``references``."""
+def resolved(chunks: DataFrame, reg: DataFrame, places: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, k, ref_id, is_resolved`` from the places that chunks refer to and the registry; see ``references``.
+
+    Children are looked for ``among`` these chunks, by default the same.
+    """
     key = lambda names: [F.col(a).eqNullSafe(F.col(f"r_{a}")) for a in names]
     single = places.where("not each").join(reg, _all(key(("prefix", *_PLACE))), "left")
     built = slots(F.col("prefix"), F.lit("0"), F.lit("0"), _slot(F.col("jo"), F.col("ui")), *(_slot(F.col(c)) for c in ("hang", "ho", "mok", "semok")))
@@ -216,7 +219,7 @@ def resolved(chunks: DataFrame, reg: DataFrame, places: DataFrame) -> DataFrame:
     items = reg.where("r_ho is not null and r_mok is null")
     spread = places.where("each").join(items, _all(key(("prefix", "jo", "ui", "hang")))).select("chunk_id", "k", F.col("hit").alias("tie"), F.col("hit").alias("ref_id"), F.lit(True).alias("is_resolved"))
     asks = chunks.where(F.col("text").rlike(r"(?U)다음\s*각\s*(?:호|항)")).select("chunk_id")
-    children = chunks.where("parent_id is not null").select(F.col("parent_id").alias("chunk_id"), F.lit(1 << 30).alias("k"), F.col("chunk_id").alias("tie"), F.col("chunk_id").alias("ref_id"), F.lit(True).alias("is_resolved"))
+    children = (chunks if among is None else among).where("parent_id is not null").select(F.col("parent_id").alias("chunk_id"), F.lit(1 << 30).alias("k"), F.col("chunk_id").alias("tie"), F.col("chunk_id").alias("ref_id"), F.lit(True).alias("is_resolved"))
     every = single.unionByName(spread).unionByName(asks.join(children, "chunk_id"))
     first = every.groupBy("chunk_id", "ref_id").agg(F.min(F.struct("k", "tie", "is_resolved")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy("x.k", "x.tie", "ref_id")) - 1

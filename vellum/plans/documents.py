@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clauses as C
 from ..operators import names as N
 from ..operators import provisions as P
+from ..operators import refresh as U
 from ..operators import statutes as L
 from .registry import query, table
 
@@ -176,17 +177,31 @@ def statute_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("chunk_id", "is_upper_law", "is_ref_article")
 
 
-@query(stated(_PARTS + """, x AS (SELECT l_orderkey, n, h, h || '_2_2_나_0' AS chunk_id, 'L' || l_orderkey AS prefix FROM b WHERE n % 2 = 1),
+_REFERENCES = stated(_PARTS + """, x AS (SELECT l_orderkey, n, h, h || '_2_2_나_0' AS chunk_id, 'L' || l_orderkey AS prefix FROM b WHERE n % 2 = 1),
 r AS (SELECT chunk_id, coalesce(t.k, prefix || '_0_0_' || (n + 1) || '_1_0_0_0') AS ref_id, t.k IS NOT NULL AS is_resolved, 0 AS o FROM x LEFT JOIN (SELECT chunk_id AS k FROM c) t ON t.k = prefix || '_2_0_' || (n + 1) || '_1_0_0_0'
 UNION ALL SELECT chunk_id, h || '_1_0_0_0', true, 1 FROM x
 UNION ALL SELECT h || '_2_0_0_0', h || '_2_1_0_0', true, 0 FROM x UNION ALL SELECT h || '_2_0_0_0', h || '_2_2_0_0', true, 1 FROM x
 UNION ALL SELECT h || '_2_2_나_0', NULL, true, 2 FROM x WHERE false)
-SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1 AS INT) AS k, ref_id, is_resolved FROM r"""))
+SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY o) - 1 AS INT) AS k, ref_id, is_resolved FROM r""")
+
+
+@query(_REFERENCES)
 def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References between chunks, resolved or built, and the children that ``다음 각 호`` means."""
     return P.references(_chunks(spark, sf_dir), {}, {})
 
 
+@query(_REFERENCES)
+def refreshed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same references out of an older state: a third of the statutes read otherwise then, a fifth were not there, some are gone since."""
+    now, file = _statute_lines(spark, sf_dir), F.col("file")
+    then = now.withColumn("line", F.when((file % 3 == 0) & F.col("line").startswith("제"), F.concat("line", F.lit(" 제1조제2항"))).otherwise(F.col("line"))).where(file % 5 != 0)
+    gone = now.where(file % 7 == 0).select((file + 10_000_000).alias("file"), "ord", F.concat(F.lit("X"), "prefix").alias("prefix"), "line")
+    names = spark.createDataFrame([], "name string, prefix string")
+    relatives = spark.createDataFrame([], "prefix string, kind string, target string")
+    return U.refreshed(U.built(then.unionByName(gone), names, relatives), now, names, relatives).references
+
+
 @query(stated("""WITH b AS (SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber || '_0_0_0_0' AS chunk_id, l_orderkey AS c, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
 m AS (SELECT chunk_id, c, n, q, unnest([least(n, 3), greatest(n, 3)]) AS p FROM b WHERE n % 4 = 1),
 r AS (SELECT chunk_id, 'D' || c || '_0_0_' || q || '_' || p || '_0_0_0' AS ref_id, false AS is_resolved, p AS o FROM m

@@ -77,6 +77,12 @@ def test_notifications_once_and_logins(spark, tmp_path):
         logs.notify(alerts, str(tmp_path / "sent"), str(tmp_path / f"cp{n}"), ["item_id", "days_left"]).awaitTermination()
         assert {(r.item_id, r.days_left) for r in spark.read.parquet(str(tmp_path / "sent")).collect()} == {(1, 7), (2, 1)}
         assert spark.read.parquet(str(tmp_path / "sent")).count() == 2
+    more = spark.createDataFrame([(5, "2024-01-08", True), (6, "2024-01-04", True)], "item_id long, due string, pending boolean").withColumn("due", F.col("due").cast("date"))
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    alerts = logs.deadline_alerts(spark.readStream.schema(items.schema).parquet(str(tmp_path / "in")), "2024-01-01")
+    out = spark.createDataFrame([(5, 7), (6, 7)], "item_id long, days_left int")  # the first wants no early alerts; the second's is another kind
+    logs.notify(alerts, str(tmp_path / "sent"), str(tmp_path / "cp2"), ["item_id", "days_left"], out).awaitTermination()
+    assert {(r.item_id, r.days_left) for r in spark.read.parquet(str(tmp_path / "sent")).collect()} == {(1, 7), (2, 1), (6, 3)}
     rows = spark.createDataFrame([(1, None, " 1.1.1.1, 2.2.2.2", "9.9.9.9", "x" * 300, True), (2, None, None, "9.9.9.9", None, False)], "user_id long, ts timestamp, forwarded string, peer string, agent string, success boolean")
     assert {(r.ip, len(r.agent)) for r in logs.login_rows(rows).collect()} == {("1.1.1.1", 255), ("9.9.9.9", 0)}
 

@@ -10,6 +10,20 @@ from ..functions import text as T
 from . import ordered as O
 
 
+#: Rows that a configured table may have where each of them meets each row of another.
+MOST_ROWS = 10_000
+
+
+def with_each(df: DataFrame, configured: DataFrame, *columns: str) -> DataFrame:
+    """Every row of ``df`` with every row of a small configured table, of which ``columns`` are kept; more than ``MOST_ROWS`` are refused."""
+    rows = configured.select(*columns).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} configured rows")
+    kinds = [configured.schema[c].dataType for c in columns]
+    each = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, columns, strict=True))) for r in rows))
+    return df.select("*", F.inline(each)) if rows else df.join(configured.select(*columns), F.lit(False))
+
+
 def longest_key(text: Column, keys: list[str]) -> Column:
     """The longest of the keys that the text contains (of equally long ones the first by name); null if there is none."""
     ranked = sorted(set(keys), key=lambda k: (-len(k), k))

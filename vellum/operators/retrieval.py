@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .nearest import nearest
 from .quantiles import exact_quantiles
 
@@ -148,7 +149,9 @@ def word_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, lea
     ``m - ceil(least * m) + 1`` with such a document, so only those (as counted in the documents) open a pair, and frequent
     words open hardly any; all its words are then counted for the pairs found.
     """
-    counts = docs.join(items.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    scratch = Scratch(docs.sparkSession, "words")
+    docs = scratch.cut(docs.join(items.select("word").distinct(), "word", "left_semi"), "docs")  # read three times
+    counts = docs.groupBy("word").agg(F.count("*").alias("df"))
     w = Window.partitionBy(item)
     ranked = items.join(counts, "word", "left").withColumn("m", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "word")))
     first = ranked.where(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * least - F.lit(1e-9)) + 1).select(item, "word")

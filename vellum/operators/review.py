@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..scratch import Scratch
 from . import matching as M
+from .lookup import with_each
 from .ordered import latest
 
 MIN_CONTENT, IDENTITY = 30, 0.4
@@ -65,7 +66,7 @@ def review(spec: DataFrame, original: DataFrame, parsed: DataFrame) -> DataFrame
     docs = parsed.select("doc_id").unionByName(original.select("doc_id")).distinct()
     known = parsed.join(spec.select("code", F.col("title").alias("spec_title")), "code")
     issue = lambda df, name, code, related=None: df.select("doc_id", F.lit(name).alias("issue"), code.alias("code"), (related if related is not None else F.lit(None).cast("string")).alias("related"))
-    every = docs.crossJoin(spec.select("code"))
+    every = with_each(docs, spec, "code")
     missing = issue(every.join(parsed.select("doc_id", "code"), ["doc_id", "code"], "left_anti"), "missing_section", F.col("code"))
     short = F.length(T.compare_form(F.coalesce("content", F.lit("")))) < EMPTY_BELOW
     empty = issue(known.where(short), "empty_section", F.col("code"))

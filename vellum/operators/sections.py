@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lookup import with_each
 from .ordered import keep_first, monotone_fold
 
 # Headings, requirement ids and metadata labels as the documents write them.
@@ -73,7 +74,7 @@ def anchored_sections(docs: DataFrame, spec: DataFrame, cap: int = 2000, long_ca
     limit = F.when(F.col("code").startswith(long_prefix), long_cap).otherwise(cap)
     content = F.when(F.length(body) > limit, F.concat(F.substring(body, F.lit(1), limit), F.lit(CUT_MARK))).otherwise(body)
     got = each.select("doc_id", "code", content.alias("content"))
-    every = docs.select("doc_id").crossJoin(spec.select("code", "ord", "label"))
+    every = with_each(docs.select("doc_id"), spec, "code", "ord", "label")
     out = every.join(got, ["doc_id", "code"], "left")
     return out.select("doc_id", "code", "ord", "label", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNotNull().alias("found"))
 
@@ -181,6 +182,6 @@ def keyword_sections(docs: DataFrame, spec: DataFrame, rows: list[tuple[str, str
         return texts.map(lambda t: keyword_slices(t or "", rows, cap))
 
     got = docs.select("doc_id", F.explode(cut("text")).alias("s")).select("doc_id", "s.code", "s.content")
-    every = docs.select("doc_id").crossJoin(spec.select("code", "ord", "label"))
+    every = with_each(docs.select("doc_id"), spec, "code", "ord", "label")
     out = every.join(got, ["doc_id", "code"], "left")
     return out.select("doc_id", "code", "ord", "label", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNotNull().alias("found"))

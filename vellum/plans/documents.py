@@ -14,11 +14,11 @@ from .registry import query, table
 
 
 #: The rows that texts are made of: a customer's orders, numbered.
-_LINES = "lineitem AS (SELECT o_custkey AS l_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l_linenumber, o_orderstatus AS l_returnflag, o_orderkey % 50 + 1 AS l_quantity, o_orderkey AS l_partkey, o_orderkey // 7 AS l_suppkey FROM orders)"
+_LINES = "order_lines AS (SELECT o_custkey AS l_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l_linenumber, o_orderstatus AS l_returnflag, o_orderkey % 50 + 1 AS l_quantity, o_orderkey AS l_partkey, o_orderkey // 7 AS l_suppkey FROM orders)"
 
 
 def stated(sql: str) -> str:
-    """SQL over those rows in place of a table."""
+    """SQL over those rows."""
     return f"WITH {_LINES}, " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else f"WITH {_LINES} {sql}"
 
 
@@ -61,13 +61,13 @@ def quantity() -> Column:
 
 
 @query(stated("""SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS k, '제' || l_linenumber || '조' AS clause_number,
-'제' || l_linenumber || '조(' || l_returnflag || ') 부품 ' || l_partkey AS clause_text FROM lineitem"""))
+'제' || l_linenumber || '조(' || l_returnflag || ') 부품 ' || l_partkey AS clause_text FROM order_lines"""))
 def naive_clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clause at every heading."""
     return C.naive_clauses(_orders(spark, sf_dir, _say("제", number(), "조(", flag(), ")\n부품 ", part())))
 
 
-@query(stated("""WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber, '제' || l_linenumber || '조' AS c, '제' || l_linenumber || '조(' || l_returnflag || ')' AS h, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem),
+@query(stated("""WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber, '제' || l_linenumber || '조' AS c, '제' || l_linenumber || '조(' || l_returnflag || ')' AS h, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s FROM order_lines),
 r AS (SELECT doc_id, l_linenumber, 1 AS o, c || '제1항' AS clause_number, h || ' ①수량 ' || q AS clause_text FROM u WHERE q > 25
 UNION ALL SELECT doc_id, l_linenumber, 2, c || '제2항', h || ' ②다음과 같다.' FROM u WHERE q > 25 UNION ALL SELECT doc_id, l_linenumber, 3, c || '제2항제1호', '1. 부품 ' || p FROM u WHERE q > 25
 UNION ALL SELECT doc_id, l_linenumber, 4, c || '제2항제2호', '2. 공급 ' || s || ' 7. 법 제9조(인용) 참조' FROM u WHERE q > 25
@@ -90,7 +90,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lines, pages
 
 
-_PLACES = """WITH b AS (SELECT l_orderkey AS doc_id, CAST((l_linenumber - 1) // 3 + 1 AS INT) AS page, CAST((l_linenumber - 1) % 3 * 100 + 10 AS DOUBLE) AS top, l_linenumber AS n, CAST(l_quantity AS INT) AS q, l_returnflag AS f FROM lineitem),
+_PLACES = """WITH b AS (SELECT l_orderkey AS doc_id, CAST((l_linenumber - 1) // 3 + 1 AS INT) AS page, CAST((l_linenumber - 1) % 3 * 100 + 10 AS DOUBLE) AS top, l_linenumber AS n, CAST(l_quantity AS INT) AS q, l_returnflag AS f FROM order_lines),
 e AS (SELECT *, coalesce(lead(page) OVER w, max(page) OVER (PARTITION BY doc_id)) AS stop_page, coalesce(lead(top) OVER w, 300.0::DOUBLE) AS stop_y, count(*) OVER (PARTITION BY doc_id) AS m FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 u AS (SELECT *, '제' || n || '조' AS c, CASE WHEN q > 25 THEN '제' || n || '조제1항' ELSE '제' || n || '조' END AS v FROM e WHERE m >= 3),
 p AS (SELECT doc_id, c AS key, page AS start_page, top AS start_y, stop_page, stop_y, 50.0::DOUBLE AS x FROM u
@@ -122,7 +122,7 @@ def clause_place_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.positions_of(results, clause_places(spark, sf_dir)).select("doc_id", "clause_number", "found_key", "start_page", "start_y")
 
 
-@query(stated("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN '단락' || l_linenumber ELSE '제 ' || l_linenumber || '조의2 제 ' || CAST(l_quantity AS INT) || '항' END AS label FROM lineitem"))
+@query(stated("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN '단락' || l_linenumber ELSE '제 ' || l_linenumber || '조의2 제 ' || CAST(l_quantity AS INT) || '항' END AS label FROM order_lines"))
 def clause_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause numbers as they are shown."""
     raw = F.when(number() == 7, _say("단락", number())).otherwise(_say("제", number(), "조의2제", quantity(), "항"))
@@ -144,7 +144,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file")).distinct()
 
 
-_PARTS = """WITH b AS (SELECT 'L' || l_orderkey AS prefix, l_orderkey, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s, 'L' || l_orderkey || '_2_0_' || l_linenumber AS h, '제2장제' || l_linenumber || '조' AS a FROM lineitem),
+_PARTS = """WITH b AS (SELECT 'L' || l_orderkey AS prefix, l_orderkey, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_partkey AS p, l_suppkey AS s, 'L' || l_orderkey || '_2_0_' || l_linenumber AS h, '제2장제' || l_linenumber || '조' AS a FROM order_lines),
 c AS (SELECT l_orderkey, n, h || '_0_0_0_0' AS chunk_id, NULL AS parent_id, a AS article_number, '제' || n || '조(품목 ' || f || ') ' || CASE WHEN n % 2 = 1 THEN '다음과 같다.' ELSE '수량 ' || q END AS text FROM b
 UNION ALL SELECT l_orderkey, n, h || '_1_0_0_0', h || '_0_0_0_0', a || '제1항', '① 수량 ' || q FROM b WHERE n % 2 = 1
 UNION ALL SELECT l_orderkey, n, h || '_2_0_0_0', h || '_0_0_0_0', a || '제2항', '② 다음 각 호로 한다.' FROM b WHERE n % 2 = 1
@@ -158,7 +158,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.provisions(L.articles(_statute_lines(spark, sf_dir)))
 
 
-@query(stated("SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber AS chunk_id, '품목 ' || l_returnflag AS title, CAST(l_linenumber AS INT) AS jo FROM lineitem"))
+@query(stated("SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber AS chunk_id, '품목 ' || l_returnflag AS title, CAST(l_linenumber AS INT) AS jo FROM order_lines"))
 def statute_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of statutes with their chapters."""
     return L.articles(_statute_lines(spark, sf_dir)).select("chunk_id", "title", "jo")
@@ -202,7 +202,7 @@ def refreshed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.refreshed(U.built(then.unionByName(gone), names, relatives), now, names, relatives).references
 
 
-@query(stated("""WITH b AS (SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber || '_0_0_0_0' AS chunk_id, l_orderkey AS c, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
+@query(stated("""WITH b AS (SELECT 'L' || l_orderkey || '_2_0_' || l_linenumber || '_0_0_0_0' AS chunk_id, l_orderkey AS c, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM order_lines),
 m AS (SELECT chunk_id, c, n, q, unnest([least(n, 3), greatest(n, 3)]) AS p FROM b WHERE n % 4 = 1),
 r AS (SELECT chunk_id, 'D' || c || '_0_0_' || q || '_' || p || '_0_0_0' AS ref_id, false AS is_resolved, p AS o FROM m
 UNION ALL SELECT chunk_id, 'D' || c || '_0_0_' || q || '_0_0_0_0', false, 0 FROM b WHERE n % 4 = 2
@@ -226,7 +226,7 @@ def statute_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.references(chunks, files.select(F.inline(named)), relatives)
 
 
-@query(stated("""WITH b AS (SELECT 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, 'C' || l_orderkey || '_0_0_2_' || l_linenumber AS x FROM lineitem)
+@query(stated("""WITH b AS (SELECT 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, 'C' || l_orderkey || '_0_0_2_' || l_linenumber AS x FROM order_lines)
 SELECT h || '_가_0_0' AS chunk_id, 0::INT AS k, h || '_가_1_0' AS ref_id, true AS is_resolved FROM b
 UNION ALL SELECT h || '_가_0_0', 1, x || '_나_0_0', false FROM b UNION ALL SELECT h || '_가_0_0', 2, x || '_나_2_0', false FROM b"""))
 def condition_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +252,7 @@ def longest_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.longest_names(parts, "p_name", names, "name")
 
 
-@query(stated("""WITH b AS (SELECT *, 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, '제1장제2절제' || l_linenumber || '항' AS a FROM lineitem)
+@query(stated("""WITH b AS (SELECT *, 'C' || l_orderkey || '_1_2_0_' || l_linenumber AS h, '제1장제2절제' || l_linenumber || '항' AS a FROM order_lines)
 SELECT h || '_0_0_0' AS chunk_id, NULL AS parent_id, a AS article_number, l_linenumber || '. 수량 ' || CAST(l_quantity AS INT) || ' 이어서' AS text FROM b
 UNION ALL SELECT h || '_가_0_0', h || '_0_0_0', a || '가', '가. 항목' FROM b UNION ALL SELECT h || '_가_1_0', h || '_가_0_0', a || '가제1호', '1) 부품 ' || l_partkey FROM b
 UNION ALL SELECT h || '_가_1_나', h || '_가_1_0', a || '가제1호나', '나) 공급 ' || l_suppkey FROM b"""))

@@ -27,17 +27,26 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text forms
 
 
-@query("""SELECT c_custkey AS doc_id, '1.사업명(가)' || c_custkey AS squeezed, '1사업명가' || c_custkey AS loose, '사업명(가)' || c_custkey AS title, '사업명가' || c_custkey AS compared FROM customer""")
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_mktsegment AS s, ['1.', 'Ⅱ.', '가.', '12.3', ''][c_custkey % 5 + 1] AS n, repeat('사업명', c_custkey % 3 + 1) AS t, length(c_name) % 4 AS k FROM customer)
+SELECT doc_id, n || t || '(' || s || ')' || doc_id AS squeezed, replace(n, '.', '') || t || s || doc_id AS loose, t || '(' || s || ')' || doc_id AS title, replace(n, '.', '') || t || s || doc_id AS compared FROM c""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without white space, without signs, and titles without their numeral."""
-    d = _customers(spark, sf_dir).withColumn("t", _say(" 1. 사 업　명 (가) ", F.col("c")))
-    return d.select("doc_id", T.squeeze(F.col("t")).alias("squeezed"), T.loose_form(F.col("t")).alias("loose"), T.title_form(F.col("t")).alias("title"), F.substring(T.compare_form(F.col("t")), 2, 100).alias("compared"))
+    """Texts without white space, without signs, and titles without their numeral; numerals, lengths and blanks follow the row."""
+    c, blank = F.col("c"), F.repeat(F.lit(" \u3000\u00a0"), (F.length("c_name") % 4).cast("int"))
+    numeral = F.get(F.array(*map(F.lit, ("1.", "Ⅱ.", "가.", "12.3", ""))), (c % 5).cast("int"))
+    d = _customers(spark, sf_dir).withColumn("t", F.concat(blank, numeral, F.lit(" "), F.repeat(F.concat(F.lit("사"), blank, F.lit("업　명")), (c % 3 + 1).cast("int")), F.lit(" ("), "c_mktsegment", F.lit(")"), blank, c.cast("string"), F.lit("\n")))
+    return d.select("doc_id", T.squeeze(F.col("t")).alias("squeezed"), T.loose_form(F.col("t")).alias("loose"), T.title_form(F.col("t")).alias("title"), T.compare_form(F.col("t")).alias("compared"))
 
 
-@query("SELECT c_custkey AS doc_id, '사업 개요 ' || c_custkey || chr(10) || chr(10) || '본문 줄' || chr(10) || '끝 2024 ... 책' AS cleaned FROM customer")
+@query("""WITH c AS (SELECT c_custkey AS c, c_custkey % 4 AS k, c_name AS n, c_mktsegment AS s FROM customer)
+SELECT c AS doc_id, CASE WHEN k >= 2 THEN '사업 개요 ' || c || chr(10) || chr(10) ELSE '' END || array_to_string(list_transform(range(1, k + 2), lambda i: '본문 ' || n || ' ' || i), chr(10)) || chr(10) || '끝 2024 ... ' || s AS cleaned FROM c""")
 def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without contents lines, page numbers and contents headings."""
-    raw = _say("목  차\n사업 개요 ... 12\n1. 배경 ······ 3\n- 4 -\nPage 5\n  17\n사업 \t 개요 ", F.col("c"), "\n\n\n\n본문 줄\n끝 2024 ... 책\n")
+    """Texts without contents lines, page numbers and contents headings; how many there are and where follows the row."""
+    c, k = F.col("c"), (F.col("c") % 4).cast("int")
+    page = F.get(F.array(F.lit("- 4 -"), F.lit("Page 5"), F.lit("  17"), _say("page ", c)), k)
+    contents = F.array_join(F.transform(F.sequence(F.lit(1), k + 1), lambda i: F.concat(i.cast("string"), F.lit(". "), F.col("c_mktsegment"), F.lit(" ······ "), (i * 3).cast("string"))), "\n")
+    head = F.when(k >= 2, _say("사업 \t 개요 ", c, "\n\n\n\n")).otherwise("")
+    body = F.array_join(F.transform(F.sequence(F.lit(1), k + 1), lambda i: F.concat(F.lit("본문 "), F.col("c_name"), F.lit("  "), i.cast("string"))), "\n")
+    raw = F.concat(F.lit("목  차\n"), contents, F.lit("\n"), page, F.lit("\n"), head, body, F.lit("\n끝 2024 ... "), "c_mktsegment", F.lit("\n"))
     return _customers(spark, sf_dir).select("doc_id", T.clean(raw).alias("cleaned"))
 
 
@@ -64,11 +73,14 @@ def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '불일치' WHEN 1 THEN '일치' WHEN 2 THEN '불일치' WHEN 3 THEN '검토' END AS label FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE ['불일치', '일치', '검토'][o_custkey % 3 + 1] END AS label FROM orders""")
 def parsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from JSON objects, fenced lists and plain words."""
-    key = F.col("o_orderkey") % 5
-    raw = F.when(key == 0, '{"label": "불일치"}').when(key == 1, '```json\n[{"label": "일치"}]\n```').when(key == 2, "판정은 불일치이다").when(key == 3, "검토 필요").otherwise("모름")
+    """Labels from JSON objects, fenced lists and plain words: each label in each form."""
+    key, label = F.col("o_orderkey") % 5, F.get(F.array(*map(F.lit, ("불일치", "일치", "검토"))), (F.col("o_custkey") % 3).cast("int"))
+    raw = (
+        F.when(key == 0, _say('{"label": "', label, '", "n": ', F.col("o_custkey"), "}")).when(key == 1, _say('```json\n[{"label": "', label, '"}]\n```')).when(key == 2, _say("판정은 ", label, " (", F.col("o_orderpriority"), ")"))
+        .when(key == 3, _say(label, " 필요 ", F.col("o_custkey"))).otherwise("모름")
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_label(raw, ["일치", "불일치", "검토"]).alias("label"))
 
 
@@ -110,15 +122,20 @@ def request_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.metadata(_requests(spark, sf_dir)).select("doc_id", "project_name", "client", "budget_value")
 
 
-@query("SELECT c_custkey AS doc_id, 'A' AS code, '첫 본문 ' || c_custkey AS content, true AS found FROM customer UNION ALL SELECT c_custkey, 'B', '둘째 본문' || chr(10) || '3. 긴 ' || repeat('가', 40), true FROM customer UNION ALL SELECT c_custkey, 'C', '', false FROM customer")
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 3 + 1 AS n, c_custkey % 2 = 0 AS b, c_name, c_mktsegment AS s FROM customer)
+SELECT doc_id, 'A' AS code, array_to_string(list_transform(range(1, n + 1), lambda i: '첫 본문 ' || s || ' ' || (i * doc_id)), chr(10)) AS content, true AS found FROM c
+UNION ALL SELECT doc_id, 'B', CASE WHEN b THEN '둘째 본문 ' || c_name || chr(10) || '3. 긴 ' || repeat('가', 30 + n) ELSE '' END, b FROM c UNION ALL SELECT doc_id, 'C', '', false FROM c""")
 def plan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by an ordered search without white space, after the table of contents; headings left alone at the end go."""
     rows = [("A", "사업 개요", ["사업개요"]), ("B", "추진 전략", ["추진전략"]), ("C", "없음", ["없는 장"])]
-    text = _say("표지\n목 차\n사업 개요\n추진 전략\n없는것\n\n본문 시작 문장\n사 업 개 요\n첫 본문 ", F.col("c"), "\n2. 다음\n가.\n추진 전략\n둘째 본문\n3. 긴 ", F.repeat(F.lit("가"), 40), "\n")
+    c, n = F.col("c"), (F.col("c") % 3 + 1).cast("int")
+    first = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("첫 본문 "), F.col("c_mktsegment"), F.lit(" "), (i * c).cast("string"))), "\n")
+    second = F.when(c % 2 == 0, _say("\n추진 전략\n둘째 본문 ", F.col("c_name"), "\n3. 긴 ", F.repeat(F.lit("가"), 30 + n), "\n")).otherwise("\n나.\n")
+    text = _say("표지 ", c, "\n목 차\n사업 개요\n추진 전략\n없는것\n\n본문 시작 ", F.repeat(F.lit("문장 "), n + 60), "\n사 업 개 요\n", first, "\n2. 다음\n가.", second)
     return X.keyword_sections(_customers(spark, sf_dir).select("doc_id", text.alias("text")), X.spec_table(spark, rows), rows).select("doc_id", "code", "content", "found")
 
 
-@query(stated("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS k, '제' || l_linenumber || '조' AS clause_number, '제' || l_linenumber || '조(' || l_returnflag || ') 부품 ' || l_partkey || ' 제' || (l_linenumber + 20) || '조에 따라 ' || l_suppkey AS clause_text FROM lineitem"""))
+@query(stated("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS k, '제' || l_linenumber || '조' AS clause_number, '제' || l_linenumber || '조(' || l_returnflag || ') 부품 ' || l_partkey || ' 제' || (l_linenumber + 20) || '조에 따라 ' || l_suppkey AS clause_text FROM order_lines"""))
 def continued_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses by headings that continue the numbering; citations stay in the text."""
     return X.clauses(_orders(spark, sf_dir, _say("제", number(), "조(", flag(), ") 부품 ", part(), " 제", number() + 20, "조에 따라 ", supplier())))
@@ -247,34 +264,52 @@ def compared_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.compare(s, t, m, V.identity_scores(s, t, ["A"], []))[1].select("pair_id", "score", "n_satisfied", "n_unsatisfied")
 
 
-@query("SELECT c_custkey AS doc_id, 'W1' AS code, CASE WHEN c_custkey % 2 = 0 THEN '2. 사업 개요' ELSE '개요 설명' END AS section, 1.0::DOUBLE AS score FROM customer")
+@query("""WITH c AS (SELECT c_custkey AS doc_id, c_mktsegment AS s, c_custkey % 4 AS k FROM customer)
+SELECT doc_id, 'W1' AS code, CASE k WHEN 0 THEN '3. ' || s || ' 개요' WHEN 1 THEN s WHEN 2 THEN '나다라' || s END AS section, 1.0::DOUBLE AS score FROM c WHERE k < 3
+UNION ALL SELECT doc_id, 'W2', '가나다라마바 ' || doc_id, round(2 * (6.0::DOUBLE + length(doc_id::VARCHAR)) / (14 + 2 * length(doc_id::VARCHAR)), 6) FROM c WHERE k < 3""")
 def fuzzy_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The section whose title fits best; one that holds the other wins at once."""
-    d = _customers(spark, sf_dir)
-    rows = F.array(F.struct(F.lit(0).alias("ord"), F.lit("전혀 다른").alias("title")), F.struct(F.lit(1).alias("ord"), F.when(F.col("c") % 2 == 0, "2. 사업 개요").otherwise("개요 설명").alias("title")), F.struct(F.lit(2).alias("ord"), F.lit("사업 개요 둘째 개요 설명").alias("title")))
-    want = d.select("doc_id", F.lit("W1").alias("code"), F.when(F.col("c") % 2 == 0, "사업개요").otherwise("개요").alias("title"))
-    return K.fuzzy_titles(want, d.select("doc_id", F.inline(rows)))
+    """The section whose title fits best: one that holds the other wins at once, else the most similar one, none below the least."""
+    d, k = _customers(spark, sf_dir), F.col("c") % 4
+    own = F.when(k == 0, _say("3. ", F.col("c_mktsegment"), " 개요")).when(k == 1, F.col("c_mktsegment")).when(k == 2, _say("나다라", F.col("c_mktsegment")))
+    like = F.when(k < 3, _say("가나다라마바 ", F.col("c")))
+    sec = lambda n, t: F.struct(n.alias("ord"), t.alias("title"))
+    titles = F.array(sec(F.lit(9), F.lit("하파타")), sec(k.cast("int"), own), sec((7 - k).cast("int"), like), sec(F.lit(8), F.when(k == 0, _say("둘째 ", F.col("c_mktsegment")))))
+    sections = d.select("doc_id", F.inline(F.filter(titles, lambda x: x["title"].isNotNull())))
+    asked = F.array(F.struct(F.lit("W1").alias("code"), F.col("c_mktsegment").alias("title")), F.struct(F.lit("W2").alias("code"), _say("가나다라마바사아", F.col("c")).alias("title")))
+    out = K.fuzzy_titles(d.select("doc_id", F.inline(asked)), sections)
+    return out.withColumn("score", F.round("score", 6))
 
 
 # tables
 
 
-@query("""SELECT c_custkey AS table_id, key, x0, x0 + 10 AS x1, header_rows FROM customer, (VALUES ('item', 0.0::DOUBLE, 2::INT), ('적용', 20, 2), ('부분적용', 40, 2), ('미적용', 60, 2), ('해당없음', 80, 2), ('사유', 100, 2)) v(key, x0, header_rows) WHERE c_custkey % 3 <> 0""")
+@query("""WITH c AS (SELECT c_custkey AS c, c_custkey % 7 AS d, c_custkey % 2 AS r FROM customer WHERE c_custkey % 3 <> 0),
+k AS (SELECT c, d, r, unnest(['item', '적용', '부분적용', '미적용', '해당없음', '사유', 'category']) AS key, unnest(range(7)) AS n FROM c)
+SELECT c AS table_id, key, (n * (20 + d))::DOUBLE AS x0, (n * (20 + d) + 10)::DOUBLE AS x1, CAST(r + 1 AS INT) AS header_rows FROM k WHERE key <> 'category' OR c % 5 = 0""")
 def checklist_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the columns of checklists stand; tables without all headers aren't checklists."""
-    cell = lambda r, k, x, t: F.struct(F.lit(r).alias("row"), F.lit(k).alias("col"), F.lit(float(x)).alias("x0"), F.lit(float(x + 10)).alias("x1"), (t if not isinstance(t, str) else F.lit(t)).alias("text"))
-    rows = F.array(
-        cell(0, 0, 0, "항 목"), cell(0, 1, 20, "적용"), cell(0, 2, 25, "적용"), cell(0, 3, 40, "부분\n적용"), cell(1, 0, 60, F.when(F.col("c") % 3 == 0, "x").otherwise("미적용")), cell(1, 1, 80, "해당 없음"),
-        cell(1, 2, 100, "사유 및 대체기술"), cell(2, 0, 120, "구분"), cell(3, 0, 0, "미적용"),
+    """Where the columns of checklists stand: one or two header rows, widths by the row; tables without all headers aren't checklists."""
+    c, step = F.col("c"), (20 + F.col("c") % 7).cast("double")
+    cell = lambda r, n, t: F.struct(r.cast("int").alias("row"), F.lit(n).alias("col"), (step * n).alias("x0"), (step * n + 10).alias("x1"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    low = c % 2  # the second half of the headers stands in a row of its own, or not
+    cells = F.array(
+        cell(F.lit(0), 0, "항 목"), cell(F.lit(0), 1, "적용"), cell(F.lit(0), 2, "부분\n적용"), cell(low, 3, F.when(c % 3 == 0, "x").otherwise("미적용")), cell(low, 4, "해당 없음"), cell(low, 5, "사유 및 대체기술"),
+        cell(F.lit(0), 6, F.when(c % 5 == 0, "구분").otherwise(_say("기타 ", c))), cell(F.lit(2), 1, "적용"), cell(F.lit(3), 3, "미적용"),
     )
-    return B.header_zones(_customers(spark, sf_dir).select(F.col("doc_id").alias("table_id"), F.inline(rows)))
+    return B.header_zones(_customers(spark, sf_dir).select(F.col("doc_id").alias("table_id"), F.inline(cells)))
 
 
-@query("""SELECT c_custkey AS doc_id, grp, text, is_intro FROM customer, (VALUES (1::BIGINT, 'o 보안 계속', true), (2, '- 하나', false), (3, 'o 단독', false), (4, '멀리 있는 줄', false)) v(grp, text, is_intro)""")
+@query("""WITH c AS (SELECT c_custkey AS d, c_custkey % 4 AS n, c_mktsegment AS s, c_name AS m FROM customer)
+SELECT d AS doc_id, 1::BIGINT AS grp, 'o 보안 ' || s || ' 계속 ' || d AS text, n > 0 AS is_intro FROM c UNION ALL SELECT d, 1 + i, '- 항목 ' || i || CASE WHEN i % 2 = 0 THEN ' 이어 ' || m ELSE '' END, false FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c)
+UNION ALL SELECT d, n + 2, 'o 단독', false FROM c UNION ALL SELECT d, n + 3, '멀리 ' || m, false FROM c""")
 def checklist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines joined to items, and titles of groups told from items."""
-    line = lambda top, t: F.struct(F.lit(float(top)).alias("top"), F.lit(float(top + 10)).alias("bottom"), F.lit(t).alias("text"))
-    rows = F.array(line(0, "o 보안"), line(12, "계속"), line(24, "- 하나"), line(36, "o 단독"), line(76, "멀리 있는 줄"))
+    """Lines joined to items, and titles of groups told from items; how many lines there are and how far apart follows the row."""
+    c, n = F.col("c"), (F.col("c") % 4).cast("int")
+    gap = (c % 6).cast("double")  # below what parts two groups
+    line = lambda k, t: F.struct((k * (10 + gap)).alias("top"), (k * (10 + gap) + 10).alias("bottom"), t.alias("text"))
+    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    dashes = F.flatten(F.transform(steps, lambda i: F.when(i % 2 == 0, F.array(line(i * 2, _say("- 항목 ", i)), line(i * 2 + 1, _say("이어 ", F.col("c_name"))))).otherwise(F.array(line(i * 2, _say("- 항목 ", i))))))
+    ends = F.array(line(F.lit(10), F.lit("o 단독")), line(F.lit(14), _say("멀리 ", F.col("c_name"))))
+    rows = F.concat(F.array(line(F.lit(0), _say("o 보안 ", F.col("c_mktsegment"))), line(F.lit(1), _say("계속 ", c))), dashes, ends)
     return B.logical_lines(_customers(spark, sf_dir).select("doc_id", F.inline(rows)), ["doc_id"]).select("doc_id", "grp", "text", "is_intro")
 
 
@@ -296,7 +331,7 @@ def blank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.blank_fields(cells, ["비고"]).select("doc_id", "page", "label")
 
 
-@query(stated("""WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_suppkey AS s FROM lineitem),
+@query(stated("""WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_returnflag AS f, CAST(l_quantity AS INT) AS q, l_suppkey AS s FROM order_lines),
 d AS (SELECT *, sum(CASE WHEN q % 3 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM b),
 h AS (SELECT doc_id, k, DATE '2025-01-01' + (q - 1) AS due_date, CASE WHEN q % 2 = 0 THEN (q % 4 + 1) || '부' END AS copies, CASE WHEN f = 'O' THEN 'PDF 파일' END AS doc_form, CASE f WHEN 'F' THEN '착수' WHEN 'O' THEN '완료' ELSE '중간' END || n AS name FROM d WHERE q % 3 <> 0 AND k > 0),
 t AS (SELECT doc_id, k, string_agg('계속' || s || '보고서', '' ORDER BY n) AS more FROM d WHERE q % 3 = 0 AND k > 0 GROUP BY ALL)
@@ -383,12 +418,14 @@ def recommended_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recommended_threshold(j.select("score", (F.col("qlabel") == F.col("label")).alias("hit")))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'correct' WHEN o_orderkey % 6 = 1 THEN 'pushed_down' WHEN o_orderkey % 6 = 2 OR o_orderkey % 6 = 3 THEN 'unknown_category' WHEN o_orderstatus <> 'F' THEN 'wrong_law' ELSE 'lost' END AS kind FROM orders""")
+@query("""WITH m AS (SELECT o_orderkey, (o_orderkey + o_custkey) % 6 AS k, o_orderstatus AS s, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS w FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 THEN 'correct' WHEN k = 1 THEN 'pushed_down' WHEN k IN (2, 3) THEN 'unknown_category' WHEN s <> w THEN 'wrong_law' ELSE 'lost' END AS kind FROM m""")
 def miss_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries by the five kinds of result."""
-    k = F.col("o_orderkey") % 6
-    first = F.when(k == 0, 1).when(k == 1, 4)
-    wanted = F.when(k == 2, F.array(F.lit(""), F.lit(None).cast("string"))).otherwise(F.array(F.lit("F"), F.lit("")))
+    k = (F.col("o_orderkey") + F.col("o_custkey")) % 6
+    first = F.when(k == 0, 1).when(k == 1, (2 + F.col("o_custkey") % 5).cast("int"))
+    own = F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("O")
+    wanted = F.when(k == 2, F.array(F.lit(""), F.lit(None).cast("string"))).otherwise(F.array(own, F.lit("")))
     return table(spark, sf_dir, "orders").select("o_orderkey", R.miss_kind(first, wanted, F.when(k != 3, F.col("o_orderstatus"))).alias("kind"))
 
 
@@ -484,9 +521,9 @@ def squeezed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("p").alias("n"), first(1).alias("first_place"), first(-1).alias("last_place"), F.nullif(total, F.lit(0)).alias("places"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'poor' WHEN 1 THEN 'slight' WHEN 2 THEN 'fair' WHEN 3 THEN 'moderate' WHEN 4 THEN 'substantial' ELSE 'almost perfect' END AS band FROM orders""")
+@query("""WITH k AS (SELECT o_orderkey, ((o_orderkey * 37 + o_custkey) % 121 - 20) / 100.0::DOUBLE AS v FROM orders)
+SELECT o_orderkey, CASE WHEN v < 0 THEN 'poor' WHEN v <= 0.2 THEN 'slight' WHEN v <= 0.4 THEN 'fair' WHEN v <= 0.6 THEN 'moderate' WHEN v <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM k""")
 def agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words for agreements from below zero to one, at the upper ends of the bands."""
-    k = (F.col("o_orderkey") % 7).cast("int")
-    value = F.get(F.array(*map(F.lit, (-0.1, 0.2, 0.4, 0.6, 0.8, 0.81, 1.0))), k)
+    """Words for agreements from below zero to one, in steps of a hundredth."""
+    value = ((F.col("o_orderkey") * 37 + F.col("o_custkey")) % 121 - 20) / F.lit(100.0)
     return table(spark, sf_dir, "orders").select("o_orderkey", M.kappa_band(value).alias("band"))

@@ -25,9 +25,9 @@ def failure_streaks(events: DataFrame, limit: int = 5) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for event, failed, reset in zip(rows["event_id"], rows["failed"], rows["reset"], strict=True):
+        # the four columns that count, of one user in one micro-batch
+        for _, event, failed, reset in sorted(r for b in batches for r in zip(b["ts"], b["event_id"], b["failed"], b["reset"], strict=True)):
             streak = 0 if reset else streak
             if failed:
                 streak += 1
@@ -68,16 +68,28 @@ def login_rows(logins: DataFrame) -> DataFrame:
     return logins.select("user_id", "ts", T.client_ip(F.col("forwarded"), F.col("peer")).alias("ip"), F.substring(F.coalesce("agent", F.lit("")), 1, AGENT).alias("agent"), "success")
 
 
-def notify(alerts: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Appends alerts to a table of notifications, each key once however often a batch is run or a day is repeated."""
+#: Buckets of notifications; a batch reads those that its keys fall into.
+BUCKETS = 64
+
+
+def notify(alerts: DataFrame, path: str, checkpoint: str, keys: list[str], opted_out: DataFrame | None = None) -> StreamingQuery:
+    """Appends alerts to a table of notifications, each key once however often a batch is run or a day is repeated.
+
+    The table is parted by ``bucket``, a hash of the keys, and a batch looks for sent ones in its own buckets only.
+    ``opted_out`` holds who wants which alerts no more, by columns that the alerts have (a user, or a user and a kind).
+    """
 
     def send(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        if opted_out is not None:
+            batch = batch.join(opted_out.distinct(), opted_out.columns, "left_anti")
+        new = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+            here = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            sent = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(here))
+            new = new.join(sent.select(*keys), keys, "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,12 +7,13 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import docs_of, plain_line_dedup, removed, table
 from tokenizers import Tokenizer
 
-from vellum.llm import decontaminate, linededup, nearcopies, packing, quality, reshard, scratch, simhash, suffixes, tokens, toxicity
+from vellum.llm import arrow, decontaminate, linededup, nearcopies, packing, quality, reshard, scratch, simhash, suffixes, tokens, toxicity
 
 CLASHES = ("__row", "__gone", "__id", "__hash", "__lines", "__own", "__word", "__kept", "gone", "own", "doc", "lines", "kept", "word", "new", "text_hash", "own_id", "own_hash", "other_id", "other_hash", "n_lines",
            "n_removed", "score", "node", "root", "key", "part", "block", "sub", "size", "shard", "slot", "old_shard", "row_id", "k", "nth", "a.b", "y", "h")
@@ -47,6 +48,16 @@ def test_further_columns_keep_their_values(spark, tmp_path):
     assert ids[2] == [0, 1, 3, 5, 7, 7] and ids[4] == [0, 1, 2, 3, 4, 7, 7, 8, 9]
 
 
+def test_slices_of_a_batch():
+    texts = [b"x" * n for n in (0, 5, 3, 0, 40, 1, 1, 9, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([b"zz", *texts], pa.binary())], ["k", "t"]).slice(1)
+    for limit in (1, 6, 10, 1000):
+        parts = list(arrow.sliced(whole, 1, limit))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1, 10))
+        assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= limit for p in parts)
+    assert not list(arrow.sliced(whole.slice(9), 1, 5))
+
+
 def test_scratch_needs_a_shared_folder(spark):
     class Far:
         class conf:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,18 @@ def by_bytes(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
+def sliced(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of a binary column without nulls, a row at least; none is copied."""
+    col, start = batch.column(column), 0
+    if not batch.num_rows:
+        return
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + limit, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, names: list[str]) -> DataFrame:
     """``fn`` takes the texts of a batch and gives one list or Arrow array for each name; ``doc_id`` is carried along."""
 

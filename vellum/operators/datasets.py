@@ -197,6 +197,24 @@ def judge_batches(df: DataFrame, id_col: str, fields: list[str], n: int) -> Data
     return own.join(ahead, "__r").select(F.floor(nth / n).alias("batch"), id_col, "payload")
 
 
+# The fields of a judge's answer.
+VERDICT_FIELDS = "struct<id: string, `판정`: string, `이유`: string>"
+
+
+def judged(answers: DataFrame, asked: DataFrame, valid: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``id, verdict, reason`` of the answers that count, and the asked ids ``(id)`` that have none.
+
+    ``answers(batch, raw)`` holds JSON as a judge gave it (a list, an object with a list, or one item; broken text counts as
+    nothing), ``asked(id)`` the ids. An item counts if it has an asked id and a valid verdict; of several for an id the last
+    one in order of batch and place.
+    """
+    items = answers.select("batch", F.posexplode(unwrap_array(F.coalesce("raw", F.lit("")), VERDICT_FIELDS)).alias("k", "x")).select("batch", "k", F.col("x.id").alias("id"), F.col("x.판정").alias("verdict"), F.coalesce("x.이유", F.lit("")).alias("reason"))
+    ids = asked.select(F.col("id").cast("string").alias("id")).distinct()
+    met = items.where(F.col("verdict").isin(valid)).join(ids, "id", "left_semi")
+    kept = met.groupBy("id").agg(F.max_by(F.struct("verdict", "reason"), F.struct("batch", "k")).alias("x")).select("id", "x.*")
+    return kept, ids.join(kept.select("id"), "id", "left_anti")
+
+
 def better_judge(kappas: DataFrame) -> DataFrame:
     """``task, winner``: the judge with the higher agreement (null counts as 0), of equal ones the first; ``kappas(task, ord, judge, kappa)``."""
     key = F.struct(F.coalesce("kappa", F.lit(0.0)), -F.col("ord"))

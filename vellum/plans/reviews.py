@@ -220,6 +220,24 @@ def judge_payload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.judge_batches(table(spark, sf_dir, "documents"), "doc_id", ["lang", "n_chars"], 8).select("batch", "doc_id", F.md5("payload").alias("payload"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders), v AS (SELECT k, c, CASE WHEN k % 6 = 0 THEN '불가' ELSE CASE s WHEN 'F' THEN '충족' WHEN 'O' THEN '불가' ELSE '검토' END END AS verdict FROM o WHERE k % 6 IN (0, 1, 2, 3))
+SELECT k::VARCHAR AS id, verdict, '근거 ' || c AS reason, true AS is_valid FROM v WHERE verdict <> '검토' UNION ALL SELECT k::VARCHAR, NULL, NULL, false FROM o WHERE k % 6 IN (4, 5) OR (k % 6 <> 0 AND s NOT IN ('F', 'O'))""")
+def valid_verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges' answers in several shapes: those with a valid verdict on an item that was asked, and the items left without."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.when(F.col("o_orderstatus") == "F", "충족").when(F.col("o_orderstatus") == "O", "불가").otherwise("검토")
+    item = lambda i, v: _say('{"id": "', i, '", "판정": "', v, '", "이유": "근거 ', c, '"}')
+    raw = (
+        F.when(k % 6 == 0, F.concat(F.lit("["), item(k, said), F.lit(", "), item(k, F.lit("불가")), F.lit("]")))  # the later one counts
+        .when(k % 6 == 1, F.concat(F.lit("["), item(k + 100_000_000, F.lit("충족")), F.lit(", "), item(k, said), F.lit("]")))  # nobody asked for the first
+        .when(k % 6 == 2, F.concat(F.lit('{"results": ['), item(k, said), F.lit("]}"))).when(k % 6 == 3, item(k, said)).when(k % 6 == 4, "[not JSON")
+    )
+    o = table(spark, sf_dir, "orders")
+    kept, rest = D.judged(o.select(k.alias("batch"), raw.alias("raw")), o.select(k.alias("id")), ["충족", "불가"])
+    none = F.lit(None).cast("string")
+    return kept.withColumn("is_valid", F.lit(True)).unionByName(rest.select("id", none.alias("verdict"), none.alias("reason"), F.lit(False).alias("is_valid")))
+
+
 @query("""SELECT lang AS task, CASE WHEN coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 0), 0) >= coalesce(avg(quality) FILTER (WHERE doc_id % 2 = 1), 0) THEN 'even' ELSE 'odd' END AS winner FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
 def judge_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judge that agrees more, the first of equal ones."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from test_llm import docs_of, plain_line_dedup, removed, table
 from tokenizers import Tokenizer
 
-from vellum.llm import arrow, decontaminate, linededup, nearcopies, packing, quality, reshard, scratch, simhash, suffixes, tokens, toxicity
+from vellum import scratch
+from vellum.llm import arrow, decontaminate, linededup, nearcopies, packing, quality, reshard, simhash, suffixes, tokens, toxicity
 
 CLASHES = ("__row", "__gone", "__id", "__hash", "__lines", "__own", "__word", "__kept", "gone", "own", "doc", "lines", "kept", "word", "new", "text_hash", "own_id", "own_hash", "other_id", "other_hash", "n_lines",
            "n_removed", "score", "node", "root", "key", "part", "block", "sub", "size", "shard", "slot", "old_shard", "row_id", "k", "nth", "a.b", "y", "h")
@@ -82,6 +83,10 @@ def test_calls_leave_nothing_behind_once_released(spark):
     assert folders and any(map(os.path.exists, folders))
     scratch.release(since)
     assert not any(map(os.path.exists, folders)) and scratch.mark() == since
+    with scratch.kept():
+        held = scratch.Scratch(spark, "held")
+        assert held.cut(spark.range(3)).count() == 3 and os.path.exists(held.base.removeprefix("file:"))
+    assert not os.path.exists(held.base.removeprefix("file:")) and scratch.mark() == since
 
 
 def moved(blocks, where):

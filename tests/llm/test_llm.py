@@ -75,7 +75,7 @@ def test_op1_against_all_pairs(spark):
 @pytest.mark.parametrize("bits", [0, 1, 2])
 def test_links_lose_nothing(spark, bits, bucket):
     from vellum.llm.components import components
-    from vellum.llm.scratch import Scratch
+    from vellum.scratch import Scratch
 
     rng = random.Random(bits)
     seeds = [rng.getrandbits(64) for _ in range(6)]

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrow import TEXT
-from .scratch import Scratch, remove
+from ..scratch import Scratch, remove
 from .seating import draw
 
 #: Text of a shard, tokens that a task counts at once, text that the list of frequent words is made from.

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .rows import ROW, packed
-from .scratch import Scratch, remove
+from ..scratch import Scratch, remove
 
 #: Blocks of texts.
 BLOCKS = 4096

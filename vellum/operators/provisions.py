@@ -172,7 +172,7 @@ def _mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["chunk_id", "k", "title", "prefix", *_PLACE, "each"])
 
 
-def found_places(chunks: DataFrame, names: DataFrame, relatives: DataFrame) -> DataFrame:
+def found_places(chunks: DataFrame, names: DataFrame, relatives: DataFrame, scratch: Scratch) -> DataFrame:
     """``chunk_id, k, prefix, jo, ui, hang, ho, mok, semok, each``: the places that chunks refer to, in the order of the rules.
 
     ``names(name, prefix)``: a quoted title means the law with the longest name in it, and is left out if there is none.
@@ -182,7 +182,7 @@ def found_places(chunks: DataFrame, names: DataFrame, relatives: DataFrame) -> D
     place = F.struct("prefix", "jo", "jo_ui", F.col("jeol").cast("string").alias("jeol"), "hang", "ho")
     read = chunks.where(F.col("text").rlike(rf"제\d+[{UNITS}]|[{OPENING}]"))  # others name no place
     met = read.join(near, F.col("prefix") == F.col("of"), "left").select("chunk_id", "text", "near", place.alias("place"))
-    each = met.mapInArrow(_mentioned, _FOUND)
+    each = scratch.cut(met.mapInArrow(_mentioned, _FOUND), "mentions")  # texts are read once
     titles = longest_names(each.where("title is not null"), "title", names, "name").select(F.col("text").alias("title"), "name")
     laws = titles.join(names.groupBy("name").agg(F.min("prefix").alias("law")), "name").select("title", "law")
     named = each.join(laws, "title", "left").withColumn("prefix", F.coalesce("prefix", "law")).where("prefix is not null")
@@ -203,7 +203,7 @@ def references(chunks: DataFrame, names: DataFrame | dict[str, str] | None = Non
     scratch = Scratch(spark, "references")
     chunks = scratch.cut(chunks, "chunks")
     reg = scratch.cut(registry(chunks), "registry")
-    places = scratch.cut(found_places(chunks, names, relatives), "places")
+    places = scratch.cut(found_places(chunks, names, relatives, scratch), "places")
     return resolved(chunks, reg, places)
 
 

@@ -45,7 +45,7 @@ def built(lines: DataFrame, names: DataFrame, relatives: DataFrame) -> Base:
     scratch = Scratch(lines.sparkSession, "base")
     files = scratch.cut(digests(lines), "files")
     chunks = scratch.cut(P.provisions(L.articles(lines)), "chunks")
-    places = scratch.cut(_own(P.found_places(chunks, names, relatives), chunks), "places")
+    places = scratch.cut(_own(P.found_places(chunks, names, relatives, scratch), chunks), "places")
     reg = scratch.cut(P.registry(chunks), "registry")
     refs = scratch.cut(P.resolved(chunks, reg, places), "references")
     return Base(files, chunks, places, refs)
@@ -68,7 +68,7 @@ def refreshed(base: Base, lines: DataFrame, names: DataFrame, relatives: DataFra
     anew = scratch.cut(P.provisions(L.articles(lines.join(changed.select("file"), "file", "left_semi"))), "anew")
     chunks = scratch.cut(base.chunks.join(laws, "prefix", "left_anti").unionByName(anew.select(*base.chunks.columns)), "chunks")
     kept = base.places.join(laws.select(F.col("prefix").alias("own")), "own", "left_anti")
-    places = scratch.cut(kept.unionByName(_own(P.found_places(anew, names, relatives), anew).select(*kept.columns)), "places")
+    places = scratch.cut(kept.unionByName(_own(P.found_places(anew, names, relatives, scratch), anew).select(*kept.columns)), "places")
     # chunks of other laws that refer to one of these
     near = kept.join(laws, "prefix", "left_semi").select("chunk_id").distinct()
     again = scratch.cut(near.unionByName(anew.select("chunk_id")).distinct(), "again")

@@ -105,7 +105,7 @@ def removed(texts, length, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize(("hot", "hot_bytes"), [(8000, 2 << 20), (1, 2 << 20), (8000, 700)])
+@pytest.mark.parametrize(("hot", "hot_bytes"), [(8000, 4 << 20), (1, 4 << 20), (8000, 700)])
 def test_op2_against_all_strings(spark, monkeypatch, keep, hot, hot_bytes):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "HOT_BYTES", hot_bytes)

@@ -48,7 +48,7 @@ ANCHOR = 32
 #: Different stretches of an anchor beyond which its windows are dealt one by one.
 HOT = 8000
 #: Bytes of an anchor's stretches beyond which they are too (sorting takes some hundred bytes a byte).
-HOT_BYTES = 2 << 20
+HOT_BYTES = 4 << 20
 #: Windows of a stretch at most.
 LONG = 1 << 13
 #: Bytes of stretches whose suffixes are sorted together.

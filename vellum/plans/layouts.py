@@ -468,14 +468,14 @@ def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.size(F.array_except(F.array(F.lit("click"), F.lit("view")), have)) == 0).alias("covered"))
 
 
-@query("""WITH s AS (SELECT doc_id, length(text) // 7 % 5 AS n, n_chars % 3 AS r FROM documents), w AS (SELECT *, round((n * 2.0::DOUBLE) / (n * 2 + r * 2), 6) AS same FROM s WHERE n + r > 0)
+@query("""WITH s AS (SELECT doc_id, length(text) // 7 % 5 AS n, n_chars % 3 AS r FROM documents), w AS (SELECT *, (n * 2.0::DOUBLE) / (n * 2 + r * 2) AS same FROM s WHERE n + r > 0)
 SELECT s.doc_id % 50 AS grp, CAST(count(*) AS BIGINT) AS n, round(coalesce(avg(same), 0), 6) AS mean FROM s LEFT JOIN w USING (doc_id) GROUP BY 1""")
 def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarities by the matcher, 0 where nothing is compared: texts share a run of one letter and differ in the rest."""
     n, r = F.floor(F.length("text") / 7) % 5, F.col("n_chars") % 3
     run = F.repeat(F.lit("가"), n.cast("int"))
     a, b = F.concat(run, F.repeat(F.lit("나"), r.cast("int"))), F.concat(run, F.repeat(F.lit("다"), r.cast("int")))
-    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("grp"), F.when(n + r > 0, F.round(S.ratio(a, b), 6)).alias("s"))
+    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("grp"), F.when(n + r > 0, S.ratio(a, b)).alias("s"))
     return t.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("s"), F.lit(0.0)), 6).alias("mean"))
 
 

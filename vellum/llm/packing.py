@@ -36,8 +36,10 @@ from .arrow import by_bytes, texts
 from ..scratch import Scratch
 from .tokens import load, separable
 
-MEMO_BYTES, MEMO_CHUNKS = 48, 600_000
-_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n]|\Z)")
+MEMO_BYTES, MEMO_CHUNKS = 48, 900_000
+#: Words that go to the library as one text.
+JOINED = 256
+_STOP = re.compile(rb"[.,](?=[ \n]|\Z)(?<=[a-z0-9][.,])")  # begins with what is rare, so that the search is fast
 _MEMO: dict[str, dict[bytes, bytes]] = {}
 
 
@@ -62,16 +64,36 @@ def encode_chunks(values: list[bytes], tokenizer: str) -> list[bytes]:
         memo.clear()
     split = [chunks(v) for v in values]
     found = [list(map(memo.get, x)) for x in split]
-    missing = list({c for x, y in zip(split, found, strict=True) if None in y for c, v in zip(x, y, strict=True) if v is None})
-    own: dict[bytes, bytes] = {}
+    gaps = [[i for i, v in enumerate(y) if v is None] for y in found]
+    missing = list({x[i] for x, at in zip(split, gaps, strict=True) for i in at})
     if missing:
-        got = load(tokenizer).encode_batch_fast([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
-        own = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, got, strict=True)}
+        own = _encoded(missing, load(tokenizer))
         memo.update((c, v) for c, v in own.items() if len(c) <= MEMO_BYTES)
-    return [
-        b"".join(own[c] if v is None else v for c, v in zip(x, y, strict=True)) if own and None in y else b"".join(y)
-        for x, y in zip(split, found, strict=True)
-    ]
+        for x, y, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                y[i] = own[x[i]]
+    return [b"".join(y) for y in found]
+
+
+def _encoded(missing: list[bytes], library) -> dict[bytes, bytes]:
+    """The ids of chunks. Those of letters only are one pre-token each, so many of them go to the library as one text."""
+    out: dict[bytes, bytes] = {}
+    letters, rest = [], []
+    for c in missing:
+        text = c.decode("utf-8", "replace")
+        (letters if text.isalpha() and len(c) <= MEMO_BYTES else rest).append((c, text))
+    groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
+    for group, e in zip(groups, library.encode_batch([" ".join(t for _, t in g) for g in groups], add_special_tokens=False), strict=True):
+        ids, word = np.array(e.ids, "<u4").tobytes(), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+        cut = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(cut) != len(group):  # a word without ids
+            rest += group
+            continue
+        ends = [*(4 * cut).tolist(), len(ids)]
+        out.update((c, ids[a:b]) for (c, _), a, b in zip(group, ends, ends[1:], strict=False))
+    got = library.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+    out.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(rest, got, strict=True))
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, batch_bytes: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,6 +45,13 @@ def sliced(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
         start = stop
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system, where its C library can; else nothing happens."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, names: list[str]) -> DataFrame:
     """``fn`` takes the texts of a batch and gives one list or Arrow array for each name; ``doc_id`` is carried along."""
 
@@ -52,5 +60,6 @@ def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, nam
             if b.num_rows:
                 cols = fn(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], ["doc_id", *names])
+        give_back()  # workers are used again by tasks of other kinds
 
     return df.mapInArrow(run, schema)

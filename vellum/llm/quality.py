@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import TEXT, by_bytes, map_texts, texts
+from .arrow import TEXT, by_bytes, give_back, map_texts, texts
 from ..scratch import Scratch
 
 #: log2 of the number of hash buckets, the length of the vectors.
@@ -251,6 +251,7 @@ def quality_scores(
     """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
     spark = docs.sparkSession
     model = train(sample(docs, labels, label, id_col, text_col, folds, held, per_class))
+    give_back()
     shared = spark.sparkContext.broadcast((model.table.astype(np.float32), model.bias))
 
     def run(values: list[bytes]) -> list:
@@ -270,6 +271,7 @@ def drop_low_quality(
 ) -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``; all stay where the labels hold one class only (nothing was learned)."""
     model = train(sample(docs, labels, label, id_col, text_col, folds, held, per_class))
+    give_back()
     if not model.table.any():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias))

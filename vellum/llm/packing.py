@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import by_bytes, texts
+from .arrow import by_bytes, give_back, texts
 from ..scratch import Scratch
 from .tokens import load, separable
 
-MEMO_BYTES, MEMO_CHUNKS = 48, 900_000
-#: Words that go to the library as one text.
-JOINED = 256
+MEMO_BYTES, MEMO_CHUNKS = 48, 400_000
+#: Words that go to the library as one text, and such texts in one call.
+JOINED, CALL = 256, 32
 _STOP = re.compile(rb"[.,](?=[ \n]|\Z)(?<=[a-z0-9][.,])")  # begins with what is rare, so that the search is fast
 _MEMO: dict[str, dict[bytes, bytes]] = {}
 
@@ -83,7 +83,8 @@ def _encoded(missing: list[bytes], library) -> dict[bytes, bytes]:
         text = c.decode("utf-8", "replace")
         (letters if text.isalpha() and len(c) <= MEMO_BYTES else rest).append((c, text))
     groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
-    for group, e in zip(groups, library.encode_batch([" ".join(t for _, t in g) for g in groups], add_special_tokens=False), strict=True):
+    calls = (groups[k : k + CALL] for k in range(0, len(groups), CALL))
+    for group, e in ((g, e) for part in calls for g, e in zip(part, library.encode_batch([" ".join(t for _, t in g) for g in part], add_special_tokens=False), strict=True)):
         ids, word = np.array(e.ids, "<u4").tobytes(), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
         cut = np.flatnonzero(np.diff(word, prepend=-1))
         if len(cut) != len(group):  # a word without ids
@@ -115,6 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
             if rows:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_of)), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            del values, rows, row_of
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"

@@ -52,6 +52,16 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(fn: Callable) -> Callable:
+    """``fn`` over batches, and then what it held goes back to the system: workers are used again by tasks of other kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, names: list[str]) -> DataFrame:
     """``fn`` takes the texts of a batch and gives one list or Arrow array for each name; ``doc_id`` is carried along."""
 
@@ -60,6 +70,5 @@ def map_texts(df: DataFrame, fn: Callable[[list[bytes]], list], schema: str, nam
             if b.num_rows:
                 cols = fn(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], ["doc_id", *names])
-        give_back()  # workers are used again by tasks of other kinds
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)

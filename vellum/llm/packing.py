@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import by_bytes, give_back, texts
+from .arrow import by_bytes, giving_back, texts
 from ..scratch import Scratch
 from .tokens import load, separable
 
@@ -116,12 +116,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
             if rows:
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row_of)), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            del values, rows, row_of
-        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return texts(docs, id_col, text_col).mapInArrow(giving_back(run), schema)
 
 
 def assign(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

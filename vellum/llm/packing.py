@@ -36,7 +36,7 @@ from .arrow import by_bytes, giving_back, texts
 from ..scratch import Scratch
 from .tokens import load, separable
 
-MEMO_BYTES, MEMO_CHUNKS = 48, 400_000
+MEMO_BYTES, MEMO_CHUNKS = 48, 700_000
 #: Words that go to the library as one text, and such texts in one call.
 JOINED, CALL = 256, 32
 _STOP = re.compile(rb"[.,](?=[ \n]|\Z)(?<=[a-z0-9][.,])")  # begins with what is rare, so that the search is fast

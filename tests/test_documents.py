@@ -37,6 +37,14 @@ def test_text_functions(spark):
     assert "1" not in one(spark, T.clean(F.col("s")), **s("목차\n개요 ........ 1\n\n- 2 -\n본문"))
 
 
+def test_only_blanks_are_trimmed_from_paragraphs(spark):
+    """The place of a paragraph is not what is trimmed from it."""
+    assert one(spark, T.paragraphs(F.col("s")), s="0 first 10 \n \n 1 second 171\n\n 2\n\n ") == ["0 first 10", "1 second 171", "2"]
+    assert one(spark, T.paragraphs(F.col("s")), s=" one line 490 ") == ["one line 490"]
+    docs = spark.createDataFrame([(1, "0 first 10 \n\n 1 second 11")], "doc_id long, text string")
+    assert [r.clause_text for r in X.clauses(docs).orderBy("k").collect()] == ["0 first 10", "1 second 11"]
+
+
 def test_similarity_is_the_matchers(spark):
     pairs = [("tide", "diet"), ("diet", "tide"), ("ab" * 150, "x" + "ab" * 150), ("", ""), (None, "a")]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")

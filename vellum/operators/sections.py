@@ -113,7 +113,7 @@ def clauses(docs: DataFrame, text: str = "text", tolerance: int = 1) -> DataFram
     ui = F.regexp_extract("t", f"^{CLAUSE}", 2)
     number = F.concat(F.lit("제"), F.regexp_extract("t", f"^{CLAUSE}", 1), F.lit("조"), F.when(ui != "", F.concat(F.lit("의"), ui)).otherwise(""))
     found = whole.select("doc_id", "k", number.alias("clause_number"), F.concat_ws(" ", head, body).alias("clause_text"), body.alias("body")).where("body <> ''").drop("body")
-    rest = own.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda x: x != "")).alias("k", "clause_text"))
+    rest = own.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("k", "clause_text"))
     return found.unionByName(rest.select("doc_id", (F.col("k") + 1).alias("k"), F.concat(F.lit("단락"), F.col("k") + 1).alias("clause_number"), "clause_text"))
 
 

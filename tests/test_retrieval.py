@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import nearest as N
+from vellum.operators import retrieval as R
 from vellum.operators import tuning as T
 
 
@@ -109,3 +110,16 @@ def test_the_staged_search_against_plain_loops(spark):
     assert len(rows) == 6 + 6 + 3 < 3 * 2 * 8 * 3
     assert rows == want
     assert len({r[6] for r in rows}) > 5
+
+
+def test_words_of_documents_are_not_broadcast(spark):
+    """Their file is small for its rows (few different words), so its size says nothing about a broadcast's."""
+    rng = random.Random(2)
+    names = [f"w{k}" for k in range(30)]
+    docs = {d: set(rng.sample(names, rng.randrange(12))) for d in range(200)}
+    items = {i: set(rng.sample(names, rng.randrange(1, 6))) for i in range(20)}
+    side = lambda m, key: spark.createDataFrame([(k, w) for k, ws in m.items() for w in ws], f"{key} long, word string")
+    out = R.word_containment(side(docs, "doc_id"), side(items, "item_id"), "doc_id", "item_id", 0.5)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
+    want = {(d, i, round(len(a & b) / len(b), 6)) for d, a in docs.items() for i, b in items.items() if 2 * len(a & b) >= len(b)}
+    assert {(r.doc_id, r.item_id, r.score) for r in out.collect()} == want and want

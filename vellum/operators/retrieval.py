@@ -147,10 +147,11 @@ def word_containment(docs: DataFrame, items: DataFrame, doc: str, item: str, lea
 
     Both sides are ``(id, word)``, each word once. An item with ``m`` words must share one of its rarest
     ``m - ceil(least * m) + 1`` with such a document, so only those (as counted in the documents) open a pair, and frequent
-    words open hardly any; all its words are then counted for the pairs found.
+    words open hardly any; all its words are then counted for the pairs found. The documents' words are never broadcast: their
+    file is small, as it holds few different words, their rows are not.
     """
     scratch = Scratch(docs.sparkSession, "words")
-    docs = scratch.cut(docs.join(items.select("word").distinct(), "word", "left_semi"), "docs")  # read three times
+    docs = scratch.cut(docs.join(items.select("word").distinct(), "word", "left_semi"), "docs").hint("merge")  # read three times
     counts = docs.groupBy("word").agg(F.count("*").alias("df"))
     w = Window.partitionBy(item)
     ranked = items.join(counts, "word", "left").withColumn("m", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "word")))

@@ -123,3 +123,19 @@ def test_words_of_documents_are_not_broadcast(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
     want = {(d, i, round(len(a & b) / len(b), 6)) for d, a in docs.items() for i, b in items.items() if 2 * len(a & b) >= len(b)}
     assert {(r.doc_id, r.item_id, r.score) for r in out.collect()} == want and want
+
+
+def test_relevant_pairs_of_the_ranks_suffice(spark):
+    """The same figures from the pairs that were found and the queries that have any, as from all pairs of a label."""
+    from vellum.plans import retrieval as L
+
+    rng = random.Random(4)
+    c = spark.createDataFrame([(i, rng.choice("abc") if i % 10 else (None if i == 20 else "z" if i == 30 else "a")) for i in range(80)], "chunk_id long, label string")
+    q = c.where("chunk_id % 5 = 0").selectExpr("chunk_id as query_id", "label as qlabel")
+    pairs = [(i, j) for i in range(0, 80, 5) for j in rng.sample(range(80), 9) if i != j]
+    raw = spark.createDataFrame([(i, j, rng.randrange(1, 9), rng.randrange(1, 9), None) for i, j in pairs], "query_id long, chunk_id long, rd int, rs int, rescored double")
+    every, few = L._relevant(q, c), L._relevant_of(raw, q, c)
+    assert few.count() < every.count() / 3
+    assert {r.query_id for r in L._asked(q, c).collect()} == {r.query_id for r in every.select("query_id").distinct().collect()} == set(range(0, 80, 5)) - {20, 30}
+    settings = [{**T.DEFAULTS, "alpha": a, "fetch_k": 5} for a in (0.0, 0.4, 1.0)]
+    assert sorted(map(tuple, T.evaluated(raw, few, settings, asked=L._asked(q, c)).collect())) == sorted(map(tuple, T.evaluated(raw, every, settings).collect()))

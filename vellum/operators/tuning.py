@@ -50,15 +50,16 @@ def rankings(raw: DataFrame, settings: list[dict], top: int = 10) -> DataFrame:
     return found.withColumn("rank", nth(F.desc_nulls_last("score"))).where(F.col("rank") <= top).select("setting", "query_id", "chunk_id", "rank")
 
 
-def evaluated(raw: DataFrame, relevant: DataFrame, settings: list[dict], at: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+def evaluated(raw: DataFrame, relevant: DataFrame, settings: list[dict], at: tuple[int, ...] = (1, 3, 10), asked: DataFrame | None = None) -> DataFrame:
     """``setting, mrr, recall_k ...``: means over the queries that have a relevant chunk, those without any result included.
 
-    ``relevant(query_id, chunk_id)``; ``recall_k`` is the share of queries with a relevant chunk among the first ``k``.
+    ``relevant(query_id, chunk_id)``; ``recall_k`` is the share of queries with a relevant chunk among the first ``k``. Where
+    ``asked(query_id)`` names the queries with a relevant chunk, ``relevant`` need hold those of the pairs in ``raw`` only.
     """
     hits = rankings(raw, settings, max(at)).join(relevant.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     first = hits.groupBy("setting", "query_id").agg(F.min("rank").alias("first"))
     sums = first.groupBy("setting").agg(F.sum(1 / F.col("first")).alias("rr"), *(F.count_if(F.col("first") <= k).alias(f"n{k}") for k in at))
-    n = relevant.agg(F.count_distinct("query_id").alias("n"))
+    n = (relevant if asked is None else asked).agg(F.count_distinct("query_id").alias("n"))
     every = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("setting"))
     share = lambda c: F.round(F.coalesce(F.try_divide(F.coalesce(c, F.lit(0.0)), "n"), F.lit(0.0)), 6)
     return every.join(sums, "setting", "left").select("setting", share(F.col("rr")).alias("mrr"), *(share(F.col(f"n{k}").cast("double")).alias(f"recall_{k}") for k in at))
@@ -70,23 +71,24 @@ def grid(chosen: dict, stage: dict[str, list]) -> list[dict]:
     return [s for s in every if s["rerank_k"] <= s["fetch_k"]]
 
 
-def staged_search(raw: DataFrame, relevant: DataFrame, stages: list[dict[str, list]], by: tuple[str, ...] = ("mrr",), start: dict | None = None, at: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+def staged_search(raw: DataFrame, relevant: DataFrame, stages: list[dict[str, list]], by: tuple[str, ...] = ("mrr",), start: dict | None = None, at: tuple[int, ...] = (1, 3, 10), asked: DataFrame | None = None) -> DataFrame:
     """All settings tried: ``stage``, the setting's values, ``mrr, recall_k ...``, and ``chosen``.
 
     Each stage takes the best setting by ``by`` (the first of equal ones) into the next. One job for each stage, of which
-    one row a setting reaches the driver.
+    one row a setting reaches the driver. ``asked`` as in ``evaluated``.
     """
     spark = raw.sparkSession
     scratch = Scratch(spark, "tuning")
     raw = scratch.cut(raw, "ranks")
     relevant = scratch.cut(relevant.select("query_id", "chunk_id"), "relevant")
+    asked = None if asked is None else scratch.cut(asked.select("query_id"), "asked")
     chosen, rows = {**DEFAULTS, **(start or {})}, []
     for number, stage in enumerate(stages, 1):
         settings = grid(chosen, stage)
-        met = {r.setting: r for r in evaluated(raw, relevant, settings, at).collect()}
+        met = {r.setting: r for r in evaluated(raw, relevant, settings, at, asked).collect()}
         place = min(range(len(settings)), key=lambda k: ([-met[k][c] for c in by], k))
         chosen = settings[place]
         rows += [(number, *s.values(), met[k].mrr, *(met[k][f"recall_{n}"] for n in at), k == place) for k, s in enumerate(settings)]
-    scratch.drop(raw, relevant)
+    scratch.drop(raw, relevant, asked)
     kinds = [f"{c} {t}" for c, t in _TYPES.items()] + ["mrr double"] + [f"recall_{n} double" for n in at]
     return spark.createDataFrame(rows, f"stage int, {', '.join(kinds)}, chosen boolean")

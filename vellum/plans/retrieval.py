@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from ..operators import tuning as T
 from ..operators.quantiles import exact_quantiles
+from ..scratch import Scratch
 from .registry import query, table
 
 #: Queries; strong places of a vector.
@@ -29,6 +30,18 @@ def _relevant(q: DataFrame, c: DataFrame) -> DataFrame:
     return q.join(c, (q["qlabel"] == c["label"]) & (q["query_id"] != c["chunk_id"])).select("query_id", "chunk_id")
 
 
+def _asked(q: DataFrame, c: DataFrame) -> DataFrame:
+    """The queries of ``_relevant``, without its pairs, which are as many as the square of a label's rows."""
+    ends = c.groupBy("label").agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b"))
+    return q.join(ends, q["qlabel"] == ends["label"]).where((F.col("query_id") != F.col("a")) | (F.col("query_id") != F.col("b"))).select("query_id")
+
+
+def _relevant_of(found: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """The pairs of ``_relevant`` that are in ``found``."""
+    met = found.select("query_id", "chunk_id").join(q.select("query_id", "qlabel"), "query_id").join(c.select("chunk_id", "label"), "chunk_id")
+    return met.where((F.col("qlabel") == F.col("label")) & (F.col("query_id") != F.col("chunk_id"))).select("query_id", "chunk_id")
+
+
 def _others(ranked: DataFrame) -> DataFrame:
     return ranked.where("query_id <> chunk_id")
 
@@ -174,7 +187,8 @@ def param_sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fusion settings in one plan: raw ranks once, joined with a parameter table; ties broken by the settings."""
     q, c, dense, _ = _arms(spark, sf_dir)
     settings = [{**T.DEFAULTS, "alpha": a, "rrf_k": k, "fetch_k": 100} for a in (0.0, 0.3, 0.7, 1.0) for k in (1, 20, 60)]
-    met = T.evaluated(_others(T.raw_ranks(dense, _token_arm(spark, sf_dir))), _relevant(q, c), settings)
+    raw = Scratch(spark, "sweep").cut(_others(T.raw_ranks(dense, _token_arm(spark, sf_dir))), "ranks")  # read twice
+    met = T.evaluated(raw, _relevant_of(raw, q, c), settings, asked=_asked(q, c))
     named = F.array(*(F.struct(F.lit(x["alpha"]).alias("alpha"), F.lit(x["rrf_k"]).alias("rrf_k")) for x in settings))
     out = met.select(F.get(named, F.col("setting")).alias("s"), "mrr").select("s.alpha", "s.rrf_k", "mrr")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "alpha", "rrf_k")))  # twelve rows
@@ -213,10 +227,13 @@ _STAGES_OFF = [_FUSION, {"fetch_k": [5, 20, 50]}]
 
 def _staged(spark: SparkSession, sf_dir: str, stages: list[dict[str, list]]) -> DataFrame:
     q, c, dense, _ = _arms(spark, sf_dir)
-    sparse = _token_arm(spark, sf_dir)
+    scratch = Scratch(spark, "arms")  # both arms and their ranks are read more than once
+    dense, sparse = scratch.cut(dense, "dense"), scratch.cut(_token_arm(spark, sf_dir), "sparse")
     found = dense.select("query_id", "chunk_id").unionByName(sparse.select("query_id", "chunk_id")).distinct()
-    raw = T.raw_ranks(dense, sparse, R.pair_scores(found, q, c, "euclidean"))
-    return T.staged_search(_others(raw), _relevant(q, c), stages)
+    raw = scratch.cut(_others(T.raw_ranks(dense, sparse, R.pair_scores(found, q, c, "euclidean"))), "raw")
+    out = T.staged_search(raw, _relevant_of(raw, q, c), stages, asked=_asked(q, c))
+    scratch.drop(dense, sparse, raw)
+    return out
 
 
 @query(_staged_sql(_STAGES))

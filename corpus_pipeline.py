@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity of 0.8 or more) stays, the one with the smallest id.
 
-    No fingerprints here: sets that similar may differ in 18 of 64 bits, so candidates come from a prefix filter (``nearcopies``).
+    SimHash fingerprints within two bits are linked first, by Golay keys, each link verified on the shingles. Sets that similar may
+    differ in 18 of 64 bits, so a prefix filter adds the pairs that fingerprints miss (``nearcopies``).
     """
     return nearcopies.keep_one(docs)
 

@@ -82,3 +82,39 @@ def test_awkward_rows_and_empty_table(spark):
     assert nearcopies.near_copy_groups(docs).count() == docs.count()
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (7, 6)} <= {(r.doc_id, r.component_id) for r in nearcopies.near_copy_groups(docs).collect()}
     assert nearcopies.keep_one(docs.where("false")).count() == 0
+
+
+def test_fingerprints_link_what_all_pairs_link(spark):
+    """The stage has fingerprints, of the shingle sets, and their pairs are those within two bits."""
+    rng = random.Random(11)
+    words = [f"s{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words).upper(), "", "one", " ".join(reversed(words))]
+    for _ in range(30):
+        own = list(words)
+        own[rng.randrange(400)] = "x"
+        texts.append(" ".join(own))
+    own = nearcopies.texts(docs_of(spark, texts), "doc_id", "text").select("doc_id", nearcopies.F.xxhash64(nearcopies.TEXT).alias("th"), nearcopies.TEXT)
+    rows = nearcopies.shingle_heads(own, nearcopies.rarity(own, 5), 5).select("node", "fp").distinct()
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    bits = lambda a, b: (a ^ b).bit_count()
+    found = classes(fps, lambda a, b: bits(a, b) <= nearcopies.BITS)
+    pairs = [(r.u, r.v) for r in nearcopies.fingerprint_pairs(rows, nearcopies.Scratch(spark, "test")).collect()]
+    assert pairs and all(u < v and bits(fps[u], fps[v]) <= nearcopies.BITS for u, v in pairs)
+    own = {n: n for n in fps}
+    for _ in fps:
+        for u, v in pairs:
+            own[u] = own[v] = min(own[u], own[v])
+    assert own == found
+
+
+def test_long_texts_with_a_long_passage_make_no_pairs(spark):
+    """Sets of 1196 shingles of which 996 are common: too unlike, though the parities of 256 classes can't tell."""
+    passage = [f"p{k}" for k in range(1000)]
+    texts = [" ".join([f"u{n}_{k}" for k in range(200)] + passage) for n in range(40)]
+    docs = docs_of(spark, texts)
+    own = nearcopies.texts(docs, "doc_id", "text").select("doc_id", nearcopies.F.xxhash64(nearcopies.TEXT).alias("th"), nearcopies.TEXT)
+    heads = nearcopies.shingle_heads(own, nearcopies.rarity(own, 5), 5).select("node", "m", *nearcopies.PARITY, nearcopies.F.posexplode("keys").alias("place", "key"))
+    apart = heads.withColumn("root", nearcopies.F.col("node")).withColumn("main", nearcopies.F.lit(0))
+    assert apart.groupBy("key").count().where("count = 40").count() >= 10
+    assert nearcopies._others(apart).count() == 0
+    assert kept(spark, docs) == set(range(1, 41))

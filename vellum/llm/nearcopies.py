@@ -10,10 +10,15 @@ passage) is seldom a key, and the nodes of a key are few but for families of cop
 A counter is shared by about as many shingles as the corpus has for each; a passage
 stands out once it is met more often than that.
 
+SimHash comes first: sets whose fingerprints differ in ``BITS`` bits or fewer (``simhash``'s
+Golay keys) are candidates whatever keys they share. Sets of that similarity may differ in
+more bits (18 of 64, as measured), so the prefix filter finds the pairs that fingerprints miss.
+
 A candidate pair is given up early only if it can't reach the similarity: by
-its sizes, or because the parities of hash classes (256, then ``WIDE`` or as many as a
-long text needs) differ in more places than the sets may differ in shingles. The
-others are verified on the sets.
+its sizes, because the parities of hash classes (256, then ``WIDE`` or as many as a
+long text needs) differ in more places than the sets may differ in shingles, or because
+too few shingles follow on the key where it is met, were that the first they share (a pair
+that reaches it is met at its first). The others are verified on the sets.
 Sets are made from the texts each time and never written or shuffled: hashes
 don't compress, and text does.
 
@@ -42,8 +47,11 @@ from .arrow import TEXT, giving_back, sliced, texts
 from .components import components
 from .rows import packed, unpacked
 from ..scratch import Scratch
-from .simhash import shingle_hashes
+from .simhash import links as fingerprint_links
+from .simhash import majority, shingle_hashes
 
+#: Fingerprints that differ in so many bits at most are candidates.
+BITS = 2
 #: Counters of shingles, by the leading bits of their hash; a task sends those it has met, in rows of so many at most.
 SLOT_BITS = 21
 SLOTS, TOGETHER_SLOTS = 1 << SLOT_BITS, 1 << 10
@@ -110,9 +118,9 @@ def rarity(texts: DataFrame, n_words: int) -> np.ndarray:
 
 
 def shingle_heads(own: DataFrame, rare: np.ndarray, n_words: int) -> DataFrame:
-    """``doc_id, th, node, m, lead, b0 .. b3, wide, keys`` of ``own(doc_id, th, __text)``.
+    """``doc_id, th, node, m, fp, lead, b0 .. b3, wide, keys`` of ``own(doc_id, th, __text)``.
 
-    A set's own hash and size, the parities of its 256 and of its ``classes``, and its first shingles in the common order.
+    A set's own hash, size and SimHash fingerprint, the parities of its 256 and of its ``classes``, and its first shingles in the common order.
     The lists are left out of rows whose set a row before in the task has (``lead`` is false), so that a frequent text has
     its keys once a task.
     """
@@ -123,6 +131,7 @@ def shingle_heads(own: DataFrame, rare: np.ndarray, n_words: int) -> DataFrame:
             sets = _sets(b.column(2).to_pylist(), n_words)
             m = np.fromiter(map(len, sets), np.int64, len(sets))
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = majority(np.concatenate(sets), m).view(np.int64)
             lead = np.array([not (k in met or met.add(k)) for k in node.tolist()])
             none = np.zeros(0, np.int64)
             parity, wide = parities(sets, 256), [parities([s], classes(len(s)))[0] if k else none for s, k in zip(sets, lead.tolist(), strict=True)]
@@ -130,12 +139,22 @@ def shingle_heads(own: DataFrame, rare: np.ndarray, n_words: int) -> DataFrame:
             keys = [s[np.argsort(rare[_slots(s)], kind="stable")[:n]] for s, n in zip(sets, n_keys.tolist(), strict=True)]  # sorted by hash already
             starts = np.concatenate([[0], np.cumsum([len(w) for w in wide])]).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)
-            cols = [node, m.astype(np.int32), lead, *(np.ascontiguousarray(parity[:, k]) for k in range(4))]
+            cols = [node, m.astype(np.int32), fp, lead, *(np.ascontiguousarray(parity[:, k]) for k in range(4))]
             lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(wide))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols), *lists], ["doc_id", "th", "node", "m", "lead", *PARITY, "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols), *lists], ["doc_id", "th", "node", "m", "fp", "lead", *PARITY, "wide", "keys"])
 
     kind = dict(own.dtypes)["doc_id"]
-    return own.mapInArrow(giving_back(run), f"doc_id {kind}, th long, node long, m int, lead boolean, b0 long, b1 long, b2 long, b3 long, wide array<long>, keys array<long>")
+    return own.mapInArrow(giving_back(run), f"doc_id {kind}, th long, node long, m int, fp long, lead boolean, b0 long, b1 long, b2 long, b3 long, wide array<long>, keys array<long>")
+
+
+def fingerprint_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)`` of ``nodes(node, fp)``: links that give the same components as all pairs within ``BITS`` differing bits."""
+    named = scratch.cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    equal = nodes.join(named.hint("merge"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(named.select("fp"), scratch, BITS)
+    for x, side in (("u", "a"), ("v", "b")):
+        near = near.join(named.select(F.col("fp").alias(x), F.col("first").alias(side)).hint("merge"), x)
+    return equal.unionByName(near.select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _middles(met: DataFrame) -> DataFrame:
@@ -229,27 +248,36 @@ def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
 
 def links(sets: DataFrame, own: DataFrame, n_words: int, scratch: Scratch) -> DataFrame:
     """``(u, v)``: links between nodes that give the same components as all pairs of four fifths or more."""
-    keyed = sets.where("lead").select("node", F.explode("keys").alias("key"))
+    keyed = sets.where("lead").select("node", F.posexplode("keys").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("many")).where("least < most").select("key", "least", "many")
     heads = sets.where("lead").select("node", "m", *PARITY).distinct()
-    met = scratch.cut(keyed.join(shared, "key").select("key", "node", "least", "many").distinct().join(heads, "node"), "met")
+    met = scratch.cut(keyed.join(shared, "key").select("key", "node", "place", "least", "many").distinct().join(heads, "node"), "met")
     # each node with the smallest of the least nodes of its keys, and with the nearest of their middles
     first = _possible(_side(met.where("node = least"), "u").join(_side(met.where("node > least"), "v"), "key"))
     middle = _possible(_side(_middles(met.where("many > 2")), "u").join(_side(met.where("many > 2"), "v"), "key"), "differ")
     pairs = first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    pairs = pairs.unionByName(_nearest(middle)).distinct()
+    alike = fingerprint_pairs(sets.where("lead").select("node", "fp").distinct(), scratch)
+    pairs = alike.unionByName(pairs).unionByName(_nearest(middle)).distinct()
     near = _verified(pairs, sets, own, n_words, scratch)
-    named = met.join(components(near, scratch, "merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(near, scratch, "merge")
+    named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     apart = scratch.cut(named.join(main, "key"), "apart")
-    minor = _side(apart.where("root <> main"), "u", "root")
-    others = scratch.cut(_possible(minor.join(_side(apart, "v", "root"), "key").where("u_root <> v_root")), "others")
+    others = scratch.cut(_others(apart), "others")
     # each node with one of each other component, then what still lies apart
-    near = near.unionByName(_verified(_one_each(_apart(others, components(near, scratch, "merge"))), sets, own, n_words, scratch))
+    near = near.unionByName(_verified(_one_each(_apart(others, roots)), sets, own, n_words, scratch))
     return near.unionByName(_verified(_apart(others, components(near, scratch, "merge")).select("u", "v"), sets, own, n_words, scratch))
 
 
+def _others(apart: DataFrame) -> DataFrame:
+    """Pairs of nodes of one key in different components that may reach the similarity with this key as their first."""
+    minor = _side(apart.where("root <> main"), "u", "root", "place")
+    rest = lambda x: F.col(f"{x}_m") - F.col(f"{x}_place")
+    met = minor.join(_side(apart, "v", "root", "place"), "key").where("u_root <> v_root")
+    return _possible(met.where(9 * F.least(rest("u"), rest("v")) >= 4 * (F.col("u_m") + F.col("v_m"))))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``u, v, u_root, v_root`` of the pairs whose nodes lie in different components."""
     for x in ("u", "v"):

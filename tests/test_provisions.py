@@ -4,6 +4,9 @@ from vellum.operators import mentions as M
 from vellum.operators import provisions as P
 from vellum.operators import refresh as U
 from vellum.operators import statutes as L
+from pyspark.sql import functions as F
+from vellum.functions import text as T
+from vellum.operators import clauses as C
 
 
 def lines(spark, text, file="f", prefix="LAW"):
@@ -103,3 +106,20 @@ def test_a_refreshed_base_is_that_of_a_full_run(spark):
     back = U.refreshed(got, state({c: law(c) for c in (0, 1, 2, 3)}), names, relatives)
     assert held(back) == held(base)
     assert U.refreshed(got, now.limit(0), names, relatives).references.count() == 0
+
+
+def test_a_text_is_cut_once(spark):
+    """However often the parts of a cut are named, its pattern stands once in the plan for each place that cuts."""
+    docs = spark.createDataFrame([(1, "제1조(갑) ①하나 1. 둘 ②셋")], "doc_id long, text string")
+    articles = spark.createDataFrame([("L", 1, 1, 1, None, "갑", "제1조(갑) ①하나 1. 둘 가. 셋")], "prefix string, jang int, jeol int, jo int, jo_ui int, title string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    assert 1 <= plan(P.provisions(articles)).count(P.ITEM) <= 2  # before the paragraphs and in them
+    assert 1 <= plan(P.provisions(articles)).count(P.SUB_ITEM) <= 2
+    assert 1 <= plan(C.unit_clauses(docs)).count(C.ITEM_MARK) <= 3  # in paragraphs, in clauses without any, and in those without a body
+
+
+def test_strip_takes_the_white_space_of_the_pattern(spark):
+    chars = [chr(k) for k in [*range(0x250), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF]]
+    df = spark.createDataFrame([(f"{c}a{c}b{c}{c}",) for c in chars] + [("",), (" ",), (None,), ("\n\n",)], "s string")
+    assert df.where(~T.strip(F.col("s")).eqNullSafe(F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))).count() == 0

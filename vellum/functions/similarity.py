@@ -17,7 +17,8 @@ from pyspark.sql.types import DoubleType
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts, 0 to 1; null counts as empty."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    # the matcher finds equal texts whole, whatever characters are frequent
+    return pd.Series([1.0 if (x or "") == (y or "") else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(DoubleType())
@@ -25,7 +26,7 @@ def containment(fragment: pd.Series, text: pd.Series) -> pd.Series:
     """Part of a fragment that lies in matching blocks of a text; 1 for an empty fragment."""
 
     def one(x: str | None, y: str | None) -> float:
-        if not x:
+        if not x or x in (y or ""):
             return 1.0
         return sum(m.size for m in SequenceMatcher(None, x, y or "", autojunk=False).get_matching_blocks()) / len(x)
 

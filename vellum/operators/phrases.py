@@ -79,35 +79,34 @@ def trimmed(s: Column, rule: Rule) -> Column:
     for words in rule.tails:
         out = _without(out, words, "", "$")
     out = T.strip(_without(out, rule.particles, "", "$")) if rule.strict else _flat(_without(T.strip(out), rule.particles, "", r"(?=\s|$)"))
-    kept = F.when(F.length(T.compare_form(out)) >= rule.shortest, out).otherwise("")
-    return F.when(F.length(kept) <= rule.longest, kept).otherwise("") if rule.strict else shortened(kept, rule.longest)
+    fits = lambda x: F.when(F.length(x) <= rule.longest, x).otherwise("") if rule.strict else shortened(x, rule.longest)
+    return T.once(out, lambda x: F.when(F.length(T.compare_form(x)) >= rule.shortest, fits(x)).otherwise(""))
 
 
 def listed(s: Column, rule: Rule) -> Column:
-    """The phrases of a text, each once in order."""
+    """The phrases of a flat text, each once in order."""
     ends = [rf"{thing}\s*(?:{'|'.join(verbs)})" for thing, verbs in LISTING.items()]
-    parts = F.split(_flat(s), rf"(?U)(?:{'|'.join(ends)}|(?:{'|'.join(rule.breaks)})\s*|[{rule.signs}])+")
+    parts = T.split(s, rf"(?U)(?:{'|'.join(ends)}|(?:{'|'.join(rule.breaks)})\s*|[{rule.signs}])+")
     if rule.strict:
         parts = F.transform(parts, lambda x: trimmed(x, rule))
     at = rf"(?U)\s+(?:{'|'.join(JOINING)})\s+|(?<=\S)(?:{'|'.join(rule.stems)})\s+"
-    each = F.flatten(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.split(x, at)))
+    each = F.flatten(F.transform(F.filter(parts, lambda x: x != ""), lambda x: T.split(x, at)))
     return F.array_distinct(F.filter(F.transform(each, lambda x: trimmed(x, rule)), lambda x: x != ""))
 
 
 def phrases(s: Column) -> Column:
     """What a requirement asks for."""
-    return listed(s, ASKED)
+    return listed(_flat(s), ASKED)
 
 
 def named_items(s: Column) -> Column:
     """What a content names, for the report on a wrong one: its phrases, else its front; nothing for a blank text."""
-    found, flat = listed(s, NAMED), _flat(s)
-    return F.when(F.size(found) > 0, found).when(flat != "", F.array(shortened(flat, WHOLE))).otherwise(found)
+    return T.once(_flat(s), lambda flat: T.once(listed(flat, NAMED), lambda found: F.when((F.size(found) > 0) | (flat == ""), found).otherwise(F.array(shortened(flat, WHOLE)))))
 
 
 def missing_phrases(pairs: DataFrame, key: str, original: str, parsed: str, least: float = 0.75) -> DataFrame:
     """``key, k, phrase``: phrases of an original that the parsed text neither holds in compared form nor in pieces to ``least``."""
-    each = pairs.where((F.coalesce(original, F.lit("")) != "") & (F.coalesce(parsed, F.lit("")) != "")).select(key, parsed, F.posexplode(phrases(F.col(original))).alias("k", "phrase"))
+    each = pairs.where((F.coalesce(original, F.lit("")) != "") & (F.coalesce(parsed, F.lit("")) != "")).select(key, parsed, F.posexplode_outer(phrases(F.col(original))).alias("k", "phrase")).where("k is not null")  # the inner form would compute the phrases thrice, for a filter on their number
     form = lambda c: T.compare_form(_without(c, IGNORED, "", r"\b"))
     rest = each.where((form(F.col("phrase")) != "") & ~form(F.col(parsed)).contains(form(F.col("phrase"))))
     return rest.where(S.containment("phrase", parsed) < least).select(key, "k", "phrase")

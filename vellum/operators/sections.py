@@ -64,7 +64,8 @@ def anchored_sections(docs: DataFrame, spec: DataFrame, cap: int = 2000, long_ca
     anchors (at most one a code) are known.
     """
     heads = heading_candidates(docs).where("kind <> 'roman'").select("doc_id", "pos", "title")
-    named = heads.join(spec, F.exists("keywords", lambda k: F.col("title").contains(k)))
+    # the spec goes with each heading: in a join without keys Spark may send the headings instead
+    named = with_each(heads, spec, "code", "ord", "keywords").where(F.exists("keywords", lambda k: F.col("title").contains(k)))
     last = named.groupBy("doc_id", "code", "ord").agg(F.max("pos").alias("pos"))
     anchors = last.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ord", "code"))).alias("anchors"))
     met = docs.select("doc_id", "text").join(anchors, "doc_id")

@@ -36,24 +36,20 @@ def digests(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file", "prefix").agg(digest.alias("digest"))
 
 
-def _own(places: DataFrame, chunks: DataFrame) -> DataFrame:
-    return places.join(chunks.select("chunk_id", F.col("prefix").alias("own")), "chunk_id")
-
-
 def built(lines: DataFrame, names: DataFrame, relatives: DataFrame) -> Base:
     """A base from all files; ``names`` and ``relatives`` as in ``provisions.found_places``."""
     scratch = Scratch(lines.sparkSession, "base")
     files = scratch.cut(digests(lines), "files")
     chunks = scratch.cut(P.provisions(L.articles(lines)), "chunks")
-    places = scratch.cut(_own(P.found_places(chunks, names, relatives, scratch), chunks), "places")
+    places = scratch.cut(P.found_places(chunks, names, relatives, scratch), "places")
     reg = scratch.cut(P.registry(chunks), "registry")
     refs = scratch.cut(P.resolved(chunks, reg, places), "references")
     return Base(files, chunks, places, refs)
 
 
-def changes(base: Base, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files that are new or changed ``(file, prefix)``, and the laws ``(prefix)`` that are new, changed or gone."""
-    now = digests(lines)
+def changes(base: Base, lines: DataFrame, now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files that are new or changed ``(file, prefix)``, and the laws ``(prefix)`` that are new, changed or gone; ``now`` are the lines' digests, if there are any yet."""
+    now = digests(lines) if now is None else now
     old = base.files.select(F.col("file").alias("f"), F.col("prefix").alias("old_prefix"), F.col("digest").alias("d"))
     both = now.join(old, F.col("file") == F.col("f"), "full").where(~F.col("digest").eqNullSafe(F.col("d")) | ~F.col("prefix").eqNullSafe(F.col("old_prefix")))
     laws = both.select(F.explode(F.array_compact(F.array("prefix", "old_prefix"))).alias("prefix")).distinct()
@@ -63,12 +59,13 @@ def changes(base: Base, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def refreshed(base: Base, lines: DataFrame, names: DataFrame, relatives: DataFrame) -> Base:
     """The base of the present files. The names and relatives must be those that it was built with."""
     scratch = Scratch(lines.sparkSession, "refresh")
-    changed, laws = changes(base, lines)
+    files = scratch.cut(digests(lines), "files")
+    changed, laws = changes(base, lines, files)
     changed, laws = scratch.cut(changed, "changed"), scratch.cut(laws, "laws")
     anew = scratch.cut(P.provisions(L.articles(lines.join(changed.select("file"), "file", "left_semi"))), "anew")
     chunks = scratch.cut(base.chunks.join(laws, "prefix", "left_anti").unionByName(anew.select(*base.chunks.columns)), "chunks")
     kept = base.places.join(laws.select(F.col("prefix").alias("own")), "own", "left_anti")
-    places = scratch.cut(kept.unionByName(_own(P.found_places(anew, names, relatives, scratch), anew).select(*kept.columns)), "places")
+    places = scratch.cut(kept.unionByName(P.found_places(anew, names, relatives, scratch).select(*kept.columns)), "places")
     # chunks of other laws that refer to one of these
     near = kept.join(laws, "prefix", "left_semi").select("chunk_id").distinct()
     again = scratch.cut(near.unionByName(anew.select("chunk_id")).distinct(), "again")
@@ -76,4 +73,4 @@ def refreshed(base: Base, lines: DataFrame, names: DataFrame, relatives: DataFra
     refs = P.resolved(chunks.join(again, "chunk_id", "left_semi"), reg, places.join(again, "chunk_id", "left_semi"), chunks)
     gone = base.chunks.join(laws, "prefix", "left_semi").select("chunk_id").unionByName(again).distinct()
     refs = scratch.cut(base.references.join(gone, "chunk_id", "left_anti").unionByName(refs), "references")
-    return Base(scratch.cut(digests(lines), "files"), chunks, places, refs)
+    return Base(files, chunks, places, refs)

@@ -37,7 +37,8 @@ def header_zones(cells: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
     which the last required key is found, and keys found after it don't count.
     """
     named = cells.where(F.col("row") < HEADER_ROWS).withColumn("key", header_key(F.col("text"))).where("key is not null")
-    first = named.groupBy("table_id", "key").agg(F.min(F.struct("row", "col", "x0", "x1")).alias("c"))
+    # a table is dealt whole before anything is sorted, so a task sorts its share of the shuffle and not its share of the input
+    first = named.repartition("table_id").groupBy("table_id", "key").agg(F.min(F.struct("row", "col", "x0", "x1")).alias("c"))
     need = F.col("key").isin(*required)
     ends = first.groupBy("table_id").agg(F.count_if(need).alias("n"), F.max(F.when(need, F.col("c.row"))).alias("end")).where(F.col("n") == len(required))
     return first.join(ends.select("table_id", "end"), "table_id").where(F.col("c.row") <= F.col("end")).select("table_id", "key", "c.x0", "c.x1", (F.col("end") + 1).alias("header_rows"))

@@ -1,4 +1,4 @@
-"""Sequence similarity as Arrow-batched functions over the standard library's matcher.
+"""Sequence similarity as Arrow-batched functions: the standard library's matcher, or what it finds (``blocks``).
 
 No SQL function computes it: edit distance differs, and the ratio depends on
 the order of its arguments and, from 200 characters on, on the matcher's rule
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .blocks import matched
+
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -28,6 +30,6 @@ def containment(fragment: pd.Series, text: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float:
         if not x or x in (y or ""):
             return 1.0
-        return sum(m.size for m in SequenceMatcher(None, x, y or "", autojunk=False).get_matching_blocks()) / len(x)
+        return matched(x, y or "") / len(x)
 
     return pd.Series([one(x, y) for x, y in zip(fragment, text, strict=True)])

@@ -46,6 +46,12 @@ HOW = {
 }
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows in some parts for each core, however few bytes they have."""
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(64, 4 * spark.sparkContext.defaultParallelism)), *by)
+
+
 def could_win(pairs: DataFrame, how: str) -> DataFrame:
     """``pairs`` with ``bound``, those left out whose bound isn't above ``floor`` and at least ``least`` (null: no such limit)."""
     bound = HOW[how][1](F.col("ha"), F.col("hb"))
@@ -57,17 +63,21 @@ def best_matches(pairs: DataFrame, key: list[str], tie: str, how: str, digits: i
 
     ``pairs`` has the texts ``a`` and ``b``, their histograms ``ha`` and ``hb``, ``floor`` and ``least`` (doubles, may be null,
     the same for all pairs of a key).
-    Scores are compared after rounding to ``digits``. Given ``scratch``, pairs are written once.
+    Scores are compared after rounding to ``digits``. Given ``scratch``, pairs are written once. Pairs are dealt to all tasks
+    before they are scored: they are few bytes and much work, so parts by size would be one or two.
     """
+    deal = lambda df: dealt(df, *key, tie)
     score = HOW[how][0]("a", "b") if digits is None else F.round(HOW[how][0]("a", "b"), digits)
     slack = 0.0 if digits is None else 0.5 * 10.0**-digits
     open_ = could_win(pairs, how).select(*key, tie, "a", "b", "floor", "least", "bound")
     open_ = scratch.cut(open_, "pairs") if scratch else open_
-    first = latest(open_, key, [F.desc("bound"), F.asc(tie)]).select(*open_.columns).withColumn("score", score)
+    first = deal(latest(open_, key, [F.desc("bound"), F.asc(tie)]).select(*open_.columns)).withColumn("score", score)
     first = scratch.cut(first, "first") if scratch else first
     beaten = first.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(tie).alias("_tie"), F.col("score").alias("_score"))
     met = open_.join(beaten, _same(key)).where((F.col(tie) != F.col("_tie")) & (F.col("bound") + slack >= F.col("_score")))
-    every = first.unionByName(met.select(*open_.columns).withColumn("score", score))
+    rest = deal(met.select(*open_.columns)).withColumn("score", score).drop("a", "b", "bound")
+    rest = scratch.cut(rest, "rest") if scratch else rest  # else filters on the score pass the dealing, and it is computed on both sides
+    every = first.drop("a", "b", "bound").unionByName(rest)
     every = every.where((F.col("floor").isNull() | (F.col("score") > F.col("floor"))) & (F.col("least").isNull() | (F.col("score") >= F.col("least"))))
     return latest(every, key, [F.desc("score"), F.asc(tie)]).select(*key, tie, "score")
 
